@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, token_output
+from . import exact_dedup, mixing, quality, token_counts, token_output
 
 QUERIES = {}
-for _module in (exact_dedup, mixing, quality, token_output):
+for _module in (exact_dedup, mixing, quality, token_counts, token_output):
     QUERIES |= _module.QUERIES
