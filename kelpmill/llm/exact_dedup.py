@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ranked, settle
+from .common import SPACES, join_counted, ranked, settle
 
 BLOCK_BYTES = 16_384
 
@@ -47,20 +47,20 @@ def name_blocks(norm: DataFrame, heads: DataFrame, contents: DataFrame, hashes:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256, and raw, the text's 64-bit hash.
 
     Equal: identical after deleting ASCII white space; a null text counts as empty, and all empty texts are equal. The
     row with the most code points in the original text stays, then the smallest id, a null id last. Of rows repeated
     with the same id and length exactly one has kept true. Other columns are ignored; an empty table gives no rows.
     hash_bits below 64 only makes hashes of blocks meet, for tests.
     """
-    norm = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), F.length(F.coalesce(docs[text_col], F.lit(""))).alias("len"), _normal(docs, text_col).alias("norm"))
+    norm = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), F.length(F.coalesce(docs[text_col], F.lit(""))).alias("len"), F.xxhash64(docs[text_col]).alias("raw"), _normal(docs, text_col).alias("norm"))
     contents = norm.select(F.explode(_blocks("norm", block_bytes)).alias("block")).select(_hash(F.col("block"), hash_bits).alias("h"), "block").distinct()
     hashes = settle(contents.groupBy("h").agg(F.count("*").alias("contents")))
     if not hashes.where("contents > 1").isEmpty():
         norm = settle(norm)  # read twice below, with the same row numbers
     of_row = F.transform(_blocks("norm", block_bytes), lambda b: _hash(b, hash_bits))
-    heads = settle(norm.select("row", "id", "len", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), of_row.alias("hashes")))
+    heads = settle(norm.select("row", "id", "len", "raw", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), of_row.alias("hashes")))
     named = settle(name_blocks(norm, heads, contents, hashes, block_bytes, hash_bits))
     level, done = 0, []
     while True:
@@ -77,15 +77,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    full = heads.select("row", "id", "len", "sha").join(identity, "row")
+    full = heads.select("row", "id", "len", "raw", "sha").join(identity, "row")
     best = F.min(F.struct((-F.col("len")).alias("less"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     groups = full.groupBy("level", "name").agg(best, F.count("*").alias("group_size"))
     out = full.join(groups, ["level", "name"])
-    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"), "raw")
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """The rows of docs that exact_duplicates keeps; of rows repeated with one id and text, one."""
+    found = settle(exact_duplicates(docs, id_col, text_col, **kwargs).select(F.col(id_col).alias("gone_id"), F.col("raw").alias("gone_raw"), "kept"))
+    pairs = settle(found.groupBy("gone_id", "gone_raw").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("raw"))
+    same = (F.col("raw") == F.col("gone_raw")) & F.col("id").eqNullSafe(F.col("gone_id"))
+    out = join_counted(rows, pairs, same, "left_anti").select("doc")
+    again = pairs.where("kept")
+    if not again.isEmpty():
+        out = out.unionByName(join_counted(rows, again, same).dropDuplicates(["id", "raw"]).select("doc"))
+    return out.select("doc.*")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("raw")
 
 
 ORACLE_SQL = r"""

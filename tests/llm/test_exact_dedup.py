@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from kelpmill.llm.exact_dedup import exact_duplicates
+from kelpmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
 from . import cases
 
@@ -41,3 +41,10 @@ def test_cases(spark):
     assert found == brute(rows)
     assert kept == len({x[3] for x in found})
     assert exact_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_rows_that_stay(spark):
+    docs = cases.clashing(spark)
+    stay = drop_exact_duplicates(docs)
+    assert stay.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in stay.collect()) == ["2", "5", "6", "8", "None"]
