@@ -1,3 +1,9 @@
 """The registered queries outside the llm subpackage: name -> (query, SQL or None)."""
 
+from __future__ import annotations
+
+from . import retrieval
+
 QUERIES = {}
+for _module in (retrieval,):
+    QUERIES |= _module.QUERIES
