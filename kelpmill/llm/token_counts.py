@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import place, tokenizer
+from .vocabulary import byte_letters, place, tokenizer
 from .words import batches_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,8 +34,6 @@ LIMIT = 1024
 CHUNK = 128
 #: States after which a worker's table is made anew. One takes four bytes for each byte value seen so far, and its key.
 MAX_STATES = 250_000
-#: How byte-level tokenizers split texts; what `starts` finds.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = range(4)
 PAD = 256
 _ZERO = 128
@@ -53,7 +51,7 @@ def classes() -> np.ndarray:
 
 
 def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where pieces start, given code points and where texts start."""
+    """Where pieces start by vocabulary.PATTERN, given code points and where texts start."""
     n = len(points)
     kind, blank = classes()[points], points == 32
     new = first.copy()
@@ -79,13 +77,6 @@ def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return found
 
 
-def byte_letters() -> dict[str, int]:
-    """Byte-level vocabularies write a byte as itself if it is a visible Latin-1 character, else as the next letter from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Transducer:
     """The compiled tokenizer; compiled on as it reads."""
 

@@ -4,7 +4,7 @@ A shard is one row of a Parquet table: its place in the order, the number of its
 value, laid out as below (little-endian). The payload is raw ids, two or four bytes each.
 
     magic 4 bytes | width u4 | documents u4 | buckets u4 | ids u8
-    seed u4 for each bucket | slot: fingerprint u4, document u4 | document: end u8 | key: end u4, key bytes | payload
+    seed u4 for each bucket, or flag and slot of its only key | slot: fingerprint u4, document u4 | document: end u8 | key: end u4, key bytes | payload
 
 A key is the document's id as text, `#` and how many rows before it in order have the same id. Its hash names a bucket
 and, with the bucket's seed, a slot that no other key of the shard has; the slot holds 32 more bits of the hash, so a key
@@ -33,6 +33,9 @@ END_ID = 2
 #: A shard is closed at so many ids; a longer document makes a longer shard.
 SHARD_IDS = 500_000
 PER_BUCKET = 4
+#: Seeds tried at once, and the flag of a seed that is a slot itself.
+TRIES = 64
+DIRECT = np.uint32(1 << 31)
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -41,31 +44,45 @@ def _hashed(key: bytes) -> tuple[int, int]:
     return h & 0xFFFFFFFFFFFFFFFF, h >> 96
 
 
-def _slots(hashes: np.ndarray, seed: int, n: int) -> np.ndarray:
+def _slots(hashes: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
+    """The slots of keys under their seeds; a seed with the flag is a slot itself."""
     with np.errstate(over="ignore"):
-        x = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (hashes ^ (seeds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return ((x ^ (x >> np.uint64(29))) >> np.uint64(8)) % np.uint64(n)
+        found = ((x ^ (x >> np.uint64(29))) >> np.uint64(8)) % np.uint64(n)
+    return np.where(seeds & DIRECT, seeds & (DIRECT - np.uint32(1)), found).astype(np.int64)
 
 
 def perfect_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed of each bucket, slot of each key): buckets, the fullest first, try seeds until their keys fall on free slots."""
+    """(seed of each bucket, slot of each key).
+
+    Buckets, the fullest first, try seeds until their keys fall on different free slots; those of one key come last and
+    name one of the slots that are left.
+    """
     n = len(hashes)
     buckets = -(-n // PER_BUCKET)
     seeds, slots, taken = np.zeros(buckets, np.uint32), np.zeros(n, np.int64), np.zeros(n, bool)
     of = (hashes >> np.uint64(40)) % np.uint64(max(1, buckets))
     order = np.argsort(of, kind="stable")
     ends = np.searchsorted(of[order], np.arange(buckets + 1))
-    for b in np.argsort(ends[:-1] - ends[1:], kind="stable"):
-        own = order[ends[b] : ends[b + 1]]
-        seed = 0
-        while len(own):
-            at = _slots(hashes[own], seed, n).astype(np.int64)
-            if not taken[at].any() and len(set(at.tolist())) == len(own):
-                taken[at], slots[own] = True, at
+    sizes = np.diff(ends)
+    for b in np.argsort(-sizes, kind="stable"):
+        own, first = order[ends[b] : ends[b + 1]], 0
+        if len(own) < 2:
+            break
+        while True:
+            tried = np.arange(first, first + TRIES, dtype=np.uint32)
+            at = _slots(hashes[own][None, :], tried[:, None], n)
+            row = np.sort(at, axis=1)
+            good = np.flatnonzero(~taken[at].any(axis=1) & (row[:, 1:] != row[:, :-1]).all(axis=1))
+            if len(good):
+                seeds[b], slots[own] = tried[good[0]], at[good[0]]
+                taken[at[good[0]]] = True
                 break
-            seed += 1
-        seeds[b] = seed
+            first += TRIES
+    single = np.flatnonzero(sizes == 1)
+    left = np.flatnonzero(~taken)
+    seeds[single], slots[order[ends[single]]] = left.astype(np.uint32) | DIRECT, left
     return seeds, slots
 
 
@@ -103,23 +120,15 @@ class Shard:
 
     def find(self, key: bytes) -> int | None:
         """The document's place in the shard, in constant time."""
-        h, fingerprint = _hashed(key)
-        if not self.n:
-            return None
-        slot = int(_slots(np.array([h], np.uint64), int(self.seeds[(h >> 40) % len(self.seeds)]), self.n)[0])
-        return int(self.index[2 * slot + 1]) if self.index[2 * slot] == fingerprint else None
+        found = int(self.find_all([key])[0]) if self.n else -1
+        return found if found >= 0 else None
 
     def find_all(self, keys: list[bytes]) -> np.ndarray:
-        """find for many keys at once; -1 where a key isn't there."""
+        """The places of several keys; -1 where a key isn't there."""
         hashed = [_hashed(k) for k in keys]
         h = np.array([x for x, _ in hashed], np.uint64)
-        slots = np.zeros(len(h), np.int64)
-        seeds = self.seeds[((h >> np.uint64(40)) % np.uint64(max(1, len(self.seeds)))).astype(np.int64)]
-        with np.errstate(over="ignore"):
-            x = (h ^ (seeds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-            slots = (((x ^ (x >> np.uint64(29))) >> np.uint64(8)) % np.uint64(self.n)).astype(np.int64)
-        index = self.index.reshape(-1, 2)[slots]
+        seeds = self.seeds[((h >> np.uint64(40)) % np.uint64(len(self.seeds))).astype(np.int64)]
+        index = self.index.reshape(-1, 2)[np.minimum(_slots(h, seeds, self.n), self.n - 1)]
         return np.where(index[:, 0] == np.array([f for _, f in hashed], np.uint32), index[:, 1].astype(np.int64), -1)
 
     def start(self, document: int) -> int:
