@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import generation, incremental, retrieval
 
 QUERIES = {}
-for _module in (retrieval,):
+for _module in (retrieval, generation, incremental):
     QUERIES |= _module.QUERIES
