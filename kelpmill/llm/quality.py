@@ -22,8 +22,8 @@ SYMBOLS = "#*$%&|<>"
 #: Characters that, by themselves, make words no words; see line_fails.
 JUNK = "#*$%&{}"
 SENTENCE_END = re.compile("[.!?…。！？।؟۔]")
-#: Between single words or short phrases, these make a line a menu or a row of a table.
-MENU = re.compile(r"\s[|>»•·/]+(?=\s|$)")
+#: Two words of these alone make a line a menu or a row of a table.
+SEPARATORS = "|>»•·/"
 BOILERPLATE = (
     "all rights reserved",
     "privacy policy",
@@ -58,8 +58,9 @@ def word_chars(text: str) -> int:
 
 def line_fails(line: str) -> bool:
     """Whether a line with a word is cut: a menu or table row, a line of symbols, boilerplate, or long without a sentence's end."""
-    n = len(line.encode().split())  # bytes split at ASCII white space alone
-    if len(MENU.findall(line)) >= 2 or 3 * sum(map(line.count, JUNK)) > n:
+    words = line.encode().split()  # bytes split at ASCII white space alone
+    n = len(words)
+    if sum(not w.decode().strip(SEPARATORS) for w in words) >= 2 or 3 * sum(map(line.count, JUNK)) > n:
         return True
     if n >= SENTENCE_WORDS and not SENTENCE_END.search(line):
         return True
@@ -70,7 +71,7 @@ def line_fails(line: str) -> bool:
 def lines_of(text: str) -> tuple[int, int, str]:
     """(lines with a word that are equal to an earlier line, characters of words lost with failing lines, the lines left)."""
     lower = text.lower()
-    odd = any(x in text for x in JUNK + "|>»•·/") or any(x in lower for x in BOILERPLATE)
+    odd = any(x in text for x in JUNK + SEPARATORS) or any(x in lower for x in BOILERPLATE)
     seen, dups, lost, kept = set(), 0, 0, []
     for line in text.split("\n"):
         if line in seen:
@@ -150,4 +151,38 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
 
 
-QUERIES = {"op2_quality_rules": (op2_quality_rules, None)}
+# The chained CASE and the patterns say what line_fails says.
+ORACLE_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d
+), j AS (
+  SELECT doc_id, line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM l
+), f AS (
+  SELECT doc_id, again, length(array_to_string(lw, '')) AS chars,
+    len(list_filter(lw, lambda x: regexp_full_match(x, '[|>»•·/]+'))) >= 2 OR 3 * (length(line) - length(translate(line, '#*$%&{}', ''))) > len(lw)
+    OR (len(lw) >= 8 AND NOT regexp_matches(line, '[.!?…。！？।؟۔]')) OR regexp_matches(lower(line), '"""
+    + "|".join(BOILERPLATE)
+    + r"""') AS fails
+  FROM j WHERE len(lw) > 0
+), s AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS lost_chars FROM f GROUP BY doc_id
+), t AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])) AS g FROM d WHERE len(w) > 2
+), m AS (
+  SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM m, range(3) r(k) GROUP BY doc_id
+), a AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
+  FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a
+)
+SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM b
+"""
+)
+QUERIES = {"op2_quality_rules": (op2_quality_rules, ORACLE_SQL)}
