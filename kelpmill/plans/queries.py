@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import generation, incremental, retrieval
+from . import expressions, generation, incremental, retrieval
 
 QUERIES = {}
-for _module in (retrieval, generation, incremental):
+for _module in (retrieval, generation, incremental, expressions):
     QUERIES |= _module.QUERIES
