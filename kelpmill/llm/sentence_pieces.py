@@ -134,15 +134,17 @@ class Encoder:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [p for p, kind in zip(model.pieces, model.kinds, strict=True) if kind in (NORMAL, USER)]
         self.cuts = model.dummy_prefix and not model.charsmap and not any(MARK in p.lstrip(MARK) for p in normal)
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known: dict[str, tuple[bytes, bool, bool]] = {}
 
-    def _library(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """(ids, whether the rebuilt model gives what sentencepiece gives); the ids are sentencepiece's."""
+    def _library(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """(ids, whether the rebuilt model gives what sentencepiece gives, whether they decode to the text); the ids are sentencepiece's."""
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         want = self.reference.encode(texts, num_threads=self.threads)
-        return [(np.array(w, "<i4").tobytes(), g.ids == w) for g, w in zip(got, want, strict=True)]
+        back = self.library.decode_batch(want, skip_special_tokens=False)
+        return [(np.array(w, "<i4").tobytes(), g.ids == w, b == t) for g, w, b, t in zip(got, want, back, texts, strict=True)]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, restored) of each text."""
         run, held = [], 0
         for text in texts:
             run.append(text)
@@ -152,7 +154,7 @@ class Encoder:
                 run, held = [], 0
         yield from self._run(run)
 
-    def _run(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+    def _run(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         whole = [not self.cuts or MARK in t or "  " in t or not t or t[0] == " " or t[-1] == " " for t in texts]
         direct = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
@@ -162,7 +164,8 @@ class Encoder:
         self.known.update(zip(new, self._library(new), strict=True))
         for pieces in cut:
             found = [next(direct)] if pieces is None else [self.known[p] for p in pieces]
-            yield np.frombuffer(b"".join(ids for ids, _ in found), "<i4"), all(same for _, same in found)
+            ids, same, back = zip(*found, strict=True)
+            yield np.frombuffer(b"".join(ids), "<i4"), all(same), all(back)
 
 
 @lru_cache(2)
@@ -175,7 +178,7 @@ def encoder(path: str, threads: int) -> Encoder:
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """docs as struct column doc, with ids, n_tokens and parity: the rebuilt model gave just these ids.
+    """docs as struct column doc, with ids, n_tokens, parity (the rebuilt model gave just these ids) and restored (they decode to the text).
 
     A null text counts as empty, with no ids. Repeated rows give repeated rows; other columns stay inside doc.
     """
@@ -186,15 +189,13 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads:
         machine = encoder(path, threads)
         for batch in batches:
             doc = batch.column(0)
-            ids, same = [], []
-            for i, s in machine.encode([t or "" for t in doc.field(text_col).to_pylist()]):
-                ids.append(i)
-                same.append(s)
+            found = list(machine.encode([t or "" for t in doc.field(text_col).to_pylist()]))
+            ids = [i for i, _, _ in found]
             ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc, flat, pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())], ["doc", "ids", "n_tokens", "parity"])
+            yield pa.RecordBatch.from_arrays([doc, flat, pa.array(map(len, ids), pa.int64()), pa.array([s for _, s, _ in found], pa.bool_()), pa.array([b for _, _, b in found], pa.bool_())], ["doc", "ids", "n_tokens", "parity", "restored"])
 
-    return rows.mapInArrow(encoded, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, n_tokens long, parity boolean")
+    return rows.mapInArrow(encoded, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, n_tokens long, parity boolean, restored boolean")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -209,3 +210,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Data
         return pd.Series(library.decode_batch([[] if i is None else list(i) for i in ids], skip_special_tokens=False))
 
     return encoded.withColumn("text", text(F.col(ids_col)))
+
+
+def op8_sentence_pieces(spark, sf_dir: str) -> DataFrame:
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc.doc_id", "n_tokens", "ids", "parity", "restored")
+
+
+QUERIES = {"op8_sentence_pieces": (op8_sentence_pieces, None)}

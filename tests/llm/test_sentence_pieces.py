@@ -17,8 +17,9 @@ def test_parity_and_round_trip():
     machine = sp.encoder(place(sp.MODEL), 2)
     want = sentencepiece.SentencePieceProcessor(model_file=place(sp.MODEL)).encode(texts)
     got = list(machine.encode(texts))
-    assert [g.tolist() for g, _ in got] == want
-    assert all(same for _, same in got)
+    assert [g.tolist() for g, _, _ in got] == want
+    assert all(same for _, same, _ in got)
+    assert [b for _, _, b in got] == ["▁" not in t for t in texts]
     back = machine.library.decode_batch(want, skip_special_tokens=False)
     assert back == [t.replace("▁", " ") for t in texts]
 
@@ -34,6 +35,6 @@ def test_cases(spark):
     rows = sp.decode(sp.encode(cases.clashing(spark))).collect()
     assert len(rows) == 11
     for r in rows:
-        assert r.parity and r.n_tokens == len(r.ids) and r.text == (r.doc.text or "")
+        assert r.parity and r.restored and r.n_tokens == len(r.ids) and r.text == (r.doc.text or "")
     assert sp.encode(cases.empty(spark)).count() == 0
     assert sp.decode(spark.createDataFrame([(None,)], "ids array<int>")).select(F.length("text")).first()[0] == 0
