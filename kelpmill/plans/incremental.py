@@ -15,7 +15,7 @@ from . import sql
 
 def _folder(spark) -> str:
     """A new folder below the one that the cluster shares; a temporary one where none is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/job-{uuid.uuid4().hex}"
 
 
