@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import place
+from .vocabulary import Kept, place
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
-CACHED_PIECES = 400_000
+#: Pieces of text that a worker keeps the ids of: so many in use now, as many before them.
+CACHED_PIECES = 500_000
 RUN = 2_000_000
 MARK = "▁"
 # Fixed values of the model format: kinds of model and of pieces.
@@ -134,7 +135,7 @@ class Encoder:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [p for p, kind in zip(model.pieces, model.kinds, strict=True) if kind in (NORMAL, USER)]
         self.cuts = model.dummy_prefix and not model.charsmap and not any(MARK in p.lstrip(MARK) for p in normal)
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        self.known = Kept(CACHED_PIECES)
 
     def _library(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, whether the rebuilt model gives what sentencepiece gives, whether they decode to the text); the ids are sentencepiece's."""
@@ -158,9 +159,7 @@ class Encoder:
         whole = [not self.cuts or MARK in t or "  " in t or not t or t[0] == " " or t[-1] == " " for t in texts]
         direct = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        new = list(set(chain.from_iterable(c for c in cut if c)).difference(self.known))
+        new = self.known.without(set(chain.from_iterable(c for c in cut if c)))
         self.known.update(zip(new, self._library(new), strict=True))
         for pieces in cut:
             found = [next(direct)] if pieces is None else [self.known[p] for p in pieces]
