@@ -23,7 +23,7 @@ from .vocabulary import Kept, place
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
 #: Pieces of text that a worker keeps the ids of: so many in use now, as many before them.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 RUN = 2_000_000
 MARK = "▁"
 # Fixed values of the model format: kinds of model and of pieces.
@@ -136,6 +136,8 @@ class Encoder:
         normal = [p for p, kind in zip(model.pieces, model.kinds, strict=True) if kind in (NORMAL, USER)]
         self.cuts = model.dummy_prefix and not model.charsmap and not any(MARK in p.lstrip(MARK) for p in normal)
         self.known = Kept(CACHED_PIECES)
+        #: (parity, restored) of the pieces for which either is false.
+        self.flaws: dict[str, tuple[bool, bool]] = {}
 
     def _library(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, whether the rebuilt model gives what sentencepiece gives, whether they decode to the text); the ids are sentencepiece's."""
@@ -160,11 +162,18 @@ class Encoder:
         direct = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         new = self.known.without(set(chain.from_iterable(c for c in cut if c)))
-        self.known.update(zip(new, self._library(new), strict=True))
+        for piece, (ids, same, back) in zip(new, self._library(new), strict=True):
+            self.known[piece] = ids
+            if not (same and back):
+                self.flaws[piece] = same, back
         for pieces in cut:
-            found = [next(direct)] if pieces is None else [self.known[p] for p in pieces]
-            ids, same, back = zip(*found, strict=True)
-            yield np.frombuffer(b"".join(ids), "<i4"), all(same), all(back)
+            if pieces is None:
+                ids, same, back = next(direct)
+            else:
+                ids = b"".join(map(self.known.__getitem__, pieces))
+                flaws = [self.flaws[p] for p in pieces if p in self.flaws] if self.flaws else []
+                same, back = all(s for s, _ in flaws), all(b for _, b in flaws)
+            yield np.frombuffer(ids, "<i4"), same, back
 
 
 @lru_cache(2)
