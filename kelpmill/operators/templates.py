@@ -64,9 +64,8 @@ def first_by_name(attributes: DataFrame) -> DataFrame:
 
 def response_attributes(contents: DataFrame) -> DataFrame:
     """Attributes from JSON, or from lines where JSON gives none; strings with values become enums."""
-    found = json_attributes(contents)
-    lines = line_attributes(contents).join(found.select("request_id").distinct(), "request_id", "left_anti")
-    rows = first_by_name(found.unionByName(lines))
+    both = json_attributes(contents).withColumn("kind", F.lit(0)).unionByName(line_attributes(contents).withColumn("kind", F.lit(1)))
+    rows = first_by_name(both.withColumn("least", F.min("kind").over(Window.partitionBy("request_id"))).where("kind = least").drop("kind", "least"))
     return rows.withColumn("type", F.when((F.col("type") == "string") & (F.size("enum_values") > 0), "enum").otherwise(F.col("type")))
 
 
@@ -78,16 +77,17 @@ def catalog_attributes(requests: DataFrame) -> DataFrame:
 
 def merge(catalog: DataFrame, response: DataFrame) -> DataFrame:
     """The catalog's attributes, then the response's whose names are new; part orders the two."""
-    new = response.join(catalog.select("request_id", "name"), ["request_id", "name"], "left_anti")
-    return catalog.withColumn("part", F.lit(0)).unionByName(new.withColumn("part", F.lit(1)))
+    both = catalog.withColumn("part", F.lit(0)).unionByName(response.withColumn("part", F.lit(1)))
+    return both.withColumn("nth", F.row_number().over(Window.partitionBy("request_id", "name").orderBy("part"))).where("nth = 1").drop("nth")
 
 
 def template_results(requests: DataFrame, contents: DataFrame) -> DataFrame:
     """One row for each request with a response; requests come with candidates, contents with content."""
     raw = contents.where("content is not null").select("request_id", lenient_json(strip(F.col("content"))).alias("raw"))
-    merged = merge(catalog_attributes(requests.join(raw.select("request_id"), "request_id", "left_semi")), response_attributes(raw))
+    joined = requests.join(raw, "request_id")
+    merged = merge(catalog_attributes(joined), response_attributes(joined))
     packed = merged.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", *ATTRIBUTE))).alias("all"))
-    rows = requests.join(raw, "request_id").join(packed, "request_id", "left")
+    rows = joined.join(packed, "request_id", "left")
     own_id, own_type = first_present(F.col("raw"), "$.template_id", "$.templateId"), first_present(F.col("raw"), "$.entity_type", "$.entityType")
     use_id = F.lower(own_id).isin(*PLACEHOLDER_IDS) | F.contains(F.lower(own_id), F.lit("lower_snake_case"))
     use_type = (own_type == "") | (F.upper(own_type) == "UPPER_SNAKE_CASE")

@@ -161,7 +161,8 @@ def topn_candidates(spark, sf_dir):
 
 
 def _with_candidates(spark, sf_dir):
-    return catalog.with_candidates(templates.route(_requests(spark, sf_dir))[0], catalog.candidates(catalog.overlay(_layers(spark, sf_dir))))
+    found = catalog.candidates(catalog.overlay(_layers(spark, sf_dir))).persist()  # read several times; one small list for each pair
+    return catalog.with_candidates(templates.route(_requests(spark, sf_dir))[0], found)
 
 
 def build_template_prompt(spark, sf_dir):
@@ -204,9 +205,8 @@ def dedupe_first_by_name(spark, sf_dir):
 
 
 def merge_template_attrs(spark, sf_dir):
-    asked = _with_candidates(spark, sf_dir)
-    raw = _raw(spark, sf_dir).join(asked.select("request_id"), "request_id", "left_semi")
-    rows = templates.merge(templates.catalog_attributes(asked.join(raw.select("request_id"), "request_id", "left_semi")), templates.response_attributes(raw))
+    joined = _with_candidates(spark, sf_dir).join(_raw(spark, sf_dir), "request_id")
+    rows = templates.merge(templates.catalog_attributes(joined), templates.response_attributes(joined))
     return rows.select("request_id", "part", F.col("pos").cast("long").alias("pos"), "name", "type", "required", _listed())
 
 
