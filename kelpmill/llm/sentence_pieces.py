@@ -23,8 +23,9 @@ from .vocabulary import Kept, place
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
 #: Pieces of text that a worker keeps the ids of: so many in use now, as many before them.
-CACHED_PIECES = 200_000
-RUN = 2_000_000
+CACHED_PIECES = 100_000
+#: Characters cut up, pieces encoded and rows given out at once: what a worker holds at a time.
+RUN, PIECES, ROWS = 500_000, 4_096, 1_000
 MARK = "▁"
 # Fixed values of the model format: kinds of model and of pieces.
 UNIGRAM, BPE = 1, 2
@@ -162,10 +163,12 @@ class Encoder:
         direct = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         new = self.known.without(set(chain.from_iterable(c for c in cut if c)))
-        for piece, (ids, same, back) in zip(new, self._library(new), strict=True):
-            self.known[piece] = ids
-            if not (same and back):
-                self.flaws[piece] = same, back
+        for at in range(0, len(new), PIECES):
+            some = new[at : at + PIECES]
+            for piece, (ids, same, back) in zip(some, self._library(some), strict=True):
+                self.known[piece] = ids
+                if not (same and back):
+                    self.flaws[piece] = same, back
         for pieces in cut:
             if pieces is None:
                 ids, same, back = next(direct)
@@ -195,7 +198,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path, threads)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             doc = batch.column(0)
             found = list(machine.encode([t or "" for t in doc.field(text_col).to_pylist()]))
             ids = [i for i, _, _ in found]
