@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import join_counted, ranked, settle
 from .components import components
-from .words import batches_of, mixed, windows, words_of
+from .words import SEGMENT_BYTES, batches_of, mixed, windows, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -34,6 +34,8 @@ ZERO_BITS, MANTISSA = 6, 10
 BANDS, BAND = 32, 6
 #: Members of a bucket's block; a task compares two blocks.
 BLOCK = 512
+#: Members of a block that are compared with all others at once, and elements of sets that are multiplied at once.
+SLICE, COLUMNS = 128, 1024
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 5.0
 
@@ -102,13 +104,12 @@ def chance(left: int, right: int) -> float:
     return float((own[0] * own[1]).sum())
 
 
-def half_log(n: int) -> int:
-    return round(2 * np.log2(max(1, n)))
-
-
 def estimate(agree: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Jaccard similarities from counts of agreeing registers and set sizes, corrected for chance."""
-    c = np.array([chance(*sorted((half_log(a), half_log(b)))) for a, b in zip(left.tolist(), right.tolist(), strict=True)])
+    half_log = lambda n: np.round(2 * np.log2(np.maximum(1, n))).astype(np.int64)
+    low, high = half_log(np.minimum(left, right)), half_log(np.maximum(left, right))
+    kinds, of = np.unique(low * 256 + high, return_inverse=True)
+    c = np.array([chance(*divmod(k, 256)) for k in kinds.tolist()])[of] if len(kinds) else np.zeros(0)
     return (agree / REGISTERS - c) / (1 - c)
 
 
@@ -201,7 +202,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             lasting = [x for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for x in pair]
             while at < len(lasting):
                 run, held = [], 0
-                while at < len(lasting) and held < 2_000_000:
+                while at < len(lasting) and held < SEGMENT_BYTES:
                     run += [lasting[at].encode(), lasting[at + 1].encode()]
                     held += len(run[-1]) + len(run[-2])
                     at += 2
@@ -225,9 +226,9 @@ def overlaps(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     use = shared[column]
     out = np.zeros((n, n), np.float32)
     owner, column = owner[use], at[column[use]]
-    for start in range(0, int(shared.sum()), 4096):  # so many columns at a time
-        part = (column >= start) & (column < start + 4096)
-        matrix = np.zeros((n, 4096), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        part = (column >= start) & (column < start + COLUMNS)
+        matrix = np.zeros((n, COLUMNS), np.float32)
         matrix[owner[part], column[part] - start] = 1
         out += matrix @ matrix.T
     return out
@@ -235,21 +236,37 @@ def overlaps(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def block_links(cids: np.ndarray, labels: np.ndarray, texts: list[str], regs: np.ndarray, halves: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the components of two blocks' members: pairs of different labels in different halves, or all if there is one half."""
-    hashes, ends, _ = shingles([t.encode() for t in texts])
-    n = np.diff(ends)
-    one = len(set(halves.tolist())) == 1
-    agree = np.zeros((len(n), len(n)), np.int32)
-    for r in range(REGISTERS):
-        agree += regs[:, r][:, None] == regs[:, r][None, :]
-    ask = (labels[:, None] != labels[None, :]) & (np.triu(np.ones_like(agree, bool), 1)) & (one | (halves[:, None] != halves[None, :]))
-    left, right = np.nonzero(ask)
-    good = passes(agree[left, right], n[left], n[right], percent)
-    left, right = left[good], right[good]
+    kinds, of = np.unique(labels, return_inverse=True)
+    if len(kinds) < 2:
+        return []
+    sets: list[np.ndarray] = []
+    for _, run in batches_of([t.encode() for t in texts]):
+        hashes, ends, _ = shingles(run)
+        sets += np.split(hashes, ends[1:-1])
+    n = np.array([len(s) for s in sets])
+    # One of such a pair is outside the largest component; those are the rows, a slice at a time, all members the columns.
+    odd = np.flatnonzero(of != np.bincount(of).argmax())
+    place = np.full(len(labels), -1)
+    place[odd] = np.arange(len(odd))
+    one, found = len(set(halves.tolist())) == 1, []
+    for start in range(0, len(odd), SLICE):
+        own = odd[start : start + SLICE]
+        agree = np.zeros((len(own), len(labels)), np.uint8)
+        for r in range(REGISTERS):
+            agree += regs[own, r][:, None] == regs[:, r][None, :]
+        ask = labels[own][:, None] != labels[None, :]
+        ask &= (place[None, :] < 0) | (place[None, :] > place[own][:, None])
+        if not one:
+            ask &= halves[own][:, None] != halves[None, :]
+        row, right = np.nonzero(ask)
+        good = passes(agree[row, right], n[own[row]], n[right], percent)
+        found.append((own[row[good]], right[good]))
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(left):
         return []
     rows = np.unique(np.concatenate([left, right]))
     place = np.searchsorted(rows, left), np.searchsorted(rows, right)
-    pieces = [hashes[ends[r] : ends[r + 1]] for r in rows]
+    pieces = [sets[r] for r in rows]
     both = overlaps(np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]))[place].astype(np.int64)
     fits = 100 * both >= percent * (n[left] + n[right] - both)
     parent: dict[int, int] = {}
@@ -327,4 +344,25 @@ def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85).drop("raw")
 
 
-QUERIES = {"op1_minhash_dedup": (op1_minhash_dedup, None)}
+#: Every pair that shares a shingle, and what links reach: for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i+4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.b
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+QUERIES = {"op1_minhash_dedup": (op1_minhash_dedup, ORACLE_SQL)}

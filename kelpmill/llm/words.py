@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Bytes of text whose arrays are in memory at once; a longer text takes more only for its words.
-SEGMENT_BYTES = 2_000_000
+SEGMENT_BYTES = 500_000
 
 _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
