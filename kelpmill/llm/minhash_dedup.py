@@ -2,7 +2,8 @@
 
 A document's shingles are dealt to registers by their hash; a register keeps the smallest hash of its shingles as its
 count of leading zeros and some bits behind the first one. Empty registers borrow from others in a fixed order. Bands
-are fixed choices of registers; documents that agree on a band share a bucket.
+are cut from fixed permutations of all registers, so each register is in one band of every permutation; documents that
+agree on a band share a bucket.
 
 Equal texts are one class from the start, so copies never meet each other. In a bucket every class is held against one
 pivot, the member that shares most buckets: first by the registers (their agreement, less what chance makes agree), then
@@ -31,7 +32,8 @@ SHINGLE = 5
 PERCENT = 80
 REGISTERS = 96
 ZERO_BITS, MANTISSA = 6, 10
-BANDS, BAND = 32, 6
+PERMUTATIONS, BAND = 4, 6
+BANDS = PERMUTATIONS * REGISTERS // BAND
 #: Members of a bucket's block; a task compares two blocks.
 BLOCK = 512
 #: Members of a block that are compared with all others at once, and elements of sets that are multiplied at once.
@@ -41,7 +43,7 @@ SLACK = 5.0
 
 _rng = np.random.default_rng(7)
 _BORROW = _rng.permutation(np.arange(1, REGISTERS))
-_BAND_OF = np.array([_rng.choice(REGISTERS, BAND, replace=False) for _ in range(BANDS)])
+_BAND_OF = np.concatenate([_rng.permutation(REGISTERS).reshape(-1, BAND) for _ in range(PERMUTATIONS)])
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 

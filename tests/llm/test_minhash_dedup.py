@@ -96,6 +96,19 @@ def test_estimates():
     assert (np.diff((md.compressed(least) >> md.MANTISSA).astype(int)) <= 0).all()
 
 
+def test_bands_use_all_registers_and_miss_few_pairs():
+    assert md._BAND_OF.shape == (md.BANDS, md.BAND)
+    assert (np.bincount(md._BAND_OF.ravel(), minlength=md.REGISTERS) == md.PERMUTATIONS).all()
+    draw, missed = np.random.default_rng(5), 0
+    for _ in range(10):  # 200,000 pairs of similarity 0.80, whose registers agree independently
+        agree = draw.random((20_000, md.REGISTERS)) < 0.80
+        shared = np.zeros(len(agree), bool)
+        for band in md._BAND_OF:
+            shared |= agree[:, band].all(axis=1)
+        missed += int((~shared).sum())
+    assert missed <= 20  # about 2 are expected
+
+
 def test_components(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(150)] + [(500, 500 + k) for k in range(1, 100)] + [(k, k + 1) for k in range(700, 760)]
