@@ -9,9 +9,6 @@ from pyspark.sql import Window
 from ..functions.text import strip
 from .index import hash_weights, reject
 
-#: No question gets more hits; the bound lets each task keep a part of the ranking only.
-MOST_HITS = 100
-
 
 def reject_blank_question(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     good, blank = reject(questions, strip(F.coalesce("question", F.lit(""))) == "", "question is required.")
@@ -26,17 +23,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def rank_hits(scored: DataFrame, keep: Column = None) -> DataFrame:
-    """scored (question_id, id, score, top_k, ...) with rank, the best top_k of each question; ties by id."""
+def most_hits(questions: DataFrame) -> int:
+    """The largest top_k: one number on the driver, by which each task keeps a part of the ranking only."""
+    return questions.agg(F.max("top_k")).first()[0] or 0
+
+
+def rank_hits(scored: DataFrame, most: int) -> DataFrame:
+    """scored (question_id, id, score, top_k, ...) with rank, the best top_k of each question; ties by id. No top_k is above most."""
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= F.col("top_k")) & (F.col("rank") <= MOST_HITS))
+    return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= F.col("top_k")) & (F.col("rank") <= most))
 
 
 def knn_dense(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Questions and index rows of one entity, with vectors: (question_id, id, score, rank)."""
     q = questions.select("question_id", "entity_id", "top_k", F.col("vector").alias("asked"))
     scored = index.join(q, "entity_id").select("question_id", "id", "top_k", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
-    return rank_hits(scored).select("question_id", "id", "score", "rank")
+    return rank_hits(scored, most_hits(questions)).select("question_id", "id", "score", "rank")
 
 
 def knn_sparse(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def knn_sparse(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     dots = c.join(q, ["entity_id", "bucket"]).groupBy("question_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"))
     pairs = chunks.select("id", "entity_id").join(questions.select("question_id", "entity_id", "top_k"), "entity_id")
     scored = pairs.join(dots, ["question_id", "id"], "left").select("question_id", "id", "top_k", F.round(F.coalesce("dot", F.lit(0.0)), 6).alias("score"))
-    return rank_hits(scored).select("question_id", "id", "score", "rank")
+    return rank_hits(scored, most_hits(questions)).select("question_id", "id", "score", "rank")
 
 
 def collect_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:

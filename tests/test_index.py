@@ -93,3 +93,14 @@ def test_sparse_and_dense_search_agree(spark):
     dense_chunks = chunks.join(index.embed_texts(chunks, "id", "text"), "id")
     dense_asked = asked.join(index.embed_texts(asked, "question_id", "question"), "question_id")
     assert sorted(map(tuple, search.knn_sparse(asked, chunks).collect())) == sorted(map(tuple, search.knn_dense(dense_asked, dense_chunks).collect()))
+
+
+def test_search_gives_all_hits_that_are_asked(spark):
+    chunks = spark.createDataFrame([(f"c{k:03}", "e", f"red word{k}") for k in range(160)], "id string, entity_id string, text string")
+    asked = spark.createDataFrame([("q0", "red", "e", 150), ("q1", "red", "e", 3)], "question_id string, question string, entity_id string, top_k int")
+    dense_chunks = chunks.join(index.embed_texts(chunks, "id", "text"), "id")
+    dense_asked = asked.join(index.embed_texts(asked, "question_id", "question"), "question_id")
+    for hits in (search.knn_sparse(asked, chunks), search.knn_dense(dense_asked, dense_chunks)):
+        ranks = {q: sorted(r.rank for r in hits.where(f"question_id = '{q}'").collect()) for q in ("q0", "q1")}
+        assert ranks == {"q0": list(range(1, 151)), "q1": [1, 2, 3]}
+    assert search.knn_sparse(asked.limit(0), chunks).count() == 0
