@@ -1,5 +1,5 @@
 """SentencePiece models in the tokenizers library: the model file is read and rebuilt, batches are encoded by several
-threads, and every piece of text that is new to a worker is held against the sentencepiece library.
+threads, and what is encoded is held against the sentencepiece library, all of it.
 
 A model of either kind is rebuilt: unigram scores go to the library as they are; of a BPE model, whose scores are ranks,
 the pairs of pieces that join to a piece are its merges in the order of the scores.
@@ -10,22 +10,20 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import Kept, place
+from .vocabulary import place
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
-#: Pieces of text that a worker keeps the ids of: so many in use now, as many before them.
-CACHED_PIECES = 100_000
-#: Characters cut up, pieces encoded and rows given out at once: what a worker holds at a time.
-RUN, PIECES, ROWS = 500_000, 4_096, 1_000
+#: Bytes of text encoded and rows given out at once: what a worker holds at a time. Spans that are encoded as one text.
+RUN, ROWS, GROUP = 6_000_000, 1_000, 64
 MARK = "▁"
 # Fixed values of the model format: kinds of model and of pieces.
 UNIGRAM, BPE = 1, 2
@@ -120,12 +118,30 @@ def rebuild(model: Model):
     return made
 
 
+class Encoded(NamedTuple):
+    """The ids of texts, one text after another, and of each text: how many, whether sentencepiece gives the same, whether they decode to it."""
+
+    ids: np.ndarray
+    lengths: np.ndarray
+    parity: np.ndarray
+    restored: np.ndarray
+
+
+def _joined(parts: list[np.ndarray], kind: str = "<i4") -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _as_array(ids: list[int]) -> np.ndarray:
+    return np.array(ids, "<i4")
+
+
 class Encoder:
-    """Ids of texts, with the ids of pieces of text that came before.
+    """Ids of texts by the rebuilt model, and whether the sentencepiece library gives the same.
 
     If in no piece of the model a mark follows another character, marks part texts into spans that are encoded by
-    themselves. So a text in which every space is single and none is at an end may be cut at its spaces. Other texts, and all of
-    models without that property or with a prefix of another kind, are encoded as a whole.
+    themselves. So texts in which every space is single and none is at an end are cut at their spaces, each different
+    span of a run is encoded once, in groups that are joined by spaces again, and the ids are dealt out to the texts.
+    Other texts, and all of models without that property or with a prefix of another kind, are encoded as a whole.
     """
 
     def __init__(self, path: str, threads: int = THREADS):
@@ -136,47 +152,81 @@ class Encoder:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [p for p, kind in zip(model.pieces, model.kinds, strict=True) if kind in (NORMAL, USER)]
         self.cuts = model.dummy_prefix and not model.charsmap and not any(MARK in p.lstrip(MARK) for p in normal)
-        self.known = Kept(CACHED_PIECES)
-        #: (parity, restored) of the pieces for which either is false.
-        self.flaws: dict[str, tuple[bool, bool]] = {}
+        #: What a piece stands for, and whether a span starts with it.
+        self.bytes = pa.array([bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, kind in zip(model.pieces, model.kinds, strict=True)], pa.binary())
+        self.opens = np.array([p.startswith(MARK) for p in model.pieces])
 
-    def _library(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """(ids, whether the rebuilt model gives what sentencepiece gives, whether they decode to the text); the ids are sentencepiece's."""
-        got = self.library.encode_batch_fast(texts, add_special_tokens=False)
+    def _both(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """(ids of each text by the rebuilt model, whether sentencepiece's are the same)."""
+        got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         want = self.reference.encode(texts, num_threads=self.threads)
-        back = self.library.decode_batch(want, skip_special_tokens=False)
-        return [(np.array(w, "<i4").tobytes(), g.ids == w, b == t) for g, w, b, t in zip(got, want, back, texts, strict=True)]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
-        """(ids, parity, restored) of each text."""
-        run, held = [], 0
-        for text in texts:
-            run.append(text)
-            held += len(text)
-            if held >= RUN:
-                yield from self._run(run)
-                run, held = [], 0
-        yield from self._run(run)
-
-    def _run(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
-        whole = [not self.cuts or MARK in t or "  " in t or not t or t[0] == " " or t[-1] == " " for t in texts]
-        direct = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
-        cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        new = self.known.without(set(chain.from_iterable(c for c in cut if c)))
-        for at in range(0, len(new), PIECES):
-            some = new[at : at + PIECES]
-            for piece, (ids, same, back) in zip(some, self._library(some), strict=True):
-                self.known[piece] = ids
-                if not (same and back):
-                    self.flaws[piece] = same, back
-        for pieces in cut:
-            if pieces is None:
-                ids, same, back = next(direct)
-            else:
-                ids = b"".join(map(self.known.__getitem__, pieces))
-                flaws = [self.flaws[p] for p in pieces if p in self.flaws] if self.flaws else []
-                same, back = all(s for s, _ in flaws), all(b for _, b in flaws)
-            yield np.frombuffer(ids, "<i4"), same, back
+        return list(map(_as_array, got)), [g == w for g, w in zip(got, want, strict=True)]
+
+    def _spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, lengths, parity) of spans without spaces; all are encoded, groups joined by spaces."""
+        groups = [spans[at : at + GROUP] for at in range(0, len(spans), GROUP)]
+        ids, lengths, parity = [], [], []
+        for group, found, same in zip(groups, *self._both([" ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.opens[found])
+            if same and len(at) == len(group) and at[0] == 0:
+                ids.append(found)
+                lengths.append(np.diff(at, append=len(found)))
+                parity.append(np.ones(len(group), bool))
+            else:  # which of them differs
+                each, agree = self._both(group)
+                ids += each
+                lengths.append(np.array([len(e) for e in each]))
+                parity.append(np.array(agree))
+        return _joined(ids), _joined(lengths, "<i8"), _joined(parity, "?")
+
+    def _cut(self, texts: pa.Array) -> Encoded:
+        parts = pc.split_pattern(texts, " ")
+        spans = parts.flatten().dictionary_encode()
+        ids, lengths, same = self._spans(spans.dictionary.to_pylist())
+        of = spans.indices.to_numpy()
+        sizes = lengths[of]
+        ends = np.cumsum(sizes)
+        full = ids[np.repeat((np.cumsum(lengths) - lengths)[of] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        parity = np.ones(len(texts), bool)
+        if not same.all():
+            parity[np.searchsorted(parts.offsets.to_numpy(), np.flatnonzero(~same[of]), "right") - 1] = False
+        return Encoded(full, np.diff(bounds), parity, self._restored(texts, full, bounds))
+
+    def _restored(self, texts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether the bytes that the ids stand for are a space and the text."""
+        data = self.bytes.take(pa.array(ids))
+        if not len(ids):
+            return np.zeros(len(texts), bool)
+        at = np.frombuffer(data.buffers()[1], np.int32, len(ids) + 1)[bounds]
+        content = memoryview(data.buffers()[2])
+        want = [b" " + t for t in texts.cast(pa.binary()).to_pylist()]
+        return np.array([content[low:high].tobytes() == w for low, high, w in zip(at[:-1].tolist(), at[1:].tolist(), want, strict=True)], bool)
+
+    def _whole(self, texts: list[str]) -> Encoded:
+        ids, same = self._both(texts)
+        back = self.library.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        return Encoded(_joined(ids), np.array([len(i) for i in ids], np.int64), np.array(same, bool), np.array([b == t for b, t in zip(back, texts, strict=True)], bool))
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        """Texts of any number; the caller bounds their size. A null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            return self._whole(texts.to_pylist())
+        whole = pc.equal(texts, "")
+        for found in (pc.match_substring(texts, MARK), pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+            whole = pc.or_(whole, found)
+        direct = whole.to_numpy(zero_copy_only=False)
+        if not direct.any():
+            return self._cut(texts)
+        one, other = self._whole(texts.filter(whole).to_pylist()), self._cut(texts.filter(pc.invert(whole)))
+        lengths, parity, restored = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        for part, rows in ((one, direct), (other, ~direct)):
+            lengths[rows], parity[rows], restored[rows] = part.lengths, part.parity, part.restored
+        owner = np.repeat(direct, lengths)
+        ids = np.empty(len(owner), "<i4")
+        ids[owner], ids[~owner] = one.ids, other.ids
+        return Encoded(ids, lengths, parity, restored)
 
 
 @lru_cache(2)
@@ -188,23 +238,41 @@ def encoder(path: str, threads: int) -> Encoder:
     return Encoder(path, threads)
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """docs as struct column doc, with ids, n_tokens, parity (the rebuilt model gave just these ids) and restored (they decode to the text).
+def runs(texts: pa.Array, most: int = RUN) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of about most bytes of texts; a longer text is a run by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield at, k - at
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, threads: int = THREADS) -> DataFrame:
+    """The columns keep (by default all but the text) as struct doc, with ids, n_tokens, parity (sentencepiece gives just these ids) and restored (they decode to the text).
 
-    A null text counts as empty, with no ids. Repeated rows give repeated rows; other columns stay inside doc.
+    The ids are those of the rebuilt model. A null text counts as empty, with no ids. Repeated rows give repeated rows;
+    columns stay inside doc, whatever their names.
     """
     path = place(model)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    keep = keep or [c for c in docs.columns if c != text_col] or [text_col]
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), docs[text_col].alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path, threads)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            doc = batch.column(0)
-            found = list(machine.encode([t or "" for t in doc.field(text_col).to_pylist()]))
-            ids = [i for i, _, _ in found]
-            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc, flat, pa.array(map(len, ids), pa.int64()), pa.array([s for _, s, _ in found], pa.bool_()), pa.array([b for _, _, b in found], pa.bool_())], ["doc", "ids", "n_tokens", "parity", "restored"])
+        for batch in batches:
+            doc, texts = batch.columns
+            for at, n in runs(texts):
+                got = machine.encode(texts.slice(at, n))
+                ends = pa.array(np.concatenate([[0], np.cumsum(got.lengths)]), pa.int32())
+                flat = pa.ListArray.from_arrays(ends, pa.array(got.ids, pa.int32()))
+                for k in range(0, n, ROWS):
+                    part = slice(k, k + ROWS)
+                    columns = [doc.slice(at + k, min(ROWS, n - k)), flat.slice(k, ROWS), *map(pa.array, (got.lengths[part], got.parity[part], got.restored[part]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "ids", "n_tokens", "parity", "restored"])
 
     return rows.mapInArrow(encoded, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, n_tokens long, parity boolean, restored boolean")
 
@@ -224,7 +292,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Data
 
 
 def op8_sentence_pieces(spark, sf_dir: str) -> DataFrame:
-    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     return out.select("doc.doc_id", "n_tokens", "ids", "parity", "restored")
 
 
