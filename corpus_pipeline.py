@@ -29,7 +29,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document of the mix."""
-    return sentence_pieces.encode(docs).select("doc.doc_id", "doc.source", "n_tokens", "ids", "parity")
+    return sentence_pieces.encode(docs, keep=["doc_id", "source"]).select("doc.doc_id", "doc.source", "n_tokens", "ids", "parity")
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mixed), ("sentence_pieces", tokens)]
