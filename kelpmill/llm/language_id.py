@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .mixing import draw
-from .words import batches_of
+from .words import batches_of, slices
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             langs, scores = predict(net, [t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import batches_of, mixed, windows, words_of
+from .words import mixed, slices, windows, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -24,6 +24,7 @@ JUNK = "#*$%&{}"
 SENTENCE_END = re.compile("[.!?…。！？।؟۔]")
 #: Two words of these alone make a line a menu or a row of a table.
 SEPARATORS = "|>»•·/"
+#: Lower case, in the languages of the tables.
 BOILERPLATE = (
     "all rights reserved",
     "privacy policy",
@@ -47,6 +48,32 @@ BOILERPLATE = (
     "follow us on",
     "share on facebook",
     "share on twitter",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "mentions légales",
+    "accepter les cookies",
+    "activer javascript",
+    "abonnez-vous à notre",
+    "cliquez ici pour",
+    "aller au contenu",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "javascript aktivieren",
+    "abonnieren sie unseren",
+    "klicken sie hier",
+    "zum inhalt springen",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "condiciones de uso",
+    "aviso legal",
+    "aceptar las cookies",
+    "habilite javascript",
+    "suscríbase a nuestro",
+    "haga clic aquí",
+    "saltar al contenido",
 )
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")
@@ -107,33 +134,31 @@ def repeated_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return counts, sums[words.first[1:]] - sums[words.first[:-1]]
 
 
-def reports(texts: list[str | None]) -> Iterator[tuple[list[list[int]], list[str]]]:
-    """(COUNTS, each over the texts, and their cleaned texts), for runs of texts."""
-    full = [t or "" for t in texts]
-    for at, run in batches_of([t.encode() for t in full]):
-        n_words, repeats = repeated_words(run)
-        own = full[at : at + len(run)]
-        dups, lost, cleaned = zip(*map(lines_of, own), strict=True)
-        yield [n_words.tolist(), list(map(word_chars, own)), [sum(map(t.count, SYMBOLS)) for t in own], dups, repeats.tolist(), lost], cleaned
+def reports(texts: list[str | None]) -> tuple[list[list[int]], list[str]]:
+    """(COUNTS, each over the texts, and their cleaned texts)."""
+    own = [t or "" for t in texts]
+    n_words, repeats = repeated_words([t.encode() for t in own])
+    dups, lost, cleaned = zip(*map(lines_of, own), strict=True) if own else ((), (), ())
+    return [n_words.tolist(), list(map(word_chars, own)), [sum(map(t.count, SYMBOLS)) for t in own], list(dups), repeats.tolist(), list(lost)], list(cleaned)
 
 
-def judge(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """docs as struct column doc, with the fields of a report, base_failed and kept; one row per input row.
+def judge(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, keep: list[str] | None = None, cleaned: bool = True) -> DataFrame:
+    """The columns keep (by default all but the text) as struct doc, with the fields of a report, base_failed and kept, and (cleaned) the text that is left; one row per input row.
 
     A null text counts as empty: it has no words, so base_failed. Blank lines are neither judged nor counted. Repeated
-    rows are judged alike; other columns stay inside doc, whatever their names.
+    rows are judged alike; columns stay inside doc, whatever their names.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    keep = keep or [c for c in docs.columns if c != text_col] or [text_col]
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), docs[text_col].alias("text"))
+    names = ["doc", *COUNTS, *["cleaned"] * cleaned]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, at = batch.column(0), 0
-            for counts, cleaned in reports(doc.field(text_col).to_pylist()):
-                columns = [doc.slice(at, len(cleaned)), *(pa.array(c, pa.int64()) for c in counts), pa.array(cleaned, pa.string())]
-                at += len(cleaned)
-                yield pa.RecordBatch.from_arrays(columns, ["doc", *COUNTS, "cleaned"])
-
-    out = rows.mapInArrow(judged, f"doc {rows.schema['doc'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, cleaned string")
+        for batch in slices(batches, 1):
+            counts, left = reports(batch.column(1).to_pylist())
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *[pa.array(left, pa.string())] * cleaned]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = rows.mapInArrow(judged, f"doc {rows.schema['doc'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}{', cleaned string' * cleaned}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")))
@@ -147,8 +172,8 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judge(docs).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return judge(docs, keep=["doc_id"], cleaned=False).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
 
 
 # The chained CASE and the patterns say what line_fails says.
@@ -164,7 +189,7 @@ WITH d AS (
   SELECT doc_id, again, length(array_to_string(lw, '')) AS chars,
     len(list_filter(lw, lambda x: regexp_full_match(x, '[|>»•·/]+'))) >= 2 OR 3 * (length(line) - length(translate(line, '#*$%&{}', ''))) > len(lw)
     OR (len(lw) >= 8 AND NOT regexp_matches(line, '[.!?…。！？।؟۔]')) OR regexp_matches(lower(line), '"""
-    + "|".join(BOILERPLATE)
+    + "|".join(BOILERPLATE).replace("'", "''")
     + r"""') AS fails
   FROM j WHERE len(lw) > 0
 ), s AS (

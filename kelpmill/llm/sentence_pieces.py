@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vocabulary import place
+from .words import slices
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
-#: Bytes of text encoded and rows given out at once: what a worker holds at a time. Spans that are encoded as one text.
-RUN, ROWS, GROUP = 6_000_000, 1_000, 64
+#: Bytes of text encoded at once, and spans that are encoded as one text.
+RUN, GROUP = 1_000_000, 64
 MARK = "▁"
 # Fixed values of the model format: kinds of model and of pieces.
 UNIGRAM, BPE = 1, 2
@@ -238,19 +239,6 @@ def encoder(path: str, threads: int) -> Encoder:
     return Encoder(path, threads)
 
 
-def runs(texts: pa.Array, most: int = RUN) -> Iterator[tuple[int, int]]:
-    """(first, number) of runs of about most bytes of texts; a longer text is a run by itself."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    at, held = 0, 0
-    for k, size in enumerate(sizes.tolist()):
-        if held and held + size > most:
-            yield at, k - at
-            at, held = k, 0
-        held += size
-    if at < len(sizes):
-        yield at, len(sizes) - at
-
-
 def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, threads: int = THREADS) -> DataFrame:
     """The columns keep (by default all but the text) as struct doc, with ids, n_tokens, parity (sentencepiece gives just these ids) and restored (they decode to the text).
 
@@ -263,16 +251,11 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path, threads)
-        for batch in batches:
-            doc, texts = batch.columns
-            for at, n in runs(texts):
-                got = machine.encode(texts.slice(at, n))
-                ends = pa.array(np.concatenate([[0], np.cumsum(got.lengths)]), pa.int32())
-                flat = pa.ListArray.from_arrays(ends, pa.array(got.ids, pa.int32()))
-                for k in range(0, n, ROWS):
-                    part = slice(k, k + ROWS)
-                    columns = [doc.slice(at + k, min(ROWS, n - k)), flat.slice(k, ROWS), *map(pa.array, (got.lengths[part], got.parity[part], got.restored[part]))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc", "ids", "n_tokens", "parity", "restored"])
+        for batch in slices(batches, 1, RUN):
+            got = machine.encode(batch.column(1))
+            ends = pa.array(np.concatenate([[0], np.cumsum(got.lengths)]), pa.int32())
+            flat = pa.ListArray.from_arrays(ends, pa.array(got.ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, *map(pa.array, (got.lengths, got.parity, got.restored))], ["doc", "ids", "n_tokens", "parity", "restored"])
 
     return rows.mapInArrow(encoded, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, n_tokens long, parity boolean, restored boolean")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vocabulary import byte_letters, place, tokenizer
-from .words import batches_of
+from .words import batches_of, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -256,7 +256,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(machine.count_all(texts), pa.int64())], [id_col, "n_bytes", "n_tokens"])
 

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text whose arrays are in memory at once; a longer text takes more only for its words.
 SEGMENT_BYTES = 500_000
@@ -24,7 +26,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * SEGMENT_BYTES)
+        size = max(n, SEGMENT_BYTES + 4096)
         with np.errstate(over="ignore"):
             _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
     return _powers
@@ -99,3 +101,23 @@ def batches_of(texts: list[bytes], most: int = SEGMENT_BYTES) -> Iterator[tuple[
             at, run, size = k + 1, [], 0
     if run:
         yield at, run
+
+
+def runs(texts: pa.Array, most: int = SEGMENT_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of about most bytes of an Arrow array of texts; a longer text is a run by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield at, k - at
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SEGMENT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about most bytes in column text, so that a worker makes Python values of a few rows at a time."""
+    for batch in batches:
+        for at, n in runs(batch.column(text), most):
+            yield batch.slice(at, n)

@@ -17,7 +17,8 @@ def plain(rows):
     """The pipeline over (doc_id, text, lang, source, n_chars) rows, without Spark."""
     kept = []
     for i, text, _, source, _ in rows:
-        (n, chars, _, _, repeats, lost), cleaned = [c[0] for c in next(quality.reports([text]))[0]], next(quality.reports([text]))[1][0]
+        counts, (cleaned,) = quality.reports([text])
+        (n,), (chars,), _, _, (repeats,), (lost,) = counts
         if n >= 50 and 100 * repeats <= 50 * n and 100 * lost <= 50 * chars:
             kept.append((i, cleaned, source))
     best = {}
