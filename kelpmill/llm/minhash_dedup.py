@@ -8,9 +8,12 @@ agree on a band share a bucket.
 Equal texts are one class from the start, so copies never meet each other. In a bucket every class is held against one
 pivot, the member that shares most buckets: first by the registers (their agreement, less what chance makes agree), then
 by their full sets. What these links join needs no further look. Buckets that still hold several components are compared
-in full, in blocks of bounded size: pairs of different components that pass the estimate are confirmed on full sets, and a block
-gives only the links that join its components. So no link between different texts of a bucket is lost, and no bucket's
-pairs are written out.
+further, in blocks, each member outside the largest component with all: first by registers alone, then the members that have a candidate of another component there are sent, with
+their sets, to blocks of bounded size, which give only the links that join their components. A pair is looked at in the first
+band on which it agrees. So no link between different texts of a bucket is lost, and no bucket's pairs are written out.
+
+Full sets are hashes of shingles, made once for each class that is asked for. A pivot's members are dealt into slices of
+bounded size, and its set goes once to each slice.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_counted, ranked, settle
 from .components import components
-from .words import SEGMENT_BYTES, batches_of, mixed, windows, words_of
+from .words import mixed, slices, windows, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -34,8 +38,11 @@ REGISTERS = 96
 ZERO_BITS, MANTISSA = 6, 10
 PERMUTATIONS, BAND = 4, 6
 BANDS = PERMUTATIONS * REGISTERS // BAND
-#: Members of a bucket's block; a task compares two blocks.
+BAND_MASK = (1 << (BANDS - 1).bit_length()) - 1
+#: Members of a bucket's block, of which a task compares two by their registers.
 BLOCK = 512
+#: Shingles that a slice of a pivot's members, or a block that is compared by full sets, holds on average: eight bytes each.
+SET_SHINGLES = 250_000
 #: Members of a block that are compared with all others at once, and elements of sets that are multiplied at once.
 SLICE, COLUMNS = 128, 1024
 #: Standard deviations below the threshold at which an estimate still counts.
@@ -125,26 +132,29 @@ def passes(agree: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int)
     return out
 
 
+def _bytes_of(texts: pa.Array) -> list[bytes]:
+    return pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, raw, n, words, key, regs) per row: raw is the text's hash, key one of its lower-cased words, n the size of its set."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("raw"), docs[text_col].alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, run in batches_of([(t or "").encode() for t in batch.column(2).to_pylist()]):
-                hashes, ends, counts = shingles(run)
-                regs = registers(hashes, ends)
-                keys = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in run]
-                own = batch.slice(at, len(run))
-                columns = [own.column(0), own.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "n", "words", "key", "regs"])
+        for batch in slices(batches, 2):
+            run = _bytes_of(batch.column(2))
+            hashes, ends, counts = shingles(run)
+            regs = registers(hashes, ends)
+            keys = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in run]
+            columns = [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "n", "words", "key", "regs"])
 
     return rows.mapInArrow(signed, f"id {id_type}, raw long, n long, words long, key binary, regs binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, cid, size): the buckets of at least two classes."""
+    """(bucket, cid, size): the buckets of at least two classes; the last bits of a bucket are its band."""
 
     @F.pandas_udf("array<bigint>")
     def bands(regs):
@@ -155,7 +165,7 @@ def buckets(classes: DataFrame) -> DataFrame:
         for b, chosen in enumerate(_BAND_OF):
             low, high = rows[:, chosen[:3]], rows[:, chosen[3:]]
             join = lambda x: x[:, 0] | x[:, 1] << np.uint64(16) | x[:, 2] << np.uint64(32)
-            out[:, b] = mixed(mixed(join(low) + np.uint64((b + 1) << 48)) ^ join(high))
+            out[:, b] = mixed(mixed(join(low) + np.uint64((b + 1) << 48)) ^ join(high)) & ~np.uint64(BAND_MASK) | np.uint64(b)
         return pd.Series(list(out.view(np.int64)))
 
     rows = classes.where(f"words >= {SHINGLE}").select("cid", F.explode(bands("regs")).alias("bucket"))
@@ -164,58 +174,79 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's pivot, the member of most and largest buckets."""
+    """(a, b, pivot): every member of a bucket with the bucket's pivot, the member of most and largest buckets."""
     degree = members.groupBy("cid").agg(F.sum("size").alias("degree"))
     pivots = members.join(degree, "cid").groupBy("bucket").agg(F.max(F.struct("degree", -F.col("cid"))).alias("best"))
     pairs = members.join(pivots.select("bucket", (-F.col("best.col2")).alias("pivot")), "bucket").where("cid <> pivot")
-    return pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    return pairs.groupBy(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).agg(F.max("pivot").alias("pivot"))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose registers allow the similarity."""
+    """(pivot, cid, n): the pairs whose registers allow the similarity; n is the size of the set of cid."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pivot", "n_a", "n_b", "regs_a", "regs_b")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (4, 5))
-                good = passes((left == right).sum(axis=1), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (5, 6))
+                a, b, pivot, n_a, n_b = (batch.column(c).to_numpy() for c in range(5))
+                good = passes((left == right).sum(axis=1), n_a, n_b, percent)
+                found = [pivot[good], np.where(pivot == a, b, a)[good], np.where(pivot == a, n_b, n_a)[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["pivot", "cid", "n"])
 
-    return rows.mapInArrow(kept, "a long, b long")
+    return rows.mapInArrow(kept, "pivot long, cid long, n long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, text) of the wanted classes, by one of their rows; again for each time that row is repeated."""
+def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, shingles) of the wanted classes, by one of their rows: the sorted hashes of its set; perhaps again where a row is repeated, but once for each task."""
     side = settle(classes.join(wanted.distinct(), "cid", "left_semi").select("cid", F.col("row.raw").alias("of_raw"), F.col("row.id").alias("of_id")))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("raw", F.xxhash64("text"))
-    return settle(join_counted(rows, side, (F.col("raw") == F.col("of_raw")) & F.col("id").eqNullSafe(F.col("of_id"))).select("cid", "text"))
+    found = join_counted(rows, side, (F.col("raw") == F.col("of_raw")) & F.col("id").eqNullSafe(F.col("of_id"))).select("cid", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, 1):
+            fresh = [c not in seen and not seen.add(c) for c in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            hashes, ends, _ = shingles(_bytes_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[low:high].tobytes() for low, high in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["cid", "shingles"])
+
+    return settle(found.mapInArrow(hashed, "cid long, shingles binary"))
+
 
+def shared(left: np.ndarray, right: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets; the left one should be the larger."""
+    if not len(left) or not len(right):
+        return 0
+    return int((left[np.minimum(np.searchsorted(left, right), len(left) - 1)] == right).sum())
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
-    side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs with 100 * intersection >= percent * union of their full sets."""
+    total = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / SET_SHINGLES).alias("slices"))
+    members = pairs.join(total, "pivot").select("pivot", F.pmod(F.xxhash64("cid"), F.greatest("slices", F.lit(1))).alias("slice"), "cid", F.lit(1).alias("kind"))
+    firsts = members.select("pivot", "slice", F.col("pivot").alias("cid"), F.lit(0).alias("kind")).distinct()
+    rows = firsts.unionByName(members).join(sets, "cid")
+    dealt = rows.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "kind").select("pivot", "slice", "kind", "cid", "shingles")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good, at = [], 0
-            lasting = [x for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for x in pair]
-            while at < len(lasting):
-                run, held = [], 0
-                while at < len(lasting) and held < SEGMENT_BYTES:
-                    run += [lasting[at].encode(), lasting[at + 1].encode()]
-                    held += len(run[-1]) + len(run[-2])
-                    at += 2
-                hashes, ends, _ = shingles(run)
-                for k in range(0, len(run), 2):
-                    left, right = hashes[ends[k] : ends[k + 1]], hashes[ends[k + 1] : ends[k + 2]]
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    good.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return rows.mapInArrow(kept, "a long, b long").distinct()
+        at, of_pivot = None, np.zeros(0, np.uint64)
+        for batch in slices(batches, 4):
+            found = []
+            for pivot, number, kind, cid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(data, np.uint64)
+                if kind == 0:
+                    at, of_pivot = (pivot, number), own
+                    continue
+                if at != (pivot, number):
+                    raise ValueError("a slice without its pivot")
+                both = shared(of_pivot, own)
+                if 100 * both >= percent * (len(of_pivot) + len(own) - both):
+                    found.append((min(pivot, cid), max(pivot, cid)))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(kept, "a long, b long").distinct()
 
 
 def overlaps(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -236,16 +267,12 @@ def overlaps(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(cids: np.ndarray, labels: np.ndarray, texts: list[str], regs: np.ndarray, halves: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of two blocks' members: pairs of different labels in different halves, or all if there is one half."""
+def cross_pairs(labels: np.ndarray, regs: np.ndarray, n: np.ndarray, halves: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different labels that pass the estimate and agree on no band before the given one; of members in different halves, or all if there is one half."""
     kinds, of = np.unique(labels, return_inverse=True)
+    none = np.zeros(0, np.int64)
     if len(kinds) < 2:
-        return []
-    sets: list[np.ndarray] = []
-    for _, run in batches_of([t.encode() for t in texts]):
-        hashes, ends, _ = shingles(run)
-        sets += np.split(hashes, ends[1:-1])
-    n = np.array([len(s) for s in sets])
+        return none, none
     # One of such a pair is outside the largest component; those are the rows, a slice at a time, all members the columns.
     odd = np.flatnonzero(of != np.bincount(of).argmax())
     place = np.full(len(labels), -1)
@@ -262,14 +289,22 @@ def block_links(cids: np.ndarray, labels: np.ndarray, texts: list[str], regs: np
             ask &= halves[own][:, None] != halves[None, :]
         row, right = np.nonzero(ask)
         good = passes(agree[row, right], n[own[row]], n[right], percent)
-        found.append((own[row[good]], right[good]))
-    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-    if not len(left):
-        return []
+        left, right = own[row[good]], right[good]
+        for k in range(0, len(left), COLUMNS):
+            same = regs[left[k : k + COLUMNS]] == regs[right[k : k + COLUMNS]]
+            first = np.ones(len(same), bool)
+            for b in _BAND_OF[:band]:
+                first &= ~same[:, b].all(axis=1)
+            found.append((left[k : k + COLUMNS][first], right[k : k + COLUMNS][first]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
+
+
+def joining(cids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs that join the members' components, by full sets."""
+    n = np.array([len(s) for s in sets])
     rows = np.unique(np.concatenate([left, right]))
     place = np.searchsorted(rows, left), np.searchsorted(rows, right)
-    pieces = [sets[r] for r in rows]
-    both = overlaps(np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]))[place].astype(np.int64)
+    both = overlaps(np.concatenate([sets[r] for r in rows]), np.cumsum([0, *n[rows]]))[place].astype(np.int64)
     fits = 100 * both >= percent * (n[left] + n[right] - both)
     parent: dict[int, int] = {}
 
@@ -287,25 +322,53 @@ def block_links(cids: np.ndarray, labels: np.ndarray, texts: list[str], regs: np
     return links
 
 
+def _registers_in(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Links between components in buckets that hold several; a bucket of two is settled by its pivot."""
     named = members.where("size > 2").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "size", F.coalesce("label", "cid").alias("label"))
     mixed_ones = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_ones = settle(named.join(mixed_ones.select("bucket"), "bucket", "left_semi"))
-    texts = texts_of(docs, open_ones.select("cid"), classes, id_col, text_col).dropDuplicates(["cid"])
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = open_ones.withColumn("blocks", count).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "cid", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = rows.join(classes.select("cid", "regs"), "cid").join(texts, "cid").select("bucket", "i", "j", "cid", "label", "own", "regs", "text")
+    open_ones = settle(named.join(mixed_ones.select("bucket"), "bucket", "left_semi").join(classes.select("cid", "n"), "cid"))
+    # Of a bucket's members, those outside its largest component are held against all; the others meet only those.
+    by_label = open_ones.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    totals = by_label.groupBy("bucket").agg(F.max(F.struct("m", (-F.col("label")).alias("least"), "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda size, most: F.greatest(F.ceil(size / most), F.lit(1)).cast("int")
+    totals = totals.select("bucket", (-F.col("top.least")).alias("top"), blocks(F.col("m") - F.col("top.m"), BLOCK).alias("odd_blocks"), blocks(F.col("top.m"), BLOCK).alias("top_blocks"), blocks(F.col("n") - F.col("top.n"), SET_SHINGLES).alias("odd_parts"), blocks(F.col("top.n"), SET_SHINGLES).alias("top_parts"))
+    odd = F.col("label") != F.col("top")
+    place = lambda kind: F.when(odd, F.pmod(F.xxhash64("cid"), f"odd_{kind}")).otherwise(F.col(f"odd_{kind}") + F.pmod(F.xxhash64("cid"), f"top_{kind}")).cast("int")
+    rows = open_ones.join(totals, "bucket").withColumns({"own": place("blocks"), "part": place("parts")})
+    last = F.when(odd, F.col("odd_blocks") + F.col("top_blocks")).otherwise(F.col("odd_blocks")) - 1
+    meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    full = meet.join(classes.select("cid", "regs"), "cid").select("bucket", "i", "j", "cid", "label", "own", "part", "n", "regs")
+
+    def candidates(group: pa.Table) -> pa.Table:
+        """The members that have a candidate, with the blocks (i, j) of full sets where they meet it."""
+        get = lambda c: group.column(c).to_numpy()
+        band = int(group.column("bucket")[0].as_py()) & BAND_MASK
+        left, right = cross_pairs(get("label"), _registers_in(group), get("n"), get("own"), band, percent)
+        cid, part = get("cid"), get("part")
+        low, high = np.minimum(part[left], part[right]), np.maximum(part[left], part[right])
+        found = np.unique(np.concatenate([np.stack([low, high, k], axis=1) for k in (left, right)]), axis=0)
+        bucket = np.full(len(found), group.column("bucket")[0].as_py(), np.int64)
+        return pa.table({"bucket": bucket, "i": found[:, 0].astype(np.int32), "j": found[:, 1].astype(np.int32), "cid": cid[found[:, 2]]})
+
+    asked = settle(full.groupBy("bucket", "i", "j").applyInArrow(candidates, "bucket long, i int, j int, cid long").distinct())
+    if asked.isEmpty():
+        return asked.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    sets = sets_of(docs, asked.select("cid"), classes, id_col, text_col)
+    meeting = asked.join(rows.select("bucket", "cid", "label", "part"), ["bucket", "cid"]).join(classes.select("cid", "n", "regs"), "cid").join(sets, "cid").select("bucket", "i", "j", "cid", "label", "part", "n", "regs", "shingles")
 
     def links(group: pa.Table) -> pa.Table:
+        group = group.take(np.unique(group.column("cid").to_numpy(), return_index=True)[1])
         get = lambda c: group.column(c).to_numpy()
-        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        found = block_links(get("cid"), get("label"), group.column("text").to_pylist(), regs, get("own"), percent)
+        band = int(group.column("bucket")[0].as_py()) & BAND_MASK
+        left, right = cross_pairs(get("label"), _registers_in(group), get("n"), get("part"), band, percent)
+        found = joining(get("cid"), get("label"), [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()], left, right, percent) if len(left) else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
+    return meeting.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -322,8 +385,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = ranked(some, [F.col("key")], "cid")
     members = buckets(classes)
     pairs = settle(estimated(pivot_pairs(members), classes, percent))
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, id_col, text_col)
-    links = settle(confirmed(pairs, texts, percent))
+    sets = sets_of(docs, pairs.select(F.explode(F.array("pivot", "cid")).alias("cid")), classes, id_col, text_col)
+    links = settle(confirmed(pairs, sets, percent))
     labels = settle(components(links))
     more = settle(remaining(members, labels, classes, docs, id_col, text_col, percent))
     if not more.isEmpty():

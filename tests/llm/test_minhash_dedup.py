@@ -65,9 +65,10 @@ def corpus():
     return [(k, t, None, None, None) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("percent,block", [(85, 512), (80, 40)])
-def test_against_brute_force(spark, monkeypatch, percent, block):
+@pytest.mark.parametrize("percent,block,shingles", [(85, 512, 250_000), (80, 40, 2_000)])
+def test_against_brute_force(spark, monkeypatch, percent, block, shingles):
     monkeypatch.setattr(md, "BLOCK", block)
+    monkeypatch.setattr(md, "SET_SHINGLES", shingles)
     rows = corpus()
     assert got(md.near_duplicates(cases.documents(spark, rows), percent=percent)) == brute(rows, percent)
 
@@ -125,3 +126,18 @@ def test_components(spark):
     want = {n: root(n) for a, b in edges if a != b for n in (a, b)}
     assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_megabyte_texts_share_buckets(spark, monkeypatch):
+    monkeypatch.setattr(md, "SET_SHINGLES", 100_000)
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(160_000)]
+    texts = []
+    for changed in (0, 5_000, 10_000, 40_000, 45_000):  # some are alike, some share buckets alone
+        own = list(base)
+        own[:changed] = [word() for _ in range(changed)]
+        texts.append(" ".join(own))
+    texts += [" ".join(base[k : k + 100]) for k in range(0, 400, 10)]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    assert got(md.near_duplicates(cases.documents(spark, rows))) == brute(rows, 80)
