@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,15 @@ BROADCAST_ROWS = 100_000
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that the cluster shares and read it from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary one is made if Spark runs in this
+    one process, as in tests; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, ranked, settle
+from .common import join_counted, ranked, settle, shuffle_partitions
 from .components import components
 from .words import mixed, slices, windows, words_of
 
@@ -40,7 +40,7 @@ PERMUTATIONS, BAND = 4, 6
 BANDS = PERMUTATIONS * REGISTERS // BAND
 BAND_MASK = (1 << (BANDS - 1).bit_length()) - 1
 #: Members of a bucket's block, of which a task compares two by their registers.
-BLOCK = 512
+BLOCK = 128
 #: Shingles that a slice of a pivot's members, or a block that is compared by full sets, holds on average: eight bytes each.
 SET_SHINGLES = 250_000
 #: Members of a block that are compared with all others at once, and elements of sets that are multiplied at once.
@@ -354,7 +354,9 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: D
         bucket = np.full(len(found), group.column("bucket")[0].as_py(), np.int64)
         return pa.table({"bucket": bucket, "i": found[:, 0].astype(np.int32), "j": found[:, 1].astype(np.int32), "cid": cid[found[:, 2]]})
 
-    asked = settle(full.groupBy("bucket", "i", "j").applyInArrow(candidates, "bucket long, i int, j int, cid long").distinct())
+    # The groups are small in bytes and long in work: an explicit number of partitions isn't coalesced.
+    n = shuffle_partitions(docs.sparkSession)
+    asked = settle(full.repartition(n, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(candidates, "bucket long, i int, j int, cid long").distinct())
     if asked.isEmpty():
         return asked.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     sets = sets_of(docs, asked.select("cid"), classes, id_col, text_col)
@@ -368,7 +370,7 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: D
         found = joining(get("cid"), get("label"), [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()], left, right, percent) if len(left) else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return meeting.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
+    return meeting.repartition(n, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

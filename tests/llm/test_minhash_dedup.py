@@ -65,7 +65,7 @@ def corpus():
     return [(k, t, None, None, None) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("percent,block,shingles", [(85, 512, 250_000), (80, 40, 2_000)])
+@pytest.mark.parametrize("percent,block,shingles", [(85, 128, 250_000), (80, 40, 2_000)])
 def test_against_brute_force(spark, monkeypatch, percent, block, shingles):
     monkeypatch.setattr(md, "BLOCK", block)
     monkeypatch.setattr(md, "SET_SHINGLES", shingles)
