@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,11 @@ from . import sql
 
 
 def _folder(spark) -> str:
-    """A new folder below the one that the cluster shares; a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the one that the cluster shares; where none is named, a temporary one if Spark runs in this one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/job-{uuid.uuid4().hex}"
 
 
