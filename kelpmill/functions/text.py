@@ -29,8 +29,9 @@ def nullif_empty(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-def tokens(x: Column) -> Column:
-    return F.filter(F.split(F.lower(normalize_whitespace(x)), " "), lambda t: t != "")
+def tokens(x: Column, normal: bool = False) -> Column:
+    """Lower-cased words; normal says that white space is normalized already."""
+    return F.filter(F.split(F.lower(or_empty(x) if normal else normalize_whitespace(x)), " "), lambda t: t != "")
 
 
 def hash_bucket(token: Column, dimension: int) -> Column:

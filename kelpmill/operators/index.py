@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -25,13 +27,15 @@ def chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     """documents without text, with chunk_index and chunk: one row for each chunk.
 
     Windows of size code points start at every multiple of the step, whatever the text. One that doesn't reach the end
-    is cut at its last space if that lies in its second half. Chunks are stripped, empty ones dropped.
+    is cut at its last space if that lies in its second half. Chunks are stripped, empty ones dropped. The text is cut
+    into pieces of one step once, and a window is put together from its pieces, so long texts take time in proportion.
     """
     step = max(1, size - overlap)
     rest = [c for c in documents.columns if c != "text"]
     rows = documents.select(*rest, normalize_whitespace(F.col("text")).alias("norm")).where("norm <> ''").withColumn("len", F.length("norm"))
     last = F.when(F.col("len") <= size, 0).otherwise(F.least(F.ceil((F.col("len") - size) / F.lit(step)), F.floor((F.col("len") - 1) / F.lit(step))))
-    window = lambda i: F.substring(F.col("norm"), i * step + 1, F.lit(size))
+    rows = rows.select(*rest, "len", F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("steps"))
+    window = lambda i: F.substring(F.array_join(F.slice("steps", i + 1, F.lit(-(-size // step))), ""), F.lit(1), F.lit(size))
     spans = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.struct(window(i).alias("w"), (i * step + size < F.col("len")).alias("open")))
     rows = rows.select(*rest, F.transform(spans, _cut).alias("all")).select(*rest, F.posexplode(F.filter("all", lambda c: c != "")).alias("chunk_index", "chunk"))
     return rows
@@ -49,17 +53,29 @@ def with_point_ids(chunked: DataFrame) -> DataFrame:
     return chunked.withColumn("id", point_id(key))
 
 
-def hash_weights(rows: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION) -> DataFrame:
-    """(id_col, bucket, weight): the non-zero places of the unit vectors of hashed tokens; no row for a text without tokens."""
-    counts = rows.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, hash_bucket(F.col("token"), dimension).alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "bucket", (F.col("n") / norm).alias("weight"))
+def _bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is worked out once for the row, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def hashed(text: Column, dimension: int = DIMENSION, normal: bool = False) -> Column:
+    """The non-zero places of a text's unit vector of hashed tokens, as array<struct<bucket, weight>>: counted inside the row."""
+    buckets = F.sort_array(F.transform(tokens(text, normal), lambda t: hash_bucket(t, dimension)))
+    starts = lambda b: F.filter(F.sequence(F.lit(0), F.size(b)), lambda i: (i == 0) | (i == F.size(b)) | (F.get(b, i) != F.get(b, i - 1)))
+    counts = lambda b, at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda p, k: F.struct(F.get(b, p).alias("bucket"), (F.get(at, k + 1) - p).cast("double").alias("n")))
+    unit = lambda c: _bind(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"])), lambda norm: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / norm).alias("weight"))))
+    return _bind(buckets, lambda b: _bind(starts(b), lambda at: _bind(counts(b, at), unit)))
+
+
+def hash_weights(rows: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION, normal: bool = False) -> DataFrame:
+    """rows without text_col, with bucket and weight: a row for each place of each text's vector; none for a text without tokens. normal: texts are chunks, whose white space is normalized."""
+    rest = [c for c in rows.columns if c != text_col or c == id_col]
+    return rows.select(*rest, F.explode(hashed(F.col(text_col), dimension, normal)).alias("place")).select(*rest, "place.bucket", "place.weight")
 
 
-def dense(weights: DataFrame, id_col: str, dimension: int = DIMENSION) -> DataFrame:
-    """(id_col, vector array<double>)."""
-    packed = weights.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return packed.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("vector"))
+def dense(places: Column, dimension: int = DIMENSION) -> Column:
+    """array<double> of a vector's places."""
+    return _bind(F.map_from_entries(places), lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.coalesce(F.try_element_at(found, b), F.lit(0.0))))
 
 
 def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimension: int = DIMENSION) -> DataFrame:
@@ -69,9 +85,8 @@ def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimensi
     hashed vectors, which live in another space.
     """
     if model is None:
-        zero = F.array_repeat(F.lit(0.0), dimension)
-        found = dense(hash_weights(rows, id_col, text_col, dimension), id_col, dimension)
-        return rows.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("vector", zero).alias("vector"))
+        places = rows.select(id_col, hashed(F.col(text_col), dimension).alias("places"))
+        return places.select(id_col, dense(F.col("places"), dimension).alias("vector"))
 
     kind = rows.schema[id_col].dataType.simpleString()
 

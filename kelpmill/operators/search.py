@@ -16,13 +16,21 @@ def reject_blank_question(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, blank.unionByName(none)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of numbers, in double; 0 if either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    """Of two arrays of numbers, in double."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Of two arrays of numbers; 0 if either has no length. Norms may be given where they are stored."""
+    norms = (F.sqrt(dot(a, a)) if norm_a is None else norm_a) * (F.sqrt(dot(b, b)) if norm_b is None else norm_b)
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
+def with_norm(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
+
+
 def most_hits(questions: DataFrame) -> int:
     """The largest top_k: one number on the driver, by which each task keeps a part of the ranking only."""
     return questions.agg(F.max("top_k")).first()[0] or 0
@@ -34,22 +42,34 @@ def rank_hits(scored: DataFrame, most: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= F.col("top_k")) & (F.col("rank") <= most))
 
 
+def scored_dense(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(question_id, id, top_k, score) of every question and every index row of its entity; norms are worked out once a row."""
+    q = with_norm(questions).select("question_id", "entity_id", "top_k", F.col("vector").alias("asked"), F.col("norm").alias("asked_norm"))
+    pairs = with_norm(index).join(q, "entity_id")
+    return pairs.select("question_id", "id", "top_k", F.round(cosine(F.col("vector"), F.col("asked"), F.col("norm"), F.col("asked_norm")), 6).alias("score"))
+
+
 def knn_dense(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Questions and index rows of one entity, with vectors: (question_id, id, score, rank)."""
-    q = questions.select("question_id", "entity_id", "top_k", F.col("vector").alias("asked"))
-    scored = index.join(q, "entity_id").select("question_id", "id", "top_k", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
-    return rank_hits(scored, most_hits(questions)).select("question_id", "id", "score", "rank")
+    return rank_hits(scored_dense(questions, index), most_hits(questions)).select("question_id", "id", "score", "rank")
 
 
 def knn_sparse(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The same over hashed tokens: only places that both have meet, on (entity, place). Chunks that share none score 0."""
-    q = hash_weights(questions.withColumnRenamed("question_id", "id"), "id", "question").withColumnsRenamed({"id": "question_id", "weight": "asked"})
-    q = q.join(questions.select("question_id", "entity_id"), "question_id")
-    c = hash_weights(chunks, "id", "text").join(chunks.select("id", "entity_id"), "id")
-    dots = c.join(q, ["entity_id", "bucket"]).groupBy("question_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"))
-    pairs = chunks.select("id", "entity_id").join(questions.select("question_id", "entity_id", "top_k"), "entity_id")
-    scored = pairs.join(dots, ["question_id", "id"], "left").select("question_id", "id", "top_k", F.round(F.coalesce("dot", F.lit(0.0)), 6).alias("score"))
-    return rank_hits(scored, most_hits(questions)).select("question_id", "id", "score", "rank")
+    """The same over hashed tokens: only places that both have meet, on (entity, place). Chunks that share none score 0.
+
+    Chunk ids are distinct. Weights are positive, so of the chunks with score 0 a question can only need the first top_k of
+    its entity by id; they join the sums as terms of 0, and no other pair without a common place is made.
+    """
+    most = most_hits(questions)
+    asked = questions.select("question_id", "entity_id", "top_k")
+    q = hash_weights(questions.select("question_id", "entity_id", "top_k", "question"), "question_id", "question").withColumnRenamed("weight", "asked")
+    c = hash_weights(chunks.select("id", "entity_id", "text"), "id", "text", normal=True)
+    terms = c.join(q, ["entity_id", "bucket"]).select("question_id", "id", "top_k", (F.col("weight") * F.col("asked")).alias("term"))
+    nth = F.row_number().over(Window.partitionBy("entity_id").orderBy("id"))
+    firsts = chunks.select("id", "entity_id").withColumn("nth", nth).where(F.col("nth") <= most)
+    zeros = firsts.join(asked, "entity_id").where("nth <= top_k").select("question_id", "id", "top_k", F.lit(0.0).alias("term"))
+    scored = terms.unionByName(zeros).groupBy("question_id", "id", "top_k").agg(F.round(F.sum("term"), 6).alias("score"))
+    return rank_hits(scored, most).select("question_id", "id", "score", "rank")
 
 
 def collect_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:

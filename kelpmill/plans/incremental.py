@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import index, prompts
-from ..sources import tables
+from ..sources import folders, tables
 from ..streaming import jobs
 from . import sql
 
 
-def _folder(spark) -> str:
-    """A new folder below the one that the cluster shares; where none is named, a temporary one if Spark runs in this one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/job-{uuid.uuid4().hex}"
-
-
 def _stream(spark, table, sf_dir, name):
     """The stream of a given table's files, through the columns of its batch version."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -32,7 +19,7 @@ def _stream(spark, table, sf_dir, name):
 def stream_index(spark, sf_dir):
     arriving = _stream(spark, "documents_in", sf_dir, "documents")
     docs = arriving.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("entity_id"), F.lit(None).cast("string").alias("file_url"), "text", F.lit("{}").alias("metadata"))
-    folder = _folder(spark)
+    folder = folders.new_folder(spark, "job")
     table = jobs.index_table(f"{folder}/index")
     jobs.stream_index(docs, table, f"{folder}/checkpoint").awaitTermination()
     return table.read(spark).select("id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("vector").cast("long").alias("dimension"))
@@ -41,7 +28,7 @@ def stream_index(spark, sf_dir):
 def stream_relate(spark, sf_dir):
     o, k = _stream(spark, "relationships_in", sf_dir, "orders"), F.col("o_orderkey")
     requests = o.select(F.col("o_custkey").cast("string").alias("from_id"), F.lit("Entity").alias("from_type"), F.when(k % 7 == 0, k + 1_000_000_000).otherwise(k).cast("string").alias("to_id"), F.lit("Document").alias("to_type"), F.when(k % 11 == 0, "LIKES").otherwise("HAS_DOCUMENT").alias("relationship_type"))
-    folder = _folder(spark)
+    folder = folders.new_folder(spark, "job")
     table = jobs.edge_table(f"{folder}/edges")
     jobs.stream_relate(requests, lambda: tables.nodes(spark, sf_dir), table, f"{folder}/rejects", f"{folder}/checkpoint").awaitTermination()
     rejected = spark.read.parquet(f"{folder}/rejects").groupBy("reason").agg(F.count("*").alias("n"))

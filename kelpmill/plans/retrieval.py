@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, index, prompts, search
-from ..sources import tables
+from ..sources import folders, tables
 from . import sql
 
 
@@ -25,12 +25,12 @@ def point_id(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    rows = index.hash_weights(index.points(_accepted(spark, sf_dir)), "id", "text")
+    rows = index.hash_weights(index.points(_accepted(spark, sf_dir)).select("id", "text"), "id", "text", normal=True)
     return rows.select("id", "bucket", F.round("weight", 9).alias("weight"))
 
 
 def token_count(spark, sf_dir):
-    return index.points(_accepted(spark, sf_dir)).select("id", F.size(index.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return index.points(_accepted(spark, sf_dir)).select("id", F.size(index.tokens(F.col("text"), normal=True)).cast("long").alias("n_tokens"))
 
 
 def reject_empty_text(spark, sf_dir):
@@ -54,7 +54,7 @@ def src_documents(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    points = index.points(_accepted(spark, sf_dir))
+    points = folders.written_once(index.points(_accepted(spark, sf_dir)).select("id", "document_id", "entity_id", "chunk_index", "text"))
     return search.knn_sparse(search.reject_blank_question(src_questions(spark, sf_dir))[0], points), points
 
 
@@ -69,7 +69,7 @@ def collect_chunks(spark, sf_dir):
 
 def _asked_vectors(spark, sf_dir):
     e = tables.star(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("entity_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = e.where(F.col("id").cast("long") < 50).select(F.col("id").alias("question_id"), "entity_id", "vector", (1 + F.col("id").cast("long") % 5).cast("int").alias("top_k"))
+    asked = e.where(F.col("id").cast("long") % 20 == 0).select(F.col("id").alias("question_id"), "entity_id", "vector", (1 + F.col("id").cast("long") % 5).cast("int").alias("top_k"))
     return asked, e
 
 
@@ -82,9 +82,7 @@ def filter_entity(spark, sf_dir):
 
 
 def cosine_score(spark, sf_dir):
-    e = _asked_vectors(spark, sf_dir)[1]
-    first = e.where("id = '0'").select("entity_id", F.col("vector").alias("asked"))
-    return e.join(F.broadcast(first), "entity_id").select("id", F.round(search.cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
+    return search.scored_dense(*_asked_vectors(spark, sf_dir)).select("question_id", "id", "score")
 
 
 def index_dimension_check(spark, sf_dir):
@@ -184,10 +182,10 @@ QUERIES = {
     "collect_chunks": (collect_chunks, sql.query(sql.HITS, "SELECT question_id, string_agg(rank || '/' || id, ',' ORDER BY rank) AS chunks FROM hits GROUP BY ALL")),
     "knn_join": (knn_join, """WITH s AS (
   SELECT q.vec_id::VARCHAR AS question_id, e.vec_id::VARCHAR AS id, 1 + q.vec_id % 5 AS top_k, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id < 50
+  FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0
 ) SELECT question_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= top_k"""),
     "filter_entity": (filter_entity, "SELECT vec_id::VARCHAR AS id, label::VARCHAR AS entity_id FROM embeddings WHERE label = 3"),
-    "cosine_score": (cosine_score, "SELECT e.vec_id::VARCHAR AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id = 0"),
+    "cosine_score": (cosine_score, "SELECT q.vec_id::VARCHAR AS question_id, e.vec_id::VARCHAR AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0"),
     "index_dimension_check": (index_dimension_check, "SELECT vec_id::VARCHAR AS id, " + _REASON.format("vec_id % 10 = 3", "Vector dimension differs from the index.") + " FROM embeddings"),
     "index_upsert": (index_upsert, sql.query(sql.CHUNKS, """SELECT id, document_id, CASE WHEN document_id::BIGINT % 3 = 0 THEN '{"name":"again"}' ELSE metadata END AS metadata, (document_id::BIGINT % 3 = 0)::INT AS seq FROM points""")),
     "index_summary": (index_summary, sql.query(sql.CHUNKS, "SELECT 'indexed' AS status, document_id, entity_id, count(*) AS chunks_indexed, json_extract_string(any_value(metadata), '$.name') AS document_name, 'HAS_DOCUMENT' AS relationship FROM chunked GROUP BY document_id, entity_id")),
