@@ -12,14 +12,20 @@ def _get(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def last_key_wins(rows: DataFrame) -> DataFrame:
+    """rows, whose session now reads JSON objects with repeated keys, of which the last one counts."""
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return rows
+
+
 def parse_completion(completions: DataFrame) -> DataFrame:
     """completions with content, or error_code and error_detail: the first that applies of a transport error, a body that isn't
-    JSON, a status of 400 or more, and a body without content."""
+    JSON, a status of 400 or more, and a body without content. A content that is null is there: no error, and null."""
     body = F.try_parse_json("body")
-    rows = completions.withColumn("v", body)
+    rows = last_key_wins(completions).withColumn("v", body)
     found = _get(F.col("v"), "$.choices[0].message.content")
     named = F.schema_of_variant("v").startswith("OBJECT")
-    no_content = found.isNull()
+    no_content = F.try_variant_get("v", "$.choices[0].message.content", "variant").isNull()
     code = F.when(F.col("transport_error").isNotNull(), 502).when(F.col("v").isNull(), 502).when(F.col("http_status") >= 400, F.col("http_status")).when(no_content, 502)
     detail = F.when(F.col("transport_error").isNotNull(), F.concat(F.lit("Model request failed: "), "transport_error")).when(F.col("v").isNull(), "Model response was not JSON.").when(F.col("http_status") >= 400, F.when(named, _get(F.col("v"), "$.error")).otherwise(F.col("body"))).when(no_content, "Model response had no content.")
     return rows.select(*completions.columns, F.when(code.isNull(), found).alias("content"), code.alias("error_code"), detail.alias("error_detail"))
@@ -53,6 +59,7 @@ def first_present(v: Column, *paths: str) -> Column:
 def described(content: Column) -> Column:
     """The description in a text that isn't the JSON it should be."""
     text = strip(or_empty(content))
+    # A fence, the quoted description, and what stands around a bare one.
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)\A```(?:json)?\s*", ""), r"\s*```\z", "")
     quoted = F.regexp_extract(text, r'(?is)"description"\s*:\s*"((?:\\.|[^"])*)"', 1)
     plain = F.get_json_object(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "$.v")
@@ -61,12 +68,14 @@ def described(content: Column) -> Column:
 
 
 def description_results(requests: DataFrame, contents: DataFrame) -> DataFrame:
-    """Results of the requests that want a description alone: one paragraph, an entity type, no attributes."""
-    rows = requests.join(contents.select("request_id", "content"), "request_id").withColumn("raw", lenient_json(strip(F.col("content"))))
+    """Results of the requests that want a description alone: one paragraph, an entity type, no attributes. contents are of completions without an error."""
+    rows = last_key_wins(requests).join(contents.select("request_id", "content"), "request_id").withColumn("raw", lenient_json(strip(F.col("content"))))
     # Fixed values
     domain = F.when(F.col("domain_type") != "", F.concat(F.lit("This domain supports "), F.lower(strip(F.col("domain_type"))), F.lit(" business operations.")))
     fallback = F.concat_ws(" ", domain, F.lit("It organizes the main business data, workflows, users, and records needed to run the business consistently."), F.lit("It is intended to provide a clear foundation for structured data entry, operations, and reporting."))
     text = F.coalesce(nullif_empty(scalar(F.col("raw"), "$.description")), nullif_empty(described(F.col("content"))), fallback)
     text = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), r"\A\s*[-*]\s*", "")
     kind = upper_snake(F.coalesce(nullif_empty(F.col("domain_type")), F.col("template_name")))
-    return rows.select("request_id", F.lit("").alias("template_id"), "template_name", text.alias("description"), kind.alias("entity_type"), F.lit(1).alias("version"))
+    none = lambda values: F.array().cast(f"array<struct<name:string,type:string,required:boolean,{values}:array<string>>>")
+    rows = rows.select("request_id", F.lit("").alias("template_id"), "template_name", text.alias("description"), kind.alias("entity_type"), none("enum_values").alias("attributes"), F.lit(1).alias("version"), "raw", none("enumValues").alias("attributesCamelCase"), none("enumValues").alias("attributes_compat"))
+    return rows.withColumns({"templateId": F.col("template_id"), "templateName": F.col("template_name"), "entityType": F.col("entity_type")})

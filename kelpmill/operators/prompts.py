@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nullif_empty, or_empty
+from .completions import parse_completion
 
 ASK_SYSTEM = "Answer from the given document chunks and graph context. Say so plainly if they are not enough."
 TEMPLATE_SYSTEM = (
@@ -51,16 +52,25 @@ def with_ask_prompt(context: DataFrame, system: str = ASK_SYSTEM) -> DataFrame:
     return context.withColumn("messages", messages(system, user))
 
 
+def _request_lines() -> Column:
+    line = lambda label, c: F.concat(F.lit(label + ": "), or_empty(F.col(c)), F.lit("\n"))
+    return F.concat(line("Name", "template_name"), line("Domain id", "domain_id"), line("Domain type", "domain_type"), line("Guidance", "description"))
+
+
+def ask_results(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row for each question of asked (a context with messages): the answer, or error_code and error_detail, its chunks and its graph."""
+    given = parse_completion(answers).select(F.col("request_id").alias("question_id"), F.col("content").alias("answer"), "error_code", "error_detail")
+    return asked.join(given, "question_id", "left").select("question_id", "answer", "error_code", "error_detail", "chunks", F.struct("entity", "relationships").alias("graph"))
+
+
 def with_template_prompt(requests: DataFrame, system: str = TEMPLATE_SYSTEM) -> DataFrame:
     """requests (template_name, domain_id, domain_type, description, candidates) with messages."""
-    line = lambda label, c: F.concat(F.lit(label + ": "), or_empty(F.col(c)), F.lit("\n"))
-    user = F.concat(line("Template name", "template_name"), line("Domain id", "domain_id"), line("Domain type", "domain_type"), line("User guidance", "description"), F.lit("Catalog attribute candidates:\n"), candidate_block(F.col("candidates")), F.lit("\nGenerate the reusable template now."))
+    user = F.concat(_request_lines(), F.lit("Candidates:\n"), candidate_block(F.col("candidates")))
     return requests.withColumn("messages", messages(system, user))
 
 
 def with_description_prompt(requests: DataFrame, system: str = DESCRIPTION_SYSTEM) -> DataFrame:
-    user = F.concat(F.lit("Name: "), "template_name", F.lit("\nDomain type: "), or_empty(F.col("domain_type")), F.lit("\nGuidance: "), or_empty(F.col("description")))
-    return requests.withColumn("messages", messages(system, user))
+    return requests.withColumn("messages", messages(system, _request_lines()))
 
 
 def complete_prompts(prompts: DataFrame, complete: Callable[[list[dict]], str], id_col: str = "request_id", partitions: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import LINE_END, attribute_name, five_lines, loose_boolean, nullif_empty, or_empty, strip, template_id, upper_snake
-from .completions import first_present, lenient_json, scalar
+from .completions import first_present, last_key_wins, lenient_json, scalar
 from .index import reject
 
 # Fixed values
@@ -82,8 +82,8 @@ def merge(catalog: DataFrame, response: DataFrame) -> DataFrame:
 
 
 def template_results(requests: DataFrame, contents: DataFrame) -> DataFrame:
-    """One row for each request with a response; requests come with candidates, contents with content."""
-    raw = contents.where("content is not null").select("request_id", lenient_json(strip(F.col("content"))).alias("raw"))
+    """One row for each request with a response; requests come with candidates, contents are of completions without an error."""
+    raw = last_key_wins(contents).select("request_id", lenient_json(strip(F.col("content"))).alias("raw"))
     joined = requests.join(raw, "request_id")
     merged = merge(catalog_attributes(joined), response_attributes(joined))
     packed = merged.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", *ATTRIBUTE))).alias("all"))
@@ -103,5 +103,6 @@ def template_results(requests: DataFrame, contents: DataFrame) -> DataFrame:
         F.lit(1).alias("version"),
         F.col("raw"),
         shape("enumValues").alias("attributesCamelCase"),
+        shape("enumValues").alias("attributes_compat"),
     )
     return rows.withColumns({"templateId": F.col("template_id"), "templateName": F.col("template_name"), "entityType": F.col("entity_type")})

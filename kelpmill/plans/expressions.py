@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import catalog, completions, graph, index, prompts, search, templates
 from ..sources import tables
 from . import sql
-from .generation import COMPLETIONS, GLOBAL, REQUESTS
+from .generation import COMPLETIONS, GLOBAL, LINES, REQUESTS
 
 
 def _sha(x):
@@ -89,6 +89,32 @@ def map_domain_alias(spark, sf_dir):
     return s.select("s_suppkey", catalog.mapped_domain(catalog.domain_type(name)).alias("domain"))
 
 
+def normalize_domain_type(spark, sf_dir):
+    s = tables.star(spark, sf_dir, "supplier")
+    name = F.element_at(F.array(*map(F.lit, [" Groceries\t", "BANKING ", "", None])), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return s.select("s_suppkey", catalog.domain_type(name).alias("domain_type"))
+
+
+def parse_bool_loose(spark, sf_dir):
+    s = tables.star(spark, sf_dir, "supplier")
+    value = F.element_at(F.array(*map(F.lit, [" TRUE", "yes\n", "Required", "no", None])), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return s.select("s_suppkey", tx.loose_boolean(value).alias("value"))
+
+
+def document_name(spark, sf_dir):
+    """The metadata's name; where that is empty or absent, the file's address."""
+    d = tables.star(spark, sf_dir, "documents").select("doc_id")
+    metadata = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"name":"n'), "doc_id", F.lit('"}'))).when(F.col("doc_id") % 3 == 1, F.lit('{"name":""}')).otherwise("not json")
+    return d.select("doc_id", index.document_name(metadata, F.concat(F.lit("file-"), "doc_id")).alias("name"))
+
+
+def node_coalesce(spark, sf_dir):
+    """Names of customers that are first unknown, then known for some, then unknown again: the last known name stays."""
+    blank = tables.nodes(spark, sf_dir).where("label = 'Entity'").withColumns({"name": F.lit(None).cast("string"), "seq": F.lit(0)})
+    known = tables.nodes(spark, sf_dir).where("label = 'Entity' and cast(id as long) % 2 = 0").withColumn("seq", F.lit(1))
+    return graph.upsert_nodes(blank, known.unionByName(blank.withColumn("seq", F.lit(2)))).select("id", "name")
+
+
 def filter_catalog_domain(spark, sf_dir):
     items = catalog.global_items(tables.catalog_global(spark, sf_dir))
     asked = tables.template_requests(spark, sf_dir).select("request_id", catalog.mapped_domain(catalog.domain_type(F.col("domain_type"))).alias("domain"))
@@ -118,12 +144,12 @@ def names(spark, sf_dir):
 
 
 def slice_json_object(spark, sf_dir):
-    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("content is not null")
+    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
     return good.select("request_id", completions.json_slice(F.col("content")).alias("slice"), completions.scalar(completions.lenient_json(F.col("content")), "$.description").alias("description"))
 
 
 def filter_placeholder_enum(spark, sf_dir):
-    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("content is not null")
+    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
     raw = good.select("request_id", completions.lenient_json(F.col("content")).alias("raw"))
     return templates.json_attributes(raw).where("type = 'enum'").select("request_id", "name", F.array_join("enum_values", "|").alias("enum_values"))
 
@@ -151,12 +177,16 @@ QUERIES = {
     "src_template_requests": (src_template_requests, sql.query(REQUESTS, "SELECT request_id, template_name, description, domain_id, domain_type FROM requests")),
     "src_completions": (src_completions, "SELECT s_suppkey::VARCHAR AS request_id, CASE WHEN s_suppkey % 19 = 0 THEN 503 ELSE 200 END AS http_status, CASE WHEN s_suppkey % 31 = 0 THEN 'timed out' END AS transport_error FROM supplier"),
     "map_domain_alias": (map_domain_alias, "SELECT s_suppkey, (['grocery', 'bank', 'hotel', 'bank'])[(s_suppkey % 4 + 1)::INT] AS domain FROM supplier"),
+    "normalize_domain_type": (normalize_domain_type, "SELECT s_suppkey, (['groceries', 'banking', '', ''])[(s_suppkey % 4 + 1)::INT] AS domain_type FROM supplier"),
+    "parse_bool_loose": (parse_bool_loose, "SELECT s_suppkey, s_suppkey % 5 < 3 AS value FROM supplier"),
+    "document_name": (document_name, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'n' ELSE 'file-' END || doc_id AS name FROM documents"),
+    "node_coalesce": (node_coalesce, "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer"),
     "filter_catalog_domain": (filter_catalog_domain, sql.query(GLOBAL, REQUESTS, "SELECT request_id, count(*) AS n, max(priority) AS most FROM requests JOIN global_items ON domain = domain_type GROUP BY ALL")),
     "filter_domain_default": (filter_domain_default, sql.query(REQUESTS, "SELECT DISTINCT request_id, domain_type || '/domain_type_default' AS _id FROM requests JOIN part ON lower(p_brand) = domain_type WHERE p_partkey % 3 > 0 AND p_partkey % 2 = 0")),
     "filter_domain_id": (filter_domain_id, sql.query(REQUESTS, "SELECT DISTINCT request_id, brand || '/domain' AS _id FROM requests JOIN part ON 'id-' || lower(p_brand) = domain_id WHERE p_partkey % 3 > 0 AND p_partkey % 2 = 1")),
     "sort_catalog_priority": (sort_catalog_priority, sql.query(GLOBAL, REQUESTS, "SELECT domain_type, domain_id, row_number() OVER (PARTITION BY domain_type, domain_id ORDER BY priority DESC, _id) AS pos, attribute_key, priority FROM pairs JOIN global_items ON domain = domain_type")),
     "to_upper_snake": (names, f"SELECT p_partkey, upper({_SNAKE.format(_NAME)}) AS upper_snake, lower({_SNAKE.format(_NAME)}) AS attribute_name, lower({_SNAKE.format(_NAME)}) || '_v1' AS template_id FROM part"),
     "slice_json_object": (slice_json_object, sql.query(COMPLETIONS, r"SELECT request_id, CASE WHEN k % 5 = 3 THEN content ELSE regexp_extract(content, '(?s)\{.*\}', 0) END AS slice, coalesce(trim(raw->>'$.description', ' ' || chr(10)), '') AS description FROM good")),
-    "filter_placeholder_enum": (filter_placeholder_enum, sql.query(COMPLETIONS, "SELECT request_id, 'Status' AS name, 'Open|Closed' AS enum_values FROM good WHERE k % 5 < 3")),
-    "build_description_prompt": (build_description_prompt, sql.query(REQUESTS, "SELECT request_id, 'Name: ' || template_name || chr(10) || 'Domain type: ' || CASE WHEN domain_type = '' THEN '' ELSE ' ' || upper(domain_type) END || chr(10) || 'Guidance: ' || coalesce(description, '') AS content FROM requests WHERE trim(template_name) <> '' AND mode <> ''")),
+    "filter_placeholder_enum": (filter_placeholder_enum, sql.query(COMPLETIONS, "SELECT request_id, 'Status' AS name, 'Open|Closed' AS enum_values FROM good WHERE k % 5 < 3 AND content IS NOT NULL")),
+    "build_description_prompt": (build_description_prompt, sql.query(REQUESTS, f"SELECT request_id, {LINES} AS content FROM requests r WHERE trim(template_name) <> '' AND mode <> ''")),
 }

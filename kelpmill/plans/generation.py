@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import five_lines
 from ..operators import catalog, completions, prompts, templates
-from ..sources import tables
+from ..sources import folders, tables
 from . import sql
 
 GLOBAL = """global_items AS (
@@ -58,7 +58,7 @@ OVERLAY = (
 )
 COMPLETIONS = r"""contents AS (
   SELECT s_suppkey AS k, s_suppkey::VARCHAR AS request_id,
-    CASE WHEN s_suppkey % 5 = 4 THEN '{"description":"Text.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: [''High'', \"Low\"]\nrequired: no\n- name: Shelf-life"}'
+    CASE WHEN s_suppkey % 37 = 0 THEN NULL WHEN s_suppkey % 5 = 4 THEN '{"description":"Text.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: [''High'', \"Low\"]\nrequired: no\n- name: Shelf-life"}'
       WHEN s_suppkey % 5 = 3 THEN 'no json at all'
       ELSE 'Here: {"templateId":' || CASE WHEN s_suppkey % 2 = 0 THEN '"lower_snake_v1"' ELSE '"own_' || s_suppkey || '"' END || ',"entity_type":' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"THING"' END
         || ',"description":"One\n Two \n\nThree","attributes":[{"name":"Net Weight","type":"number","required":true},{"name":"net-weight"},{"name":"field_x"},{"name":"Status","type":"enum","enumValues":["A","Open ","Closed"]},{"name":"Empty","type":"enum","enum_values":["a"]},7,{"name":"Color ' || s_suppkey || '","type":"shade","required":"TRUE"}]} done' END AS content FROM supplier
@@ -66,7 +66,7 @@ COMPLETIONS = r"""contents AS (
   SELECT *, CASE WHEN k % 31 = 0 THEN 502 WHEN k % 23 = 0 THEN 502 WHEN k % 19 = 0 THEN 503 WHEN k % 29 = 0 THEN 502 END AS error_code,
     CASE WHEN k % 31 = 0 THEN 'Model request failed: timed out' WHEN k % 23 = 0 THEN 'Model response was not JSON.' WHEN k % 19 = 0 THEN 'too busy' WHEN k % 29 = 0 THEN 'Model response had no content.' END AS error_detail FROM contents
 ), good AS (
-  SELECT k, request_id, content, CASE WHEN k % 5 = 3 THEN '{}' ELSE regexp_extract(content, '(?s)\{.*\}', 0) END::JSON AS raw FROM parsed WHERE error_code IS NULL
+  SELECT k, request_id, content, CASE WHEN k % 5 = 3 OR content IS NULL THEN '{}' ELSE regexp_extract(content, '(?s)\{.*\}', 0) END::JSON AS raw FROM parsed WHERE error_code IS NULL
 )"""
 ATTRIBUTES = (
     COMPLETIONS
@@ -101,7 +101,7 @@ MERGED = (
     + ", "
     + ATTRIBUTES
     + """, wanted AS (
-  SELECT r.*, g.raw FROM requests r JOIN good g USING (request_id) WHERE trim(template_name) <> '' AND mode = ''
+  SELECT r.*, g.raw, g.content FROM requests r JOIN good g USING (request_id) WHERE trim(template_name) <> '' AND mode = ''
 ), from_catalog AS (
   SELECT request_id, rank - 1 AS pos, trim(regexp_replace(lower(attribute_key), '[^a-z0-9]+', '_', 'g'), '_') AS name, type, required_default AS required, enum_values
   FROM wanted w JOIN ranked c ON c.domain_type = w.domain_type AND c.domain_id IS NOT DISTINCT FROM w.domain_id
@@ -161,13 +161,13 @@ def topn_candidates(spark, sf_dir):
 
 
 def _with_candidates(spark, sf_dir):
-    found = catalog.candidates(catalog.overlay(_layers(spark, sf_dir))).persist()  # read several times; one small list for each pair
+    found = catalog.candidates(catalog.overlay(_layers(spark, sf_dir)))
     return catalog.with_candidates(templates.route(_requests(spark, sf_dir))[0], found)
 
 
 def build_template_prompt(spark, sf_dir):
     rows = prompts.with_template_prompt(_with_candidates(spark, sf_dir))
-    return rows.select("request_id", F.size("candidates").cast("long").alias("n_candidates"), F.sha2(prompts.candidate_block(F.col("candidates")), 256).alias("block_sha256"))
+    return rows.select("request_id", F.size("candidates").cast("long").alias("n_candidates"), F.sha2(F.col("messages")[1]["content"], 256).alias("user_sha256"))
 
 
 def route_response_mode(spark, sf_dir):
@@ -184,7 +184,7 @@ def parse_completion(spark, sf_dir):
 
 
 def _raw(spark, sf_dir):
-    rows = completions.parse_completion(tables.completions(spark, sf_dir)).where("content is not null")
+    rows = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
     return rows.select("request_id", completions.lenient_json(F.col("content")).alias("raw"))
 
 
@@ -205,20 +205,56 @@ def dedupe_first_by_name(spark, sf_dir):
 
 
 def merge_template_attrs(spark, sf_dir):
-    joined = _with_candidates(spark, sf_dir).join(_raw(spark, sf_dir), "request_id")
+    joined = folders.written_once(_with_candidates(spark, sf_dir).select("request_id", "candidates").join(_raw(spark, sf_dir), "request_id"))
     rows = templates.merge(templates.catalog_attributes(joined), templates.response_attributes(joined))
     return rows.select("request_id", "part", F.col("pos").cast("long").alias("pos"), "name", "type", "required", _listed())
 
 
 def template_result(spark, sf_dir):
-    contents = completions.parse_completion(tables.completions(spark, sf_dir))
+    contents = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
     rows = templates.template_results(_with_candidates(spark, sf_dir), contents)
-    return rows.select("request_id", "template_id", "template_name", "description", "entity_type", "version", F.array_join(F.transform("attributes", lambda a: a["name"]), ",").alias("names"), F.size("attributesCamelCase").cast("long").alias("n_camel"))
+    shown = lambda c, values: F.array_join(F.transform(c, lambda a: F.concat_ws(":", a["name"], a["type"], a["required"].cast("string"), F.array_join(a[values], "|"))), ",").alias(c)
+    return rows.select("request_id", "template_id", "template_name", "description", "entity_type", "version", "templateId", "templateName", "entityType", shown("attributes", "enum_values"), shown("attributesCamelCase", "enumValues"), shown("attributes_compat", "enumValues"))
+
+
+def resolve_template_id(spark, sf_dir):
+    return template_result(spark, sf_dir).select("request_id", "template_id")
+
+
+def resolve_entity_type(spark, sf_dir):
+    return template_result(spark, sf_dir).select("request_id", "entity_type")
+
+
+def camel_case_twin(spark, sf_dir):
+    return template_result(spark, sf_dir).select("request_id", "attributesCamelCase")
+
+
+def extract_description(spark, sf_dir):
+    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
+    return good.select("request_id", completions.described(F.col("content")).alias("description"))
+
+
+def key_alias_lookup(spark, sf_dir):
+    """The first key that is there, even if it is null, of two: a null entity_type stops the chain before templateId."""
+    kind = completions.first_present(F.col("raw"), "$.entity_type", "$.templateId")
+    return _raw(spark, sf_dir).select("request_id", kind.alias("kind"), completions.first_present(F.col("raw"), "$.template_id", "$.templateId").alias("id"))
+
+
+def apply_ref_overrides(spark, sf_dir):
+    items, docs = _catalog(spark, sf_dir)
+    rows = catalog.resolve_refs(docs, catalog.global_items(items))
+    return rows.select("_id", F.col("pos").cast("long").alias("pos"), "label", "type", "required_default", _listed(), "source")
+
+
+def format_candidate_block(spark, sf_dir):
+    return _with_candidates(spark, sf_dir).select("request_id", prompts.candidate_block(F.col("candidates")).alias("block"))
 
 
 def description_only_result(spark, sf_dir):
-    contents = completions.parse_completion(tables.completions(spark, sf_dir)).where("content is not null")
-    return completions.description_results(templates.route(_requests(spark, sf_dir))[1], contents)
+    contents = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
+    rows = completions.description_results(templates.route(_requests(spark, sf_dir))[1], contents)
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("attributes", "attributesCamelCase", "attributes_compat")]
+    return rows.select("request_id", "template_id", "template_name", "description", "entity_type", "version", "templateId", "templateName", "entityType", *sizes, completions.scalar(F.col("raw"), "$.description").alias("raw_description"))
 
 
 def five_line_description(spark, sf_dir):
@@ -232,6 +268,13 @@ _LINES = "list_filter(list_transform(string_split({text}, chr(10)), lambda x: tr
 _SQL_LISTED = "array_to_string(enum_values, '|') AS enum_values"
 _SHOWN = f"SELECT request_id, pos, name, type, required, {_SQL_LISTED} FROM "
 
+#: The request's lines in a prompt.
+LINES = "'Name: ' || template_name || chr(10) || 'Domain id: ' || coalesce(r.domain_id, '') || chr(10) || 'Domain type: ' || CASE WHEN r.domain_type = '' THEN '' ELSE ' ' || upper(r.domain_type) END || chr(10) || 'Guidance: ' || coalesce(r.description, '') || chr(10)"
+
+_RESULT = f"""SELECT request_id, CASE WHEN k % 2 = 0 OR k % 5 >= 3 OR content IS NULL THEN trim(regexp_replace(lower(template_name), '[^a-z0-9]+', '_', 'g'), '_') || '_v1' ELSE 'own_' || k END AS template_id, template_name, {_FIVE.format(name="template_name")} AS description,
+  CASE WHEN k % 3 = 0 OR k % 5 >= 3 OR content IS NULL THEN trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') ELSE 'THING' END AS entity_type, 1 AS version,
+  coalesce((SELECT string_agg(concat_ws(':', name, type, required::VARCHAR, array_to_string(enum_values, '|')), ',' ORDER BY part, pos) FROM merged m WHERE m.request_id = w.request_id), '') AS attributes, template_id AS "templateId", template_name AS "templateName", entity_type AS "entityType"
+FROM (SELECT *, {_LINES.format(text="coalesce(nullif(trim(raw->>'$.description'), ''), description, '')")} FROM wanted) w"""
 QUERIES = {
     "src_catalog_global": (src_catalog_global, sql.query(GLOBAL, f"SELECT _id, domain, attribute_key, label, type, {_SQL_LISTED}, required_default, priority FROM global_items")),
     "src_catalog_domain": (src_catalog_domain, """SELECT lower(p_brand) || '/' || scope AS _id, scope, lower(p_brand) AS domainType, CASE WHEN scope = 'domain' THEN 'id-' || lower(p_brand) END AS domainId, count(*) FILTER (p_partkey % 3 = 1) AS n_refs, count(*) FILTER (p_partkey % 3 = 2) AS n_customs
@@ -241,8 +284,8 @@ FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'domain_type_default' ELSE 'dom
     "catalog_layer_join": (catalog_layer_join, sql.query(OVERLAY, "SELECT domain_type, domain_id, layer, kind, count(*) AS n, min(attribute_key) AS least FROM layered GROUP BY ALL")),
     "overlay_catalog": (overlay_catalog, sql.query(OVERLAY, "SELECT domain_type, domain_id, attribute_key, type, required_default, source, priority FROM overlaid")),
     "topn_candidates": (topn_candidates, sql.query(OVERLAY, "SELECT domain_type, domain_id, rank, attribute_key FROM ranked")),
-    "build_template_prompt": (build_template_prompt, sql.query(OVERLAY, """SELECT request_id, count(attribute_key) AS n_candidates, sha256(coalesce(string_agg('- ' || attribute_key || ' (' || type || ', required_default=' || required_default || ', enum_values=[' || array_to_string(enum_values, ', ') || '], tags=[])', chr(10) ORDER BY rank), 'No catalog attribute candidates available.')) AS block_sha256
-FROM requests r LEFT JOIN ranked c ON c.domain_type = r.domain_type AND c.domain_id IS NOT DISTINCT FROM r.domain_id WHERE trim(template_name) <> '' AND mode = '' GROUP BY request_id""")),
+    "build_template_prompt": (build_template_prompt, sql.query(OVERLAY, f"""SELECT request_id, count(attribute_key) AS n_candidates, sha256({LINES} || 'Candidates:' || chr(10) || coalesce(string_agg('- ' || attribute_key || ' (' || type || ', required_default=' || required_default || ', enum_values=[' || array_to_string(enum_values, ', ') || '], tags=[])', chr(10) ORDER BY rank), 'No catalog attribute candidates available.')) AS user_sha256
+FROM requests r LEFT JOIN ranked c ON c.domain_type = r.domain_type AND c.domain_id IS NOT DISTINCT FROM r.domain_id WHERE trim(template_name) <> '' AND mode = '' GROUP BY request_id, template_name, r.domain_id, r.domain_type, r.description""")),
     "route_response_mode": (route_response_mode, sql.query(REQUESTS, "SELECT request_id, CASE WHEN mode = '' THEN 'template' ELSE 'description' END AS route FROM requests WHERE trim(template_name) <> ''")),
     "reject_blank_template": (reject_blank_template, sql.query(REQUESTS, "SELECT request_id, 'template_name is required.' AS reason FROM requests WHERE trim(template_name) = ''")),
     "parse_completion": (parse_completion, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN error_code IS NULL THEN content END AS content, error_code::VARCHAR AS error_code, error_detail FROM parsed")),
@@ -250,12 +293,18 @@ FROM requests r LEFT JOIN ranked c ON c.domain_type = r.domain_type AND c.domain
     "segment_attr_lines": (segment_attr_lines, sql.query(ATTRIBUTES, _SHOWN + "line_attributes")),
     "dedupe_first_by_name": (dedupe_first_by_name, sql.query(ATTRIBUTES, _SHOWN + "firsts")),
     "merge_template_attrs": (merge_template_attrs, sql.query(MERGED, f"SELECT request_id, part, pos, name, type, required, {_SQL_LISTED} FROM merged")),
-    "template_result": (template_result, sql.query(MERGED, f"""SELECT request_id, CASE WHEN k % 2 = 0 OR k % 5 >= 3 THEN trim(regexp_replace(lower(template_name), '[^a-z0-9]+', '_', 'g'), '_') || '_v1' ELSE 'own_' || k END AS template_id, template_name, {_FIVE.format(name="template_name")} AS description,
-  CASE WHEN k % 3 = 0 OR k % 5 >= 3 THEN trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') ELSE 'THING' END AS entity_type, 1 AS version,
-  coalesce((SELECT string_agg(name, ',' ORDER BY part, pos) FROM merged m WHERE m.request_id = w.request_id), '') AS names, (SELECT count(*) FROM merged m WHERE m.request_id = w.request_id) AS n_camel
-FROM (SELECT *, {_LINES.format(text="coalesce(nullif(trim(raw->>'$.description'), ''), description, '')")} FROM wanted) w""")),
-    "description_only_result": (description_only_result, sql.query(REQUESTS, COMPLETIONS, """SELECT request_id, '' AS template_id, template_name, CASE WHEN k % 5 = 3 THEN content ELSE trim(regexp_replace(raw->>'$.description', '\\s+', ' ', 'g')) END AS description,
-  trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') AS entity_type, 1 AS version
+    "template_result": (template_result, sql.query(MERGED, f"SELECT *, attributes AS \"attributesCamelCase\", attributes AS attributes_compat FROM ({_RESULT})")),
+    "resolve_template_id": (resolve_template_id, sql.query(MERGED, f"SELECT request_id, template_id FROM ({_RESULT})")),
+    "resolve_entity_type": (resolve_entity_type, sql.query(MERGED, f"SELECT request_id, entity_type FROM ({_RESULT})")),
+    "camel_case_twin": (camel_case_twin, sql.query(MERGED, f"SELECT request_id, attributes AS \"attributesCamelCase\" FROM ({_RESULT})")),
+    "extract_description": (extract_description, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN content IS NULL THEN '' WHEN k % 5 = 3 THEN content ELSE trim(raw->>'$.description', ' ' || chr(10)) END AS description FROM good")),
+    "key_alias_lookup": (key_alias_lookup, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN k % 5 < 3 AND k % 3 > 0 AND content IS NOT NULL THEN 'THING' ELSE '' END AS kind, CASE WHEN k % 5 >= 3 OR content IS NULL THEN '' WHEN k % 2 = 0 THEN 'lower_snake_v1' ELSE 'own_' || k END AS id FROM good")),
+    "apply_ref_overrides": (apply_ref_overrides, sql.query(ITEMS, f"SELECT _id, pos, label, type, required_default, {_SQL_LISTED}, source FROM own WHERE kind = 0")),
+    "format_candidate_block": (format_candidate_block, sql.query(OVERLAY, """SELECT request_id, coalesce(string_agg('- ' || attribute_key || ' (' || type || ', required_default=' || required_default || ', enum_values=[' || array_to_string(enum_values, ', ') || '], tags=[])', chr(10) ORDER BY rank), 'No catalog attribute candidates available.') AS block
+FROM requests r LEFT JOIN ranked c ON c.domain_type = r.domain_type AND c.domain_id IS NOT DISTINCT FROM r.domain_id WHERE trim(template_name) <> '' AND mode = '' GROUP BY request_id""")),
+    "description_only_result": (description_only_result, sql.query(REQUESTS, COMPLETIONS, """SELECT request_id, '' AS template_id, template_name, CASE WHEN content IS NULL THEN CASE WHEN domain_type <> '' THEN 'This domain supports ' || domain_type || ' business operations. ' ELSE '' END || 'It organizes the main business data, workflows, users, and records needed to run the business consistently. It is intended to provide a clear foundation for structured data entry, operations, and reporting.'
+  WHEN k % 5 = 3 THEN content ELSE trim(regexp_replace(raw->>'$.description', '\\s+', ' ', 'g')) END AS description,
+  trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') AS entity_type, 1 AS version, template_id AS "templateId", template_name AS "templateName", entity_type AS "entityType", 0 AS n_attributes, 0 AS "n_attributesCamelCase", 0 AS n_attributes_compat, coalesce(trim(raw->>'$.description', ' ' || chr(10)), '') AS raw_description
 FROM (SELECT r.*, g.content, g.raw FROM requests r JOIN good g USING (request_id)) WHERE trim(template_name) <> '' AND mode <> ''""")),
     "five_line_description": (five_line_description, f"SELECT doc_id, {_FIVE.format(name='source')} AS description FROM (SELECT *, {_LINES.format(text='text')} FROM documents)"),
 }

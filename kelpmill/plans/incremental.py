@@ -22,7 +22,7 @@ def stream_index(spark, sf_dir):
     folder = folders.new_folder(spark, "job")
     table = jobs.index_table(f"{folder}/index")
     jobs.stream_index(docs, table, f"{folder}/checkpoint").awaitTermination()
-    return table.read(spark).select("id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("vector").cast("long").alias("dimension"))
+    return table.read(spark).select("id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("vector").cast("long").alias("dimension"), _moment())
 
 
 def stream_relate(spark, sf_dir):
@@ -45,10 +45,15 @@ def _lengths(texts):
     return out
 
 
+def _moment():
+    """The vector as one number: each place times its number, summed."""
+    return F.round(F.aggregate(F.transform("vector", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x), 6).alias("moment")
+
+
 def embed_texts(spark, sf_dir):
     docs = tables.documents_in(spark, sf_dir)
-    hashed = index.embed_texts(docs, "document_id", "text").select("document_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("hashed_norm"))
-    own = index.embed_texts(docs, "document_id", "text", model=_lengths).select("document_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("model_norm"))
+    hashed = index.embed_texts(docs, "document_id", "text").select("document_id", _moment())
+    own = index.embed_texts(docs, "document_id", "text", model=_lengths).select("document_id", F.round(F.col("vector")[0], 6).alias("letters"), F.round(F.col("vector")[1], 6).alias("others"))
     return hashed.join(own, "document_id")
 
 
@@ -67,9 +72,10 @@ def complete_prompts(spark, sf_dir):
 
 
 QUERIES = {
-    "stream_index": (stream_index, sql.query(sql.CHUNKS, "SELECT id, document_id, chunk_index, 384 AS dimension FROM points")),
+    "stream_index": (stream_index, sql.query(sql.CHUNKS, sql.weights("cw", "points", "id", "text"), "SELECT id, document_id, chunk_index, 384 AS dimension, moment FROM points JOIN (SELECT id, round(sum(bucket * weight), 6) AS moment FROM cw GROUP BY id) USING (id)")),
     "stream_relate": (stream_relate, """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'Unsupported relationship type.' WHEN o_orderkey % 7 = 0 OR c_custkey IS NULL THEN 'Source or target node was not found.' ELSE 'accepted' END AS reason, count(*) AS n
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY ALL"""),
-    "embed_texts": (embed_texts, "SELECT doc_id::VARCHAR AS document_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS hashed_norm, CASE WHEN text = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS model_norm FROM documents"),
+    "embed_texts": (embed_texts, sql.query(sql.weights("w", "documents", "doc_id", "text"), """SELECT doc_id::VARCHAR AS document_id, round(coalesce(moment, 0), 6)::DOUBLE AS moment, round(coalesce(n / size, 0), 6)::DOUBLE AS letters, round(coalesce((len - n) / size, 0), 6)::DOUBLE AS others
+FROM (SELECT *, nullif(sqrt(n * n + (len - n) * (len - n)), 0) AS size FROM (SELECT doc_id, length(text) AS len, length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')) AS n FROM documents)) LEFT JOIN (SELECT doc_id, sum(bucket * weight) AS moment FROM w GROUP BY doc_id) USING (doc_id)""")),
     "complete_prompts": (complete_prompts, """SELECT item_id::VARCHAR AS request_id, CASE WHEN length(text) % 7 > 0 THEN '{"choices":[{"message":{"content":"' || length(text) || '"}}]}' END AS body, CASE WHEN length(text) % 7 = 0 THEN 'no answer' END AS transport_error FROM benchmark"""),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,17 +158,44 @@ def attach_graph_context(spark, sf_dir):
     return _context(spark, sf_dir).select("question_id", F.size("chunks").alias("n_chunks"), F.col("entity.id").alias("entity"), F.size("relationships").alias("n_relationships"))
 
 
+def format_chunk_block(spark, sf_dir):
+    return _context(spark, sf_dir).select("question_id", F.sha2(prompts.chunk_block(F.col("chunks")), 256).alias("block_sha256"))
+
+
+def format_graph_block(spark, sf_dir):
+    return _context(spark, sf_dir).select("question_id", F.sha2(prompts.graph_block(F.col("relationships")), 256).alias("block_sha256"))
+
+
+def chunk_index(spark, sf_dir):
+    rows = index.points(_accepted(spark, sf_dir)).groupBy("document_id")
+    return rows.agg(F.max("chunk_index").alias("last"), F.countDistinct("chunk_index").alias("n"))
+
+
+def l2_normalize(spark, sf_dir):
+    places = index.points(_accepted(spark, sf_dir)).select("id", index.hashed(F.col("text"), normal=True).alias("places"))
+    return places.select("id", F.size("places").cast("long").alias("n_places"), F.round(F.aggregate("places", F.lit(0.0), lambda a, p: a + p["weight"] * p["weight"]), 6).alias("norm"), F.round(F.array_max(F.transform("places", lambda p: p["weight"])), 9).alias("most"))
+
+
 def build_ask_prompt(spark, sf_dir):
     return prompts.with_ask_prompt(_context(spark, sf_dir)).select("question_id", F.sha2(F.col("messages")[1]["content"], 256).alias("user_sha256"))
 
 
+def _digest(messages):
+    """A stand-in for a model: answers with the hash of what it is asked."""
+    return '{"choices":[{"message":{"content":"' + hashlib.sha256(messages[1]["content"].encode()).hexdigest() + '"}}]}'
+
+
 def ask_result(spark, sf_dir):
-    """Questions to answers, with a function in place of a model that gives back the first chunk's id and the sizes."""
-    asked = prompts.with_ask_prompt(_context(spark, sf_dir))
-    return asked.select("question_id", F.concat_ws(" ", F.col("chunks")[0]["id"], F.size("chunks").cast("string"), F.size("relationships").cast("string")).alias("answer"), F.transform("chunks", lambda c: c["id"]).alias("ids")).withColumn("ids", F.array_join("ids", ","))
+    """Questions to answers, through a function in place of a model; the graph's relationships as the hash of their lines."""
+    asked = folders.written_once(prompts.with_ask_prompt(_context(spark, sf_dir)))
+    out = prompts.ask_results(asked, prompts.complete_prompts(asked, _digest, "question_id"))
+    return out.select("question_id", "answer", F.array_join(F.transform("chunks", lambda c: c["id"]), ",").alias("ids"), F.col("graph.entity.id").alias("entity"), F.sha2(prompts.graph_block(F.col("graph.relationships")), 256).alias("relationships_sha256"))
 
 
 _REASON = "CASE WHEN {} THEN '{}' END AS reason"
+_USER = "'Question:' || chr(10) || question || chr(10) || chr(10) || 'Document Chunks:' || chr(10) || coalesce(c, 'No matching chunks found.') || chr(10) || chr(10) || 'Graph Context:' || chr(10) || coalesce(g, 'No graph relationships found.')"
+_CONTEXT = """FROM questions q LEFT JOIN (SELECT question_id, string_agg('[Chunk ' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS c, string_agg(id, ',' ORDER BY rank) AS ids FROM hits JOIN points USING (id) GROUP BY ALL) USING (question_id)
+LEFT JOIN (SELECT entity_id, string_agg('Entity(' || entity_id || ') -[HAS_DOCUMENT]-> Document(' || document_id || ')', chr(10) ORDER BY document_id) AS g FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) USING (entity_id)"""
 QUERIES = {
     "src_documents": (src_documents, sql.query(sql.DOCUMENTS, "SELECT document_id, entity_id, metadata, json_extract_string(metadata, '$.name') AS document_name FROM documents_in")),
     "src_questions": (src_questions, sql.query(sql.QUESTIONS, "SELECT * FROM questions")),
@@ -199,9 +226,11 @@ UNION ALL SELECT 'Document', document_id, CASE WHEN document_id::BIGINT % 4 = 0
 FROM (SELECT (c_custkey * 2)::VARCHAR AS entity_id FROM customer) a LEFT JOIN customer c ON c.c_custkey::VARCHAR = entity_id LEFT JOIN edges e ON e.from_type = 'Entity' AND e.from_id = entity_id GROUP BY entity_id""")),
     "attach_graph_context": (attach_graph_context, sql.query(sql.HITS, """SELECT q.question_id, coalesce((SELECT count(*) FROM hits h WHERE h.question_id = q.question_id), 0)::INT AS n_chunks, CASE WHEN n > 0 THEN q.entity_id END AS entity, coalesce(n, 0)::INT AS n_relationships
 FROM questions q LEFT JOIN (SELECT entity_id, count(DISTINCT document_id) AS n FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) d USING (entity_id)""")),
-    "build_ask_prompt": (build_ask_prompt, sql.query(sql.HITS, """SELECT q.question_id, sha256('Question:' || chr(10) || question || chr(10) || chr(10) || 'Document Chunks:' || chr(10) || coalesce(c, 'No matching chunks found.') || chr(10) || chr(10) || 'Graph Context:' || chr(10) || coalesce(g, 'No graph relationships found.')) AS user_sha256
-FROM questions q LEFT JOIN (SELECT question_id, string_agg('[Chunk ' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS c FROM hits JOIN points USING (id) GROUP BY ALL) USING (question_id)
-LEFT JOIN (SELECT entity_id, string_agg('Entity(' || entity_id || ') -[HAS_DOCUMENT]-> Document(' || document_id || ')', chr(10) ORDER BY document_id) AS g FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) USING (entity_id)""")),
-    "ask_result": (ask_result, sql.query(sql.HITS, """SELECT q.question_id, concat_ws(' ', min_by(h.id, h.rank), count(h.id)::VARCHAR, any_value(coalesce(n, 0))::VARCHAR) AS answer, coalesce(string_agg(h.id, ',' ORDER BY h.rank), '') AS ids
-FROM questions q LEFT JOIN hits h USING (question_id) LEFT JOIN (SELECT entity_id, count(DISTINCT document_id) AS n FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) d USING (entity_id) GROUP BY q.question_id""")),
+    "format_chunk_block": (format_chunk_block, sql.query(sql.HITS, f"SELECT q.question_id, sha256(coalesce(c, 'No matching chunks found.')) AS block_sha256\n{_CONTEXT}")),
+    "format_graph_block": (format_graph_block, sql.query(sql.HITS, f"SELECT q.question_id, sha256(coalesce(g, 'No graph relationships found.')) AS block_sha256\n{_CONTEXT}")),
+    "chunk_index": (chunk_index, sql.query(sql.CHUNKS, "SELECT document_id, max(chunk_index) AS last, count(*) AS n FROM points GROUP BY ALL")),
+    "l2_normalize": (l2_normalize, sql.query(sql.CHUNKS, sql.weights("cw", "points", "id", "text"), "SELECT id, count(*) AS n_places, round(sum(weight * weight), 6) AS norm, round(max(weight), 9) AS most FROM cw GROUP BY id")),
+    "build_ask_prompt": (build_ask_prompt, sql.query(sql.HITS, f"SELECT q.question_id, sha256({_USER}) AS user_sha256\n{_CONTEXT}")),
+    "ask_result": (ask_result, sql.query(sql.HITS, f"""SELECT q.question_id, sha256({_USER}) AS answer, coalesce(ids, '') AS ids, CASE WHEN g IS NOT NULL THEN q.entity_id END AS entity, sha256(coalesce(g, 'No graph relationships found.')) AS relationships_sha256
+{_CONTEXT}""")),
 }

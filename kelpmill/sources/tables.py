@@ -90,7 +90,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     attrs = F.concat(F.lit('[{"name":"Net Weight","type":"number","required":true},{"name":"net-weight"},{"name":"field_x"},{"name":"Status","type":"enum","enumValues":["A","Open ","Closed"]},{"name":"Empty","type":"enum","enum_values":["a"]},7,{"name":"Color '), k.cast("string"), F.lit('","type":"shade","required":"TRUE"}]'))
     good = F.concat(F.lit('Here: {"templateId":'), F.when(k % 2 == 0, F.lit('"lower_snake_v1"')).otherwise(F.concat(F.lit('"own_'), k.cast("string"), F.lit('"'))), F.lit(',"entity_type":'), F.when(k % 3 == 0, F.lit("null")).otherwise(F.lit('"THING"')), F.lit(',"description":"One\\n Two \\n\\nThree","attributes":'), attrs, F.lit("} done"))
     prose = F.lit('{"description":"Text.\\n- name: Shelf Life\\ntype: Number, days\\nrequired\\n- name: Grade\\nenum_values: [\'High\', \\"Low\\"]\\nrequired: no\\n- name: Shelf-life"}')
-    content = F.when(k % 5 == 4, prose).when(k % 5 == 3, F.lit("no json at all")).otherwise(good)
-    envelope = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    content = F.when(k % 37 == 0, F.lit(None).cast("string")).when(k % 5 == 4, prose).when(k % 5 == 3, F.lit("no json at all")).otherwise(good)
+    envelope = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")), {"ignoreNullFields": "false"})
     body = F.when(k % 23 == 0, F.lit("<html>")).when(k % 19 == 0, F.lit('{"error":"too busy"}')).when(k % 29 == 0, F.lit('{"choices":[]}')).otherwise(envelope)
     return s.select(k.cast("string").alias("request_id"), F.when(k % 19 == 0, 503).otherwise(200).cast("int").alias("http_status"), body.alias("body"), F.when(k % 31 == 0, F.lit("timed out")).alias("transport_error"))

@@ -52,9 +52,9 @@ def test_layers(spark):
 
 def test_envelopes(spark):
     good = json.dumps({"choices": [{"message": {"content": "hi"}}]})
-    rows = [("1", 200, good, None), ("2", 200, "<html>", None), ("3", 429, '{"error":"slow"}', None), ("4", 500, "[1]", None), ("5", 200, '{"choices":[]}', None), ("6", None, None, "timeout"), ("7", 200, None, None)]
+    rows = [("1", 200, good, None), ("2", 200, "<html>", None), ("3", 429, '{"error":"slow"}', None), ("4", 500, "[1]", None), ("5", 200, '{"choices":[]}', None), ("6", None, None, "timeout"), ("7", 200, None, None), ("8", 200, '{"choices":[{"message":{"content":null}}]}', None), ("9", 200, '{"choices":[],"choices":[{"message":{"content":"x","content":"y"}}]}', None)]
     got = {r.request_id: (r.content, r.error_code) for r in completions.parse_completion(spark.createDataFrame(rows, tables.SCHEMAS["completions"])).collect()}
-    assert got == {"1": ("hi", None), "2": (None, 502), "3": (None, 429), "4": (None, 500), "5": (None, 502), "6": (None, 502), "7": (None, 502)}
+    assert got == {"1": ("hi", None), "2": (None, 502), "3": (None, 429), "4": (None, 500), "5": (None, 502), "6": (None, 502), "7": (None, 502), "8": (None, None), "9": ("y", None)}
 
 
 def _results(spark, content, **request):
@@ -76,6 +76,11 @@ def test_templates(spark):
     text = "Words.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: ['High', \"Low\"]\nrequired: no\n- name: shelf-life\n- name: Empty\ntype: enum"
     got = _results(spark, json.dumps({"description": text}), description="kept")
     assert [(a.name, a.type, a.required, a.enum_values) for a in got.attributes][1:] == [("shelf_life", "number", True, []), ("grade", "enum", False, ["High", "Low"]), ("empty", "enum", False, [])]
+    assert [a.enumValues for a in got.attributes_compat] == [a.enum_values for a in got.attributes]
+    got = _results(spark, '{"description":"a","description":"b","attributes":[{"name":"x","name":"y"}]}')
+    assert got.description.startswith("b\n") and [a.name for a in got.attributes][1:] == ["y"]
+    got = _results(spark, None, description="kept")
+    assert got.description.startswith("kept\n") and got.template_id == "member_access_v1"
     got = _results(spark, "[1, 2]", description="kept")
     assert got.description.startswith("kept\n") and got.template_id == "member_access_v1" and len(got.attributes) == 1
 
