@@ -9,7 +9,8 @@ and the count there, relative to the present one. States are made when they are
 
 Texts are cut into chunks of bytes, which run side by side. A chunk's map takes the state it is entered with to the state
 it is left with and a count. If a piece starts in a chunk, the map's exit doesn't depend on the entry, so all chunks run
-at once from their first piece on; then the heads before it run from what a scan over the maps gives as their entries.
+at once from their first piece on. A scan over the maps of the other chunks gives their entries; then the heads before
+first pieces run, all at once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LIMIT = 1024
 CHUNK = 128
 #: States after which a worker's table is made anew. One takes four bytes for each byte value seen so far, and its key.
 MAX_STATES = 250_000
+#: Rounds of a scan before it composes maps, and maps' entries up to which it does.
+ROUNDS, COMPOSED = 4, 50_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
 PAD = 256
 _ZERO = 128
@@ -214,23 +217,76 @@ class Transducer:
         head = np.where(opens, flags.argmax(axis=0), CHUNK)
         in_head = np.arange(CHUNK)[:, None] < head[None, :]
         exits, counts = self.run(np.where(in_head, PAD, symbols), flags, np.zeros(n, np.int64))
-        # The scan: exits of maps with a piece start are known; heads run once their entries are.
-        known, waiting = opens.copy(), np.flatnonzero(head > 0)
-        while len(waiting):
-            ready = waiting[known[waiting - 1]]
-            longest = int(head[ready].max())
-            lanes = np.where(in_head[:longest, ready], symbols[:longest, ready], PAD)
-            left, more = self.run(lanes, np.zeros(lanes.shape, bool), exits[ready - 1])
-            counts[ready] += more
-            closed = ~opens[ready]
-            exits[ready[closed]] = left[closed]
-            known[ready] = True
-            done = np.zeros(n, bool)
-            done[ready] = True
-            waiting = waiting[~done[waiting]]
+        closed = np.flatnonzero(~opens)
+        if len(closed):
+            exits[closed], counts[closed] = self._scan(symbols[:, closed], opens[closed - 1], exits[closed - 1])
+        ahead = np.flatnonzero(opens & (head > 0))
+        if len(ahead):
+            longest = int(head[ahead].max())
+            lanes = np.where(in_head[:longest, ahead], symbols[:longest, ahead], PAD)
+            counts[ahead] += self.run(lanes, np.zeros(lanes.shape, bool), exits[ahead - 1])[1]
         np.add.at(total, text, counts)
         return total
 
+    def _scan(self, symbols: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exits, counts) of chunks in which no piece starts; first marks those whose entry is known, the others follow the one before.
+
+        A chunk's map is made for the entries that it is asked for, and once for equal chunks. Every chunk is entered first
+        with what the one before leaves when it starts at the root; mostly that is what it leaves anyhow. Where rounds of
+        this don't settle, as in long repetitions, maps over all states that occur there are composed by doubling.
+        """
+        content, of = np.unique(np.ascontiguousarray(symbols.T.astype(np.uint16)).view(f"V{2 * len(symbols)}").ravel(), return_inverse=True)
+        lanes = content.view(np.uint16).reshape(len(content), -1).T.astype(np.int64)
+        made: dict[int, tuple[int, int]] = {}
+
+        def maps(which: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            asked, back = np.unique(which.astype(np.int64) << 32 | states, return_inverse=True)
+            new = np.array([k for k in asked.tolist() if k not in made], np.int64)
+            if len(new):
+                part = lanes[:, new >> 32]
+                left, more = self.run(part, np.zeros(part.shape, bool), new & 0xFFFFFFFF)
+                made.update(zip(new.tolist(), zip(left.tolist(), more.tolist(), strict=True), strict=True))
+            found = np.array([made[k] for k in asked.tolist()], np.int64).reshape(-1, 2)
+            return found[back, 0], found[back, 1]
+
+        before = np.maximum(np.arange(len(of)) - 1, 0)
+        entry, rounds = np.where(first, known, maps(of, np.zeros(len(of), np.int64))[0][before]), 0
+        while True:
+            left, counts = maps(of, entry)
+            want = np.where(first, known, left[before])
+            wrong = want != entry
+            if not wrong.any():
+                return left, counts
+            entry, rounds = want, rounds + 1
+            if rounds % ROUNDS == 0:
+                self._compose(maps, of, first, wrong, entry)
+
+    def _compose(self, maps, of: np.ndarray, first: np.ndarray, wrong: np.ndarray, entry: np.ndarray) -> None:
+        """Set the entries of runs of chunks that aren't settled, by a scan that composes maps; not if they reach too many states."""
+        run = np.cumsum(first) - 1
+        rows = np.flatnonzero(np.isin(run, run[wrong]))
+        kinds, kind = np.unique(of[rows], return_inverse=True)
+        states = np.unique(entry[rows])
+        while len(kinds) * len(states) <= COMPOSED and len(rows) * len(states) <= 100 * COMPOSED:
+            left = maps(np.repeat(kinds, len(states)), np.tile(states, len(kinds)))[0].reshape(len(kinds), -1)
+            reached = np.union1d(states, left)
+            if len(reached) == len(states):
+                break
+            states = reached
+        else:
+            return
+        to = np.searchsorted(states, left)[kind]  # of each chunk, from the place of its entry to that of its exit
+        starts = np.flatnonzero(first[rows])
+        nth = np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows)))
+        step = 1
+        while step <= nth.max():
+            later = np.flatnonzero(nth >= step)
+            to[later] = np.take_along_axis(to[later], to[later - step], axis=1)
+            step *= 2
+        begun = np.searchsorted(states, entry[rows[starts]])[np.cumsum(first[rows]) - 1]
+        inner = np.flatnonzero(nth > 0)
+        entry[rows[inner]] = states[to[inner - 1, begun[inner]]]
+
     def count_all(self, texts: list[str]) -> Iterator[int]:
         """Tokens of each text; an added token inside a text counts once, and what stands on either side is a text of its own."""
         cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None

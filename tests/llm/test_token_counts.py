@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from kelpmill.llm import token_counts as tc
 from kelpmill.llm.vocabulary import place, tokenizer
 
@@ -23,6 +25,22 @@ def test_all_classes_and_long_pieces():
     assert list(tc.transducer(place(tc.VOCABULARY)).count_all(texts)) == wanted(texts)
 
 
+def test_planes_above_and_long_runs():
+    texts = ["".join(map(chr, range(k, k + 256))) for k in [*range(0xE000, 0x32400, 256), *range(0xE0000, 0xE0200, 256)]]
+    draw = random.Random(5)
+    texts += ["x" * 300_000, "ab" * 60_000, "漢" * 40_000, "aaab" * 30_000 + " b", "".join(draw.choice("abcdefgh") for _ in range(60_000)), "".join(draw.choice("ab") for _ in range(20_000)) * 3]
+    assert list(tc.transducer(place(tc.VOCABULARY)).count_all(texts)) == wanted(texts)
+
+
+@pytest.mark.parametrize("rounds,composed", [(1, 50_000), (1, 10)])
+def test_composed_or_not(monkeypatch, rounds, composed):
+    monkeypatch.setattr(tc, "ROUNDS", rounds)
+    monkeypatch.setattr(tc, "COMPOSED", composed)
+    draw = random.Random(7)
+    texts = ["x" * 9_000 + " y" + "z" * 5_000, "ab" * 4_000, "".join(draw.choice("ab") for _ in range(9_000)), "é" * 3_000, " " * 7_000, "=" * 5_001]
+    assert list(tc.Transducer(place(tc.VOCABULARY)).count_all(texts)) == wanted(texts)
+
+
 def test_table_made_anew():
     machine = tc.Transducer(place(tc.VOCABULARY), max_states=50)
     texts = [f"some{k} words{k * 7} and others" for k in range(50)]
