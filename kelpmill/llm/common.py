@@ -14,18 +14,19 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that the cluster shares and read it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a temporary one if Spark runs in this one process, as in tests; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-")
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary one is made if Spark runs in this
-    one process, as in tests; on a cluster that is an error.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder that the cluster shares and read it from there."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local($|\[)", context.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 

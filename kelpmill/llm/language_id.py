@@ -181,10 +181,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def excerpts_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """At most per_language documents of each language, those with the smallest draws, EXCERPTS windows of each."""
+    """At most per_language documents of each language, those with the smallest draws, EXCERPTS windows of each.
+
+    A draw is by id and text: rows that share an id (or have none) are drawn by their texts, and rows that are equal in both
+    are drawn alike. The rows of a language's smallest draw are always in.
+    """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = rows.withColumn("draw", draw(F.col("id"), "language")).join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang").where(F.col("draw") * F.col("n") < 2 * per_language + 20)
+    rows = rows.withColumn("draw", draw(F.concat_ws("#", F.col("id").cast("string"), F.xxhash64("text").cast("string")), "language"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least"))
+    drawn = rows.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang").where((F.col("draw") * F.col("n") < 2 * per_language + 20) | (F.col("draw") == F.col("least")))
     cut = lambda k: F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1).cast("int"), WINDOW)
     drawn = drawn.select("lang", "draw", F.array(*map(cut, range(EXCERPTS))).alias("cuts"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "cuts"))

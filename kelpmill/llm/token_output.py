@@ -3,12 +3,15 @@
 A shard is one row of a Parquet table: its place in the order, the number of its documents and ids, and one binary
 value, laid out as below (little-endian). The payload is raw ids, two or four bytes each.
 
-    magic 4 bytes | width u4 | documents u4 | buckets u4 | ids u8
-    seed u4 for each bucket, or flag and slot of its only key | slot: fingerprint u4, document u4 | document: end u8 | key: end u4, key bytes | payload
+    magic 4 bytes | width u4 | documents u4 | keys u4 | buckets u4 | ids u8
+    seed u4 for each bucket, or flag and slot of its only key | slot: fingerprint u4, document u4 | document: end u8 | key of a document: end u4, key bytes | payload
 
-A key is the document's id as text, `#` and how many rows before it in order have the same id. Its hash names a bucket
-and, with the bucket's seed, a slot that no other key of the shard has; the slot holds 32 more bits of the hash, so a key
-that isn't there is found out but for one in 2**32.
+A key is a document's id as text. Its hash names a bucket and, with the bucket's seed, a slot that no other key of the
+shard has; the slot holds 32 more bits of the hash and the first document of that key, whose stored key is compared too.
+Documents of one id stand next to each other, in one shard or in several that follow each other.
+
+Beside the shards is a directory, a small table of each shard's file, first and last id, so a lookup reads only the files
+that may hold its keys.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-from .vocabulary import piece_encoder, place, tokenizer
+from .common import checkpoint_folder, shuffle_partitions
+from .vocabulary import RUN, piece_encoder, place, tokenizer
+from .words import slices
 
-MAGIC = b"TKS1"
-HEAD = struct.Struct("<4sIIIQ")
+MAGIC = b"TKS2"
+HEAD = struct.Struct("<4sIIIIQ")
 END_ID = 2
 #: A shard is closed at so many ids; a longer document makes a longer shard.
 SHARD_IDS = 500_000
@@ -87,15 +91,16 @@ def perfect_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(keys: list[bytes], ids: list[bytes], width: int) -> bytes:
-    hashed = [_hashed(k) for k in keys]
+    firsts = [k for k, key in enumerate(keys) if not k or key != keys[k - 1]]
+    hashed = [_hashed(keys[k]) for k in firsts]
     hashes = np.array([h for h, _ in hashed], np.uint64)
     seeds, slots = perfect_hash(hashes)
-    index = np.zeros((len(keys), 2), "<u4")
+    index = np.zeros((len(firsts), 2), "<u4")
     index[slots, 0] = [f for _, f in hashed]
-    index[slots, 1] = np.arange(len(keys))
+    index[slots, 1] = firsts
     ends = np.cumsum([len(i) // width for i in ids]).astype("<u8")
     key_ends = np.cumsum([len(k) for k in keys]).astype("<u4")
-    head = HEAD.pack(MAGIC, width, len(keys), len(seeds), int(ends[-1]))
+    head = HEAD.pack(MAGIC, width, len(keys), len(firsts), len(seeds), int(ends[-1]))
     return b"".join([head, seeds.astype("<u4").tobytes(), index.tobytes(), ends.tobytes(), key_ends.tobytes(), *keys, *ids])
 
 
@@ -103,12 +108,12 @@ class Shard:
     """A shard's index over its bytes, which are not copied."""
 
     def __init__(self, data: bytes):
-        magic, self.width, self.n, buckets, self.n_ids = HEAD.unpack_from(data)
+        magic, self.width, self.n, self.n_keys, buckets, self.n_ids = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard")
         view, at = memoryview(data), HEAD.size
         parts = []
-        for kind, count in (("<u4", buckets), ("<u4", 2 * self.n), ("<u8", self.n), ("<u4", self.n)):
+        for kind, count in (("<u4", buckets), ("<u4", 2 * self.n_keys), ("<u8", self.n), ("<u4", self.n)):
             parts.append(np.frombuffer(data, kind, count, at))
             at += count * int(kind[2])
         self.seeds, self.index, self.ends, key_ends = parts
@@ -118,18 +123,24 @@ class Shard:
     def key(self, document: int) -> bytes:
         return bytes(self.keys[self.key_ends[document] : self.key_ends[document + 1]])
 
-    def find(self, key: bytes) -> int | None:
-        """The document's place in the shard, in constant time."""
-        found = int(self.find_all([key])[0]) if self.n else -1
-        return found if found >= 0 else None
+    def find(self, key: bytes) -> range:
+        """The places of the documents of a key in the shard: the first one in constant time, the others stand behind it."""
+        return self.find_at(int(self.find_all([key])[0]) if self.n else -1)
+
+    def find_at(self, first: int) -> range:
+        last = first
+        while 0 <= last < self.n and self.key(last) == self.key(first):
+            last += 1
+        return range(first, last)
 
     def find_all(self, keys: list[bytes]) -> np.ndarray:
-        """The places of several keys; -1 where a key isn't there."""
+        """The first places of several keys; -1 where a key isn't there, by its fingerprint or by the key that is stored."""
         hashed = [_hashed(k) for k in keys]
         h = np.array([x for x, _ in hashed], np.uint64)
         seeds = self.seeds[((h >> np.uint64(40)) % np.uint64(len(self.seeds))).astype(np.int64)]
-        index = self.index.reshape(-1, 2)[np.minimum(_slots(h, seeds, self.n), self.n - 1)]
-        return np.where(index[:, 0] == np.array([f for _, f in hashed], np.uint32), index[:, 1].astype(np.int64), -1)
+        index = self.index.reshape(-1, 2)[np.minimum(_slots(h, seeds, self.n_keys), self.n_keys - 1)]
+        found = np.where(index[:, 0] == np.array([f for _, f in hashed], np.uint32), index[:, 1].astype(np.int64), -1)
+        return np.array([d if d >= 0 and self.key(d) == k else -1 for d, k in zip(found.tolist(), keys, strict=True)], np.int64)
 
     def start(self, document: int) -> int:
         return int(self.ends[document - 1]) if document else 0
@@ -141,8 +152,9 @@ class Shard:
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int | None = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode the texts and write them as shards to path, in ascending order of id_col, a null id last.
 
-    Rows with one id are told apart by their order by the text's hash, then the text; each has its key. Null texts count as
-    empty. A range sort deals out the rows, so a partition holds a run of ids, and each task holds one shard at a time.
+    Rows with one id are in the order of the text's hash, then the text; they share its key, and a null id's key is `null`.
+    Null texts count as empty. A range sort by id and hash deals out the rows, so rows of one id are several tasks' work, if
+    there are many, and each task holds one shard at a time. The directory is written to path with `-directory` behind it.
     """
     from_file = place(vocabulary)
     width = 2 if max(tokenizer(from_file).get_vocab_size(), (end_id or 0) + 1) <= 65536 else 4
@@ -150,22 +162,23 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     n = max(shuffle_partitions(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_last()).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), "text", "id")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(from_file, width)
-        keys, ids, held, before, nth, part, last, again = [], [], 0, 0, 0, 0, None, 0
+        keys, ids, held, before, nth, part, first, last = [], [], 0, 0, 0, 0, None, None
 
         def closed() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(keys, ids, width)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "nth", "before", "n_ids", "data"])
-
-        for batch in batches:
-            texts, part = batch.column(2).to_pylist(), batch.column(0)[0].as_py() if batch.num_rows else part
-            for key, got in zip(batch.column(1).to_pylist(), encoder.encode(texts), strict=True):
-                again = again + 1 if key == last else 0
-                last = key
-                keys.append(f"{key}#{again}".encode())
+            columns = [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), first, last, pa.array([pack(keys, ids, width)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "nth", "before", "n_ids", "first", "last", "data"])
+
+        for batch in slices(batches, 2, RUN):
+            part = batch.column(0)[0].as_py()
+            for k, (key, got) in enumerate(zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist()), strict=True)):
+                last = batch.column(3).slice(k, 1)
+                first = last if not keys else first
+                keys.append(key.encode())
                 ids.append(got + end)
                 held += len(ids[-1]) // width
                 if held >= shard_ids:
@@ -174,8 +187,10 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if keys:
             yield closed()
 
-    made = rows.mapInArrow(shards, "part int, nth int, before long, n_ids long, data binary")
+    made = rows.mapInArrow(shards, f"part int, nth int, before long, n_ids long, first {kind}, last {kind}, data binary")
     made.write.option("compression", "zstd").parquet(path)
+    files = docs.sparkSession.read.parquet(path).select("part", "nth", "first", "last", F.input_file_name().alias("file"))
+    files.write.parquet(f"{path}-directory")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -200,44 +215,49 @@ def read_documents(shards: DataFrame) -> DataFrame:
             for before, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(data.as_buffer())
                 keys = [shard.key(d) for d in range(shard.n)]
-                found = shard.find_all(keys)
-                if (found != np.arange(shard.n)).any():
+                found = [d for at in shard.find_all(list(dict.fromkeys(keys))).tolist() for d in shard.find_at(at)]
+                if found != list(range(shard.n)):
                     raise ValueError("a key isn't where the index says")
-                ids = [shard.ids(d) for d in found.tolist()]
-                columns = [pa.array([k.decode() for k in keys]), pa.array([before + shard.start(d) for d in found.tolist()], pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())]
+                ids = [shard.ids(d) for d in found]
+                columns = [pa.array([k.decode() for k in keys]), pa.array([before + shard.start(d) for d in found], pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "start", "n_tokens", "ids_crc32"])
 
     placed = shards.join(F.broadcast(_starts(shards)), "part").select((F.col("start") + F.col("before")).alias("at"), "data")
     return placed.mapInArrow(documents, "key string, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(shards: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, ids) of the keys that the shards hold; each shard is asked through its index."""
-    wanted = [k.encode() for k in keys]
+def lookup(spark: SparkSession, path: str, keys: list) -> DataFrame:
+    """(key, ids) of every document with one of the ids, None among them; the directory names the files, each shard there is asked through its index."""
+    wanted = ["null".encode() if k is None else str(k).encode() for k in keys]
+    directory = spark.read.parquet(f"{path}-directory")
+    asked = spark.createDataFrame([(k,) for k in keys], f"asked {directory.schema['first'].dataType.simpleString()}")
+    # Nulls are last: a shard with any ends with one.
+    meets = F.when(F.col("asked").isNull(), F.col("last").isNull()).otherwise((F.col("first") <= F.col("asked")) & (F.col("last").isNull() | (F.col("last") >= F.col("asked"))))
+    files = [r["file"] for r in directory.join(F.broadcast(asked), meets).select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "key string, ids array<long>")
+    shards = spark.read.parquet(*files)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 shard = Shard(data.as_buffer())
-                hits = [(k, d) for k in wanted if (d := shard.find(k)) is not None]
+                hits = [(k, d) for k in wanted for d in shard.find(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k, _ in hits], pa.string()), pa.array([shard.ids(d).tolist() for _, d in hits], pa.list_(pa.int64()))], ["key", "ids"])
 
     return shards.select("data").mapInArrow(found, "key string, ids array<long>")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder, which all executors share."""
-    from .common import settle
-
-    settle(spark.range(0))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+    """A new folder below the checkpoint folder, which all executors share; whoever asks for it clears it away."""
+    return f"{checkpoint_folder(spark)}/shards-{uuid.uuid4().hex}"
 
 
 def op9_token_output(spark, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     back = read_documents(read_shards(spark, path))
-    return back.select(F.split("key", "#")[0].try_cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return back.select(F.col("key").try_cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op9_token_output": (op9_token_output, None)}

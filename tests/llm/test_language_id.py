@@ -58,6 +58,49 @@ def test_sample_is_bounded(spark):
     assert {lang for lang, _ in found} == {"x", "y"} and len(found) <= 2 * 30 * li.EXCERPTS
 
 
+def plain(net, body):
+    """One byte after another, one document at a time."""
+    h, data = net.forward.back.shape[0], body.encode()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def walk(d, part):
+        state, out = np.zeros(h), []
+        for b in part:
+            read, old = d.table[b].astype(float), state @ d.back
+            update, reset = sigmoid(read[:h] + old[:h]), sigmoid(read[h : 2 * h] + old[h : 2 * h])
+            state = update * state + (1 - update) * np.tanh(read[2 * h :] + reset * old[2 * h :])
+            out.append(state)
+        return out
+
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(data), li.WINDOW):
+        part = data[at : at + li.WINDOW]
+        padded = [*part, *[li.PAD] * (li.WINDOW - len(part))]
+        ahead, back = walk(net.forward, padded), walk(net.backward, padded[::-1])[::-1]
+        for k in range(len(part)):
+            scores = np.exp(np.concatenate([ahead[k], back[k], [1.0]]) @ net.out)
+            total += scores / scores.sum()
+    return total / max(1, len(data))
+
+
+def test_predictions_against_a_plain_pass():
+    draw = random.Random(12)
+    net = li.train([(lang, text(draw, lang, 20).encode()) for lang in "xyz" for _ in range(30)], epochs=2)
+    texts = [text(draw, draw.choice("xyz"), n) for n in (1, 2, 7, 15, 40, 90)] + ["é", "12 34", ""]
+    for body, lang, score in zip(texts, *li.predict(net, texts), strict=True):
+        want = plain(net, body)
+        if any(map(str.isalpha, body)):
+            assert score == pytest.approx(want.max(), abs=1e-4) and want[net.languages.index(lang)] == pytest.approx(want.max(), abs=1e-4)
+        else:
+            assert (lang, score) == ("und", 0.0)
+
+
+def test_rows_of_one_id_and_equal_rows_are_drawn(spark):
+    docs = cases.documents(spark, [(None, f"text {k}", "x", "s", 0) for k in range(1200)] + [(next(k for k in range(9) if zlib.crc32(str(k).encode()) % 4 != 2), "ever the same", "y", "s", 0)] * 1200)
+    found = li.excerpts_of(docs, "doc_id", "text", "lang", per_language=30)
+    assert len({t for lang, t in found if lang == "x"}) == 30 and {t for lang, t in found if lang == "y"} == {b"ever the same"}
+
+
 def test_cases(spark):
     net = li.train(li.excerpts_of(cases.clashing(spark), "doc_id", "text", "lang"), epochs=1)
     for r, (_, body, *_) in zip(li.identify(cases.clashing(spark), net).collect(), cases.documents(spark).collect(), strict=True):

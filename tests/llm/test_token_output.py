@@ -26,19 +26,43 @@ def test_round_trip(spark, tmp_path):
     want, start = brute([r[1] for r in rows]), 0
     got = {r.key: (r.start, r.n_tokens, r.ids_crc32) for r in out.read_documents(shards).collect()}
     for k, ids in enumerate(want):
-        assert got[f"{k}#0"] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert got[f"{k}"] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert shards.agg(F.sum("n_ids")).first()[0] == start
-    asked = {r.key: list(r.ids) for r in out.lookup(shards, ["3#0", "399#0", "400#0", "x"]).collect()}
-    assert asked == {"3#0": want[3], "399#0": want[399]}
+    asked = {r.key: list(r.ids) for r in out.lookup(spark, str(tmp_path / "s"), [3, 399, 400, -1, None]).collect()}
+    assert asked == {"3": want[3], "399": want[399]}
+    assert out.lookup(spark, str(tmp_path / "s"), [400]).count() == 0
+
+
+def test_a_hot_id_is_several_tasks_work(spark, tmp_path):
+    rows = [(5 if k % 3 else k, f"text {k} of many", None, None, None) for k in range(600)]
+    out.write_shards(cases.documents(spark, rows), str(tmp_path / "s"), shard_ids=200)
+    shards = out.read_shards(spark, str(tmp_path / "s"))
+    assert shards.where("first = 5 and last = 5").select("part").distinct().count() > 1
+    found = out.lookup(spark, str(tmp_path / "s"), [5, 9]).collect()
+    want = brute([r[1] for r in rows])
+    assert sorted(list(r.ids) for r in found if r.key == "5") == sorted(w for w, r in zip(want, rows, strict=True) if r[0] == 5)
+    assert [list(r.ids) for r in found if r.key == "9"] == [want[9]]
+    assert out.read_documents(shards).count() == 600
+
+
+def test_absent_keys_are_told_apart_by_the_stored_key():
+    data = out.pack([b"a", b"b", b"b", b"c"], [b"\1\0", b"\2\0", b"\3\0", b""], 2)
+    shard = out.Shard(data)
+    assert [list(shard.find(k)) for k in (b"a", b"b", b"c", b"d")] == [[0], [1, 2], [3], []]
+    fake = out.Shard(data)
+    fake.index = fake.index.copy()
+    fake.index[::2] = out._hashed(b"d")[1]
+    assert list(fake.find(b"d")) == []
 
 
 def test_cases(spark, tmp_path):
     out.write_shards(cases.clashing(spark), str(tmp_path / "s"))
     rows = out.read_documents(out.read_shards(spark, str(tmp_path / "s"))).orderBy("start").collect()
-    assert [r.key for r in rows] == ["1#0", "2#0", "2#1", "3#0", "4#0", "5#0", "6#0", "7#0", "8#0", "null#0", "null#1"]
-    by_key = dict(zip([r.key for r in rows], [r.n_tokens for r in rows], strict=True))
-    assert by_key["3#0"] == by_key["4#0"] == 1 and sorted([by_key["null#0"], by_key["null#1"]])[0] == 1
+    assert [r.key for r in rows] == ["1", "2", "2", "3", "4", "5", "6", "7", "8", "null", "null"]
+    sizes = [r.n_tokens for r in rows]
+    assert sizes[3] == sizes[4] == 1 and min(sizes[-2:]) == 1
+    assert out.lookup(spark, str(tmp_path / "s"), [2, None]).count() == 4
     out.write_shards(cases.empty(spark), str(tmp_path / "e"))
     assert out.read_documents(out.read_shards(spark, str(tmp_path / "e"))).count() == 0
 
