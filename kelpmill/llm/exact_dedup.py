@@ -85,7 +85,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps; of rows repeated with one id and text, one."""
+    """The rows of docs that exact_duplicates keeps; of rows repeated with one id and text, the one whose other columns have the smallest hash."""
     found = settle(exact_duplicates(docs, id_col, text_col, **kwargs).select(F.col(id_col).alias("gone_id"), F.col("raw").alias("gone_raw"), "kept"))
     pairs = settle(found.groupBy("gone_id", "gone_raw").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("raw"))
@@ -93,7 +93,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = join_counted(rows, pairs, same, "left_anti").select("doc")
     again = pairs.where("kept")
     if not again.isEmpty():
-        out = out.unionByName(join_counted(rows, again, same).dropDuplicates(["id", "raw"]).select("doc"))
+        order = F.xxhash64(*[F.col("doc")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()])
+        out = out.unionByName(join_counted(rows, again, same).groupBy("id", "raw").agg(F.min_by("doc", order).alias("doc")).select("doc"))
     return out.select("doc.*")
 
 
