@@ -76,7 +76,9 @@ def stream_index(documents: DataFrame, table: VersionedTable, checkpoint: str, m
     arriving = index.points(documents)
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.dropDuplicates(["id"]).persist()
+        # Of a batch's requests for one point the greatest by address and metadata counts, so a replay gives the same.
+        rest = F.struct("file_url", "metadata", *[c for c in rows.columns if c not in ("id", "file_url", "metadata")])
+        rows = rows.groupBy("id").agg(F.max(rest).alias("r")).select("id", "r.*").persist()
         vectors = index.embed_texts(rows.select("id", "text"), "id", "text", model)
         new = rows.join(vectors, "id").withColumn("seq", F.lit(number).cast("long"))
         table.upsert(new.select([c.split()[0] for c in INDEX_SCHEMA.split(", ")]), number, index.index_upsert)
