@@ -27,8 +27,8 @@ from .common import shuffle_partitions
 PACK_CHARS = 65_536
 #: Conversations after which a pack is closed: equal ones add no characters.
 PACK_CONVERSATIONS = 2_048
-#: Turns by which conversations are sorted. Inside a pack shared turns are merged at any depth.
-SORT_TURNS = 8
+#: Turns by which conversations are dealt to tasks; in a task they are sorted by all their turns.
+DEAL_TURNS = 64
 LOSS_ROLE = "assistant"
 END = "</turn>\n"
 _HEAD = re.compile(r"<turn ([^>]*)>\n")
@@ -131,9 +131,9 @@ def format_trees(turns: DataFrame, id_col: str = "conv_id", pack_chars: int = PA
     other by role and text, repeated rows too. Other columns are ignored. No turns give no packs.
     """
     convs = conversations_of(turns, id_col)
-    path = F.aggregate(F.slice("turns", 1, SORT_TURNS), F.array().cast("array<bigint>"), lambda acc, t: F.concat(acc, F.array(F.xxhash64(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), t["role"], t["text"]))))
+    path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
     n = shuffle_partitions(turns.sparkSession)
-    dealt = convs.withColumn("path", path).repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    dealt = convs.withColumn("path", path).repartitionByRange(n, F.slice("path", 1, DEAL_TURNS), "conv_id").sortWithinPartitions("path", "conv_id")
     rows = dealt.select(F.spark_partition_id().alias("part"), "conv_id", "turns.role", "turns.text")
     schema = PACK.format(id=rows.schema["conv_id"].dataType.simpleString())
 
