@@ -1,77 +1,67 @@
 """Incremental jobs: documents and edge requests arrive as streams, tables are kept as folders of Parquet.
 
-A table is a folder of versions; a batch writes the next one, named by the batch's number, and readers take the latest that was
-finished. A batch that runs again after a failure writes its version again from the one before, so nothing is counted twice.
-Rows are laid out in hash partitions of the key; a batch rewrites only the partitions that it touches and the new
-version's list names the others where they are.
+A table is one folder for each batch of its stream; readers take each key's row of the latest batch, in one aggregation.
+A batch that runs again after a failure overwrites its own folder, so nothing is counted twice, and the work of a batch
+goes with its rows, not with the table. A table belongs to one checkpoint, whose batches it numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import graph, index
 
-PARTITIONS = 16
 
+class KeyedTable:
+    """Rows by key in a folder that Spark can read and write."""
 
-class VersionedTable:
-    """A keyed table in a folder that Spark can read and write; merge gets the old and new rows of touched partitions."""
+    def __init__(self, path: str, schema: str, key: list[str]):
+        self.path, self.schema, self.key = path, schema, key
 
-    def __init__(self, path: str, schema: str, key: list[str], partitions: int = PARTITIONS):
-        self.path, self.schema, self.key, self.partitions = path, schema, key, partitions
-
-    def _list(self, spark: SparkSession, before: int | None) -> list[tuple[int, int]]:
-        """(partition, version that holds it) as of the latest finished version, or the latest below before."""
+    def read(self, spark: SparkSession) -> DataFrame:
+        """One row for each key: that of the latest batch. Before the first batch there are none."""
+        none = spark.createDataFrame([], self.schema)
         try:
-            rows = spark.read.schema("version long, part int, held long").parquet(f"{self.path}/list")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+            rows = spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
-        if before is not None:
-            rows = rows.where(F.col("version") < before)
-        latest = rows.agg(F.max("version")).first()[0]
-        return [(r["part"], r["held"]) for r in rows.where(F.col("version") == latest).collect()] if latest is not None else []
+            return none
+        rest = [c for c in none.columns if c not in self.key]
+        if not rest:
+            return rows.select(none.columns).distinct()
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*self.key, "r.*").select(none.columns)
 
-    def _rows(self, spark: SparkSession, held: list[tuple[int, int]]) -> DataFrame:
-        if not held:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(*[f"{self.path}/data/version={v}/part={p}" for p, v in held])
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        return self._rows(spark, self._list(spark, None))
+    def upsert(self, new: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Writes a batch; merge makes one row of those that it has for one key."""
+        none = new.sparkSession.createDataFrame([], self.schema)
+        merge(none, new.select(none.columns)).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
-    def upsert(self, new: DataFrame, version: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        spark = new.sparkSession
-        part = F.pmod(F.xxhash64(*self.key), F.lit(self.partitions)).cast("int")
-        touched = {r["part"] for r in new.select(part.alias("part")).distinct().collect()}  # at most self.partitions numbers
-        held = self._list(spark, version)
-        old = self._rows(spark, [(p, v) for p, v in held if p in touched])
-        merged = merge(old, new).withColumn("part", part)
-        merged.repartition(self.partitions, "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/version={version}")
-        rows = [(p, v) for p, v in held if p not in touched] + [(p, version) for p in sorted(touched)]
-        if rows:
-            spark.createDataFrame(rows, "part int, held long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list/version={version}")
+    def compact(self, spark: SparkSession, path: str) -> KeyedTable:
+        """The table as it is now in a new folder, as batch -1 of a next one: a job whose tasks follow the data. For use between two runs of a stream."""
+        small = KeyedTable(path, self.schema, self.key)
+        self.read(spark).write.mode("overwrite").parquet(f"{path}/batch=-1")
+        return small
 
 
 INDEX_SCHEMA = "id string, document_id string, entity_id string, file_url string, chunk_index int, text string, metadata string, vector array<double>, seq long"
 EDGE_SCHEMA = ", ".join(f"{c} string" for c in graph.EDGE)
 
 
-def index_table(path: str) -> VersionedTable:
-    return VersionedTable(path, INDEX_SCHEMA, ["id"])
+def index_table(path: str) -> KeyedTable:
+    return KeyedTable(path, INDEX_SCHEMA, ["id"])
 
 
-def edge_table(path: str) -> VersionedTable:
-    return VersionedTable(path, EDGE_SCHEMA, graph.EDGE)
+def edge_table(path: str) -> KeyedTable:
+    return KeyedTable(path, EDGE_SCHEMA, graph.EDGE)
 
 
-def stream_index(documents: DataFrame, table: VersionedTable, checkpoint: str, model=None) -> StreamingQuery:
+def stream_index(documents: DataFrame, table: KeyedTable, checkpoint: str, model=None) -> StreamingQuery:
     """Index arriving documents: chunks are made on the stream, vectors and the upsert in each batch."""
     arriving = index.points(documents)
 
@@ -87,7 +77,7 @@ def stream_index(documents: DataFrame, table: VersionedTable, checkpoint: str, m
     return documents_writer(arriving, checkpoint, batch)
 
 
-def stream_relate(requests: DataFrame, nodes: Callable[[], DataFrame], table: VersionedTable, rejects: str, checkpoint: str) -> StreamingQuery:
+def stream_relate(requests: DataFrame, nodes: Callable[[], DataFrame], table: KeyedTable, rejects: str, checkpoint: str) -> StreamingQuery:
     """Add arriving edges whose two nodes are there by then; the others go to rejects with a reason, by batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
