@@ -26,18 +26,26 @@ def _list(x: Column) -> Column:
     return F.coalesce(x, F.array().cast("array<string>"))
 
 
+def _label(label: Column, key: Column) -> Column:
+    """The label, or the key where there is none; one of white space alone is there, and becomes empty."""
+    return strip(F.coalesce(nullif_empty(label), key))
+
+
+def _kind(x: Column) -> Column:
+    return F.lower(strip(F.coalesce(nullif_empty(x), F.lit("string"))))
+
+
 def global_items(catalog: DataFrame) -> DataFrame:
     """Normalized global attributes, with _id and domain; keys may be blank."""
     key = strip(or_empty(F.col("attribute_key")))
-    kind = F.lower(strip(F.coalesce(nullif_empty(F.col("type")), F.lit("string"))))
-    return catalog.select("_id", "domain", key.alias("attribute_key"), F.coalesce(nullif_empty(strip(F.col("label"))), key).alias("label"), kind.alias("type"), _list(F.col("enum_values")).alias("enum_values"), F.coalesce("required_default", F.lit(False)).alias("required_default"), _list(F.col("tags")).alias("tags"), F.coalesce("priority", F.lit(0)).alias("priority"), F.lit("global").alias("source"), F.lit(None).cast("string").alias("validation_rules"))
+    return catalog.select("_id", "domain", key.alias("attribute_key"), _label(F.col("label"), key).alias("label"), _kind(F.col("type")).alias("type"), _list(F.col("enum_values")).alias("enum_values"), F.coalesce("required_default", F.lit(False)).alias("required_default"), _list(F.col("tags")).alias("tags"), F.coalesce("priority", F.lit(0)).alias("priority"), F.lit("global").alias("source"), F.lit(None).cast("string").alias("validation_rules"))
 
 
 def custom_items(domain_docs: DataFrame) -> DataFrame:
     """(_id, kind, pos, item...) of the custom attributes that have a name."""
     rows = domain_docs.select("_id", F.posexplode("customAttributes").alias("pos", "c")).where(F.col("c").isNotNull())
     key = strip(or_empty(F.col("c.name")))
-    out = rows.select("_id", F.lit(1).alias("kind"), "pos", key.alias("attribute_key"), F.coalesce(nullif_empty(strip(F.col("c.label"))), key).alias("label"), F.lower(strip(F.coalesce(nullif_empty(F.col("c.type")), F.lit("string")))).alias("type"), _list(F.col("c.enumValues")).alias("enum_values"), F.coalesce("c.required", F.lit(False)).alias("required_default"), _list(F.lit(None)).alias("tags"), F.coalesce("c.priority", F.lit(0)).alias("priority"), F.lit("domain_custom").alias("source"), F.coalesce("c.validationRules", F.lit("{}")).alias("validation_rules"))
+    out = rows.select("_id", F.lit(1).alias("kind"), "pos", key.alias("attribute_key"), _label(F.col("c.label"), key).alias("label"), _kind(F.col("c.type")).alias("type"), _list(F.col("c.enumValues")).alias("enum_values"), F.coalesce("c.required", F.lit(False)).alias("required_default"), _list(F.lit(None)).alias("tags"), F.coalesce("c.priority", F.lit(0)).alias("priority"), F.lit("domain_custom").alias("source"), F.coalesce("c.validationRules", F.lit("{}")).alias("validation_rules"))
     return out.where("attribute_key <> ''")
 
 
@@ -51,10 +59,15 @@ def resolve_refs(domain_docs: DataFrame, items: DataFrame) -> DataFrame:
     by_key = items.groupBy(F.col("attribute_key").alias("ref_key")).agg(F.min_by(item, "_id").alias("of_key"))
     found = refs.join(by_id, "ref_id", "left").join(by_key, "ref_key", "left").withColumn("g", F.coalesce("of_id", "of_key")).where("g is not null")
     over = lambda x, base: F.coalesce(nullif_empty(x), base)
-    out = found.select("_id", F.lit(0).alias("kind"), "pos", F.col("g.attribute_key").alias("attribute_key"), over(F.col("r.label"), F.col("g.label")).alias("label"), F.lower(over(F.col("r.type"), F.col("g.type"))).alias("type"), F.when(F.size("r.enumValues") > 0, F.col("r.enumValues")).otherwise(F.col("g.enum_values")).alias("enum_values"), F.coalesce("r.required", "g.required_default").alias("required_default"), F.col("g.tags").alias("tags"), F.col("g.priority").alias("priority"), F.lit("domain_ref").alias("source"), F.coalesce("r.validationRules", "g.validation_rules").alias("validation_rules"))
+    out = found.select("_id", F.lit(0).alias("kind"), "pos", F.col("g.attribute_key").alias("attribute_key"), strip(over(F.col("r.label"), F.col("g.label"))).alias("label"), F.lower(strip(over(F.col("r.type"), F.col("g.type")))).alias("type"), F.when(F.size("r.enumValues") > 0, F.col("r.enumValues")).otherwise(F.col("g.enum_values")).alias("enum_values"), F.coalesce("r.required", "g.required_default").alias("required_default"), F.col("g.tags").alias("tags"), F.col("g.priority").alias("priority"), F.lit("domain_ref").alias("source"), F.coalesce("r.validationRules", "g.validation_rules").alias("validation_rules"))
     return out.where("attribute_key <> ''")
 
 
+def one_doc(domain_docs: DataFrame, by: str) -> DataFrame:
+    """(by, _id): of the catalog documents that share it, the one with the smallest _id."""
+    return domain_docs.groupBy(by).agg(F.min("_id").alias("_id"))
+
+
 def layers(requests: DataFrame, catalog: DataFrame, domain_docs: DataFrame) -> DataFrame:
     """(domain_type, domain_id, layer, kind, pos, item...) for each distinct pair of the requests, which are normalized."""
     asked = requests.select(domain_type(F.col("domain_type")).alias("domain_type"), nullif_empty(F.col("domain_id")).alias("domain_id")).distinct()
@@ -65,7 +78,6 @@ def layers(requests: DataFrame, catalog: DataFrame, domain_docs: DataFrame) -> D
     keys = ["domain_type", "domain_id"]
     zero = typed.join(first, "domain").select(*keys, F.lit(0).alias("layer"), F.lit(0).alias("kind"), "pos", *ITEM)
     own = resolve_refs(domain_docs, items).unionByName(custom_items(domain_docs))
-    one_doc = lambda rows, by: rows.groupBy(by).agg(F.min("_id").alias("_id"))
     defaults = one_doc(domain_docs.where("scope = 'domain_type_default'").withColumnRenamed("domainType", "domain_type"), "domain_type")
     named = one_doc(domain_docs.where("domainId is not null").withColumnRenamed("domainId", "domain_id"), "domain_id")
     one = typed.join(defaults, "domain_type").join(own, "_id").select(*keys, F.lit(1).alias("layer"), "kind", "pos", *ITEM)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -28,14 +28,35 @@ def route(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return requests.where(~short), requests.where(short)
 
 
+def attribute_type(x: Column) -> Column:
+    """A known type in lower case; anything else is a string."""
+    kind = F.lower(strip(or_empty(x)))
+    return F.when(kind.isin(*TYPES), kind).otherwise("string")
+
+
+def required_flag(v: Column) -> Column:
+    """True in JSON, or the text in any case without white space around it."""
+    return F.lower(or_empty(F.try_variant_get(v, "$.required", "string"))) == "true"
+
+
+def enum_values(v: Column) -> Column:
+    """The stripped items of the first list name that is there, without empty ones; what isn't a list gives none."""
+    listed = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ("enum_values", "enumValues", "values")])
+    items = F.coalesce(F.try_variant_get(listed, "$", "array<string>"), F.array().cast("array<string>"))
+    return F.filter(F.transform(items, lambda x: or_empty(strip(x))), lambda x: x != "")
+
+
+def promoted(kind: Column, values: Column) -> Column:
+    """Strings with a list of values are enums."""
+    return F.when((kind == "string") & (F.size(values) > 0), "enum").otherwise(kind)
+
+
 def json_attributes(contents: DataFrame) -> DataFrame:
     """(request_id, pos, attribute...) of the attribute objects in raw, without placeholders."""
     items = F.try_variant_get("raw", "$.attributes", "array<variant>")
     rows = contents.select("request_id", F.posexplode(items).alias("pos", "v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    name, kind = scalar(F.col("v"), "$.name"), F.lower(scalar(F.col("v"), "$.type"))
-    listed = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "variant") for k in ("enum_values", "enumValues", "values")])
-    values = F.filter(F.transform(F.coalesce(F.try_variant_get(listed, "$", "array<string>"), F.array().cast("array<string>")), lambda x: or_empty(strip(x))), lambda x: x != "")
-    rows = rows.select("request_id", "pos", name.alias("name"), F.when(kind.isin(*TYPES), kind).otherwise("string").alias("type"), (F.lower(or_empty(F.try_variant_get("v", "$.required", "string"))) == "true").alias("required"), values.alias("values"))
+    v = F.col("v")
+    rows = rows.select("request_id", "pos", scalar(v, "$.name").alias("name"), attribute_type(scalar(v, "$.type")).alias("type"), required_flag(v).alias("required"), enum_values(v).alias("values"))
     rows = rows.where(~F.lower("name").isin(*PLACEHOLDER_NAMES) & ~F.lower("name").startswith("field_"))
     real = F.filter("values", lambda x: ~F.lower(x).isin(*PLACEHOLDER_VALUES))
     rows = rows.withColumn("enum_values", F.when(F.col("type") == "enum", real).otherwise(F.array().cast("array<string>")))
@@ -66,7 +87,7 @@ def response_attributes(contents: DataFrame) -> DataFrame:
     """Attributes from JSON, or from lines where JSON gives none; strings with values become enums."""
     both = json_attributes(contents).withColumn("kind", F.lit(0)).unionByName(line_attributes(contents).withColumn("kind", F.lit(1)))
     rows = first_by_name(both.withColumn("least", F.min("kind").over(Window.partitionBy("request_id"))).where("kind = least").drop("kind", "least"))
-    return rows.withColumn("type", F.when((F.col("type") == "string") & (F.size("enum_values") > 0), "enum").otherwise(F.col("type")))
+    return rows.withColumn("type", promoted(F.col("type"), F.col("enum_values")))
 
 
 def catalog_attributes(requests: DataFrame) -> DataFrame:
@@ -81,12 +102,16 @@ def merge(catalog: DataFrame, response: DataFrame) -> DataFrame:
     return both.withColumn("nth", F.row_number().over(Window.partitionBy("request_id", "name").orderBy("part"))).where("nth = 1").drop("nth")
 
 
+def collected(merged: DataFrame) -> DataFrame:
+    """(request_id, all): the merged attributes of each request, in order."""
+    return merged.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", *ATTRIBUTE))).alias("all"))
+
+
 def template_results(requests: DataFrame, contents: DataFrame) -> DataFrame:
     """One row for each request with a response; requests come with candidates, contents are of completions without an error."""
     raw = last_key_wins(contents).select("request_id", lenient_json(strip(F.col("content"))).alias("raw"))
     joined = requests.join(raw, "request_id")
-    merged = merge(catalog_attributes(joined), response_attributes(joined))
-    packed = merged.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", *ATTRIBUTE))).alias("all"))
+    packed = collected(merge(catalog_attributes(joined), response_attributes(joined)))
     rows = joined.join(packed, "request_id", "left")
     own_id, own_type = first_present(F.col("raw"), "$.template_id", "$.templateId"), first_present(F.col("raw"), "$.entity_type", "$.entityType")
     use_id = F.lower(own_id).isin(*PLACEHOLDER_IDS) | F.contains(F.lower(own_id), F.lit("lower_snake_case"))

@@ -204,9 +204,13 @@ def dedupe_first_by_name(spark, sf_dir):
     return _shown(templates.response_attributes(_raw(spark, sf_dir)))
 
 
-def merge_template_attrs(spark, sf_dir):
+def merged(spark, sf_dir):
     joined = folders.written_once(_with_candidates(spark, sf_dir).select("request_id", "candidates").join(_raw(spark, sf_dir), "request_id"))
-    rows = templates.merge(templates.catalog_attributes(joined), templates.response_attributes(joined))
+    return templates.merge(templates.catalog_attributes(joined), templates.response_attributes(joined))
+
+
+def merge_template_attrs(spark, sf_dir):
+    rows = merged(spark, sf_dir)
     return rows.select("request_id", "part", F.col("pos").cast("long").alias("pos"), "name", "type", "required", _listed())
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import expressions, generation, incremental, retrieval
+from . import expressions, generation, incremental, retrieval, steps
 
 QUERIES = {}
-for _module in (retrieval, generation, incremental, expressions):
+for _module in (retrieval, generation, incremental, expressions, steps):
     QUERIES |= _module.QUERIES

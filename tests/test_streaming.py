@@ -19,6 +19,10 @@ def test_stream_index_over_batches_and_a_replay(spark, tmp_path):
     again = index.points(spark.createDataFrame(parts[1], DOCS)).withColumns({"vector": F.array(F.lit(1.0)), "seq": F.lit(1).cast("long")})
     table.upsert(again, 1, index.index_upsert)
     assert {r.document_id for r in table.read(spark).collect()} == {"d1", "d2"}
+    small = table.compact(spark, str(tmp_path / "compact"))
+    assert {tuple(r) for r in small.read(spark).select("document_id", "seq").collect()} == {("d1", 1), ("d2", 0)}
+    small.upsert(again.where("document_id = 'd1'").withColumn("text", F.lit("later")), 0, index.index_upsert)
+    assert {(r.document_id, r.text) for r in small.read(spark).collect()} == {("d1", "later"), ("d2", "gamma")}
 
 
 def test_stream_relate(spark, tmp_path):
