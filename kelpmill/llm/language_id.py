@@ -57,17 +57,18 @@ def start(languages: list[str], hidden: int, seed: int) -> Network:
 
 
 def states(d: Direction, symbols: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """The state after each step, for symbols of (step, lane); keep gets what the way back needs."""
+    """The states (step, hidden, lane) after each step, for symbols of (step, lane); keep gets what the way back needs."""
     h = d.back.shape[0]
-    state = np.zeros((symbols.shape[1], h), np.float32)
-    out = np.empty((*symbols.shape, h), np.float32)
+    table, back = np.ascontiguousarray(d.table.T), np.ascontiguousarray(d.back.T)
+    state = np.zeros((h, symbols.shape[1]), np.float32)
+    out = np.empty((len(symbols), *state.shape), np.float32)
     for t, row in enumerate(symbols):
-        read, old = d.table[row], state @ d.back
-        gates = _sigmoid(read[:, : 2 * h] + old[:, : 2 * h])
-        update, reset = gates[:, :h], gates[:, h:]
-        new = np.tanh(read[:, 2 * h :] + reset * old[:, 2 * h :])
+        read, old = table.take(row, axis=1), back @ state
+        gates = _sigmoid(read[: 2 * h] + old[: 2 * h])
+        update, reset = gates[:h], gates[h:]
+        new = np.tanh(read[2 * h :] + reset * old[2 * h :])
         if keep is not None:
-            keep.append((row, state, update, reset, new, old[:, 2 * h :]))
+            keep.append((row, state, update, reset, new, old[2 * h :]))
         state = new + update * (state - new)
         out[t] = state
     return out
@@ -82,38 +83,46 @@ def through_time(d: Direction, keep: list, grad_out: np.ndarray) -> tuple[np.nda
         d_new = grad * (1 - update) * (1 - new * new)
         d_update = grad * (before - new) * update * (1 - update)
         d_reset = d_new * old_new * reset * (1 - reset)
-        read = np.concatenate([d_update, d_reset, d_new], axis=1)
-        old = np.concatenate([d_update, d_reset, d_new * reset], axis=1)
-        np.add.at(table, row, read)
-        back += before.T @ old
-        grad = grad * update + old @ d.back.T
+        read = np.concatenate([d_update, d_reset, d_new])
+        old = np.concatenate([d_update, d_reset, d_new * reset])
+        np.add.at(table, row, read.T)
+        back += before @ old.T
+        grad = grad * update + d.back @ old
     return table, back
 
 
+def chances_of(net: Network, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """(step, language, lane) from the states of both directions at each step."""
+    h = ahead.shape[1]
+    scores = np.ascontiguousarray(net.out[:h].T) @ ahead
+    scores += np.ascontiguousarray(net.out[h:-1].T) @ behind
+    scores += net.out[-1][:, None]
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=1, keepdims=True)
+    return scores
+
+
 def probabilities(net: Network, symbols: np.ndarray) -> np.ndarray:
-    """(step, lane, language)."""
-    both = np.concatenate([states(net.forward, symbols), states(net.backward, symbols[::-1])[::-1]], axis=2)
-    scores = both @ net.out[:-1] + net.out[-1]
-    scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-    return scores / scores.sum(axis=2, keepdims=True)
+    """(step, language, lane)."""
+    return chances_of(net, states(net.forward, symbols), states(net.backward, symbols[::-1])[::-1])
 
 
 def gradients(net: Network, symbols: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """(mean loss over the positions that aren't padding, gradients in the order of weights())."""
     kept = [], []
-    both = np.concatenate([states(net.forward, symbols, kept[0]), states(net.backward, symbols[::-1], kept[1])[::-1]], axis=2)
-    scores = both @ net.out[:-1] + net.out[-1]
-    scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-    chances = scores / scores.sum(axis=2, keepdims=True)
-    real = (symbols != PAD)[:, :, None].astype(np.float32)
-    wanted = np.eye(len(net.languages), dtype=np.float32)[labels][None]
-    loss = float(-(np.log(np.maximum((chances * wanted).sum(axis=2), 1e-12)) * real[:, :, 0]).sum() / real.sum())
+    ahead, behind = states(net.forward, symbols, kept[0]), states(net.backward, symbols[::-1], kept[1])[::-1]
+    chances = chances_of(net, ahead, behind)
+    real = (symbols != PAD)[:, None].astype(np.float32)
+    wanted = np.eye(len(net.languages), dtype=np.float32)[:, labels][None]
+    loss = float(-(np.log(np.maximum((chances * wanted).sum(axis=1), 1e-12)) * real[:, 0]).sum() / real.sum())
     by_score = (chances - wanted) * real / real.sum()
-    out = np.concatenate([np.einsum("tbi,tbj->ij", both, by_score), by_score.sum(axis=(0, 1))[None]])
-    by_state = by_score @ net.out[:-1].T
+    out = [np.einsum("tib,tjb->ij", both, by_score) for both in (ahead, behind)]
+    out = np.concatenate([*out, by_score.sum(axis=(0, 2))[None]])
+    by_state = net.out[:-1] @ by_score
     h = net.forward.back.shape[0]
-    forward = through_time(net.forward, kept[0], by_state[:, :, :h])
-    backward = through_time(net.backward, kept[1], by_state[::-1, :, h:])
+    forward = through_time(net.forward, kept[0], by_state[:, :h])
+    backward = through_time(net.backward, kept[1], by_state[::-1, h:])
     return loss, [*forward, *backward, out]
 
 
@@ -164,7 +173,7 @@ def predict(net: Network, texts: list[str]) -> tuple[list[str], list[float]]:
         symbols, text = windows(run)
         for k in range(0, symbols.shape[1], LANES):
             part = symbols[:, k : k + LANES]
-            np.add.at(total, at + text[k : k + LANES], (probabilities(net, part) * (part != PAD)[:, :, None]).sum(axis=0))
+            np.add.at(total, at + text[k : k + LANES], (probabilities(net, part) * (part != PAD)[:, None]).sum(axis=0).T)
     best = total.argmax(axis=1) if len(net.languages) else np.zeros(len(texts), int)
     sizes = total.sum(axis=1)
     langs, scores = [], []
