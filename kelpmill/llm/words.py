@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text whose arrays are in memory at once; a longer text takes more only for its words.
 SEGMENT_BYTES = 500_000
+#: Words of more bytes are hashed one by one: the sums below give certain long words one hash, whatever their base.
+SUMMED_BYTES = 64
 
 _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
@@ -47,7 +50,10 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return starts, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > SUMMED_BYTES):
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return starts, hashes
 
 
 class Words(NamedTuple):

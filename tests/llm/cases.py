@@ -4,6 +4,14 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000 + "end."
 
 
+def alike(steps):
+    """Two words of 2**steps letters that sums of powers of an odd number, modulo a power of two, can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
 def documents(spark, rows=None):
     if rows is None:
         rows = [

@@ -141,3 +141,12 @@ def test_megabyte_texts_share_buckets(spark, monkeypatch):
     texts += [" ".join(base[k : k + 100]) for k in range(0, 400, 10)]
     rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
     assert got(md.near_duplicates(cases.documents(spark, rows))) == brute(rows, 80)
+
+
+def test_long_words_that_sums_confuse(spark):
+    rows = []
+    for k in (10, 11, 12, 13):
+        a, b = cases.alike(k)
+        texts = [f"{a} {b} c d e f", f"{b} {a} c d e f", " ".join([a, "x y z u", b, "x y z u", a, "x y z u"]), a, b, a.upper()]
+        rows += [(10 * k + n, t, None, None, None) for n, t in enumerate(texts)]
+    assert got(md.near_duplicates(cases.documents(spark, rows))) == brute(rows, 80)

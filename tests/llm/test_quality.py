@@ -23,6 +23,8 @@ def base(text):
 def test_counts_against_brute_force(spark):
     rows = [tuple(r) for r in cases.documents(spark).collect()]
     rows += [(20 + k, t, None, None, None) for k, t in enumerate(["a b c a b c a", "x\nx\n\n \n \nx y\n", "a a a a", "é ü ß   z", "a b c\na b c"])]
+    rows += [(30 + k, " ".join(w + " x y z" for w in cases.alike(k)), None, None, None) for k in (10, 11, 12, 13)]
+    rows += [(40 + k, " ".join([*cases.alike(k), "x", *reversed(cases.alike(k)), "x"]), None, None, None) for k in (10, 11, 12, 13)]
     out = quality.judge(cases.documents(spark, rows)).collect()
     for (_, text, *_), r in zip(rows, out, strict=True):
         n, chars, symbols, dups, repeats = base(text)

@@ -23,6 +23,9 @@ def folder(spark, tmp_path_factory):
     texts = [None, "", " \n", "one", "a b c d e", "A b\tc  d e f", cases.LONG, "x\nx\n\nx y", "<|endoftext|> </turn> ▁ \x00"]
     texts += ["\n".join(" ".join(word() for _ in range(draw.choice([3, 9, 40]))) + draw.choice([".", "", " | b | c"]) for _ in range(5)) for _ in range(60)]
     texts += texts[9:20] + [t + " more" for t in texts[20:40]]
+    for k in (10, 13):
+        a, b = cases.alike(k)
+        texts += [f"{a} {b} c d e f", f"{b} {a} c d e f", " ".join(f"{w} x y z" for w in (a, b))]
     rows = [(k, t, draw.choice(["en", "fr", None]), draw.choice(["a", "b", "é", "", None]), None if t is None else len(t)) for k, t in enumerate(texts)]
     cases.documents(spark, rows).write.parquet(f"{path}/documents.parquet")
     urls = [None, "", "a.com/en/", "http://A.com/en/7?x", "https://b.net/de/8#y", "x://org/es/", "http://forum.org", "http://example.com/en/71", "http://com/en/\n"]
