@@ -15,7 +15,7 @@ lost, and no bucket's pairs are written out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +44,11 @@ def fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
     if not words:
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])
     size = min(SHINGLE, len(words))
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
     n, ones = len(words) - size + 1, np.zeros(WIDTH, np.int64)
-    for at in range(0, n, AT_ONCE):
-        to = min(n, at + AT_ONCE)
-        spans = map(joined.__getitem__, map(slice, starts[at:to].tolist(), (ends[at + size - 1 : to + size - 1] - 1).tolist()))
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, spans, repeat(SEED))), np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int32)
+    for part in batched(map(xxhash.xxh64_digest, shingles, repeat(SEED)), AT_ONCE):
+        ones += np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
