@@ -5,8 +5,9 @@ with at most one difference. Each segment is indexed by its variants, in each of
 segments with at most one difference have a variant in common. An equality join on variants finds the candidates, and the
 whole fingerprints decide.
 
-Equal fingerprints are one class from the start. In a bucket of one variant, every class meets the bucket's pivot; what
-these links join needs no further look. Buckets that still hold several components are compared in cells of bounded size,
+Equal fingerprints are one class from the start. A bucket of one variant that has two members, as chance makes most, is its
+least and its greatest, so it is settled in the aggregation that counts it. In a larger one every class meets the bucket's
+pivot; what these links join needs no further look. Buckets that still hold several components are compared in cells of bounded size,
 the members outside the largest component with all. A bucket above SPLIT members is first dealt anew by variants of the
 bits outside its segment, so that chance neighbours of a very large corpus part. No link between different components is
 lost, and no bucket's pairs are written out.
@@ -92,11 +93,12 @@ def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
 
 
-def indexed(classes: DataFrame) -> DataFrame:
-    """(place, key, fp, size): the variants that at least two classes have."""
+def indexed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the links in buckets of two, whose members are their least and greatest; and (place, key, fp, size): the buckets of more."""
     rows = classes.select("fp", F.posexplode(variants(F.col("fp"), list(range(WIDTH)))).alias("place", "key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return settle(rows.join(sizes, "key").select("place", "key", "fp", "size"))
+    sizes = settle(rows.groupBy("key").agg(F.count("*").alias("size"), F.max("fp").alias("a"), F.min("fp").alias("b")).where("size > 2 or (size = 2 and bit_count(a ^ b) <= %d)" % BITS))
+    large = sizes.where("size > 2").select("key", "size")
+    return sizes.where("size = 2").select("a", "b").distinct(), settle(rows.join(large, "key").select("place", "key", "fp", "size"))
 
 
 def pivot_links(members: DataFrame) -> DataFrame:
@@ -114,8 +116,8 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def remaining_links(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): links between components in buckets that hold several; a bucket of two is settled by its pivot."""
-    named = members.where("size > 2").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    """(a, b): links between components in buckets that hold several."""
+    named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     rows = settle(_several(named))
     large = rows.where(F.col("size") > SPLIT)
     finer = large.withColumn("finer", F.explode(_outside(F.col("fp"), F.col("place"), cut(list(range(WIDTH)))))).withColumn("key", F.xxhash64("key", "finer"))
@@ -135,8 +137,8 @@ def remaining_links(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(classes: DataFrame) -> DataFrame:
     """(fp, label) of distinct fingerprints fp: the label is one of those that links reach, the same for all of them."""
-    members = indexed(classes)
-    links = settle(pivot_links(members))
+    pairs, members = indexed(classes)
+    links = settle(pivot_links(members).unionByName(pairs))
     labels = settle(components(links))
     more = settle(remaining_links(members, labels))
     if not more.isEmpty():
