@@ -32,6 +32,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(k, u, "<p>") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "user", "a"), (2, 1, "assistant", "</turn>\\"), (2, 2, None, "é\U0001f600"), (3, 5, "a>\nb", "<l")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    items = [(1, "alpha beta"), (2, "gämma x1 \U0001f600 x1"), (3, None), (4, "of"), (5, "endoftext turn")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path), rows
 
 
@@ -43,7 +45,7 @@ def rows_of(names, rows):
 def test_against_sql(spark, folder, name):
     query, sql = queries.QUERIES[name]
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS FROM read_parquet('{folder[0]}/{table}.parquet/*.parquet')")
     want = con.sql(sql)
     names = want.columns
