@@ -61,10 +61,12 @@ def described(content: Column) -> Column:
     text = strip(or_empty(content))
     # A fence, the quoted description, and what stands around a bare one.
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)\A```(?:json)?\s*", ""), r"\s*```\z", "")
-    quoted = F.regexp_extract(text, r'(?is)"description"\s*:\s*"((?:\\.|[^"])*)"', 1)
-    plain = F.get_json_object(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "$.v")
+    pattern = r'(?is)"description"\s*:\s*"((?:\\.|[^"])*)"'
+    quoted = F.regexp_extract(text, pattern, 1)
+    # JSON has no control characters inside quotes; a text with some stays as it is, escapes and all.
+    plain = F.when(~quoted.rlike(r"[\x00-\x1f]"), F.get_json_object(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "$.v"))
     bare = F.regexp_replace(F.regexp_replace(text, r"""\A["']|["']\z""", ""), r"(?U)\s+", " ")
-    return F.when(quoted != "", strip(F.coalesce(plain, quoted))).when(text.startswith("{") & text.endswith("}"), "").otherwise(F.trim(bare))
+    return F.when(text.rlike(pattern), strip(F.coalesce(plain, quoted))).when(text.startswith("{") & text.endswith("}"), "").otherwise(F.trim(bare))
 
 
 def description_results(requests: DataFrame, contents: DataFrame) -> DataFrame:

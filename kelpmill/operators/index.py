@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import DataType, StructField, StructType
 
-from ..functions.text import hash_bucket, normalize_whitespace, nullif_empty, or_empty, point_id, tokens
+from ..functions import vectors
+from ..functions.text import normalize_whitespace, nullif_empty, or_empty, point_id
 
+PLACES = "array<struct<bucket:int,weight:double>>"
 CHUNK_SIZE, CHUNK_OVERLAP, DIMENSION, EMBEDDER = 800, 120, 384, "md5-bag"
+COLLECTION = "document_chunks"
 
 
 def reject(rows: DataFrame, bad: Column, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -53,29 +57,33 @@ def with_point_ids(chunked: DataFrame) -> DataFrame:
     return chunked.withColumn("id", point_id(key))
 
 
-def _bind(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a column that is worked out once for the row, however often f uses it."""
-    return F.transform(F.array(x), f)[0]
+def _by_batch(rows: DataFrame, text_col: str, normal: bool, column: str, kind: str, made: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """rows without text_col, with a column that made works out from arrays of its lower-cased texts, whose tokens stand between single spaces."""
+    norm = or_empty(F.col(text_col)) if normal else normalize_whitespace(F.col(text_col))
+    given = rows.select(F.struct(*[rows[c] for c in rows.columns if c != text_col]).alias("row"), F.lower(norm).alias("text"))
+    schema = StructType([given.schema["row"], StructField(column, DataType.fromDDL(kind))])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in vectors.runs(batch.column(1)):
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), made(part.column(1))], ["row", column])
 
-def hashed(text: Column, dimension: int = DIMENSION, normal: bool = False) -> Column:
-    """The non-zero places of a text's unit vector of hashed tokens, as array<struct<bucket, weight>>: counted inside the row."""
-    buckets = F.sort_array(F.transform(tokens(text, normal), lambda t: hash_bucket(t, dimension)))
-    starts = lambda b: F.filter(F.sequence(F.lit(0), F.size(b)), lambda i: (i == 0) | (i == F.size(b)) | (F.get(b, i) != F.get(b, i - 1)))
-    counts = lambda b, at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda p, k: F.struct(F.get(b, p).alias("bucket"), (F.get(at, k + 1) - p).cast("double").alias("n")))
-    unit = lambda c: _bind(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"])), lambda norm: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / norm).alias("weight"))))
-    return _bind(buckets, lambda b: _bind(starts(b), lambda at: _bind(counts(b, at), unit)))
+    return given.mapInArrow(mapped, schema).select("row.*", column)
 
 
-def hash_weights(rows: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION, normal: bool = False) -> DataFrame:
-    """rows without text_col, with bucket and weight: a row for each place of each text's vector; none for a text without tokens. normal: texts are chunks, whose white space is normalized."""
-    rest = [c for c in rows.columns if c != text_col or c == id_col]
-    return rows.select(*rest, F.explode(hashed(F.col(text_col), dimension, normal)).alias("place")).select(*rest, "place.bucket", "place.weight")
+def hash_places(rows: DataFrame, text_col: str, dimension: int = DIMENSION, normal: bool = False) -> DataFrame:
+    """rows without text_col, with places, array<struct<bucket, weight>>: the non-zero places of the text's unit vector of hashed tokens; none for a text without tokens.
+
+    normal: texts are chunks, whose white space is normalized. A batch's different tokens are hashed once.
+    """
+    return _by_batch(rows, text_col, normal, "places", PLACES, lambda texts: vectors.places_column(*vectors.hashed_places(texts, dimension), len(texts)))
 
 
-def dense(places: Column, dimension: int = DIMENSION) -> Column:
-    """array<double> of a vector's places."""
-    return _bind(F.map_from_entries(places), lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.coalesce(F.try_element_at(found, b), F.lit(0.0))))
+def hash_weights(rows: DataFrame, text_col: str, dimension: int = DIMENSION, normal: bool = False) -> DataFrame:
+    """rows without text_col, with bucket and weight: a row for each place of each text's vector."""
+    rest = [c for c in rows.columns if c != text_col]
+    return hash_places(rows, text_col, dimension, normal).select(*rest, F.explode("places").alias("place")).select(*rest, "place.bucket", "place.weight")
 
 
 def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimension: int = DIMENSION) -> DataFrame:
@@ -85,8 +93,7 @@ def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimensi
     hashed vectors, which live in another space.
     """
     if model is None:
-        places = rows.select(id_col, hashed(F.col(text_col), dimension).alias("places"))
-        return places.select(id_col, dense(F.col("places"), dimension).alias("vector"))
+        return _by_batch(rows.select(id_col, text_col), text_col, False, "vector", "array<double>", lambda texts: vectors.dense_column(*vectors.hashed_places(texts, dimension), len(texts), dimension))
 
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -98,6 +105,15 @@ def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimensi
     return rows.select(id_col, text_col).mapInPandas(encoded, f"{id_col} {kind}, vector array<double>")
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Of two arrays of numbers, in double."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def with_norm(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
+
+
 def points(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """The chunks of documents as index rows, without vectors."""
     found = with_point_ids(chunks(documents, size, overlap))
@@ -118,8 +134,20 @@ def document_name(metadata: Column, file_url: Column) -> Column:
     return F.coalesce(nullif_empty(F.try_variant_get(F.try_parse_json(metadata), "$.name", "string")), file_url)
 
 
-def index_summary(documents: DataFrame, chunked: DataFrame) -> DataFrame:
-    """A row for each accepted document: its chunks and the edge to it."""
+def of_entity(index: DataFrame, entity_id: str) -> DataFrame:
+    """The index rows of one entity; an index that is written in the order of its entities is read only where it may be."""
+    return index.where(F.col("entity_id") == entity_id)
+
+
+def dimensions(index: DataFrame, by: str) -> DataFrame:
+    """(by, dimension): the largest dimension of each group's vectors."""
+    return index.groupBy(by).agg(F.max(F.size("vector")).cast("long").alias("dimension"))
+
+
+def index_summary(documents: DataFrame, chunked: DataFrame, nodes: DataFrame, collection: str = COLLECTION) -> DataFrame:
+    """A row for each accepted document: its chunks, and the graph's entity, document and edge. nodes (label, id, name) are those after the upsert."""
     counts = chunked.groupBy("document_id", "entity_id").agg(F.count("*").alias("chunks_indexed"))
-    rows = documents.join(counts, ["document_id", "entity_id"])
-    return rows.select(F.lit("indexed").alias("status"), "document_id", "entity_id", "file_url", "metadata", "chunks_indexed", document_name(F.col("metadata"), F.col("file_url")).alias("document_name"), F.lit("HAS_DOCUMENT").alias("relationship"))
+    node = lambda label, id_col, name: nodes.where(F.col("label") == label).select(F.col("id").alias(id_col), F.struct("id", "name").alias(name))
+    rows = documents.join(counts, ["document_id", "entity_id"]).join(node("Entity", "entity_id", "entity"), "entity_id").join(node("Document", "document_id", "document"), "document_id")
+    edge = F.struct(F.col("entity_id").alias("from_id"), F.lit("Entity").alias("from_type"), F.lit("HAS_DOCUMENT").alias("relationship"), F.col("document_id").alias("to_id"), F.lit("Document").alias("to_type"))
+    return rows.select(F.lit("ok").alias("status"), "document_id", "entity_id", "file_url", "metadata", "chunks_indexed", F.lit(collection).alias("collection"), F.struct("entity", "document", edge.alias("relationship")).alias("graph"))

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import strip
-from .index import hash_weights, reject
+from ..functions import vectors
+from ..functions.text import or_empty, strip
+from ..sources import folders
+from .index import DIMENSION, PLACES, dot, hash_places, reject
+
+#: Questions and rows of one entity that meet in a cell.
+QUESTIONS, ROWS = 256, 4096
 
 
 def reject_blank_question(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good, blank = reject(questions, strip(F.coalesce("question", F.lit(""))) == "", "question is required.")
+    """(accepted questions, stripped; rejects as they came, with a reason)."""
+    good, blank = reject(questions, strip(or_empty(F.col("question"))) == "", "question is required.")
     good, none = reject(good, F.col("top_k") < 1, "top_k must be positive.")
-    return good, blank.unionByName(none)
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Of two arrays of numbers, in double."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+    return good.withColumn("question", strip(F.col("question"))), blank.unionByName(none)
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
@@ -27,10 +31,6 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def with_norm(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
-
-
 def most_hits(questions: DataFrame) -> int:
     """The largest top_k: one number on the driver, by which each task keeps a part of the ranking only."""
     return questions.agg(F.max("top_k")).first()[0] or 0
@@ -42,37 +42,67 @@ def rank_hits(scored: DataFrame, most: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= F.col("top_k")) & (F.col("rank") <= most))
 
 
+def _dealt(questions: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cells (entity_id, i, j) in which they meet: a cell has some QUESTIONS of an entity and some ROWS of its rows."""
+    blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    sizes = questions.groupBy("entity_id").agg(F.count("*").alias("q")).join(index.groupBy("entity_id").agg(F.count("*").alias("r")), "entity_id")
+    sizes = sizes.select("entity_id", blocks("q", QUESTIONS).alias("q"), blocks("r", ROWS).alias("r"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = questions.join(sizes, "entity_id").withColumns({"i": own("question_id", "q"), "j": every("r")}).drop("q", "r")
+    rows = index.join(sizes, "entity_id").withColumns({"j": own("id", "r"), "i": every("q")}).drop("q", "r")
+    return asked, rows
+
+
+def scored(questions: DataFrame, index: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """(question_id, id, top_k, score): of each cell the best top_k rows of each question, or all pairs of an entity.
+
+    questions (question_id, entity_id, top_k, vector) and index (id, entity_id, vector) are dealt to cells of bounded size, in which two
+    matrices are multiplied. A vector is array<double> or array<struct<bucket, weight>>. Vectors of unlike length, or null, don't meet.
+    """
+    n = folders.partitions(index.sparkSession)
+    asked = questions.select("question_id", F.col("entity_id").alias("entity_id"), "top_k", F.col("vector").alias("vector"))  # both sides may be of one table
+    asked, rows = _dealt(asked, index.select("id", "entity_id", "vector"))
+    cell = ["entity_id", "i", "j"]
+    sparse = index.schema["vector"].dataType.simpleString() == PLACES
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((questions, "question_id"), (index, "id"))]
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        of_left, of_right = (np.zeros(len(t), np.int64) if sparse else vectors.lengths(t.column("vector")) for t in (left, right))
+        for size in np.intersect1d(of_left, of_right[of_right >= 0]):
+            a, b = left.filter(of_left == size), right.filter(of_right == size)
+            dimension = DIMENSION if sparse else int(size)
+            scores = vectors.cosines(vectors.matrix(a.column("vector"), dimension), vectors.matrix(b.column("vector"), dimension))
+            if all_pairs:
+                asked, row = (x.ravel() for x in np.indices(scores.shape))
+            else:
+                asked, row = vectors.nearest(scores, pc.rank(b.column("id"), tiebreaker="first").to_numpy(), a.column("top_k").to_numpy())
+            found.append(pa.table({"question_id": a.column("question_id").take(asked), "id": b.column("id").take(row), "top_k": a.column("top_k").take(asked), "score": scores[asked, row]}))
+        return pa.concat_tables(found) if found else pa.table({"question_id": left.column("question_id")[:0], "id": right.column("id")[:0], "top_k": left.column("top_k")[:0], "score": pa.array([], pa.float64())})
+
+    grouped = [side.repartition(n, *cell).groupBy(*cell) for side in (asked, rows)]
+    return grouped[0].cogroup(grouped[1]).applyInArrow(best, f"question_id {kinds[0]}, id {kinds[1]}, top_k int, score double")
+
+
 def scored_dense(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(question_id, id, top_k, score) of every question and every index row of its entity; norms are worked out once a row."""
-    q = with_norm(questions).select("question_id", "entity_id", "top_k", F.col("vector").alias("asked"), F.col("norm").alias("asked_norm"))
-    pairs = with_norm(index).join(q, "entity_id")
-    return pairs.select("question_id", "id", "top_k", F.round(cosine(F.col("vector"), F.col("asked"), F.col("norm"), F.col("asked_norm")), 6).alias("score"))
+    """(question_id, id, top_k, score) of every question and every index row of its entity."""
+    return scored(questions, index, all_pairs=True)
 
 
 def knn_dense(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Questions and index rows of one entity, with vectors: (question_id, id, score, rank)."""
-    return rank_hits(scored_dense(questions, index), most_hits(questions)).select("question_id", "id", "score", "rank")
+    return rank_hits(scored(questions, index), most_hits(questions)).select("question_id", "id", "score", "rank")
 
 
 def knn_sparse(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The same over hashed tokens: only places that both have meet, on (entity, place). Chunks that share none score 0.
-
-    Chunk ids are distinct. Weights are positive, so of the chunks with score 0 a question can only need the first top_k of
-    its entity by id; they join the sums as terms of 0, and no other pair without a common place is made.
-    """
-    most = most_hits(questions)
-    asked = questions.select("question_id", "entity_id", "top_k")
-    q = hash_weights(questions.select("question_id", "entity_id", "top_k", "question"), "question_id", "question").withColumnRenamed("weight", "asked")
-    c = hash_weights(chunks.select("id", "entity_id", "text"), "id", "text", normal=True)
-    terms = c.join(q, ["entity_id", "bucket"]).select("question_id", "id", "top_k", (F.col("weight") * F.col("asked")).alias("term"))
-    nth = F.row_number().over(Window.partitionBy("entity_id").orderBy("id"))
-    firsts = chunks.select("id", "entity_id").withColumn("nth", nth).where(F.col("nth") <= most)
-    zeros = firsts.join(asked, "entity_id").where("nth <= top_k").select("question_id", "id", "top_k", F.lit(0.0).alias("term"))
-    scored = terms.unionByName(zeros).groupBy("question_id", "id", "top_k").agg(F.round(F.sum("term"), 6).alias("score"))
-    return rank_hits(scored, most).select("question_id", "id", "score", "rank")
+    """The same over hashed tokens of questions (question_id, entity_id, top_k, question) and chunks (id, entity_id, text). Chunk ids are distinct; chunks without a common token score 0."""
+    asked = hash_places(questions.select("question_id", "entity_id", "top_k", "question"), "question").withColumnRenamed("places", "vector")
+    index = hash_places(chunks.select("id", "entity_id", "text"), "text", normal=True).withColumnRenamed("places", "vector")
+    return knn_dense(asked, index)
 
 
 def collect_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, chunks): the hits of each question in order."""
-    hit = F.struct("rank", "score", "id", "document_id", "chunk_index", "text")
+    """(question_id, chunks): the hits of each question in order, with all that the index holds of them but vectors."""
+    hit = F.struct("rank", "score", "id", "document_id", "entity_id", "file_url", "chunk_index", "text", "metadata")
     return hits.join(chunks, "id").groupBy("question_id").agg(F.array_sort(F.collect_list(hit)).alias("chunks"))

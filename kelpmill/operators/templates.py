@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import LINE_END, attribute_name, five_lines, loose_boolean, nullif_empty, or_empty, strip, template_id, upper_snake
+from ..sources import folders
 from .completions import first_present, last_key_wins, lenient_json, scalar
 from .index import reject
 
@@ -19,7 +20,9 @@ ATTRIBUTE = ["name", "type", "required", "enum_values"]
 
 
 def reject_blank_template(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return reject(requests, strip(or_empty(F.col("template_name"))) == "", "template_name is required.")
+    """(accepted requests with the name stripped; rejects as they came, with a reason)."""
+    good, bad = reject(requests, strip(or_empty(F.col("template_name"))) == "", "template_name is required.")
+    return good.withColumn("template_name", strip(F.col("template_name"))), bad
 
 
 def route(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +113,7 @@ def collected(merged: DataFrame) -> DataFrame:
 def template_results(requests: DataFrame, contents: DataFrame) -> DataFrame:
     """One row for each request with a response; requests come with candidates, contents are of completions without an error."""
     raw = last_key_wins(contents).select("request_id", lenient_json(strip(F.col("content"))).alias("raw"))
-    joined = requests.join(raw, "request_id")
+    joined = folders.settled(requests.join(raw, "request_id"))  # read three times
     packed = collected(merge(catalog_attributes(joined), response_attributes(joined)))
     rows = joined.join(packed, "request_id", "left")
     own_id, own_type = first_present(F.col("raw"), "$.template_id", "$.templateId"), first_present(F.col("raw"), "$.entity_type", "$.entityType")

@@ -33,12 +33,13 @@ def hash_bucket(spark, sf_dir):
 
 
 def vector_norm(spark, sf_dir):
-    e = tables.star(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("vec_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"), F.round(search.cosine(F.col("v"), F.col("v")), 6).alias("own_cosine"))
+    e = index.with_norm(tables.star(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+    v = F.col("vector")
+    return e.select("vec_id", F.round("norm", 6).alias("norm"), F.round(search.cosine(v, v, F.col("norm"), F.col("norm")), 6).alias("own_cosine"))
 
 
 def embedding_dimension(spark, sf_dir):
-    return tables.star(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).cast("long").alias("dimension"))
+    return index.dimensions(tables.star(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"), "label")
 
 
 def chunks_indexed(spark, sf_dir):
@@ -70,9 +71,11 @@ def filter_node_label(spark, sf_dir):
 
 
 def collect_relationships(spark, sf_dir):
+    """Pages of at most three edges of each entity, in order."""
     good = graph.check_requests(tables.relationships_in(spark, sf_dir))[0]
-    edges = good.select("from_id", F.struct(F.col("relationship_type").alias("r"), "to_id").alias("e")).distinct()
-    return edges.groupBy("from_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.concat_ws(">", e["r"], e["to_id"])), ",").alias("relationships"))
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in graph.EDGE))
+    pages = graph.relationship_pages(graph.upsert_edges(none, good), page=3)
+    return pages.select(F.col("entity_id").alias("from_id"), "page", F.array_join(F.transform("relationships", lambda e: F.concat_ws(">", e["relationship"], e["to_id"])), ",").alias("relationships"))
 
 
 def src_template_requests(spark, sf_dir):
@@ -122,13 +125,13 @@ def filter_catalog_domain(spark, sf_dir):
 
 
 def filter_domain_default(spark, sf_dir):
-    docs = tables.catalog_domain(spark, sf_dir).where("scope = 'domain_type_default'").groupBy("domainType").agg(F.min("_id").alias("_id"))
+    docs = catalog.one_doc(tables.catalog_domain(spark, sf_dir).where("scope = 'domain_type_default'"), "domainType")
     asked = tables.template_requests(spark, sf_dir).select("request_id", catalog.domain_type(F.col("domain_type")).alias("domainType"))
     return asked.join(docs, "domainType").select("request_id", "_id")
 
 
 def filter_domain_id(spark, sf_dir):
-    docs = tables.catalog_domain(spark, sf_dir).groupBy(F.col("domainId").alias("domain_id")).agg(F.min("_id").alias("_id"))
+    docs = catalog.one_doc(tables.catalog_domain(spark, sf_dir).withColumnRenamed("domainId", "domain_id"), "domain_id")
     return tables.template_requests(spark, sf_dir).join(docs, "domain_id").select("request_id", "_id")
 
 
@@ -173,8 +176,8 @@ QUERIES = {
     "src_relationships": (src_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT * FROM requests")),
     "filter_rel_type": (filter_rel_type, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_type, from_id, to_id, relationship_type FROM requests WHERE relationship_type = 'LIKES' AND from_type = 'Entity'")),
     "filter_node_label": (filter_node_label, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_type, from_id, to_id, relationship_type FROM requests WHERE from_type = 'Person'")),
-    "collect_relationships": (collect_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_id, string_agg(relationship_type || '>' || to_id, ',' ORDER BY relationship_type, to_id) AS relationships FROM (SELECT DISTINCT from_id, relationship_type, to_id FROM valid) GROUP BY ALL")),
-    "src_template_requests": (src_template_requests, sql.query(REQUESTS, "SELECT request_id, template_name, description, domain_id, domain_type FROM requests")),
+    "collect_relationships": (collect_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_id, page, string_agg(relationship_type || '>' || to_id, ',' ORDER BY relationship_type, to_id) AS relationships FROM (SELECT *, ((row_number() OVER (PARTITION BY from_id ORDER BY relationship_type, to_id) - 1) // 3)::INT AS page FROM (SELECT DISTINCT from_id, relationship_type, to_id FROM valid)) GROUP BY ALL")),
+    "src_template_requests": (src_template_requests, sql.query(REQUESTS, "SELECT request_id, given_name AS template_name, description, domain_id, domain_type FROM requests")),
     "src_completions": (src_completions, "SELECT s_suppkey::VARCHAR AS request_id, CASE WHEN s_suppkey % 19 = 0 THEN 503 ELSE 200 END AS http_status, CASE WHEN s_suppkey % 31 = 0 THEN 'timed out' END AS transport_error FROM supplier"),
     "map_domain_alias": (map_domain_alias, "SELECT s_suppkey, (['grocery', 'bank', 'hotel', 'bank'])[(s_suppkey % 4 + 1)::INT] AS domain FROM supplier"),
     "normalize_domain_type": (normalize_domain_type, "SELECT s_suppkey, (['groceries', 'banking', '', ''])[(s_suppkey % 4 + 1)::INT] AS domain_type FROM supplier"),
@@ -186,7 +189,7 @@ QUERIES = {
     "filter_domain_id": (filter_domain_id, sql.query(REQUESTS, "SELECT DISTINCT request_id, brand || '/domain' AS _id FROM requests JOIN part ON 'id-' || lower(p_brand) = domain_id WHERE p_partkey % 3 > 0 AND p_partkey % 2 = 1")),
     "sort_catalog_priority": (sort_catalog_priority, sql.query(GLOBAL, REQUESTS, "SELECT domain_type, domain_id, row_number() OVER (PARTITION BY domain_type, domain_id ORDER BY priority DESC, _id) AS pos, attribute_key, priority FROM pairs JOIN global_items ON domain = domain_type")),
     "to_upper_snake": (names, f"SELECT p_partkey, upper({_SNAKE.format(_NAME)}) AS upper_snake, lower({_SNAKE.format(_NAME)}) AS attribute_name, lower({_SNAKE.format(_NAME)}) || '_v1' AS template_id FROM part"),
-    "slice_json_object": (slice_json_object, sql.query(COMPLETIONS, r"SELECT request_id, CASE WHEN k % 5 = 3 THEN content ELSE regexp_extract(content, '(?s)\{.*\}', 0) END AS slice, coalesce(trim(raw->>'$.description', ' ' || chr(10)), '') AS description FROM good")),
-    "filter_placeholder_enum": (filter_placeholder_enum, sql.query(COMPLETIONS, "SELECT request_id, 'Status' AS name, 'Open|Closed' AS enum_values FROM good WHERE k % 5 < 3 AND content IS NOT NULL")),
+    "slice_json_object": (slice_json_object, sql.query(COMPLETIONS, r"SELECT request_id, CASE WHEN shape IN (3, 6, 7) THEN content ELSE regexp_extract(content, '(?s)\{.*\}', 0) END AS slice, coalesce(trim(raw->>'$.description', ' ' || chr(10)), '') AS description FROM good")),
+    "filter_placeholder_enum": (filter_placeholder_enum, sql.query(COMPLETIONS, "SELECT request_id, 'Status' AS name, 'Open|Closed' AS enum_values FROM good WHERE shape < 3")),
     "build_description_prompt": (build_description_prompt, sql.query(REQUESTS, f"SELECT request_id, {LINES} AS content FROM requests r WHERE trim(template_name) <> '' AND mode <> ''")),
 }

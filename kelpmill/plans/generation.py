@@ -15,7 +15,7 @@ GLOBAL = """global_items AS (
   FROM part WHERE p_partkey % 3 = 0
 )"""
 REQUESTS = """brands AS (
-  SELECT s_suppkey AS k, s_suppkey::VARCHAR AS request_id, CASE WHEN s_suppkey % 17 = 0 THEN '  ' ELSE s_name END AS template_name, CASE WHEN s_suppkey % 2 = 0 THEN 'First line' || chr(10) || chr(10) || ' second line ' END AS description,
+  SELECT s_suppkey AS k, s_suppkey::VARCHAR AS request_id, CASE WHEN s_suppkey % 17 = 0 THEN '  ' WHEN s_suppkey % 5 = 1 THEN chr(9) || s_name || ' ' ELSE s_name END AS given_name, trim(given_name, chr(9) || ' ') AS template_name, CASE WHEN s_suppkey % 2 = 0 THEN 'First line' || chr(10) || chr(10) || ' second line ' END AS description,
     'brand#' || (1 + s_suppkey % 5) || (1 + (s_suppkey // 5) % 5) AS brand, CASE WHEN s_suppkey % 6 = 0 THEN 'description_only' ELSE '' END AS mode FROM supplier
 ), requests AS (
   SELECT *, CASE WHEN k % 4 > 0 THEN brand ELSE '' END AS domain_type, CASE WHEN k % 3 = 0 THEN 'id-' || brand END AS domain_id FROM brands
@@ -58,15 +58,16 @@ OVERLAY = (
 )
 COMPLETIONS = r"""contents AS (
   SELECT s_suppkey AS k, s_suppkey::VARCHAR AS request_id,
-    CASE WHEN s_suppkey % 37 = 0 THEN NULL WHEN s_suppkey % 5 = 4 THEN '{"description":"Text.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: [''High'', \"Low\"]\nrequired: no\n- name: Shelf-life"}'
-      WHEN s_suppkey % 5 = 3 THEN 'no json at all'
+    CASE WHEN s_suppkey % 37 = 0 THEN 5 WHEN s_suppkey % 18 = 0 THEN 6 WHEN s_suppkey % 30 = 6 THEN 7 ELSE s_suppkey % 5 END AS shape,
+    CASE shape WHEN 5 THEN NULL WHEN 6 THEN '{"description": "", "x": 1' WHEN 7 THEN '{"description": "Cut \"off\"\n here", "attr' WHEN 4 THEN '{"description":"Text.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: [''High'', \"Low\"]\nrequired: no\n- name: Shelf-life"}'
+      WHEN 3 THEN 'no json at all'
       ELSE 'Here: {"templateId":' || CASE WHEN s_suppkey % 2 = 0 THEN '"lower_snake_v1"' ELSE '"own_' || s_suppkey || '"' END || ',"entity_type":' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"THING"' END
         || ',"description":"One\n Two \n\nThree","attributes":[{"name":"Net Weight","type":"number","required":true},{"name":"net-weight"},{"name":"field_x"},{"name":"Status","type":"enum","enumValues":["A","Open ","Closed"]},{"name":"Empty","type":"enum","enum_values":["a"]},7,{"name":"Color ' || s_suppkey || '","type":"shade","required":"TRUE"}]} done' END AS content FROM supplier
 ), parsed AS (
   SELECT *, CASE WHEN k % 31 = 0 THEN 502 WHEN k % 23 = 0 THEN 502 WHEN k % 19 = 0 THEN 503 WHEN k % 29 = 0 THEN 502 END AS error_code,
     CASE WHEN k % 31 = 0 THEN 'Model request failed: timed out' WHEN k % 23 = 0 THEN 'Model response was not JSON.' WHEN k % 19 = 0 THEN 'too busy' WHEN k % 29 = 0 THEN 'Model response had no content.' END AS error_detail FROM contents
 ), good AS (
-  SELECT k, request_id, content, CASE WHEN k % 5 = 3 OR content IS NULL THEN '{}' ELSE regexp_extract(content, '(?s)\{.*\}', 0) END::JSON AS raw FROM parsed WHERE error_code IS NULL
+  SELECT k, shape, request_id, content, CASE WHEN shape = 3 OR shape > 4 THEN '{}' ELSE regexp_extract(content, '(?s)\{.*\}', 0) END::JSON AS raw FROM parsed WHERE error_code IS NULL
 )"""
 ATTRIBUTES = (
     COMPLETIONS
@@ -101,7 +102,7 @@ MERGED = (
     + ", "
     + ATTRIBUTES
     + """, wanted AS (
-  SELECT r.*, g.raw, g.content FROM requests r JOIN good g USING (request_id) WHERE trim(template_name) <> '' AND mode = ''
+  SELECT r.*, g.raw, g.content, g.shape FROM requests r JOIN good g USING (request_id) WHERE trim(template_name) <> '' AND mode = ''
 ), from_catalog AS (
   SELECT request_id, rank - 1 AS pos, trim(regexp_replace(lower(attribute_key), '[^a-z0-9]+', '_', 'g'), '_') AS name, type, required_default AS required, enum_values
   FROM wanted w JOIN ranked c ON c.domain_type = w.domain_type AND c.domain_id IS NOT DISTINCT FROM w.domain_id
@@ -275,8 +276,8 @@ _SHOWN = f"SELECT request_id, pos, name, type, required, {_SQL_LISTED} FROM "
 #: The request's lines in a prompt.
 LINES = "'Name: ' || template_name || chr(10) || 'Domain id: ' || coalesce(r.domain_id, '') || chr(10) || 'Domain type: ' || CASE WHEN r.domain_type = '' THEN '' ELSE ' ' || upper(r.domain_type) END || chr(10) || 'Guidance: ' || coalesce(r.description, '') || chr(10)"
 
-_RESULT = f"""SELECT request_id, CASE WHEN k % 2 = 0 OR k % 5 >= 3 OR content IS NULL THEN trim(regexp_replace(lower(template_name), '[^a-z0-9]+', '_', 'g'), '_') || '_v1' ELSE 'own_' || k END AS template_id, template_name, {_FIVE.format(name="template_name")} AS description,
-  CASE WHEN k % 3 = 0 OR k % 5 >= 3 OR content IS NULL THEN trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') ELSE 'THING' END AS entity_type, 1 AS version,
+_RESULT = f"""SELECT request_id, CASE WHEN k % 2 = 0 OR shape >= 3 THEN trim(regexp_replace(lower(template_name), '[^a-z0-9]+', '_', 'g'), '_') || '_v1' ELSE 'own_' || k END AS template_id, template_name, {_FIVE.format(name="template_name")} AS description,
+  CASE WHEN k % 3 = 0 OR shape >= 3 THEN trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') ELSE 'THING' END AS entity_type, 1 AS version,
   coalesce((SELECT string_agg(concat_ws(':', name, type, required::VARCHAR, array_to_string(enum_values, '|')), ',' ORDER BY part, pos) FROM merged m WHERE m.request_id = w.request_id), '') AS attributes, template_id AS "templateId", template_name AS "templateName", entity_type AS "entityType"
 FROM (SELECT *, {_LINES.format(text="coalesce(nullif(trim(raw->>'$.description'), ''), description, '')")} FROM wanted) w"""
 QUERIES = {
@@ -301,14 +302,14 @@ FROM requests r LEFT JOIN ranked c ON c.domain_type = r.domain_type AND c.domain
     "resolve_template_id": (resolve_template_id, sql.query(MERGED, f"SELECT request_id, template_id FROM ({_RESULT})")),
     "resolve_entity_type": (resolve_entity_type, sql.query(MERGED, f"SELECT request_id, entity_type FROM ({_RESULT})")),
     "camel_case_twin": (camel_case_twin, sql.query(MERGED, f"SELECT request_id, attributes AS \"attributesCamelCase\" FROM ({_RESULT})")),
-    "extract_description": (extract_description, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN content IS NULL THEN '' WHEN k % 5 = 3 THEN content ELSE trim(raw->>'$.description', ' ' || chr(10)) END AS description FROM good")),
-    "key_alias_lookup": (key_alias_lookup, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN k % 5 < 3 AND k % 3 > 0 AND content IS NOT NULL THEN 'THING' ELSE '' END AS kind, CASE WHEN k % 5 >= 3 OR content IS NULL THEN '' WHEN k % 2 = 0 THEN 'lower_snake_v1' ELSE 'own_' || k END AS id FROM good")),
+    "extract_description": (extract_description, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN shape = 5 OR shape = 6 THEN '' WHEN shape = 7 THEN 'Cut \"off\"' || chr(10) || ' here' WHEN shape = 3 THEN content ELSE trim(raw->>'$.description', ' ' || chr(10)) END AS description FROM good")),
+    "key_alias_lookup": (key_alias_lookup, sql.query(COMPLETIONS, "SELECT request_id, CASE WHEN shape < 3 AND k % 3 > 0 THEN 'THING' ELSE '' END AS kind, CASE WHEN shape >= 3 THEN '' WHEN k % 2 = 0 THEN 'lower_snake_v1' ELSE 'own_' || k END AS id FROM good")),
     "apply_ref_overrides": (apply_ref_overrides, sql.query(ITEMS, f"SELECT _id, pos, label, type, required_default, {_SQL_LISTED}, source FROM own WHERE kind = 0")),
     "format_candidate_block": (format_candidate_block, sql.query(OVERLAY, """SELECT request_id, coalesce(string_agg('- ' || attribute_key || ' (' || type || ', required_default=' || required_default || ', enum_values=[' || array_to_string(enum_values, ', ') || '], tags=[])', chr(10) ORDER BY rank), 'No catalog attribute candidates available.') AS block
 FROM requests r LEFT JOIN ranked c ON c.domain_type = r.domain_type AND c.domain_id IS NOT DISTINCT FROM r.domain_id WHERE trim(template_name) <> '' AND mode = '' GROUP BY request_id""")),
-    "description_only_result": (description_only_result, sql.query(REQUESTS, COMPLETIONS, """SELECT request_id, '' AS template_id, template_name, CASE WHEN content IS NULL THEN CASE WHEN domain_type <> '' THEN 'This domain supports ' || domain_type || ' business operations. ' ELSE '' END || 'It organizes the main business data, workflows, users, and records needed to run the business consistently. It is intended to provide a clear foundation for structured data entry, operations, and reporting.'
-  WHEN k % 5 = 3 THEN content ELSE trim(regexp_replace(raw->>'$.description', '\\s+', ' ', 'g')) END AS description,
+    "description_only_result": (description_only_result, sql.query(REQUESTS, COMPLETIONS, """SELECT request_id, '' AS template_id, template_name, CASE WHEN shape = 5 OR shape = 6 THEN CASE WHEN domain_type <> '' THEN 'This domain supports ' || domain_type || ' business operations. ' ELSE '' END || 'It organizes the main business data, workflows, users, and records needed to run the business consistently. It is intended to provide a clear foundation for structured data entry, operations, and reporting.'
+  WHEN shape = 7 THEN 'Cut "off" here' WHEN shape = 3 THEN content ELSE trim(regexp_replace(raw->>'$.description', '\\s+', ' ', 'g')) END AS description,
   trim(regexp_replace(upper(CASE WHEN domain_type = '' THEN template_name ELSE domain_type END), '[^A-Z0-9]+', '_', 'g'), '_') AS entity_type, 1 AS version, template_id AS "templateId", template_name AS "templateName", entity_type AS "entityType", 0 AS n_attributes, 0 AS "n_attributesCamelCase", 0 AS n_attributes_compat, coalesce(trim(raw->>'$.description', ' ' || chr(10)), '') AS raw_description
-FROM (SELECT r.*, g.content, g.raw FROM requests r JOIN good g USING (request_id)) WHERE trim(template_name) <> '' AND mode <> ''""")),
+FROM (SELECT r.*, g.content, g.raw, g.shape FROM requests r JOIN good g USING (request_id)) WHERE trim(template_name) <> '' AND mode <> ''""")),
     "five_line_description": (five_line_description, f"SELECT doc_id, {_FIVE.format(name='source')} AS description FROM (SELECT *, {_LINES.format(text='text')} FROM documents)"),
 }

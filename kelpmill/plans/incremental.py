@@ -4,35 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, prompts
+from ..operators import index, prompts, search
 from ..sources import folders, tables
 from ..streaming import jobs
 from . import sql
 
 
-def _stream(spark, table, sf_dir, name):
-    """The stream of a given table's files, through the columns of its batch version."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parquet*")
+def _arrivals(spark, folder, schema, parts, run):
+    """Each part is added to a folder that a stream reads, and run takes what has arrived: a batch for each part."""
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{folder}/arriving/{k}")
+        run(spark.readStream.schema(schema).parquet(f"{folder}/arriving/*")).awaitTermination()
 
 
 def stream_index(spark, sf_dir):
-    arriving = _stream(spark, "documents_in", sf_dir, "documents")
-    docs = arriving.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("entity_id"), F.lit(None).cast("string").alias("file_url"), "text", F.lit("{}").alias("metadata"))
+    """All documents in four batches, some without text, then every eighth again with another name: what the tables say of each document at the end."""
+    d, k = tables.documents_in(spark, sf_dir), F.col("document_id").cast("long")
+    d = d.withColumn("text", F.when(k % 9 > 0, F.col("text")).otherwise(" \n"))
+    parts = [d.where(k % 4 == n) for n in range(4)] + [d.where(k % 8 == 1).withColumn("metadata", F.lit('{"name":"again"}'))]
     folder = folders.new_folder(spark, "job")
-    table = jobs.index_table(f"{folder}/index")
-    jobs.stream_index(docs, table, f"{folder}/checkpoint").awaitTermination()
-    return table.read(spark).select("id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("vector").cast("long").alias("dimension"), _moment())
+    out = jobs.IndexTables(f"{folder}/index")
+    _arrivals(spark, folder, d.schema, parts, lambda rows: jobs.stream_index(rows, out, f"{folder}/checkpoint"))
+    chunks = out.read(spark, "chunks").select("document_id", "entity_id", F.size("vector").alias("dimension"), F.col("norm"), _moment(), "embedder")
+    of_chunks = chunks.groupBy("document_id", "entity_id").agg(F.count("*").alias("n_points"), F.max("dimension").cast("long").alias("dimension"), F.round(F.max("norm"), 6).alias("norm"), F.round(F.sum("moment"), 4).alias("moment"), F.max("embedder").alias("embedder"))
+    summaries = out.read(spark, "summaries").select("document_id", "entity_id", "status", "chunks_indexed", F.col("graph.document.name").alias("name"))
+    edges = out.read(spark, "edges").select(F.col("from_id").alias("entity_id"), F.col("to_id").alias("document_id"), "relationship")
+    nodes = out.read(spark, "nodes").where("label = 'Document'").select(F.col("id").alias("document_id"), F.col("name").alias("node_name"))
+    both = ["document_id", "entity_id"]
+    good = summaries.join(of_chunks, both).join(edges, both).join(nodes, "document_id").withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(out.read(spark, "rejects").distinct(), allowMissingColumns=True)
 
 
 def stream_relate(spark, sf_dir):
-    o, k = _stream(spark, "relationships_in", sf_dir, "orders"), F.col("o_orderkey")
+    """Requests of odd orders, then of even ones and the rejected once more: by then the nodes of all orders are there."""
+    o, k = tables.star(spark, sf_dir, "orders"), F.col("o_orderkey")
     requests = o.select(F.col("o_custkey").cast("string").alias("from_id"), F.lit("Entity").alias("from_type"), F.when(k % 7 == 0, k + 1_000_000_000).otherwise(k).cast("string").alias("to_id"), F.lit("Document").alias("to_type"), F.when(k % 11 == 0, "LIKES").otherwise("HAS_DOCUMENT").alias("relationship_type"))
+    of = lambda n: requests.where(F.col("to_id").cast("long") % 2 == n)
     folder = folders.new_folder(spark, "job")
-    table = jobs.edge_table(f"{folder}/edges")
-    jobs.stream_relate(requests, lambda: tables.nodes(spark, sf_dir), table, f"{folder}/rejects", f"{folder}/checkpoint").awaitTermination()
-    rejected = spark.read.parquet(f"{folder}/rejects").groupBy("reason").agg(F.count("*").alias("n"))
-    return table.read(spark).groupBy(F.lit("accepted").alias("reason")).agg(F.count("*").alias("n")).unionByName(rejected)
+    table, nodes = jobs.edge_table(f"{folder}/edges"), tables.nodes(spark, sf_dir)
+    early = nodes.where("label = 'Entity' or cast(id as long) % 5 > 0")
+    there = iter([early, nodes])
+    _arrivals(spark, folder, requests.schema, [of(1), of(0).unionByName(of(1).where(F.col("to_id").cast("long") % 5 == 0))], lambda rows: jobs.stream_relate(rows, lambda known=next(there): known, table, f"{folder}/rejects", f"{folder}/checkpoint"))
+    rejected = spark.read.parquet(f"{folder}/rejects").groupBy("batch", "reason").agg(F.count("*").alias("n"))
+    return table.read(spark).groupBy(F.lit("accepted").alias("reason")).agg(F.count("*").alias("n")).withColumn("batch", F.lit(None).cast("int")).unionByName(rejected)
 
 
 def _lengths(texts):
@@ -66,16 +80,24 @@ def _echo(messages):
 
 
 def complete_prompts(spark, sf_dir):
-    q = tables.questions(spark, sf_dir)
+    q = search.reject_blank_question(tables.questions(spark, sf_dir))[0]
     asked = q.withColumn("messages", prompts.messages("Count.", F.col("question")))
     return prompts.complete_prompts(asked, _echo, "question_id", partitions=4).select("request_id", "body", "transport_error")
 
 
 QUERIES = {
-    "stream_index": (stream_index, sql.query(sql.CHUNKS, sql.weights("cw", "points", "id", "text"), "SELECT id, document_id, chunk_index, 384 AS dimension, moment FROM points JOIN (SELECT id, round(sum(bucket * weight), 6) AS moment FROM cw GROUP BY id) USING (id)")),
-    "stream_relate": (stream_relate, """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'Unsupported relationship type.' WHEN o_orderkey % 7 = 0 OR c_custkey IS NULL THEN 'Source or target node was not found.' ELSE 'accepted' END AS reason, count(*) AS n
-FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY ALL"""),
+    "stream_index": (stream_index, sql.query(sql.CHUNKS, sql.weights("cw", "points", "id", "text"), """SELECT document_id, entity_id, 'ok' AS status, count(*) AS chunks_indexed, CASE WHEN document_id::BIGINT % 8 = 1 THEN 'again' ELSE json_extract_string(any_value(metadata), '$.name') END AS name, count(*) AS n_points, 384::BIGINT AS dimension, 1.0::DOUBLE AS norm, round(sum(moment), 4) AS moment,
+  'md5-bag' AS embedder, 'HAS_DOCUMENT' AS relationship, CASE WHEN document_id::BIGINT % 8 = 1 THEN 'again' ELSE json_extract_string(any_value(metadata), '$.name') END AS node_name, NULL::VARCHAR AS reason
+FROM points JOIN (SELECT id, round(sum(bucket * weight), 6) AS moment FROM cw GROUP BY id) USING (id) WHERE document_id::BIGINT % 9 > 0 GROUP BY document_id, entity_id
+UNION ALL SELECT doc_id::VARCHAR, source, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'No indexable text was provided.' FROM documents WHERE doc_id % 9 = 0 OR trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = ''""")),
+    "stream_relate": (stream_relate, """WITH r AS (
+  SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS k, o_orderkey % 11 = 0 AS odd_type, o_orderkey % 7 = 0 OR c_custkey IS NULL AS missing FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+), b AS (
+  SELECT *, 0 AS batch, missing OR k % 5 = 0 AS unknown FROM r WHERE k % 2 = 1 UNION ALL SELECT *, 1, missing FROM r WHERE k % 2 = 0 OR k % 5 = 0
+)
+SELECT CASE WHEN odd_type THEN 'Unsupported relationship type.' ELSE 'Source or target node was not found.' END AS reason, count(*) AS n, batch FROM b WHERE odd_type OR unknown GROUP BY ALL
+UNION ALL SELECT 'accepted', count(DISTINCT (o_custkey, k)), NULL FROM b WHERE NOT odd_type AND NOT unknown"""),
     "embed_texts": (embed_texts, sql.query(sql.weights("w", "documents", "doc_id", "text"), """SELECT doc_id::VARCHAR AS document_id, round(coalesce(moment, 0), 6)::DOUBLE AS moment, round(coalesce(n / size, 0), 6)::DOUBLE AS letters, round(coalesce((len - n) / size, 0), 6)::DOUBLE AS others
 FROM (SELECT *, nullif(sqrt(n * n + (len - n) * (len - n)), 0) AS size FROM (SELECT doc_id, length(text) AS len, length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')) AS n FROM documents)) LEFT JOIN (SELECT doc_id, sum(bucket * weight) AS moment FROM w GROUP BY doc_id) USING (doc_id)""")),
-    "complete_prompts": (complete_prompts, """SELECT item_id::VARCHAR AS request_id, CASE WHEN length(text) % 7 > 0 THEN '{"choices":[{"message":{"content":"' || length(text) || '"}}]}' END AS body, CASE WHEN length(text) % 7 = 0 THEN 'no answer' END AS transport_error FROM benchmark"""),
+    "complete_prompts": (complete_prompts, """SELECT item_id::VARCHAR AS request_id, CASE WHEN length(text) % 7 > 0 THEN '{"choices":[{"message":{"content":"' || length(text) || '"}}]}' END AS body, CASE WHEN length(text) % 7 = 0 THEN 'no answer' END AS transport_error FROM (SELECT item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM benchmark)"""),
 }

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import graph, index, prompts, search
 from ..sources import folders, tables
 from . import sql
@@ -25,12 +26,12 @@ def point_id(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    rows = index.hash_weights(index.points(_accepted(spark, sf_dir)).select("id", "text"), "id", "text", normal=True)
+    rows = index.hash_weights(index.points(_accepted(spark, sf_dir)).select("id", "text"), "text", normal=True)
     return rows.select("id", "bucket", F.round("weight", 9).alias("weight"))
 
 
 def token_count(spark, sf_dir):
-    return index.points(_accepted(spark, sf_dir)).select("id", F.size(index.tokens(F.col("text"), normal=True)).cast("long").alias("n_tokens"))
+    return index.points(_accepted(spark, sf_dir)).select("id", F.size(tokens(F.col("text"), normal=True)).cast("long").alias("n_tokens"))
 
 
 def reject_empty_text(spark, sf_dir):
@@ -42,7 +43,7 @@ def reject_empty_text(spark, sf_dir):
 def reject_blank_question(spark, sf_dir):
     asked = tables.questions(spark, sf_dir).withColumns({"question": F.when(F.col("question_id").cast("long") % 7 > 0, F.col("question")).otherwise(" \t "), "top_k": F.when(F.col("question_id").cast("long") % 5 > 0, F.col("top_k")).otherwise(0)})
     good, bad = search.reject_blank_question(tables.with_top_k(asked))
-    return good.select("question_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("question_id", "reason"))
+    return good.select("question_id", "question", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("question_id", "question", "reason"))
 
 
 def src_questions(spark, sf_dir):
@@ -54,7 +55,7 @@ def src_documents(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    points = folders.written_once(index.points(_accepted(spark, sf_dir)).select("id", "document_id", "entity_id", "chunk_index", "text"))
+    points = folders.written_once(index.points(_accepted(spark, sf_dir)))
     return search.knn_sparse(search.reject_blank_question(src_questions(spark, sf_dir))[0], points), points
 
 
@@ -78,7 +79,7 @@ def knn_join(spark, sf_dir):
 
 
 def filter_entity(spark, sf_dir):
-    return _asked_vectors(spark, sf_dir)[1].where("entity_id = '3'").select("id", "entity_id")
+    return index.of_entity(_asked_vectors(spark, sf_dir)[1], "3").select("id", "entity_id")
 
 
 def cosine_score(spark, sf_dir):
@@ -101,7 +102,11 @@ def index_upsert(spark, sf_dir):
 
 def index_summary(spark, sf_dir):
     docs = _accepted(spark, sf_dir)
-    return index.index_summary(docs, index.chunks(docs)).drop("file_url", "metadata")
+    nodes = graph.upsert_nodes(graph.document_nodes(docs).withColumn("seq", F.lit(0)), tables.nodes(spark, sf_dir).limit(0).withColumn("seq", F.lit(0)))
+    out = index.index_summary(docs, index.chunks(docs), nodes)
+    g = lambda c, name: F.col(f"graph.{c}").alias(name)
+    edge = F.concat_ws(">", *[f"graph.relationship.{c}" for c in ("from_type", "from_id", "relationship", "to_type", "to_id")]).alias("relationship")
+    return out.select("status", "document_id", "entity_id", "file_url", "metadata", "chunks_indexed", "collection", g("entity.id", "graph_entity_id"), g("entity.name", "entity_name"), g("document.id", "graph_document_id"), g("document.name", "document_name"), edge)
 
 
 def index_edges(spark, sf_dir):
@@ -142,8 +147,8 @@ def upsert_edge(spark, sf_dir):
 def expand_one_hop(spark, sf_dir):
     edges, nodes = _edges(spark, sf_dir)
     asked = tables.star(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).cast("string").alias("entity_id"))
-    out = graph.expand_one_hop(asked, nodes, edges)
-    return out.select("entity_id", F.col("entity.name").alias("name"), F.array_join(F.transform("relationships", lambda r: F.concat_ws(">", r["relationship"], r["to_id"])), ",").alias("relationships"))
+    out = graph.expand_one_hop(asked, nodes, edges, page=4)
+    return out.select("entity_id", F.col("entity.name").alias("name"), "page", F.array_join(F.transform("relationships", lambda r: F.concat_ws(">", r["relationship"], r["to_id"])), ",").alias("relationships"))
 
 
 def _context(spark, sf_dir):
@@ -155,7 +160,7 @@ def _context(spark, sf_dir):
 
 
 def attach_graph_context(spark, sf_dir):
-    return _context(spark, sf_dir).select("question_id", F.size("chunks").alias("n_chunks"), F.col("entity.id").alias("entity"), F.size("relationships").alias("n_relationships"))
+    return _context(spark, sf_dir).select("question_id", F.size("chunks").alias("n_chunks"), F.col("entity.id").alias("entity"), F.col("n_relationships").cast("int").alias("n_relationships"))
 
 
 def format_chunk_block(spark, sf_dir):
@@ -163,7 +168,7 @@ def format_chunk_block(spark, sf_dir):
 
 
 def format_graph_block(spark, sf_dir):
-    return _context(spark, sf_dir).select("question_id", F.sha2(prompts.graph_block(F.col("relationships")), 256).alias("block_sha256"))
+    return _context(spark, sf_dir).select("question_id", F.sha2("graph", 256).alias("block_sha256"))
 
 
 def chunk_index(spark, sf_dir):
@@ -172,7 +177,7 @@ def chunk_index(spark, sf_dir):
 
 
 def l2_normalize(spark, sf_dir):
-    places = index.points(_accepted(spark, sf_dir)).select("id", index.hashed(F.col("text"), normal=True).alias("places"))
+    places = index.hash_places(index.points(_accepted(spark, sf_dir)).select("id", "text"), "text", normal=True)
     return places.select("id", F.size("places").cast("long").alias("n_places"), F.round(F.aggregate("places", F.lit(0.0), lambda a, p: a + p["weight"] * p["weight"]), 6).alias("norm"), F.round(F.array_max(F.transform("places", lambda p: p["weight"])), 9).alias("most"))
 
 
@@ -186,21 +191,23 @@ def _digest(messages):
 
 
 def ask_result(spark, sf_dir):
-    """Questions to answers, through a function in place of a model; the graph's relationships as the hash of their lines."""
+    """Questions to answers, through a function in place of a model; hits with the hash of their payload."""
     asked = folders.written_once(prompts.with_ask_prompt(_context(spark, sf_dir)))
     out = prompts.ask_results(asked, prompts.complete_prompts(asked, _digest, "question_id"))
-    return out.select("question_id", "answer", F.array_join(F.transform("chunks", lambda c: c["id"]), ",").alias("ids"), F.col("graph.entity.id").alias("entity"), F.sha2(prompts.graph_block(F.col("graph.relationships")), 256).alias("relationships_sha256"))
+    payload = F.transform("chunks", lambda c: F.concat_ws("|", c["id"], c["document_id"], c["entity_id"], F.coalesce(c["file_url"], F.lit("")), c["chunk_index"].cast("string"), c["text"], c["metadata"]))
+    return out.select("question_id", "answer", F.array_join(F.transform("chunks", lambda c: c["id"]), ",").alias("ids"), F.sha2(F.array_join(payload, ","), 256).alias("payload_sha256"), F.col("graph.entity.id").alias("entity"), F.col("graph.n_relationships").cast("long").alias("n_relationships"))
 
 
 _REASON = "CASE WHEN {} THEN '{}' END AS reason"
-_USER = "'Question:' || chr(10) || question || chr(10) || chr(10) || 'Document Chunks:' || chr(10) || coalesce(c, 'No matching chunks found.') || chr(10) || chr(10) || 'Graph Context:' || chr(10) || coalesce(g, 'No graph relationships found.')"
-_CONTEXT = """FROM questions q LEFT JOIN (SELECT question_id, string_agg('[Chunk ' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS c, string_agg(id, ',' ORDER BY rank) AS ids FROM hits JOIN points USING (id) GROUP BY ALL) USING (question_id)
-LEFT JOIN (SELECT entity_id, string_agg('Entity(' || entity_id || ') -[HAS_DOCUMENT]-> Document(' || document_id || ')', chr(10) ORDER BY document_id) AS g FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) USING (entity_id)"""
+_USER = r"'Question:' || chr(10) || regexp_replace(question, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || 'Document Chunks:' || chr(10) || coalesce(c, 'No matching chunks found.') || chr(10) || chr(10) || 'Graph Context:' || chr(10) || coalesce(g, 'No graph relationships found.')"
+_CONTEXT = """FROM questions q LEFT JOIN (SELECT question_id, string_agg('[Chunk ' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS c, string_agg(id, ',' ORDER BY rank) AS ids, string_agg(concat_ws('|', id, document_id, entity_id, '', chunk_index, text, metadata), ',' ORDER BY rank) AS payload FROM hits JOIN points USING (id) GROUP BY ALL) USING (question_id)
+LEFT JOIN (SELECT entity_id, string_agg('Entity(' || entity_id || ') -[HAS_DOCUMENT]-> Document(' || document_id || ')', chr(10) ORDER BY document_id) AS g, count(*) AS n_relationships FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) USING (entity_id)"""
 QUERIES = {
     "src_documents": (src_documents, sql.query(sql.DOCUMENTS, "SELECT document_id, entity_id, metadata, json_extract_string(metadata, '$.name') AS document_name FROM documents_in")),
     "src_questions": (src_questions, sql.query(sql.QUESTIONS, "SELECT * FROM questions")),
     "reject_empty_text": (reject_empty_text, "SELECT doc_id::VARCHAR AS document_id, " + _REASON.format("doc_id % 9 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = ''", "No indexable text was provided.") + " FROM documents"),
-    "reject_blank_question": (reject_blank_question, "SELECT item_id::VARCHAR AS question_id, CASE WHEN item_id % 7 = 0 THEN 'question is required.' WHEN item_id % 5 = 0 THEN 'top_k must be positive.' END AS reason FROM benchmark"),
+    "reject_blank_question": (reject_blank_question, r"""SELECT item_id::VARCHAR AS question_id, CASE WHEN item_id % 7 = 0 THEN ' ' || chr(9) || ' ' WHEN item_id % 5 = 0 AND item_id % 4 = 1 THEN '  ' || text || ' ' || chr(10) WHEN item_id % 5 = 0 THEN text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS question,
+  CASE WHEN item_id % 7 = 0 THEN 'question is required.' WHEN item_id % 5 = 0 THEN 'top_k must be positive.' END AS reason FROM benchmark"""),
     "chunk_text": (chunk_text, sql.query(sql.CHUNKS, "SELECT document_id, chunk_index, chunk FROM chunked")),
     "point_id": (point_id, sql.query(sql.CHUNKS, "SELECT id, document_id, chunk_index FROM points")),
     "hash_embed": (hash_embed, sql.query(sql.CHUNKS, sql.weights("cw", "points", "id", "text"), "SELECT id, bucket, round(weight, 9) AS weight FROM cw")),
@@ -215,15 +222,17 @@ QUERIES = {
     "cosine_score": (cosine_score, "SELECT q.vec_id::VARCHAR AS question_id, e.vec_id::VARCHAR AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0"),
     "index_dimension_check": (index_dimension_check, "SELECT vec_id::VARCHAR AS id, " + _REASON.format("vec_id % 10 = 3", "Vector dimension differs from the index.") + " FROM embeddings"),
     "index_upsert": (index_upsert, sql.query(sql.CHUNKS, """SELECT id, document_id, CASE WHEN document_id::BIGINT % 3 = 0 THEN '{"name":"again"}' ELSE metadata END AS metadata, (document_id::BIGINT % 3 = 0)::INT AS seq FROM points""")),
-    "index_summary": (index_summary, sql.query(sql.CHUNKS, "SELECT 'indexed' AS status, document_id, entity_id, count(*) AS chunks_indexed, json_extract_string(any_value(metadata), '$.name') AS document_name, 'HAS_DOCUMENT' AS relationship FROM chunked GROUP BY document_id, entity_id")),
+    "index_summary": (index_summary, sql.query(sql.CHUNKS, """SELECT 'ok' AS status, document_id, entity_id, NULL::VARCHAR AS file_url, any_value(metadata) AS metadata, count(*) AS chunks_indexed, 'document_chunks' AS collection, entity_id AS graph_entity_id, NULL::VARCHAR AS entity_name, document_id AS graph_document_id, json_extract_string(any_value(metadata), '$.name') AS document_name,
+  'Entity>' || entity_id || '>HAS_DOCUMENT>Document>' || document_id AS relationship FROM chunked GROUP BY document_id, entity_id""")),
     "index_edges": (index_edges, "SELECT DISTINCT 'Entity' AS from_type, source AS from_id, 'HAS_DOCUMENT' AS relationship, 'Document' AS to_type, doc_id::VARCHAR AS to_id FROM documents WHERE trim(text) <> ''"),
     "upsert_document": (upsert_document, sql.query(sql.DOCUMENTS, """SELECT DISTINCT 'Entity' AS label, entity_id AS id, NULL AS name FROM documents_in WHERE trim(text) <> ''
 UNION ALL SELECT 'Document', document_id, CASE WHEN document_id::BIGINT % 4 = 0 THEN 'new ' || document_id ELSE json_extract_string(metadata, '$.name') END FROM documents_in WHERE trim(text) <> ''""")),
     "edge_endpoint_match": (edge_endpoint_match, sql.query(sql.NODES, sql.RELATIONSHIPS, """SELECT from_type, relationship_type, CASE WHEN from_type NOT IN ('Entity', 'Document') THEN 'Unsupported node label.' WHEN relationship_type NOT IN ('HAS_DOCUMENT', 'BELONGS_TO', 'OWNS', 'USED_IN_EVENT') THEN 'Unsupported relationship type.'
   WHEN NOT EXISTS (FROM nodes n WHERE n.label = 'Entity' AND n.id = from_id) OR NOT EXISTS (FROM nodes n WHERE n.label = 'Document' AND n.id = to_id) THEN 'Source or target node was not found.' END AS reason, count(*) AS n, count(DISTINCT (from_id, to_id)) AS n_distinct FROM requests GROUP BY ALL""")),
     "upsert_edge": (upsert_edge, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT * FROM edges")),
-    "expand_one_hop": (expand_one_hop, sql.query(sql.NODES, sql.RELATIONSHIPS, """SELECT entity_id, any_value(c_name) AS name, coalesce(string_agg(relationship || '>' || to_id, ',' ORDER BY from_type, from_id, relationship, to_type, to_id) FILTER (c_name IS NOT NULL AND to_id IS NOT NULL), '') AS relationships
-FROM (SELECT (c_custkey * 2)::VARCHAR AS entity_id FROM customer) a LEFT JOIN customer c ON c.c_custkey::VARCHAR = entity_id LEFT JOIN edges e ON e.from_type = 'Entity' AND e.from_id = entity_id GROUP BY entity_id""")),
+    "expand_one_hop": (expand_one_hop, sql.query(sql.NODES, sql.RELATIONSHIPS, """SELECT entity_id, any_value(c_name) AS name, page, coalesce(string_agg(relationship || '>' || to_id, ',' ORDER BY relationship, to_type, to_id) FILTER (to_id IS NOT NULL), '') AS relationships
+FROM (SELECT entity_id, c_name, relationship, to_type, to_id, ((row_number() OVER (PARTITION BY entity_id ORDER BY relationship, to_type, to_id) - 1) // 4)::INT AS page
+  FROM (SELECT (c_custkey * 2)::VARCHAR AS entity_id FROM customer) a LEFT JOIN customer c ON c.c_custkey::VARCHAR = entity_id LEFT JOIN edges e ON e.from_type = 'Entity' AND e.from_id = entity_id AND c_name IS NOT NULL) GROUP BY entity_id, page""")),
     "attach_graph_context": (attach_graph_context, sql.query(sql.HITS, """SELECT q.question_id, coalesce((SELECT count(*) FROM hits h WHERE h.question_id = q.question_id), 0)::INT AS n_chunks, CASE WHEN n > 0 THEN q.entity_id END AS entity, coalesce(n, 0)::INT AS n_relationships
 FROM questions q LEFT JOIN (SELECT entity_id, count(DISTINCT document_id) AS n FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) d USING (entity_id)""")),
     "format_chunk_block": (format_chunk_block, sql.query(sql.HITS, f"SELECT q.question_id, sha256(coalesce(c, 'No matching chunks found.')) AS block_sha256\n{_CONTEXT}")),
@@ -231,6 +240,6 @@ FROM questions q LEFT JOIN (SELECT entity_id, count(DISTINCT document_id) AS n F
     "chunk_index": (chunk_index, sql.query(sql.CHUNKS, "SELECT document_id, max(chunk_index) AS last, count(*) AS n FROM points GROUP BY ALL")),
     "l2_normalize": (l2_normalize, sql.query(sql.CHUNKS, sql.weights("cw", "points", "id", "text"), "SELECT id, count(*) AS n_places, round(sum(weight * weight), 6) AS norm, round(max(weight), 9) AS most FROM cw GROUP BY id")),
     "build_ask_prompt": (build_ask_prompt, sql.query(sql.HITS, f"SELECT q.question_id, sha256({_USER}) AS user_sha256\n{_CONTEXT}")),
-    "ask_result": (ask_result, sql.query(sql.HITS, f"""SELECT q.question_id, sha256({_USER}) AS answer, coalesce(ids, '') AS ids, CASE WHEN g IS NOT NULL THEN q.entity_id END AS entity, sha256(coalesce(g, 'No graph relationships found.')) AS relationships_sha256
+    "ask_result": (ask_result, sql.query(sql.HITS, f"""SELECT q.question_id, sha256({_USER}) AS answer, coalesce(ids, '') AS ids, sha256(coalesce(payload, '')) AS payload_sha256, CASE WHEN g IS NOT NULL THEN q.entity_id END AS entity, coalesce(n_relationships, 0) AS n_relationships
 {_CONTEXT}""")),
 }

@@ -5,7 +5,7 @@ DOCUMENTS = """documents_in AS (
 )"""
 
 QUESTIONS = """questions AS (
-  SELECT item_id::VARCHAR AS question_id, text AS question, 'src' || (item_id % 20) AS entity_id, CASE WHEN item_id % 6 < 5 THEN 1 + item_id % 5 ELSE 5 END AS top_k FROM benchmark
+  SELECT item_id::VARCHAR AS question_id, CASE WHEN item_id % 4 = 1 THEN '  ' || text || ' ' || chr(10) ELSE text END AS question, 'src' || (item_id % 20) AS entity_id, CASE WHEN item_id % 6 < 5 THEN 1 + item_id % 5 ELSE 5 END AS top_k FROM benchmark
 )"""
 
 CHUNKS = (

@@ -34,7 +34,7 @@ def filter_null_relationship(spark, sf_dir):
     o = tables.star(spark, sf_dir, "orders")
     edges = o.where("o_custkey % 3 > 0").select(F.lit("Entity").alias("from_type"), F.col("o_custkey").cast("string").alias("from_id"), F.lit("HAS_DOCUMENT").alias("relationship"), F.lit("Document").alias("to_type"), F.col("o_orderkey").cast("string").alias("to_id"))
     out = graph.expand_one_hop(nodes.select(F.col("id").alias("entity_id")), nodes, edges)
-    return out.select("entity_id", F.size("relationships").cast("long").alias("n"), F.exists("relationships", lambda r: r.isNull()).alias("has_null"))
+    return out.groupBy("entity_id").agg(F.sum(F.size("relationships")).alias("n"), F.max(F.exists("relationships", lambda r: r.isNull())).alias("has_null"))
 
 
 def normalize_global_attribute(spark, sf_dir):

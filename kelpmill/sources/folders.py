@@ -24,8 +24,16 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 def written_once(df: DataFrame) -> DataFrame:
     """df by way of the shared folder, for tables that are read several times: executors that are lost take nothing along. Its partitions are
     evened out first: a few rows of the input may have become most of the table."""
+    return settled(df.repartition(partitions(df.sparkSession)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df by way of the shared folder, partitioned as it is."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared(df.sparkSession))
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
-    return df.repartition(n).checkpoint()
+    return df.checkpoint()
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

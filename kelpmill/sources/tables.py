@@ -44,7 +44,8 @@ def documents_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = star(spark, sf_dir, "benchmark")
     n = F.col("item_id")
-    return b.select(n.cast("string").alias("question_id"), F.col("text").alias("question"), F.concat(F.lit("src"), (n % 20).cast("string")).alias("entity_id"), F.when(n % 6 < 5, (1 + n % 5).cast("int")).alias("top_k"))
+    text = F.when(n % 4 == 1, F.concat(F.lit("  "), "text", F.lit(" \n"))).otherwise(F.col("text"))  # some with white space round them
+    return b.select(n.cast("string").alias("question_id"), text.alias("question"), F.concat(F.lit("src"), (n % 20).cast("string")).alias("entity_id"), F.when(n % 6 < 5, (1 + n % 5).cast("int")).alias("top_k"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,16 +82,17 @@ def catalog_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = star(spark, sf_dir, "supplier"), F.col("s_suppkey")
     brand = F.concat(F.lit("brand#"), (1 + k % 5).cast("string"), (1 + F.floor(k / 5) % 5).cast("string"))
-    return s.select(k.cast("string").alias("request_id"), F.when(k % 17 == 0, "  ").otherwise(F.col("s_name")).alias("template_name"), F.when(k % 2 == 0, F.lit("First line\n\n second line ")).alias("description"), F.when(k % 3 == 0, F.concat(F.lit("id-"), brand)).alias("domain_id"), F.when(k % 4 > 0, F.concat(F.lit(" "), F.upper(brand))).alias("domain_type"), F.when(k % 6 == 0, F.lit(" Description_Only ")).alias("response_mode"))
+    return s.select(k.cast("string").alias("request_id"), F.when(k % 17 == 0, "  ").when(k % 5 == 1, F.concat(F.lit("\t"), "s_name", F.lit(" "))).otherwise(F.col("s_name")).alias("template_name"), F.when(k % 2 == 0, F.lit("First line\n\n second line ")).alias("description"), F.when(k % 3 == 0, F.concat(F.lit("id-"), brand)).alias("domain_id"), F.when(k % 4 > 0, F.concat(F.lit(" "), F.upper(brand))).alias("domain_type"), F.when(k % 6 == 0, F.lit(" Description_Only ")).alias("response_mode"))
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response envelopes for the template requests: good ones, prose, broken ones and errors, by the key's residue."""
+    """Response envelopes for the template requests: good ones, prose, broken and truncated ones and errors, by the key's residue."""
     s, k = star(spark, sf_dir, "supplier"), F.col("s_suppkey")
     attrs = F.concat(F.lit('[{"name":"Net Weight","type":"number","required":true},{"name":"net-weight"},{"name":"field_x"},{"name":"Status","type":"enum","enumValues":["A","Open ","Closed"]},{"name":"Empty","type":"enum","enum_values":["a"]},7,{"name":"Color '), k.cast("string"), F.lit('","type":"shade","required":"TRUE"}]'))
     good = F.concat(F.lit('Here: {"templateId":'), F.when(k % 2 == 0, F.lit('"lower_snake_v1"')).otherwise(F.concat(F.lit('"own_'), k.cast("string"), F.lit('"'))), F.lit(',"entity_type":'), F.when(k % 3 == 0, F.lit("null")).otherwise(F.lit('"THING"')), F.lit(',"description":"One\\n Two \\n\\nThree","attributes":'), attrs, F.lit("} done"))
     prose = F.lit('{"description":"Text.\\n- name: Shelf Life\\ntype: Number, days\\nrequired\\n- name: Grade\\nenum_values: [\'High\', \\"Low\\"]\\nrequired: no\\n- name: Shelf-life"}')
-    content = F.when(k % 37 == 0, F.lit(None).cast("string")).when(k % 5 == 4, prose).when(k % 5 == 3, F.lit("no json at all")).otherwise(good)
+    cut = F.when(k % 18 == 0, F.lit('{"description": "", "x": 1')).when(k % 30 == 6, F.lit('{"description": "Cut \\"off\\"\\n here", "attr'))
+    content = F.when(k % 37 == 0, F.lit(None).cast("string")).when(cut.isNotNull(), cut).when(k % 5 == 4, prose).when(k % 5 == 3, F.lit("no json at all")).otherwise(good)
     envelope = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")), {"ignoreNullFields": "false"})
     body = F.when(k % 23 == 0, F.lit("<html>")).when(k % 19 == 0, F.lit('{"error":"too busy"}')).when(k % 29 == 0, F.lit('{"choices":[]}')).otherwise(envelope)
     return s.select(k.cast("string").alias("request_id"), F.when(k % 19 == 0, 503).otherwise(200).cast("int").alias("http_status"), body.alias("body"), F.when(k % 31 == 0, F.lit("timed out")).alias("transport_error"))

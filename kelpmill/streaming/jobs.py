@@ -1,6 +1,10 @@
 """Incremental jobs: documents and edge requests arrive as streams, tables are kept as folders of Parquet.
 
-A table is one folder for each batch of its stream; readers take each key's row of the latest batch, in one aggregation.
+The index job fills several tables, which stand side by side under the same batch numbers. A batch counts only when its
+marker is there, which is written last, so readers never see half of one. A batch that failed before its marker overwrites what
+it had written when it runs again; one that has a marker is left as it is.
+
+A single table is one folder for each batch of its stream; readers take each key's row of the latest batch, in one aggregation.
 A batch that runs again after a failure overwrites its own folder, so nothing is counted twice, and the work of a batch
 goes with its rows, not with the table. A table belongs to one checkpoint, whose batches it numbers.
 """
@@ -10,9 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators import graph, index
 
@@ -26,12 +31,7 @@ class KeyedTable:
     def read(self, spark: SparkSession) -> DataFrame:
         """One row for each key: that of the latest batch. Before the first batch there are none."""
         none = spark.createDataFrame([], self.schema)
-        try:
-            rows = spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return none
+        rows = _found(spark, self.path, f"{self.schema}, batch long")
         rest = [c for c in none.columns if c not in self.key]
         if not rest:
             return rows.select(none.columns).distinct()
@@ -49,32 +49,107 @@ class KeyedTable:
         return small
 
 
-INDEX_SCHEMA = "id string, document_id string, entity_id string, file_url string, chunk_index int, text string, metadata string, vector array<double>, seq long"
+INDEX_SCHEMA = "id string, document_id string, entity_id string, file_url string, chunk_index int, text string, metadata string, vector array<double>, norm double, embedder string, seq long"
 EDGE_SCHEMA = ", ".join(f"{c} string" for c in graph.EDGE)
-
-
-def index_table(path: str) -> KeyedTable:
-    return KeyedTable(path, INDEX_SCHEMA, ["id"])
+_NODE = "struct<id:string,name:string>"
+SUMMARY_SCHEMA = f"status string, document_id string, entity_id string, file_url string, metadata string, chunks_indexed long, collection string, graph struct<entity:{_NODE},document:{_NODE},relationship:struct<from_id:string,from_type:string,relationship:string,to_id:string,to_type:string>>"
+
+
+def _found(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a folder; none if it isn't there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+class IndexTables:
+    """What the index job writes: chunks, nodes, edges, summaries and rejects, by batch, and a marker for each finished batch."""
+
+    #: (schema, key): readers get one row for each key, that of the latest batch; without a key, all rows.
+    TABLES = {
+        "chunks": (INDEX_SCHEMA, ["id"]),
+        "nodes": ("label string, id string, name string", ["label", "id"]),
+        "edges": (EDGE_SCHEMA, graph.EDGE),
+        "summaries": (SUMMARY_SCHEMA, ["document_id", "entity_id"]),
+        "rejects": ("document_id string, entity_id string, reason string", None),
+    }
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def finished(self, spark: SparkSession) -> DataFrame:
+        """(dimension, batch): the markers; dimension is that of the first vector of the batch, null without any."""
+        return _found(spark, f"{self.path}/finished", "dimension int, batch long")
+
+    def dimension(self, spark: SparkSession) -> int | None:
+        """The dimension of the first vector that was stored, which holds for the whole index."""
+        return self.finished(spark).where("dimension is not null").agg(F.min_by("dimension", "batch")).first()[0]
+
+    def write(self, name: str, rows: DataFrame, number: int) -> None:
+        names = [c.name for c in StructType.fromDDL(self.TABLES[name][0])]
+        rows.select(names).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+
+    def finish(self, spark: SparkSession, number: int, dimension: int | None) -> None:
+        spark.createDataFrame([(dimension,)], "dimension int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/finished/batch={number}")
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """The rows of finished batches. A node keeps the last name that it was given; chunks of another dimension than the index's don't count."""
+        schema, key = self.TABLES[name]
+        rows = _found(spark, f"{self.path}/{name}", f"{schema}, batch long").join(self.finished(spark).select("batch"), "batch", "left_semi")
+        if name == "chunks":
+            rows = rows.where(F.size("vector") == F.lit(self.dimension(spark)))
+        names = [c.name for c in StructType.fromDDL(schema)]
+        rest = [c for c in names if c not in (key or names)]
+        if not key:
+            return rows.select(names)
+        if not rest:
+            return rows.select(names).distinct()
+        if name == "nodes":
+            return rows.groupBy(key).agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("batch"))).alias("name"))
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*").select(names)
 
 
 def edge_table(path: str) -> KeyedTable:
     return KeyedTable(path, EDGE_SCHEMA, graph.EDGE)
 
 
-def stream_index(documents: DataFrame, table: KeyedTable, checkpoint: str, model=None) -> StreamingQuery:
-    """Index arriving documents: chunks are made on the stream, vectors and the upsert in each batch."""
-    arriving = index.points(documents)
+def stream_index(documents: DataFrame, tables: IndexTables, checkpoint: str, model=None) -> StreamingQuery:
+    """Index arriving documents. Of a batch's requests for one document the greatest by address, metadata and text counts, so a replay gives the same.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        # Of a batch's requests for one point the greatest by address and metadata counts, so a replay gives the same.
-        rest = F.struct("file_url", "metadata", *[c for c in rows.columns if c not in ("id", "file_url", "metadata")])
-        rows = rows.groupBy("id").agg(F.max(rest).alias("r")).select("id", "r.*").persist()
-        vectors = index.embed_texts(rows.select("id", "text"), "id", "text", model)
-        new = rows.join(vectors, "id").withColumn("seq", F.lit(number).cast("long"))
-        table.upsert(new.select([c.split()[0] for c in INDEX_SCHEMA.split(", ")]), number, index.index_upsert)
-        rows.unpersist()
+    Empty texts go to the rejects, and so do documents whose vectors have another dimension than the index. The first batch
+    with a vector learns the dimension while it writes. A batch's nodes have the names that it brings.
+    """
 
-    return documents_writer(arriving, checkpoint, batch)
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        if not tables.finished(spark).where(F.col("batch") == number).isEmpty():
+            return
+        key = ["document_id", "entity_id"]
+        accepted, empty = index.reject_empty_text(rows)
+        one = F.max(F.struct("file_url", "metadata", "text")).alias("r")
+        accepted = accepted.groupBy(key).agg(one).select(*key, "r.*").persist()
+        points = index.points(accepted)
+        vectors = index.embed_texts(points.select("id", "text"), "id", "text", model)
+        stored = index.with_norm(points.join(vectors, "id")).withColumns({"embedder": F.lit(index.EMBEDDER if model is None else getattr(model, "name", type(model).__name__)), "seq": F.lit(number).cast("long")})
+        seen = Observation()
+        tables.write("chunks", stored.observe(seen, F.min(F.struct("id", F.size("vector").alias("n"))).alias("first")), number)
+        own = seen.get["first"]
+        dimension = tables.dimension(spark) or (own and own["n"])
+        written = spark.read.parquet(f"{tables.path}/chunks/batch={number}")
+        good, bad = index.split_dimension(written, dimension or 0)
+        indexed = accepted.join(good.select(key).distinct(), key, "left_semi")
+        nodes = graph.document_nodes(indexed).groupBy("label", "id").agg(F.max("name").alias("name"))
+        tables.write("nodes", nodes, number)
+        tables.write("edges", graph.index_edges(indexed), number)
+        tables.write("summaries", index.index_summary(indexed, good, nodes), number)
+        tables.write("rejects", empty.select(*key, "reason").distinct().unionByName(bad.select(*key, "reason").distinct()), number)
+        tables.finish(spark, number, own and own["n"])
+        accepted.unpersist()
+
+    return documents_writer(documents, checkpoint, batch)
 
 
 def stream_relate(requests: DataFrame, nodes: Callable[[], DataFrame], table: KeyedTable, rejects: str, checkpoint: str) -> StreamingQuery:

@@ -18,8 +18,23 @@ def test_edges(spark):
     edges = graph.upsert_edges(spark.createDataFrame([], ", ".join(f"{c} string" for c in graph.EDGE)), matched)
     assert edges.count() == 1 and graph.upsert_edges(edges, matched).count() == 1
     hops = graph.expand_one_hop(spark.createDataFrame([("entity-1",), ("entity-7",)], "entity_id string"), nodes(spark), edges)
-    got = {r.entity_id: (r.entity and r.entity.name, [e.to_id for e in r.relationships]) for r in hops.collect()}
-    assert got == {"entity-1": ("One", ["doc-1"]), "entity-7": (None, [])}
+    got = {r.entity_id: (r.entity and r.entity.name, r.page, [e.to_id for e in r.relationships]) for r in hops.collect()}
+    assert got == {"entity-1": ("One", 0, ["doc-1"]), "entity-7": (None, 0, [])}
+
+
+def test_pages_of_a_hub(spark):
+    """Edges of one entity over several ranges: pages are full, in order, and numbered without gaps."""
+    ids = spark.range(20_000).select(F.lit("Entity").alias("from_type"), F.when(F.col("id") % 10 > 0, "hub").otherwise(F.concat(F.lit("e"), F.col("id") % 50)).alias("from_id"), F.lit("OWNS").alias("relationship"), F.lit("Document").alias("to_type"), F.lpad(F.col("id").cast("string"), 6, "0").alias("to_id"))
+    rows = graph.relationship_pages(ids, page=700).orderBy("entity_id", "page").collect()
+    of_hub = [r for r in rows if r.entity_id == "hub"]
+    assert [r.page for r in of_hub] == list(range(26)) and [len(r.relationships) for r in of_hub] == [700] * 25 + [500]
+    assert [e.to_id for r in of_hub for e in r.relationships] == [f"{k:06}" for k in range(20_000) if k % 10]
+    assert sum(len(r.relationships) for r in rows) == 20_000 and max(len(r.relationships) for r in rows) == 700
+    nodes_of = spark.createDataFrame([("Entity", "hub", "Hub")], "label string, id string, name string")
+    text = prompts.graph_texts(graph.expand_one_hop(spark.createDataFrame([("hub",), ("e0",)], "entity_id string"), nodes_of, ids, page=700))
+    got = {r.entity_id: r for r in text.collect()}
+    assert got["hub"].n_relationships == 18_000 and [x.split("(")[-1] for x in got["hub"].graph.split("\n")] == [f"{k:06})" for k in range(20_000) if k % 10]
+    assert got["e0"].graph == "No graph relationships found." and got["e0"].entity is None
 
 
 def test_nodes_keep_their_names(spark):
@@ -28,21 +43,22 @@ def test_nodes_keep_their_names(spark):
     blank = new.withColumns({"name": F.lit(None).cast("string"), "seq": F.lit(2)})
     got = {(r.label, r.id): r.name for r in graph.upsert_nodes(new, blank).collect()}
     assert got == {("Entity", "e"): None, ("Document", "d1"): "Spec", ("Document", "d2"): "url2", ("Document", "d3"): None}
-    summary = index.index_summary(docs, index.chunks(docs)).orderBy("document_id").collect()
-    assert [(r.status, r.chunks_indexed, r.relationship) for r in summary] == [("indexed", 1, "HAS_DOCUMENT")] * 3
+    summary = index.index_summary(docs, index.chunks(docs), graph.upsert_nodes(new, blank)).orderBy("document_id").collect()
+    assert [(r.status, r.chunks_indexed, r.collection) for r in summary] == [("ok", 1, "document_chunks")] * 3
+    assert summary[0].graph.asDict(True) == {"entity": {"id": "e", "name": None}, "document": {"id": "d1", "name": "Spec"}, "relationship": {"from_id": "e", "from_type": "Entity", "relationship": "HAS_DOCUMENT", "to_id": "d1", "to_type": "Document"}}
 
 
 def test_prompts(spark):
     none = spark.createDataFrame([("q", "Why?", "e")], "question_id string, question string, entity_id string")
     chunks = spark.createDataFrame([("x", [(1, 0.5, "i", "d", 0, "text")])], "question_id string, chunks array<struct<rank:int,score:double,id:string,document_id:string,chunk_index:int,text:string>>")
     edge = ",".join(f"{c}:string" for c in graph.EDGE)
-    hops = spark.createDataFrame([("z", None, [])], f"entity_id string, entity struct<id:string,name:string>, relationships array<struct<{edge}>>")
+    hops = spark.createDataFrame([("z", None, 0, [])], f"entity_id string, entity struct<id:string,name:string>, page int, relationships array<struct<{edge}>>")
     row = prompts.with_ask_prompt(prompts.ask_context(none, chunks, hops)).first()
     assert row.messages[1].content == "Question:\nWhy?\n\nDocument Chunks:\nNo matching chunks found.\n\nGraph Context:\nNo graph relationships found."
     full = none.withColumn("question_id", F.lit("x")).withColumn("entity_id", F.lit("z"))
-    hops = spark.createDataFrame([("z", ("z", "Z"), [("Entity", "z", "OWNS", "Document", "d")])], hops.schema)
+    hops = spark.createDataFrame([("z", ("z", "Z"), 1, [("Entity", "z", "OWNS", "Document", "d2")]), ("z", ("z", "Z"), 0, [("Entity", "z", "OWNS", "Document", "d")])], hops.schema)
     row = prompts.with_ask_prompt(prompts.ask_context(full, chunks, hops)).first()
-    assert row.messages[1].content.endswith("[Chunk 1] text\n\nGraph Context:\nEntity(z) -[OWNS]-> Document(d)")
+    assert row.messages[1].content.endswith("[Chunk 1] text\n\nGraph Context:\nEntity(z) -[OWNS]-> Document(d)\nEntity(z) -[OWNS]-> Document(d2)")
 
 
 def test_completion_hook(spark):

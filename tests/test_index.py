@@ -1,11 +1,16 @@
+import hashlib
+import math
+import random
 import re
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kelpmill.functions import text as tx
-from kelpmill.operators import index, search
+from kelpmill.functions import vectors
+from kelpmill.operators import index, search, templates
 
 DOCS = "document_id string, entity_id string, file_url string, text string, metadata string"
 
@@ -84,6 +89,11 @@ def test_rejects(spark):
     asked = spark.createDataFrame([("1", "  ", "e", 3), ("2", None, "e", 3), ("3", "What changed?", "e", 2), ("4", "x", "e", 0)], "question_id string, question string, entity_id string, top_k int")
     good, bad = search.reject_blank_question(asked)
     assert [r.question_id for r in good.collect()] == ["3"]
+    padded = spark.createDataFrame([("1", " \u2003What changed?\t\n", "e", 3)], asked.schema)
+    assert search.reject_blank_question(padded)[0].first().question == "What changed?"
+    names = spark.createDataFrame([("1", " Member Access "), ("2", " \t")], "request_id string, template_name string")
+    good_names, bad_names = templates.reject_blank_template(names)
+    assert [r.template_name for r in good_names.collect()] == ["Member Access"] and [r.template_name for r in bad_names.collect()] == [" \t"]
     assert sorted((r.question_id, r.reason) for r in bad.collect()) == [("1", "question is required."), ("2", "question is required."), ("4", "top_k must be positive.")]
 
 
@@ -95,6 +105,39 @@ def test_sparse_and_dense_search_agree(spark):
     assert sorted(map(tuple, search.knn_sparse(asked, chunks).collect())) == sorted(map(tuple, search.knn_dense(dense_asked, dense_chunks).collect()))
 
 
+@pytest.mark.parametrize("questions,rows", [(256, 4096), (3, 7)])
+def test_cells_of_one_entity(spark, monkeypatch, questions, rows):
+    """One entity alone, ties, vectors of no length, of another length, and none."""
+    monkeypatch.setattr(search, "QUESTIONS", questions)
+    monkeypatch.setattr(search, "ROWS", rows)
+    draw = random.Random(4)
+    vector = lambda n: [float(draw.choice([-1, 0, 0, 1, 2])) for _ in range(n)]
+    own = [(f"r{k:02}", "e", draw.choice([vector(3), vector(3), [0.0] * 3, vector(2), None])) for k in range(60)]
+    asked = [(f"q{k}", "e", draw.choice([1, 4, 100]), draw.choice([vector(3), vector(2), None])) for k in range(10)]
+    want = []
+    for q, _, top, v in asked:
+        found = []
+        for i, _, w in own:
+            if v is not None and w is not None and len(v) == len(w):
+                norms = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in w))
+                found.append((-round(sum(x * y for x, y in zip(v, w, strict=True)) / norms, 6) if norms else 0.0, i))
+        want += [(q, i, -s, k) for k, (s, i) in enumerate(sorted(found)[:top], 1)]
+    asked = spark.createDataFrame(asked, "question_id string, entity_id string, top_k int, vector array<double>")
+    own = spark.createDataFrame(own, "id string, entity_id string, vector array<double>")
+    got = [(r.question_id, r.id, r.score + 0.0, r["rank"]) for r in search.knn_dense(asked, own).collect()]
+    assert sorted(got) == sorted((q, i, s + 0.0, k) for q, i, s, k in want)
+    dealt = search._dealt(asked, own)
+    assert max(r["count"] for r in dealt[0].groupBy("i", "j").count().collect()) <= max(10, 3 * questions)
+
+
+def test_hashed_places():
+    row, bucket, weight = vectors.hashed_places(pa.array(["b a b", "", None, "c"]), 384)
+    of = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 384
+    got = {(int(r), int(b)): round(float(w), 6) for r, b, w in zip(row, bucket, weight, strict=True)}
+    assert got == {(0, of("b")): round(2 / 5**0.5, 6), (0, of("a")): round(1 / 5**0.5, 6), (3, of("c")): 1.0}
+    assert list(vectors.runs(pa.array(["xx", "", None, "x" * 9, "y"]), 3)) == [(0, 3), (3, 1), (4, 1)]
+
+
 def test_search_gives_all_hits_that_are_asked(spark):
     chunks = spark.createDataFrame([(f"c{k:03}", "e", f"red word{k}") for k in range(160)], "id string, entity_id string, text string")
     asked = spark.createDataFrame([("q0", "red", "e", 150), ("q1", "red", "e", 3)], "question_id string, question string, entity_id string, top_k int")

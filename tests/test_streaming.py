@@ -1,28 +1,82 @@
-from pyspark.sql import functions as F
+import pytest
+from pyspark.errors import StreamingQueryException
 
-from kelpmill.operators import graph, index
+from kelpmill.operators import graph
 from kelpmill.sources import tables
 from kelpmill.streaming import jobs
 
 DOCS = tables.SCHEMAS["documents_in"]
 
 
-def test_stream_index_over_batches_and_a_replay(spark, tmp_path):
-    parts = [[("d1", "e", None, "alpha beta", "{}"), ("d2", "e", None, "gamma", "{}")], [("d1", "e", "u", "alpha beta", '{"name":"new"}'), ("d3", "e", None, " ", "{}")]]
-    table = jobs.index_table(str(tmp_path / "index"))
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, DOCS).coalesce(1).write.json(str(tmp_path / f"in/{k}"))
-        stream = spark.readStream.schema(DOCS).json(str(tmp_path / "in/*"))
-        jobs.stream_index(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
-    rows = {r.document_id: (r.text, r.file_url, r.metadata) for r in table.read(spark).collect()}
-    assert rows == {"d1": ("alpha beta", "u", '{"name":"new"}'), "d2": ("gamma", None, "{}")}
-    again = index.points(spark.createDataFrame(parts[1], DOCS)).withColumns({"vector": F.array(F.lit(1.0)), "seq": F.lit(1).cast("long")})
-    table.upsert(again, 1, index.index_upsert)
-    assert {r.document_id for r in table.read(spark).collect()} == {"d1", "d2"}
-    small = table.compact(spark, str(tmp_path / "compact"))
-    assert {tuple(r) for r in small.read(spark).select("document_id", "seq").collect()} == {("d1", 1), ("d2", 0)}
-    small.upsert(again.where("document_id = 'd1'").withColumn("text", F.lit("later")), 0, index.index_upsert)
-    assert {(r.document_id, r.text) for r in small.read(spark).collect()} == {("d1", "later"), ("d2", "gamma")}
+def arrive(spark, tmp_path, k, rows):
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.json(str(tmp_path / f"in/{k}"))
+    return spark.readStream.schema(DOCS).json(str(tmp_path / "in/*"))
+
+
+def run(spark, tmp_path, k, rows, tables, model=None):
+    jobs.stream_index(arrive(spark, tmp_path, k, rows), tables, str(tmp_path / "checkpoint"), model).awaitTermination()
+
+
+def state(spark, tables, names=("chunks", "nodes", "edges", "summaries", "rejects")):
+    return {name: sorted(map(str, tables.read(spark, name).collect())) for name in names}
+
+
+def test_stream_index_over_batches_a_failure_and_a_replay(spark, tmp_path):
+    tables = jobs.IndexTables(str(tmp_path / "index"))
+    assert not any(state(spark, tables).values())
+    run(spark, tmp_path, 0, [("d1", "e", None, "alpha beta", "{}"), ("d2", "e", None, "gamma", "{}"), ("d4", "e", "u", " \n", "{}")], tables)
+    before = state(spark, tables)
+    assert [r.reason for r in tables.read(spark, "rejects").collect()] == ["No indexable text was provided."]
+    later = [("d1", "e", "u", "alpha beta", '{"name":"new"}'), ("d3", "f", None, " ", "{}"), ("d5", "f", "v", "delta", "{}")]
+    for sink in ("nodes", "rejects", None):  # the batch fails before a sink, then before its marker; no part of it is visible
+
+        class Broken(jobs.IndexTables):
+            def write(self, name, rows, number):
+                if name == sink:
+                    raise OSError("disk")
+                super().write(name, rows, number)
+
+            def finish(self, *given):
+                raise OSError("marker")
+
+        with pytest.raises(StreamingQueryException):
+            if sink == "nodes":
+                run(spark, tmp_path, 1, later, Broken(tables.path))
+            else:
+                jobs.stream_index(spark.readStream.schema(DOCS).json(str(tmp_path / "in/*")), Broken(tables.path), str(tmp_path / "checkpoint")).awaitTermination()
+        assert state(spark, tables) == before
+    jobs.stream_index(spark.readStream.schema(DOCS).json(str(tmp_path / "in/*")), tables, str(tmp_path / "checkpoint")).awaitTermination()
+    rows = {r.document_id: (r.text, r.file_url, r.metadata, r.seq, round(r.norm, 6), r.embedder) for r in tables.read(spark, "chunks").collect()}
+    assert rows == {"d1": ("alpha beta", "u", '{"name":"new"}', 1, 1.0, "md5-bag"), "d2": ("gamma", None, "{}", 0, 1.0, "md5-bag"), "d5": ("delta", "v", "{}", 1, 1.0, "md5-bag")}
+    assert {(r.label, r.id): r.name for r in tables.read(spark, "nodes").collect()} == {("Entity", "e"): None, ("Entity", "f"): None, ("Document", "d1"): "new", ("Document", "d2"): None, ("Document", "d5"): "v"}
+    assert tables.read(spark, "edges").count() == 3 and {r.document_id for r in tables.read(spark, "rejects").collect()} == {"d4", "d3"}
+    assert {(r.document_id, r.status, r.chunks_indexed, r.graph.document.name) for r in tables.read(spark, "summaries").collect()} == {("d1", "ok", 1, "new"), ("d2", "ok", 1, None), ("d5", "ok", 1, "v")}
+    run(spark, tmp_path, 2, [("d2", "e", "w", "gamma", "{}")], tables)
+    assert {(r.document_id, r.file_url) for r in tables.read(spark, "chunks").collect()} == {("d1", "u"), ("d2", "w"), ("d5", "v")}
+
+
+def test_stream_index_keeps_its_dimension(spark, tmp_path):
+    tables = jobs.IndexTables(str(tmp_path / "index"))
+    run(spark, tmp_path, 0, [("d0", "e", None, " ", "{}")], tables, lambda texts: [[1.0, 0.0]] * len(texts))
+    assert tables.dimension(spark) is None
+    run(spark, tmp_path, 1, [("d1", "e", None, "a", "{}")], tables, lambda texts: [[1.0, 0.0]] * len(texts))
+    run(spark, tmp_path, 2, [("d1", "e", "u", "a", "{}"), ("d2", "e", None, "b", "{}")], tables, lambda texts: [[1.0, 0.0, 0.0]] * len(texts))
+    run(spark, tmp_path, 3, [("d3", "e", None, "c", "{}")], tables, lambda texts: [[0.0, 2.0]] * len(texts))
+    assert tables.dimension(spark) == 2
+    assert {(r.document_id, r.file_url, r.norm) for r in tables.read(spark, "chunks").collect()} == {("d1", None, 1.0), ("d3", None, 2.0)}
+    assert {(r.document_id, r.reason) for r in tables.read(spark, "rejects").where("reason like 'Vector%'").collect()} == {(d, "Vector dimension differs from the index.") for d in ("d1", "d2")}
+    assert {r.id for r in tables.read(spark, "nodes").where("label = 'Document'").collect()} == {"d1", "d3"}
+
+
+def test_compaction(spark, tmp_path):
+    table = jobs.KeyedTable(str(tmp_path / "t"), "id string, text string", ["id"])
+    rows = lambda *r: spark.createDataFrame(r, "id string, text string")
+    same = lambda old, new: new
+    table.upsert(rows(("a", "1"), ("b", "1")), 0, same)
+    table.upsert(rows(("a", "2")), 1, same)
+    small = table.compact(spark, str(tmp_path / "small"))
+    small.upsert(rows(("b", "3")), 0, same)
+    assert {tuple(r) for r in small.read(spark).collect()} == {("a", "2"), ("b", "3")}
 
 
 def test_stream_relate(spark, tmp_path):

@@ -86,13 +86,14 @@ def test_templates(spark):
 
 
 def test_descriptions(spark):
-    asked = spark.createDataFrame([(str(k), "My Name", None, None, None, "description_only") for k in range(5)], tables.SCHEMAS["template_requests"])
-    contents = ['{"description":"  One\\n two "}', 'x "description": "a \\"q\\" b" {', "- plain  text", "{broken}", "```json\n'quoted'\n```"]
+    asked = spark.createDataFrame([(str(k), "My Name", None, None, None, "description_only") for k in range(8)], tables.SCHEMAS["template_requests"])
+    contents = ['{"description":"  One\\n two "}', 'x "description": "a \\"q\\" b" {', "- plain  text", "{broken}", "```json\n'quoted'\n```", '{"description": "", "x": 1', '{"description": "a\nb \\"q\\""', '{"description": "a\\nb \\"q\\""']
     rows = completions.description_results(asked, spark.createDataFrame([(str(k), c) for k, c in enumerate(contents)], "request_id string, content string"))
     got = [r.description for r in rows.orderBy("request_id").collect()]
     assert got[:3] == ["One two", 'a "q" b', "plain text"] and got[3].startswith("It organizes") and got[4] == "quoted"
+    assert got[5].startswith("It organizes") and got[6:] == ['a b \\"q\\"', 'a b "q"']
     assert {r.entity_type for r in rows.collect()} == {"MY_NAME"}
     full, short = templates.route(asked.withColumn("response_mode", F.when(F.col("request_id") == "0", " Description_ONLY ")))
-    assert (full.count(), short.count()) == (4, 1)
+    assert (full.count(), short.count()) == (7, 1)
     good, bad = templates.reject_blank_template(asked.withColumn("template_name", F.when(F.col("request_id") > "1", "x").otherwise("   ")))
-    assert (good.count(), {r.reason for r in bad.collect()}) == (3, {"template_name is required."})
+    assert (good.count(), {r.reason for r in bad.collect()}) == (6, {"template_name is required."})
