@@ -5,12 +5,11 @@ with at most one difference. Each segment is indexed by its variants, in each of
 segments with at most one difference have a variant in common. An equality join on variants finds the candidates, and the
 whole fingerprints decide.
 
-Equal fingerprints are one class from the start. A bucket of one variant that has two members, as chance makes most, is its
-least and its greatest, so it is settled in the aggregation that counts it. In a larger one every class meets the bucket's
-pivot; what these links join needs no further look. Buckets that still hold several components are compared in cells of bounded size,
-the members outside the largest component with all. A bucket above SPLIT members is first dealt anew by variants of the
-bits outside its segment, so that chance neighbours of a very large corpus part. No link between different components is
-lost, and no bucket's pairs are written out.
+Equal fingerprints are one class from the start. First those with an equal segment meet the least of it, which joins
+near copies to components by three rows each. A bucket of variants with one component needs no look then, and one of two
+members is settled where it is counted. In the others components meet, each by its least member, and what this leaves is compared in cells of bounded size, the members outside the largest component with all. A bucket above
+SPLIT members is dealt anew for that by variants of the bits outside its segment, so that chance neighbours of a very large
+corpus part. No link between different components is lost, and no bucket's pairs are written out.
 """
 
 from __future__ import annotations
@@ -93,20 +92,41 @@ def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
 
 
-def indexed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): the links in buckets of two, whose members are their least and greatest; and (place, key, fp, size): the buckets of more."""
-    rows = classes.select("fp", F.posexplode(variants(F.col("fp"), list(range(WIDTH)))).alias("place", "key"))
-    sizes = settle(rows.groupBy("key").agg(F.count("*").alias("size"), F.max("fp").alias("a"), F.min("fp").alias("b")).where("size > 2 or (size = 2 and bit_count(a ^ b) <= %d)" % BITS))
-    large = sizes.where("size > 2").select("key", "size")
-    return sizes.where("size = 2").select("a", "b").distinct(), settle(rows.join(large, "key").select("place", "key", "fp", "size"))
+def _pairs(a: str, b: str) -> Column:
+    return F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
 
 
-def pivot_links(members: DataFrame) -> DataFrame:
-    """(a, b): links of a bucket's members with its pivot, the member of most and largest buckets."""
-    degree = members.groupBy("fp").agg(F.sum("size").alias("degree"))
-    pivots = members.join(degree, "fp").groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("best"))
-    pairs = members.join(pivots.select("key", F.col("best.fp").alias("pivot")), "key").where(F.col("fp") != F.col("pivot"))
-    return pairs.where(_close("fp", "pivot")).select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")).distinct()
+def links_in_segments(classes: DataFrame) -> DataFrame:
+    """(a, b): links between fingerprints with an equal segment, each to the least of its segment's fingerprints."""
+    segments = [sum(1 << p for p in s) for s in cut(list(range(WIDTH)))]
+    keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")), F.lit(k)) for k, mask in enumerate(segments)])
+    rows = classes.select("fp", F.explode(keys).alias("key"))
+    pivots = rows.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    pairs = rows.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot"))
+    return pairs.select(_pairs("fp", "pivot").alias("p")).select("p.*").distinct()
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of their fp's component; a fingerprint without links is its own."""
+    return rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def open_buckets(classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the links in buckets of two; and (place, key, fp, size): the members of larger buckets that hold several labels."""
+    rows = settle(labelled(classes.select("fp"), labels)).select("fp", "label", F.posexplode(variants(F.col("fp"), list(range(WIDTH)))).alias("place", "key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("fp").alias("a"), F.min("fp").alias("b"), F.max("label").alias("high"), F.min("label").alias("low"))
+    # Two members that are too far apart, as chance puts most of them together, need no second look.
+    buckets = settle(buckets.where("low <> high and (size > 2 or bit_count(a ^ b) <= %d)" % BITS))
+    members = rows.join(buckets.where("size > 2").select("key", "size"), "key").select("place", "key", "fp", "size")
+    return buckets.where("size = 2").select("a", "b").distinct(), settle(members)
+
+
+def links_of_firsts(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): links between a bucket's labels and the one with most members, each by its least member."""
+    by_label = labelled(members, labels).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("fp").alias("first"))
+    top = by_label.groupBy("key").agg(F.max(F.struct("n", "label", "first")).alias("t"))
+    pairs = by_label.join(top, "key").select("first", F.col("t.first").alias("top")).where((F.col("first") != F.col("top")) & _close("first", "top"))
+    return pairs.select(_pairs("first", "top").alias("p")).select("p.*").distinct()
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -116,9 +136,8 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def remaining_links(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): links between components in buckets that hold several."""
-    named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rows = settle(_several(named))
+    """(a, b): links between components in buckets that still hold several."""
+    rows = settle(_several(labelled(members, labels)))
     large = rows.where(F.col("size") > SPLIT)
     finer = large.withColumn("finer", F.explode(_outside(F.col("fp"), F.col("place"), cut(list(range(WIDTH)))))).withColumn("key", F.xxhash64("key", "finer"))
     rows = rows.where(F.col("size") <= SPLIT).select("key", "fp", "label").unionByName(_several(finer.select("key", "fp", "label")))
@@ -137,13 +156,15 @@ def remaining_links(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(classes: DataFrame) -> DataFrame:
     """(fp, label) of distinct fingerprints fp: the label is one of those that links reach, the same for all of them."""
-    pairs, members = indexed(classes)
-    links = settle(pivot_links(members).unionByName(pairs))
+    links = settle(links_in_segments(classes))
+    labels = settle(components(links))
+    pairs, members = open_buckets(classes, labels)
+    links = links.unionByName(settle(links_of_firsts(members, labels).unionByName(pairs)))
     labels = settle(components(links))
     more = settle(remaining_links(members, labels))
     if not more.isEmpty():
         labels = settle(components(links.unionByName(more)))
-    return classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return labelled(classes, labels)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
