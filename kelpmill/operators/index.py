@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 
 from ..functions import vectors
 from ..functions.text import normalize_whitespace, nullif_empty, or_empty, point_id
@@ -15,6 +16,8 @@ from ..functions.text import normalize_whitespace, nullif_empty, or_empty, point
 PLACES = "array<struct<bucket:int,weight:double>>"
 CHUNK_SIZE, CHUNK_OVERLAP, DIMENSION, EMBEDDER = 800, 120, 384, "md5-bag"
 COLLECTION = "document_chunks"
+#: Texts that a model sees at once.
+BATCH = 256
 
 
 def reject(rows: DataFrame, bad: Column, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -86,23 +89,26 @@ def hash_weights(rows: DataFrame, text_col: str, dimension: int = DIMENSION, nor
     return hash_places(rows, text_col, dimension, normal).select(*rest, F.explode("places").alias("place")).select(*rest, "place.bucket", "place.weight")
 
 
-def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimension: int = DIMENSION) -> DataFrame:
-    """(id_col, vector): by hashed tokens, or by model, a function of a list of texts that makes a list of unit vectors.
+def embed_texts(rows: DataFrame, id_col: str, text_col: str, model=None, dimension: int = DIMENSION, batch_size: int = BATCH) -> DataFrame:
+    """(id_col, vector): by hashed tokens, or by model, a function of a list of at most batch_size texts that makes a list of unit vectors.
 
-    A model with a method `load` is loaded once for each task; its failures are not covered up by
-    hashed vectors, which live in another space.
+    The model sees each different text once. One with a method `load` is loaded once for each worker; its failures are not covered up by
+    hashed vectors, which live in another space. A null text counts as empty.
     """
     if model is None:
         return _by_batch(rows.select(id_col, text_col), text_col, False, "vector", "array<double>", lambda texts: vectors.dense_column(*vectors.hashed_places(texts, dimension), len(texts), dimension))
 
-    kind = rows.schema[id_col].dataType.simpleString()
+    texts = rows.select(id_col, or_empty(F.col(text_col)).alias("text")).withColumn("h", F.xxhash64("text"))
+
+    def loaded():
+        import numpy as np
 
-    def encoded(frames):
         encode = model.load() if hasattr(model, "load") else model
-        for frame in frames:
-            yield frame[[id_col]].assign(vector=[list(map(float, v)) for v in encode(frame[text_col].fillna("").tolist())])
+        return lambda texts: np.array(encode(texts.tolist()), dtype=float)
 
-    return rows.select(id_col, text_col).mapInPandas(encoded, f"{id_col} {kind}, vector array<double>")
+    different = texts.select("h", "text").distinct()
+    encoded = different.select("h", "text", predict_batch_udf(loaded, return_type=ArrayType(DoubleType()), batch_size=batch_size)("text").alias("vector"))
+    return texts.join(encoded, ["h", "text"]).select(id_col, "vector")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,9 +1,7 @@
-"""Blocks and messages for a model, and the hook that calls one."""
+"""Blocks and messages for a model, and results from its answers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,22 +86,3 @@ def with_template_prompt(requests: DataFrame, system: str = TEMPLATE_SYSTEM) ->
 
 def with_description_prompt(requests: DataFrame, system: str = DESCRIPTION_SYSTEM) -> DataFrame:
     return requests.withColumn("messages", messages(system, _request_lines()))
-
-
-def complete_prompts(prompts: DataFrame, complete: Callable[[list[dict]], str], id_col: str = "request_id", partitions: int | None = None) -> DataFrame:
-    """(request_id, http_status, body, transport_error): complete is called for each row's messages; what it raises is the row's error."""
-    rows = prompts.select(F.col(id_col).alias("request_id"), "messages")
-
-    def answered(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for key, given in zip(frame["request_id"], frame["messages"], strict=True):
-                try:
-                    out.append((key, 200, complete([dict(m) if isinstance(m, dict) else m.asDict() for m in given]), None))
-                except Exception as error:  # the row's result, not a failure of the job
-                    out.append((key, None, None, str(error)))
-            yield pd.DataFrame(out, columns=["request_id", "http_status", "body", "transport_error"])
-
-    return (rows.repartition(partitions) if partitions else rows).mapInPandas(answered, "request_id string, http_status int, body string, transport_error string")

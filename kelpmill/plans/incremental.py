@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, prompts, search
+from ..operators import calls, index, prompts, search
 from ..sources import folders, tables
 from ..streaming import jobs
 from . import sql
@@ -79,10 +79,20 @@ def _echo(messages):
     return '{"choices":[{"message":{"content":"' + str(size) + '"}}]}'
 
 
+def _later(messages):
+    """One that says by its answer that it was asked, but for lengths that it is too busy for."""
+    size = len(messages[1]["content"])
+    return (429, "{}") if size % 3 == 0 else '{"choices":[{"message":{"content":"later ' + str(size) + '"}}]}'
+
+
 def complete_prompts(spark, sf_dir):
+    """Each question twice, asked once; a second run asks only what failed in the first."""
     q = search.reject_blank_question(tables.questions(spark, sf_dir))[0]
-    asked = q.withColumn("messages", prompts.messages("Count.", F.col("question")))
-    return prompts.complete_prompts(asked, _echo, "question_id", partitions=4).select("request_id", "body", "transport_error")
+    asked = q.withColumn("messages", prompts.messages("Count.", F.col("question"))).select("question_id", "messages")
+    asked = asked.unionByName(asked.withColumn("question_id", F.concat(F.lit("again "), "question_id")))
+    table = calls.Answers(f"{folders.new_folder(spark, 'job')}/answers")
+    table.resume(asked, _echo, "question_id", slice_rows=16, retries=1)
+    return table.resume(asked, _later, "question_id").select("request_id", "http_status", "body", "transport_error", "attempts")
 
 
 QUERIES = {
@@ -99,5 +109,11 @@ SELECT CASE WHEN odd_type THEN 'Unsupported relationship type.' ELSE 'Source or
 UNION ALL SELECT 'accepted', count(DISTINCT (o_custkey, k)), NULL FROM b WHERE NOT odd_type AND NOT unknown"""),
     "embed_texts": (embed_texts, sql.query(sql.weights("w", "documents", "doc_id", "text"), """SELECT doc_id::VARCHAR AS document_id, round(coalesce(moment, 0), 6)::DOUBLE AS moment, round(coalesce(n / size, 0), 6)::DOUBLE AS letters, round(coalesce((len - n) / size, 0), 6)::DOUBLE AS others
 FROM (SELECT *, nullif(sqrt(n * n + (len - n) * (len - n)), 0) AS size FROM (SELECT doc_id, length(text) AS len, length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')) AS n FROM documents)) LEFT JOIN (SELECT doc_id, sum(bucket * weight) AS moment FROM w GROUP BY doc_id) USING (doc_id)""")),
-    "complete_prompts": (complete_prompts, """SELECT item_id::VARCHAR AS request_id, CASE WHEN length(text) % 7 > 0 THEN '{"choices":[{"message":{"content":"' || length(text) || '"}}]}' END AS body, CASE WHEN length(text) % 7 = 0 THEN 'no answer' END AS transport_error FROM (SELECT item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM benchmark)"""),
+    "complete_prompts": (complete_prompts, r"""WITH q AS (
+  SELECT item_id::VARCHAR AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM benchmark
+), a AS (
+  SELECT id, CASE WHEN n % 7 = 0 AND n % 3 = 0 THEN 429 ELSE 200 END AS http_status, CASE WHEN n % 7 > 0 THEN '{"choices":[{"message":{"content":"' || n || '"}}]}' WHEN n % 3 = 0 THEN '{}' ELSE '{"choices":[{"message":{"content":"later ' || n || '"}}]}' END AS body,
+    NULL::VARCHAR AS transport_error, CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM q
+)
+SELECT id AS request_id, http_status, body, transport_error, attempts FROM a UNION ALL SELECT 'again ' || id, http_status, body, transport_error, attempts FROM a"""),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import graph, index, prompts, search
+from ..operators import calls, graph, index, prompts, search
 from ..sources import folders, tables
 from . import sql
 
@@ -193,7 +193,7 @@ def _digest(messages):
 def ask_result(spark, sf_dir):
     """Questions to answers, through a function in place of a model; hits with the hash of their payload."""
     asked = folders.written_once(prompts.with_ask_prompt(_context(spark, sf_dir)))
-    out = prompts.ask_results(asked, prompts.complete_prompts(asked, _digest, "question_id"))
+    out = prompts.ask_results(asked, calls.complete_prompts(asked, _digest, "question_id"))
     payload = F.transform("chunks", lambda c: F.concat_ws("|", c["id"], c["document_id"], c["entity_id"], F.coalesce(c["file_url"], F.lit("")), c["chunk_index"].cast("string"), c["text"], c["metadata"]))
     return out.select("question_id", "answer", F.array_join(F.transform("chunks", lambda c: c["id"]), ",").alias("ids"), F.sha2(F.array_join(payload, ","), 256).alias("payload_sha256"), F.col("graph.entity.id").alias("entity"), F.col("graph.n_relationships").cast("long").alias("n_relationships"))
 

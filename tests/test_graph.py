@@ -1,6 +1,11 @@
+import os
+import time
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
-from kelpmill.operators import graph, index, prompts
+from kelpmill.operators import calls, graph, index, prompts
 
 REQUESTS = "from_id string, from_type string, to_id string, to_type string, relationship_type string"
 DOCS = "document_id string, entity_id string, file_url string, text string, metadata string"
@@ -68,5 +73,50 @@ def test_completion_hook(spark):
         return messages[1]["content"].upper()
 
     rows = spark.createDataFrame([("1", "good"), ("2", "bad")], "request_id string, text string").withColumn("messages", prompts.messages("s", F.col("text")))
-    got = {r.request_id: (r.http_status, r.body, r.transport_error) for r in prompts.complete_prompts(rows, complete).collect()}
-    assert got["1"] == (200, "GOOD", None) and got["2"][1:] == (None, "no")
+    got = {r.request_id: (r.http_status, r.body, r.transport_error, r.attempts) for r in calls.complete_prompts(rows, complete, retries=2).collect()}
+    assert got["1"] == (200, "GOOD", None, 1) and got["2"] == (None, None, "no", 3)
+
+
+def test_calls_that_hang_or_wait(spark):
+    def complete(messages):
+        time.sleep(20 if messages[1]["content"] == "hang" else 0.05)
+        return messages[1]["content"]
+
+    rows = spark.createDataFrame([(str(k), "hang" if k == 2 else f"t{k}") for k in range(40)], "request_id string, text string").coalesce(1).withColumn("messages", prompts.messages("s", F.col("text")))
+    began = time.time()
+    got = {r.request_id: r for r in calls.complete_prompts(rows, complete, at_once=4, time_limit=1.0).collect()}
+    assert got["2"].transport_error == "no answer in 1 seconds" and time.time() - began < 18
+    assert all(got[str(k)].body == f"t{k}" for k in range(40) if k != 2)
+
+
+def test_answers_are_asked_for_once(spark, tmp_path):
+    def counted(kind):
+        folder = tmp_path / kind
+        folder.mkdir()
+
+        def complete(messages):
+            text = messages[1]["content"]
+            (folder / uuid.uuid4().hex).write_text(text)
+            if kind == "broken" and text == "t3":
+                os._exit(1)  # the worker is gone, and the job with it
+            if kind == "first" and text == "t2":
+                raise OSError("no")
+            return f"{kind} {text}"
+
+        return complete, lambda: sorted(p.read_text() for p in folder.iterdir())
+
+    rows = spark.createDataFrame([(str(k), f"t{k % 5}") for k in range(10)], "request_id string, text string").withColumn("messages", prompts.messages("s", F.col("text")))
+    table = calls.Answers(str(tmp_path / "answers"))
+    complete, asked = counted("broken")
+    with pytest.raises(Exception):  # noqa: B017
+        table.resume(rows, complete, slice_rows=1)
+    kept = {r.body for r in table.read(spark).collect()}
+    complete, asked = counted("first")
+    table.resume(rows, complete)
+    assert asked() == sorted(f"t{k}" for k in range(5) if f"broken t{k}" not in kept)
+    complete, asked = counted("second")
+    got = {r.request_id: r.body for r in table.resume(rows, complete).collect()}
+    assert asked() == ([] if "broken t2" in kept else ["t2"])
+    assert all(got[str(k)].endswith(f" t{k % 5}") for k in range(10)) and len(got) == 10
+    complete, asked = counted("third")
+    assert table.resume(rows, complete).count() == 10 and asked() == []

@@ -69,6 +69,25 @@ def test_vectors(spark):
     assert own == {"1": [5.0, 0.0], "2": [0.0, 0.0], "3": [0.0, 0.0]}
 
 
+def test_a_model_sees_each_text_once(spark, tmp_path):
+    class Model:
+        def load(self):
+            (tmp_path / f"load-{uuid.uuid4().hex}").touch()
+
+            def encode(texts):
+                (tmp_path / f"call-{uuid.uuid4().hex}").write_text("\n".join(texts))
+                return [[float(len(t)), 1.0] for t in texts]
+
+            return encode
+
+    rows = spark.createDataFrame([(k, f"text {k % 7}") for k in range(100)], "id long, text string")
+    got = index.embed_texts(rows, "id", "text", Model(), batch_size=3).collect()
+    assert len(got) == 100 and {tuple(r.vector) for r in got} == {(6.0, 1.0)}
+    seen = [p.read_text().split("\n") for p in tmp_path.glob("call-*")]
+    assert sorted(t for c in seen for t in c) == [f"text {k}" for k in range(7)] and max(map(len, seen)) <= 3
+    assert len(list(tmp_path.glob("load-*"))) <= 4  # a worker loads once
+
+
 def test_upsert_twice_changes_nothing_and_keeps_stale_chunks(spark):
     docs = spark.createDataFrame([("d", "e", "u1", "alpha beta gamma", '{"name":"Spec"}')], DOCS)
     old = index.points(docs).withColumn("seq", F.lit(0))
