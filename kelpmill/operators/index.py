@@ -140,11 +140,6 @@ def document_name(metadata: Column, file_url: Column) -> Column:
     return F.coalesce(nullif_empty(F.try_variant_get(F.try_parse_json(metadata), "$.name", "string")), file_url)
 
 
-def of_entity(index: DataFrame, entity_id: str) -> DataFrame:
-    """The index rows of one entity; an index that is written in the order of its entities is read only where it may be."""
-    return index.where(F.col("entity_id") == entity_id)
-
-
 def dimensions(index: DataFrame, by: str) -> DataFrame:
     """(by, dimension): the largest dimension of each group's vectors."""
     return index.groupBy(by).agg(F.max(F.size("vector")).cast("long").alias("dimension"))

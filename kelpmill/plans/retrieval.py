@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import calls, graph, index, prompts, search
+from ..operators import calls, graph, index, prompts, search, store
 from ..sources import folders, tables
 from . import sql
 
@@ -78,8 +78,21 @@ def knn_join(spark, sf_dir):
     return search.knn_dense(*_asked_vectors(spark, sf_dir))
 
 
+def _store(spark):
+    return store.IndexStore(spark, folders.new_folder(spark, "index"), parts=16, buckets=4)
+
+
+def _vector_points(spark, sf_dir):
+    """The embeddings as index rows."""
+    none = F.lit(None).cast("string")
+    return _asked_vectors(spark, sf_dir)[1].select("id", F.lit("").alias("document_id"), "entity_id", none.alias("file_url"), F.lit(0).alias("chunk_index"), F.lit("").alias("text"), none.alias("metadata"), "vector", F.lit("given").alias("embedder"), F.lit(0).cast("long").alias("seq"))
+
+
 def filter_entity(spark, sf_dir):
-    return index.of_entity(_asked_vectors(spark, sf_dir)[1], "3").select("id", "entity_id")
+    """One entity's rows from the files of an index."""
+    box = _store(spark)
+    box.upsert(_vector_points(spark, sf_dir))
+    return box.of_entity("3").select("id", "entity_id", F.round("norm", 6).alias("norm"))
 
 
 def cosine_score(spark, sf_dir):
@@ -87,17 +100,22 @@ def cosine_score(spark, sf_dir):
 
 
 def index_dimension_check(spark, sf_dir):
-    e = _asked_vectors(spark, sf_dir)[1]
-    e = e.withColumn("vector", F.when(F.col("id").cast("long") % 10 == 3, F.slice("vector", 1, 63)).otherwise(F.col("vector")))
-    good, bad = index.split_dimension(e, 64)
-    return good.select("id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("id", "reason"))
+    """Rows whose vectors have a place less come after the index has learned its dimension."""
+    rows, box = _vector_points(spark, sf_dir), _store(spark)
+    short = F.col("id").cast("long") % 10 == 3
+    box.upsert(rows.where(~short))
+    bad = box.upsert(rows.where(short).withColumn("vector", F.slice("vector", 1, 63)))
+    return box.read().select("id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("id", "reason"))
 
 
 def index_upsert(spark, sf_dir):
-    """All points, then those of every third document again with new metadata: a full overwrite of just these."""
-    old = index.points(_accepted(spark, sf_dir)).withColumn("seq", F.lit(0))
-    new = old.where(F.col("document_id").cast("long") % 3 == 0).withColumns({"metadata": F.lit('{"name":"again"}'), "seq": F.lit(1)})
-    return index.index_upsert(old, new.unionByName(new)).select("id", "document_id", "metadata", "seq")
+    """All points, then those of every third document again with new metadata: a full overwrite of just these, read back from the files."""
+    points, box = folders.written_once(index.points(_accepted(spark, sf_dir))), _store(spark)
+    old = points.join(index.embed_texts(points.select("id", "text"), "id", "text"), "id").withColumns({"embedder": F.lit(index.EMBEDDER), "seq": F.lit(0).cast("long")})
+    box.upsert(old)
+    new = old.where(F.col("document_id").cast("long") % 3 == 0).withColumns({"metadata": F.lit('{"name":"again"}'), "seq": F.lit(1).cast("long")})
+    box.upsert(new.unionByName(new))
+    return box.read().select("id", "document_id", "metadata", F.size("vector").cast("long").alias("dimension"), F.round("norm", 6).alias("norm"), "embedder", "seq")
 
 
 def index_summary(spark, sf_dir):
@@ -218,10 +236,10 @@ QUERIES = {
   SELECT q.vec_id::VARCHAR AS question_id, e.vec_id::VARCHAR AS id, 1 + q.vec_id % 5 AS top_k, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0
 ) SELECT question_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= top_k"""),
-    "filter_entity": (filter_entity, "SELECT vec_id::VARCHAR AS id, label::VARCHAR AS entity_id FROM embeddings WHERE label = 3"),
+    "filter_entity": (filter_entity, "SELECT vec_id::VARCHAR AS id, label::VARCHAR AS entity_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings WHERE label = 3"),
     "cosine_score": (cosine_score, "SELECT q.vec_id::VARCHAR AS question_id, e.vec_id::VARCHAR AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0"),
     "index_dimension_check": (index_dimension_check, "SELECT vec_id::VARCHAR AS id, " + _REASON.format("vec_id % 10 = 3", "Vector dimension differs from the index.") + " FROM embeddings"),
-    "index_upsert": (index_upsert, sql.query(sql.CHUNKS, """SELECT id, document_id, CASE WHEN document_id::BIGINT % 3 = 0 THEN '{"name":"again"}' ELSE metadata END AS metadata, (document_id::BIGINT % 3 = 0)::INT AS seq FROM points""")),
+    "index_upsert": (index_upsert, sql.query(sql.CHUNKS, """SELECT id, document_id, CASE WHEN document_id::BIGINT % 3 = 0 THEN '{"name":"again"}' ELSE metadata END AS metadata, 384::BIGINT AS dimension, 1.0::DOUBLE AS norm, 'md5-bag' AS embedder, (document_id::BIGINT % 3 = 0)::BIGINT AS seq FROM points""")),
     "index_summary": (index_summary, sql.query(sql.CHUNKS, """SELECT 'ok' AS status, document_id, entity_id, NULL::VARCHAR AS file_url, any_value(metadata) AS metadata, count(*) AS chunks_indexed, 'document_chunks' AS collection, entity_id AS graph_entity_id, NULL::VARCHAR AS entity_name, document_id AS graph_document_id, json_extract_string(any_value(metadata), '$.name') AS document_name,
   'Entity>' || entity_id || '>HAS_DOCUMENT>Document>' || document_id AS relationship FROM chunked GROUP BY document_id, entity_id""")),
     "index_edges": (index_edges, "SELECT DISTINCT 'Entity' AS from_type, source AS from_id, 'HAS_DOCUMENT' AS relationship, 'Document' AS to_type, doc_id::VARCHAR AS to_id FROM documents WHERE trim(text) <> ''"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import graph, index
+from ..operators import graph, index, store
 
 
 class KeyedTable:
@@ -49,7 +49,6 @@ class KeyedTable:
         return small
 
 
-INDEX_SCHEMA = "id string, document_id string, entity_id string, file_url string, chunk_index int, text string, metadata string, vector array<double>, norm double, embedder string, seq long"
 EDGE_SCHEMA = ", ".join(f"{c} string" for c in graph.EDGE)
 _NODE = "struct<id:string,name:string>"
 SUMMARY_SCHEMA = f"status string, document_id string, entity_id string, file_url string, metadata string, chunks_indexed long, collection string, graph struct<entity:{_NODE},document:{_NODE},relationship:struct<from_id:string,from_type:string,relationship:string,to_id:string,to_type:string>>"
@@ -70,7 +69,7 @@ class IndexTables:
 
     #: (schema, key): readers get one row for each key, that of the latest batch; without a key, all rows.
     TABLES = {
-        "chunks": (INDEX_SCHEMA, ["id"]),
+        "chunks": (store.SCHEMA, ["id"]),
         "nodes": ("label string, id string, name string", ["label", "id"]),
         "edges": (EDGE_SCHEMA, graph.EDGE),
         "summaries": (SUMMARY_SCHEMA, ["document_id", "entity_id"]),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpmill.functions import text as tx
 from kelpmill.functions import vectors
-from kelpmill.operators import index, search, templates
+from kelpmill.operators import index, search, store, templates
 
 DOCS = "document_id string, entity_id string, file_url string, text string, metadata string"
 
@@ -166,3 +166,44 @@ def test_search_gives_all_hits_that_are_asked(spark):
         ranks = {q: sorted(r.rank for r in hits.where(f"question_id = '{q}'").collect()) for q in ("q0", "q1")}
         assert ranks == {"q0": list(range(1, 151)), "q1": [1, 2, 3]}
     assert search.knn_sparse(asked.limit(0), chunks).count() == 0
+
+
+def leaf_metrics(df):
+    """(files, rows) that the scan of df reads."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().apply(0)
+    return tuple(scan.metrics().apply(name).value() for name in ("numFiles", "numOutputRows"))
+
+
+def stored(spark, rows, seq, size=2):
+    vector = F.array(*[F.lit(3.0 + k) for k in range(size)])
+    return spark.createDataFrame(rows, "id string, entity_id string, text string").select("id", F.lit("d").alias("document_id"), "entity_id", F.lit(None).cast("string").alias("file_url"), F.lit(0).alias("chunk_index"), "text", F.lit("{}").alias("metadata"), vector.alias("vector"), F.lit("m").alias("embedder"), F.lit(seq).cast("long").alias("seq"))
+
+
+def test_store(spark, tmp_path):
+    box = store.IndexStore(spark, str(tmp_path / "s"), parts=8, buckets=3)
+    assert box.read().count() == 0 and box.dimension() is None
+    rows = [(f"p{k}", f"e{k % 40}", f"text {k}") for k in range(2000)]
+    assert box.upsert(stored(spark, rows, 1)).count() == 0 and box.dimension() == 2
+    names = sorted(str(p) for p in (tmp_path / "s/rows").glob("part=*/*.parquet"))
+    again = [(f"p{k}", "e3", "new") for k in range(3, 2000, 400)] + [("p3", "e3", "newer"), ("px", "e3", "first")]
+    new = stored(spark, again[:-2], 2).unionByName(stored(spark, again[-2:], 3))
+    plan = box.merged(new.withColumns({"norm": F.lit(1.0), "part": box._part(F.col("entity_id"))}), [r[0] for r in new.select(box._part(F.col("entity_id"))).distinct().collect()])._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Scan parquet")[0].count("Exchange hashpartitioning") <= 1  # that of the new rows
+    assert box.upsert(new).count() == 0
+    assert box.upsert(stored(spark, [("p3", "e3", "late and old")], 0)).count() == 0
+    got = {r.id: r.text for r in box.read().collect()}
+    assert len(got) == 2001 and got["p3"] == "newer" and got["px"] == "first" and got["p403"] == "new" and got["p4"] == "text 4"
+    later = sorted(str(p) for p in (tmp_path / "s/rows").glob("part=*/*.parquet"))
+    kept = set(names) & set(later)  # only one folder was written anew
+    assert len({n.split("part=")[1][0] for n in set(names) - kept}) == 1
+    bad = box.upsert(stored(spark, [("py", "e5", "x")], 4, size=3)).collect()
+    assert [(r.id, r.reason) for r in bad] == [("py", "Vector dimension differs from the index.")]
+    opened = store.IndexStore(spark, str(tmp_path / "s"), parts=8, buckets=3)
+    assert opened.read().count() == 2001 and opened.dimension() == 2
+    of = opened.of_entity("e3")
+    files, read = leaf_metrics(of)
+    assert of.count() == 51 and files <= 3 and read < 700
+    row = of.where("id = 'p3'").first()
+    assert (row.norm, row.embedder, list(row.vector)) == (5.0, "m", [3.0, 4.0])
