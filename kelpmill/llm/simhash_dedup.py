@@ -5,9 +5,10 @@ with at most one difference. Each segment is indexed by its variants, in each of
 segments with at most one difference have a variant in common. An equality join on variants finds the candidates, and the
 whole fingerprints decide.
 
-Equal fingerprints are one class from the start. First those with an equal segment meet the least of it, which joins
-near copies to components by three rows each. A bucket of variants with one component needs no look then, and one of two
-members is settled where it is counted. In the others components meet, each by its least member, and what this leaves is compared in cells of bounded size, the members outside the largest component with all. A bucket above
+Equal fingerprints are one class from the start. First fingerprints are sorted three times, by each segment, and meet their
+neighbours, which joins most near copies to components by three rows each. A bucket of variants with one component needs no look then, and one of two
+members is settled where it is counted. In the others all meet a pivot, a member of the largest component there, and what this leaves is
+compared in cells of bounded size, the members outside the pivot's component with all. A bucket above
 SPLIT members is dealt anew for that by variants of the bits outside its segment, so that chance neighbours of a very large
 corpus part. No link between different components is lost, and no bucket's pairs are written out.
 """
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_counted, settle, shuffle_partitions
 from .components import components
 from .words import slices
 
@@ -35,6 +36,8 @@ BITS = 4
 SEGMENTS = BITS // 2 + 1
 #: Shingles whose bits are counted at once.
 AT_ONCE = 65_536
+#: Places in a sorted order within which fingerprints are compared first.
+NEAR = 8
 #: Members on each side of a cell, and members from which a bucket is dealt by the bits outside its segment too.
 CELL, SPLIT = 256, 4096
 
@@ -92,18 +95,25 @@ def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
 
 
-def _pairs(a: str, b: str) -> Column:
-    return F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+def links_of_neighbours(classes: DataFrame) -> DataFrame:
+    """(a, b): links between fingerprints that stand within NEAR places of each other in one of the orders that start with a segment; those that stand in two tasks are left for later."""
+    places = range(WIDTH)
+    turned = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", WIDTH - k)) if k else F.col("fp")
+    rows = classes.select("fp", F.posexplode(F.array(*[turned(s[0]) for s in cut(list(places))])).alias("nth", "turned"))
+    order = rows.repartitionByRange(shuffle_partitions(classes.sparkSession), "nth", "turned").sortWithinPartitions("nth", "turned").select("fp")
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            fps, found = np.concatenate([held, batch.column(0).to_numpy()]), []
+            for d in range(1, NEAR + 1):
+                close = np.flatnonzero(np.bitwise_count((fps[d:] ^ fps[:-d]).view(np.uint64)) <= BITS)
+                found.append((fps[close], fps[close + d]))
+            left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], ["a", "b"])
+            held = fps[-NEAR:]
 
-def links_in_segments(classes: DataFrame) -> DataFrame:
-    """(a, b): links between fingerprints with an equal segment, each to the least of its segment's fingerprints."""
-    segments = [sum(1 << p for p in s) for s in cut(list(range(WIDTH)))]
-    keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")), F.lit(k)) for k, mask in enumerate(segments)])
-    rows = classes.select("fp", F.explode(keys).alias("key"))
-    pivots = rows.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    pairs = rows.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot"))
-    return pairs.select(_pairs("fp", "pivot").alias("p")).select("p.*").distinct()
+    return order.mapInArrow(near, "a long, b long").where("a <> b").distinct()
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -112,21 +122,24 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_buckets(classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): the links in buckets of two; and (place, key, fp, size): the members of larger buckets that hold several labels."""
-    rows = settle(labelled(classes.select("fp"), labels)).select("fp", "label", F.posexplode(variants(F.col("fp"), list(range(WIDTH)))).alias("place", "key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("fp").alias("a"), F.min("fp").alias("b"), F.max("label").alias("high"), F.min("label").alias("low"))
+    """(a, b): the links in buckets of two; and (place, key, fp, size, pivot): the members of larger buckets that hold several labels, with a member of the largest component there."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    weights = labels.join(sizes, "label").select("node", F.col("label").alias("own"), "weight")
+    rows = settle(classes.join(weights, classes["fp"] == weights["node"], "left").select("fp", F.coalesce("own", "fp").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight")))
+    rows = rows.select("fp", "label", "weight", F.posexplode(variants(F.col("fp"), list(range(WIDTH)))).alias("place", "key"))
+    pivot = F.max(F.struct("weight", "fp")).alias("pivot")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("fp").alias("a"), F.min("fp").alias("b"), F.max("label").alias("high"), F.min("label").alias("low"), pivot)
     # Two members that are too far apart, as chance puts most of them together, need no second look.
     buckets = settle(buckets.where("low <> high and (size > 2 or bit_count(a ^ b) <= %d)" % BITS))
-    members = rows.join(buckets.where("size > 2").select("key", "size"), "key").select("place", "key", "fp", "size")
+    large = settle(buckets.where("size > 2").select(F.col("key").alias("of_key"), "size", "pivot.fp").withColumnRenamed("fp", "pivot"))
+    members = join_counted(rows.select("place", "key", "fp"), large, F.col("key") == F.col("of_key")).drop("of_key")
     return buckets.where("size = 2").select("a", "b").distinct(), settle(members)
 
 
-def links_of_firsts(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): links between a bucket's labels and the one with most members, each by its least member."""
-    by_label = labelled(members, labels).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("fp").alias("first"))
-    top = by_label.groupBy("key").agg(F.max(F.struct("n", "label", "first")).alias("t"))
-    pairs = by_label.join(top, "key").select("first", F.col("t.first").alias("top")).where((F.col("first") != F.col("top")) & _close("first", "top"))
-    return pairs.select(_pairs("first", "top").alias("p")).select("p.*").distinct()
+def links_of_pivots(members: DataFrame) -> DataFrame:
+    """(a, b): links of a bucket's members with its pivot."""
+    close = members.where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot"))
+    return close.select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")).distinct()
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -136,30 +149,26 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def remaining_links(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): links between components in buckets that still hold several."""
-    rows = settle(_several(labelled(members, labels)))
+    """(a, b): links between components in buckets, the members outside the pivot's component with all."""
+    of_pivots = labels.select(F.col("node").alias("pivot"), F.col("label").alias("of_pivot"))
+    rows = settle(labelled(members, labels).join(of_pivots, "pivot", "left").withColumn("top", F.coalesce("of_pivot", "pivot")).select("place", "key", "fp", "size", "label", "top"))
     large = rows.where(F.col("size") > SPLIT)
     finer = large.withColumn("finer", F.explode(_outside(F.col("fp"), F.col("place"), cut(list(range(WIDTH)))))).withColumn("key", F.xxhash64("key", "finer"))
-    rows = rows.where(F.col("size") <= SPLIT).select("key", "fp", "label").unionByName(_several(finer.select("key", "fp", "label")))
-    # The members outside the largest component are the rows of cells, all members their columns.
-    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    totals = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
-    cells = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
-    totals = totals.select("key", F.col("top.label").alias("top"), cells(F.col("n") - F.col("top.n")).alias("n_rows"), cells(F.col("n")).alias("n_columns"))
-    dealt = settle(rows.join(totals, "key"))
-    spread = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.where("label <> top").select("key", spread(F.col("n_rows")).alias("i"), each("n_columns").alias("j"), F.col("fp").alias("a"), F.col("label").alias("of_a"))
-    right = dealt.select("key", spread(F.col("n_columns")).alias("j"), each("n_rows").alias("i"), F.col("fp").alias("b"), F.col("label").alias("of_b"))
+    finer = _several(finer.select("key", "fp", "label", "top"))
+    finer = finer.join(finer.groupBy("key").agg(F.count("*").alias("size")), "key")
+    rows = rows.where(F.col("size") <= SPLIT).select("key", "fp", "label", "top", "size").unionByName(finer).withColumn("cells", F.ceil(F.col("size") / CELL).cast("int"))
+    own, other = F.pmod(F.xxhash64("fp"), "cells").cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    left = rows.where("label <> top").select("key", own.alias("i"), other.alias("j"), F.col("fp").alias("a"), F.col("label").alias("of_a"))
+    right = rows.select("key", own.alias("j"), other.alias("i"), F.col("fp").alias("b"), F.col("label").alias("of_b"))
     return left.join(right, ["key", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & _close("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def linked(classes: DataFrame) -> DataFrame:
     """(fp, label) of distinct fingerprints fp: the label is one of those that links reach, the same for all of them."""
-    links = settle(links_in_segments(classes))
+    links = settle(links_of_neighbours(classes))
     labels = settle(components(links))
     pairs, members = open_buckets(classes, labels)
-    links = links.unionByName(settle(links_of_firsts(members, labels).unionByName(pairs)))
+    links = links.unionByName(settle(links_of_pivots(members).unionByName(pairs)))
     labels = settle(components(links))
     more = settle(remaining_links(members, labels))
     if not more.isEmpty():

@@ -64,9 +64,10 @@ def corpus():
     return [(k, t, None, None, None) for k, t in enumerate(texts)]
 
 
-def test_against_brute_force(spark):
+def test_query_against_brute_force(spark, tmp_path):
     rows = corpus()
-    assert got(sh.near_duplicates(cases.documents(spark, rows))) == brute(rows)
+    cases.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(sh.op11_simhash_dedup(spark, str(tmp_path))) == brute(rows)
 
 
 def test_cases(spark, monkeypatch):
@@ -104,9 +105,3 @@ def test_links_of_fingerprints(spark, monkeypatch, cell, split):
     found = {r.fp % (1 << 64): r.label for r in rows}
     assert len(rows) == len(prints) and len({found[p] for p in prints}) == len(set(of))
     assert len({(found[p], k) for p, k in zip(prints, of, strict=True)}) == len(set(of))
-
-
-def test_query(spark, tmp_path):
-    rows = corpus()[:90]
-    cases.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    assert got(sh.op11_simhash_dedup(spark, str(tmp_path))) == brute(rows)
