@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog, completions, graph, index, prompts, search, templates
-from ..sources import tables
+from ..sources import requests, tables
 from . import sql
 from .generation import COMPLETIONS, GLOBAL, LINES, REQUESTS
 
@@ -55,7 +55,12 @@ def upsert_entity(spark, sf_dir):
 
 
 def src_relationships(spark, sf_dir):
-    return tables.relationships_in(spark, sf_dir)
+    """Requests as lines of JSON, some cut off, some without a field, some with a number for a text: accepted rows, and rejects with their line."""
+    r, k = tables.relationships_in(spark, sf_dir), F.col("to_id").cast("long")
+    fields = F.struct("from_id", "from_type", "to_id", F.when(k % 23 > 0, F.col("to_type")).alias("to_type"), "relationship_type")
+    line = F.when(k % 19 == 0, F.regexp_replace(F.to_json(fields), '"from_id":"([0-9]+)"', '"from_id":$1')).otherwise(F.to_json(fields))
+    good, bad = requests.checked(r.select(F.when(k % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")), "relationships_in")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def _rejected(spark, sf_dir, reason):
@@ -173,7 +178,11 @@ QUERIES = {
     "embedding_dimension": (embedding_dimension, "SELECT label, max(len(embedding)) AS dimension FROM embeddings GROUP BY label"),
     "chunks_indexed": (chunks_indexed, sql.query(sql.CHUNKS, "SELECT document_id, count(*) AS chunks_indexed FROM chunked GROUP BY ALL")),
     "upsert_entity": (upsert_entity, "SELECT 'Entity' AS label, c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer"),
-    "src_relationships": (src_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT * FROM requests")),
+    "src_relationships": (src_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, """lines AS (
+  SELECT *, to_id::BIGINT AS k, '{"from_id":' || CASE WHEN to_id::BIGINT % 19 = 0 THEN from_id ELSE '"' || from_id || '"' END || ',"from_type":"' || from_type || '","to_id":"' || to_id || '"' || CASE WHEN to_id::BIGINT % 23 = 0 THEN '' ELSE ',"to_type":"' || to_type || '"' END || ',"relationship_type":"' || relationship_type || '"}' AS whole FROM requests
+), judged AS (
+  SELECT *, CASE WHEN k % 17 = 0 THEN whole[1:20] ELSE whole END AS line, CASE WHEN k % 17 = 0 THEN 'Not a JSON object.' WHEN k % 19 = 0 THEN 'Wrong type: from_id.' WHEN from_type = 'Person' THEN 'Unsupported value: from_type.' WHEN k % 23 = 0 THEN 'Missing field: to_type.' WHEN relationship_type = 'LIKES' THEN 'Unsupported value: relationship_type.' END AS reason FROM lines
+)""", """SELECT CASE WHEN reason IS NULL THEN from_id END AS from_id, CASE WHEN reason IS NULL THEN from_type END AS from_type, CASE WHEN reason IS NULL THEN to_id END AS to_id, CASE WHEN reason IS NULL THEN to_type END AS to_type, CASE WHEN reason IS NULL THEN relationship_type END AS relationship_type, CASE WHEN reason IS NOT NULL THEN line END AS line, reason FROM judged""")),
     "filter_rel_type": (filter_rel_type, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_type, from_id, to_id, relationship_type FROM requests WHERE relationship_type = 'LIKES' AND from_type = 'Entity'")),
     "filter_node_label": (filter_node_label, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_type, from_id, to_id, relationship_type FROM requests WHERE from_type = 'Person'")),
     "collect_relationships": (collect_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_id, page, string_agg(relationship_type || '>' || to_id, ',' ORDER BY relationship_type, to_id) AS relationships FROM (SELECT *, ((row_number() OVER (PARTITION BY from_id ORDER BY relationship_type, to_id) - 1) // 3)::INT AS page FROM (SELECT DISTINCT from_id, relationship_type, to_id FROM valid)) GROUP BY ALL")),

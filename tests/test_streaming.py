@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from kelpmill.operators import graph
-from kelpmill.sources import tables
+from kelpmill.sources import requests, tables
 from kelpmill.streaming import jobs
 
 DOCS = tables.SCHEMAS["documents_in"]
@@ -90,6 +90,35 @@ def test_stream_relate(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 2
 
 
+def test_requests_of_lines(spark, tmp_path):
+    lines = [
+        '{"document_id": "d1", "entity_id": "e", "text": "x", "metadata": {"b": 1, "a": [null, "z"]}, "more": 1}',
+        '{"document_id": "d2", "entity_id": "e", "text": "", "file_url": null}',
+        '{"document_id": "d3", "entity_id": "e"}',
+        '{"document_id": "d4", "entity_id": "e", "text": null}',
+        '{"document_id": 5, "entity_id": "e", "text": "x"}',
+        '{"document_id": "d6", "entity_id": "e", "text": "x", "metadata": null}',
+        '{"document_id": "d7", "entity_id": "e", "text": "x", "metadata": "{}"}',
+        '{"document_id": "d8", "entity_id": ',
+        '["d9"]',
+        "",
+        '{"text": "y", "text": "x", "document_id": "d10", "entity_id": "e"}',
+    ]
+    (tmp_path / "d.json").write_text("\n".join(lines) + "\n")
+    good, bad = requests.read_requests(spark, "documents_in", str(tmp_path / "d.json"))
+    assert sorted((r.document_id, r.text, r.file_url, r.metadata) for r in good.collect()) == [("d1", "x", None, '{"a":[null,"z"],"b":1}'), ("d10", "x", None, "{}"), ("d2", "", None, "{}")]
+    reasons = {r.line: r.reason for r in bad.collect()}
+    assert reasons == {lines[2]: "Missing field: text.", lines[3]: "Wrong type: text.", lines[4]: "Wrong type: document_id.", lines[5]: "Wrong type: metadata.", lines[6]: "Wrong type: metadata.", **{x: "Not a JSON object." for x in lines[7:10]}}
+    assert good.count() + bad.count() == len(lines)
+    top = ["3", '"4"', "5.0", "5.5", "true", "null", '"x"', "99999999999"]
+    (tmp_path / "q.json").write_text("\n".join('{"question_id": "q%d", "question": "Why?", "entity_id": "e", "top_k": %s}' % x for x in enumerate(top)) + '\n{"question_id": "q9", "question": "Why?", "entity_id": "e"}')
+    good, bad = requests.read_requests(spark, "questions", str(tmp_path / "q.json"))
+    assert {r.question_id: r.top_k for r in good.collect()} == {"q0": 3, "q1": 4, "q2": 5, "q9": 5}
+    assert {r.reason for r in bad.collect()} == {"Wrong type: top_k."} and bad.count() == 5
+    (tmp_path / "r.json").write_text('{"from_id": "a", "from_type": "Entity", "to_id": "b", "to_type": "Thing", "relationship_type": "OWNS"}')
+    assert [r.reason for r in requests.read_requests(spark, "relationships_in", str(tmp_path / "r.json"))[1].collect()] == ["Unsupported value: to_type."]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "seed.json").write_text('[{"_id": "1", "domain": "bank", "attribute_key": "k", "priority": 3, "tags": ["a"]}]')
     row = tables.read(spark, "catalog_global", str(tmp_path / "seed.json"), "json_array").first()
