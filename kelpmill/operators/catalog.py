@@ -69,27 +69,35 @@ def one_doc(domain_docs: DataFrame, by: str) -> DataFrame:
 
 
 def layers(requests: DataFrame, catalog: DataFrame, domain_docs: DataFrame) -> DataFrame:
-    """(domain_type, domain_id, layer, kind, pos, item...) for each distinct pair of the requests, which are normalized."""
+    """(domain_type, domain_id, layer, kind, neg, item_id, pos, item...) for each distinct pair of the requests, which are normalized.
+
+    Global items stand in the order of neg, their priority with its sign turned, and item_id; the others in that of kind and pos.
+    """
     asked = requests.select(domain_type(F.col("domain_type")).alias("domain_type"), nullif_empty(F.col("domain_id")).alias("domain_id")).distinct()
     items = global_items(catalog)
     typed = asked.where("domain_type <> ''").withColumn("domain", mapped_domain(F.col("domain_type")))
-    order = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("priority").desc(), "_id"))
-    first = items.withColumn("pos", order)
     keys = ["domain_type", "domain_id"]
-    zero = typed.join(first, "domain").select(*keys, F.lit(0).alias("layer"), F.lit(0).alias("kind"), "pos", *ITEM)
+    zero = typed.join(items, "domain").select(*keys, F.lit(0).alias("layer"), F.lit(0).alias("kind"), (-F.col("priority")).alias("neg"), F.col("_id").alias("item_id"), F.lit(0).alias("pos"), *ITEM)
     own = resolve_refs(domain_docs, items).unionByName(custom_items(domain_docs))
     defaults = one_doc(domain_docs.where("scope = 'domain_type_default'").withColumnRenamed("domainType", "domain_type"), "domain_type")
     named = one_doc(domain_docs.where("domainId is not null").withColumnRenamed("domainId", "domain_id"), "domain_id")
-    one = typed.join(defaults, "domain_type").join(own, "_id").select(*keys, F.lit(1).alias("layer"), "kind", "pos", *ITEM)
-    two = asked.join(named, "domain_id").join(own, "_id").select(*keys, F.lit(2).alias("layer"), "kind", "pos", *ITEM)
+    one = typed.join(defaults, "domain_type").join(own, "_id").select(*keys, F.lit(1).alias("layer"), "kind", F.lit(0).alias("neg"), F.lit("").alias("item_id"), "pos", *ITEM)
+    two = asked.join(named, "domain_id").join(own, "_id").select(*keys, F.lit(2).alias("layer"), "kind", F.lit(0).alias("neg"), F.lit("").alias("item_id"), "pos", *ITEM)
     return zero.unionByName(one).unionByName(two)
 
 
+def by_priority(layered: DataFrame) -> DataFrame:
+    """The global items of each pair with pos, from 1, their place by priority, then id."""
+    order = Window.partitionBy("domain_type", "domain_id").orderBy("neg", "item_id")
+    return layered.where("layer = 0").withColumn("pos", F.row_number().over(order))
+
+
 def overlay(layered: DataFrame) -> DataFrame:
-    """One row for each key of a pair: the last layer's item (in layer 0 the first), at the key's first place."""
-    seq = F.struct("layer", "kind", "pos")
-    prec = F.struct("layer", F.when(F.col("layer") == 0, -F.col("pos")).otherwise(F.col("kind") * 1_000_000_000 + F.col("pos")).cast("long"))
-    return layered.groupBy("domain_type", "domain_id", "attribute_key").agg(F.max_by(F.struct(*[c for c in ITEM if c != "attribute_key"]), prec).alias("i"), F.min(seq).alias("first_seq")).select("domain_type", "domain_id", "attribute_key", "i.*", "first_seq")
+    """One row for each key of a pair: the last layer's item (in layer 0 the first), at the key's first place. Nothing is numbered for that."""
+    seq = F.struct("layer", "kind", "neg", "item_id", "pos")
+    last = F.when(F.col("layer") > 0, -(F.col("kind") * 1_000_000_000 + F.col("pos")).cast("long")).otherwise(F.col("neg"))
+    prec = F.struct(-F.col("layer"), last, "item_id")
+    return layered.groupBy("domain_type", "domain_id", "attribute_key").agg(F.min_by(F.struct(*[c for c in ITEM if c != "attribute_key"]), prec).alias("i"), F.min(seq).alias("first_seq")).select("domain_type", "domain_id", "attribute_key", "i.*", "first_seq")
 
 
 def candidates(merged: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -36,12 +36,31 @@ def json_slice(text: Column) -> Column:
     return F.coalesce(nullif_empty(F.regexp_extract(text, r"(?s)\{.*\}", 0)), text)
 
 
+def _with_numbers(text: Column) -> Column:
+    """Text whose bare NaN and Infinity, which Python reads as numbers, are the words that it writes for them; those inside quotes stay."""
+    parts = F.regexp_extract_all(text, F.lit(r'(?s)"(?:\\.|[^"\\])*"|[^"]+|"'), F.lit(0))
+    word = lambda x, bare, shown: F.regexp_replace(x, rf"(?<![\w.-]){bare}(?!\w)", shown)
+    words = lambda x: word(word(word(x, "NaN", '"nan"'), "-Infinity", '"-inf"'), "Infinity", '"inf"')
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith('"'), x).otherwise(words(x))), "")
+
+
+def _parsed(text: Column) -> Column:
+    sliced = json_slice(text)
+    return F.coalesce(F.try_parse_json(sliced), F.when(sliced.rlike("NaN|Infinity"), F.try_parse_json(_with_numbers(sliced))))
+
+
 def lenient_json(text: Column) -> Column:
-    """The sliced text as a VARIANT object; anything else is {}."""
-    v = F.try_parse_json(json_slice(text))
+    """The sliced text as a VARIANT object; anything else is {}. NaN and Infinity are read, as the texts nan, inf and -inf."""
+    v = _parsed(text)
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v).otherwise(F.parse_json(F.lit("{}")))
 
 
+def parse_status(text: Column) -> Column:
+    """What lenient_json made of a text: ok, not_object (JSON of another kind), not_json, or empty (nothing, or null)."""
+    v = _parsed(text)
+    return F.when(or_empty(strip(text)) == "", "empty").when(v.isNull(), "not_json").when(F.schema_of_variant(v).startswith("OBJECT"), "ok").otherwise("not_object")
+
+
 def scalar(v: Column, path: str) -> Column:
     """A value as stripped text; null or absent: empty."""
     return or_empty(strip(_get(v, path)))

@@ -142,7 +142,7 @@ def filter_domain_id(spark, sf_dir):
 
 def sort_catalog_priority(spark, sf_dir):
     asked = tables.template_requests(spark, sf_dir)
-    rows = catalog.layers(asked, tables.catalog_global(spark, sf_dir), tables.catalog_domain(spark, sf_dir)).where("layer = 0")
+    rows = catalog.by_priority(catalog.layers(asked, tables.catalog_global(spark, sf_dir), tables.catalog_domain(spark, sf_dir)))
     return rows.select("domain_type", "domain_id", F.col("pos").cast("long").alias("pos"), "attribute_key", "priority")
 
 

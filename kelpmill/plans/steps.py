@@ -53,11 +53,12 @@ def normalize_custom_attribute(spark, sf_dir):
 
 
 def _content():
-    return _by(6, F.concat(F.lit('{"a":" '), "p_name", F.lit(' "}')), 'so {"a":null} end', "not json", "[1,2]", F.concat(F.lit('{"a":'), "p_size", F.lit("}")), "")
+    odd = F.concat(F.lit('{"a":-Infinity,"b":"NaN, '), "p_name", F.lit('","c":[NaN,1]} '))
+    return _by(8, F.concat(F.lit('{"a":" '), "p_name", F.lit(' "}')), 'so {"a":null} end', "not json", "[1,2]", F.concat(F.lit('{"a":'), "p_size", F.lit("}")), "", odd, F.concat(F.lit('{"a":NaNa,"b":'), "p_size", F.lit("}")))
 
 
 def parse_json_lenient(spark, sf_dir):
-    return _part(spark, sf_dir).select("p_partkey", F.to_json(completions.lenient_json(_content())).alias("raw"))
+    return _part(spark, sf_dir).select("p_partkey", F.to_json(completions.lenient_json(_content())).alias("raw"), completions.parse_status(_content()).alias("parse_status"))
 
 
 def normalize_scalar(spark, sf_dir):
@@ -110,8 +111,9 @@ QUERIES = {
     "normalize_custom_attribute": (normalize_custom_attribute, """SELECT p_partkey::VARCHAR AS _id, name AS attribute_key, CASE p_partkey % 3 WHEN 0 THEN name WHEN 1 THEN '' ELSE 'L' END AS label, CASE WHEN p_partkey % 3 = 2 THEN 'number' ELSE 'string' END AS type, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS enum_values,
   p_partkey % 5 = 1 AS required_default, CASE WHEN p_partkey % 7 > 0 THEN p_size ELSE 0 END AS priority, 'domain_custom' AS source, CASE WHEN p_partkey % 11 = 0 THEN '{"max":1}' ELSE '{}' END AS validation_rules
 FROM (SELECT *, CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE p_type END AS name FROM part WHERE p_partkey % 4 > 1 AND p_partkey % 13 > 0)"""),
-    "parse_json_lenient": (parse_json_lenient, """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '{"a":" ' || p_name || ' "}' WHEN 1 THEN '{"a":null}' WHEN 4 THEN '{"a":' || p_size || '}' ELSE '{}' END AS raw FROM part"""),
-    "normalize_scalar": (normalize_scalar, "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 4 THEN p_size::VARCHAR ELSE '' END AS value FROM part"),
+    "parse_json_lenient": (parse_json_lenient, """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '{"a":" ' || p_name || ' "}' WHEN 1 THEN '{"a":null}' WHEN 4 THEN '{"a":' || p_size || '}' WHEN 6 THEN '{"a":"-inf","b":"NaN, ' || p_name || '","c":["nan",1]}' ELSE '{}' END AS raw,
+  CASE WHEN p_partkey % 8 IN (0, 1, 4, 6) THEN 'ok' WHEN p_partkey % 8 = 3 THEN 'not_object' WHEN p_partkey % 8 = 5 THEN 'empty' ELSE 'not_json' END AS parse_status FROM part"""),
+    "normalize_scalar": (normalize_scalar, "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 4 THEN p_size::VARCHAR WHEN 6 THEN '-inf' ELSE '' END AS value FROM part"),
     "to_template_id": (to_template_id, f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'template' ELSE {_LOWER.format('p_name')} END || '_v1' AS template_id FROM part"),
     "sanitize_attr_name": (sanitize_attr_name, f"SELECT p_partkey, {_LOWER.format('p_type')} || '_' || {_LOWER.format('p_name')} AS name FROM part"),
     "normalize_enum_values": (normalize_enum_values, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || '|3' WHEN 3 THEN 'A|b' ELSE '' END AS enum_values FROM part"),

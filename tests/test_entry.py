@@ -26,5 +26,11 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT, copy, ignore=gone)
     tables = pathlib.Path("/root/testdata/sf0.001").exists()
     subprocess.run([sys.executable, "-c", ASK, "without", "1" if tables else ""], cwd=copy, check=True, timeout=300, env=os.environ | {"PYTHONPATH": str(copy)})
+    slip = copy / "kelpmill/llm"
+    slip.mkdir()
+    (slip / "__init__.py").touch()
+    (slip / "queries.py").write_text("from kelpmill.llm import nothing_like_that")
+    assert subprocess.run([sys.executable, "-c", ASK, "without", ""], cwd=copy, timeout=300, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True).returncode
+    shutil.rmtree(slip)
     shutil.copy(ROOT / "corpus_pipeline.py", copy)  # it alone can't be imported
     subprocess.run([sys.executable, "-c", ASK, "without", ""], cwd=copy, check=True, timeout=300, env=os.environ | {"PYTHONPATH": str(copy)})

@@ -29,9 +29,9 @@ def test_overlay_against_a_loop(spark):
                 kind = 0 if layer == 0 or pos < 4 else 1
                 key = draw.choice("abcdefgh")
                 items.append((f"{layer}.{kind}.{pos}", key))
-                rows.append(("t", "d", layer, kind, pos, key, "l", "string", [], False, [], 0, f"{layer}.{kind}.{pos}", None))
+                rows.append(("t", "d", layer, kind, 0, "" if layer else f"{pos:03}", pos if layer else 0, key, "l", "string", [], False, [], 0, f"{layer}.{kind}.{pos}", None))
             layers.append(items)
-        schema = "domain_type string, domain_id string, layer int, kind int, pos int, attribute_key string, label string, type string, enum_values array<string>, required_default boolean, tags array<string>, priority int, source string, validation_rules string"
+        schema = "domain_type string, domain_id string, layer int, kind int, neg int, item_id string, pos int, attribute_key string, label string, type string, enum_values array<string>, required_default boolean, tags array<string>, priority int, source string, validation_rules string"
         merged = catalog.candidates(catalog.overlay(spark.createDataFrame(rows, schema)))
         got = {r.attribute_key: (r.source, r["rank"] - 1) for r in merged.collect()}
         assert got == overlay(layers)
