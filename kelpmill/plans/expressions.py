@@ -88,25 +88,24 @@ def src_template_requests(spark, sf_dir):
 
 
 def src_completions(spark, sf_dir):
-    return tables.completions(spark, sf_dir).select("request_id", "http_status", "transport_error")
+    return tables.completions(spark, sf_dir).select("request_id", "http_status", "body", "transport_error")
 
 
 def map_domain_alias(spark, sf_dir):
-    s = tables.star(spark, sf_dir, "supplier")
-    name = F.element_at(F.array(*map(F.lit, [" Groceries", "BANKING ", "Hotel", "bank"])), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return s.select("s_suppkey", catalog.mapped_domain(catalog.domain_type(name)).alias("domain"))
+    r = tables.template_requests(spark, sf_dir)
+    return r.select("request_id", catalog.mapped_domain(catalog.domain_type(F.col("domain_type"))).alias("domain"))
 
 
 def normalize_domain_type(spark, sf_dir):
-    s = tables.star(spark, sf_dir, "supplier")
-    name = F.element_at(F.array(*map(F.lit, [" Groceries\t", "BANKING ", "", None])), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return s.select("s_suppkey", catalog.domain_type(name).alias("domain_type"))
+    return tables.template_requests(spark, sf_dir).select("request_id", catalog.domain_type(F.col("domain_type")).alias("domain_type"))
 
 
 def parse_bool_loose(spark, sf_dir):
-    s = tables.star(spark, sf_dir, "supplier")
-    value = F.element_at(F.array(*map(F.lit, [" TRUE", "yes\n", "Required", "no", None])), (F.col("s_suppkey") % 5 + 1).cast("int"))
-    return s.select("s_suppkey", tx.loose_boolean(value).alias("value"))
+    """What lines of responses say after `required`."""
+    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
+    raw = good.select("request_id", completions.scalar(completions.lenient_json(F.col("content")), "$.description").alias("description"))
+    lines = raw.select("request_id", F.posexplode(F.split("description", "\n")).alias("pos", "line")).where("line like 'required%'")
+    return lines.select("request_id", F.col("pos").cast("long").alias("pos"), tx.loose_boolean(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
 
 
 def document_name(spark, sf_dir):
@@ -187,16 +186,18 @@ QUERIES = {
     "filter_node_label": (filter_node_label, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_type, from_id, to_id, relationship_type FROM requests WHERE from_type = 'Person'")),
     "collect_relationships": (collect_relationships, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT from_id, page, string_agg(relationship_type || '>' || to_id, ',' ORDER BY relationship_type, to_id) AS relationships FROM (SELECT *, ((row_number() OVER (PARTITION BY from_id ORDER BY relationship_type, to_id) - 1) // 3)::INT AS page FROM (SELECT DISTINCT from_id, relationship_type, to_id FROM valid)) GROUP BY ALL")),
     "src_template_requests": (src_template_requests, sql.query(REQUESTS, "SELECT request_id, given_name AS template_name, description, domain_id, domain_type FROM requests")),
-    "src_completions": (src_completions, "SELECT s_suppkey::VARCHAR AS request_id, CASE WHEN s_suppkey % 19 = 0 THEN 503 ELSE 200 END AS http_status, CASE WHEN s_suppkey % 31 = 0 THEN 'timed out' END AS transport_error FROM supplier"),
-    "map_domain_alias": (map_domain_alias, "SELECT s_suppkey, (['grocery', 'bank', 'hotel', 'bank'])[(s_suppkey % 4 + 1)::INT] AS domain FROM supplier"),
-    "normalize_domain_type": (normalize_domain_type, "SELECT s_suppkey, (['groceries', 'banking', '', ''])[(s_suppkey % 4 + 1)::INT] AS domain_type FROM supplier"),
-    "parse_bool_loose": (parse_bool_loose, "SELECT s_suppkey, s_suppkey % 5 < 3 AS value FROM supplier"),
+    "src_completions": (src_completions, sql.query(COMPLETIONS, """SELECT request_id, CASE WHEN k % 19 = 0 THEN 503 ELSE 200 END AS http_status, CASE WHEN k % 23 = 0 THEN '<html>' WHEN k % 19 = 0 THEN '{"error":"too busy"}' WHEN k % 29 = 0 THEN '{"choices":[]}' ELSE '{"choices":[{"message":{"content":' || coalesce(to_json(content)::VARCHAR, 'null') || '}}]}' END AS body,
+  CASE WHEN k % 31 = 0 THEN 'timed out' END AS transport_error FROM contents""")),
+    "map_domain_alias": (map_domain_alias, sql.query(REQUESTS, "SELECT request_id, catalog_name AS domain FROM requests")),
+    "normalize_domain_type": (normalize_domain_type, sql.query(REQUESTS, "SELECT request_id, domain_type FROM requests")),
+    "parse_bool_loose": (parse_bool_loose, sql.query(COMPLETIONS, """SELECT request_id, pos, lower(trim(regexp_replace(line, '^[^:]*:', ''))) IN ('true', 'yes', 'required') AS value
+FROM (SELECT request_id, unnest(string_split(raw->>'$.description', chr(10))) AS line, generate_subscripts(string_split(raw->>'$.description', chr(10)), 1) - 1 AS pos FROM good) WHERE starts_with(line, 'required')""")),
     "document_name": (document_name, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'n' ELSE 'file-' END || doc_id AS name FROM documents"),
     "node_coalesce": (node_coalesce, "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer"),
-    "filter_catalog_domain": (filter_catalog_domain, sql.query(GLOBAL, REQUESTS, "SELECT request_id, count(*) AS n, max(priority) AS most FROM requests JOIN global_items ON domain = domain_type GROUP BY ALL")),
+    "filter_catalog_domain": (filter_catalog_domain, sql.query(GLOBAL, REQUESTS, "SELECT request_id, count(*) AS n, max(priority) AS most FROM requests JOIN global_items ON domain = catalog_name GROUP BY ALL")),
     "filter_domain_default": (filter_domain_default, sql.query(REQUESTS, "SELECT DISTINCT request_id, domain_type || '/domain_type_default' AS _id FROM requests JOIN part ON lower(p_brand) = domain_type WHERE p_partkey % 3 > 0 AND p_partkey % 2 = 0")),
     "filter_domain_id": (filter_domain_id, sql.query(REQUESTS, "SELECT DISTINCT request_id, brand || '/domain' AS _id FROM requests JOIN part ON 'id-' || lower(p_brand) = domain_id WHERE p_partkey % 3 > 0 AND p_partkey % 2 = 1")),
-    "sort_catalog_priority": (sort_catalog_priority, sql.query(GLOBAL, REQUESTS, "SELECT domain_type, domain_id, row_number() OVER (PARTITION BY domain_type, domain_id ORDER BY priority DESC, _id) AS pos, attribute_key, priority FROM pairs JOIN global_items ON domain = domain_type")),
+    "sort_catalog_priority": (sort_catalog_priority, sql.query(GLOBAL, REQUESTS, "SELECT domain_type, domain_id, row_number() OVER (PARTITION BY domain_type, domain_id ORDER BY priority DESC, _id) AS pos, attribute_key, priority FROM pairs JOIN global_items ON domain = catalog_name")),
     "to_upper_snake": (names, f"SELECT p_partkey, upper({_SNAKE.format(_NAME)}) AS upper_snake, lower({_SNAKE.format(_NAME)}) AS attribute_name, lower({_SNAKE.format(_NAME)}) || '_v1' AS template_id FROM part"),
     "slice_json_object": (slice_json_object, sql.query(COMPLETIONS, r"SELECT request_id, CASE WHEN shape IN (3, 6, 7) THEN content ELSE regexp_extract(content, '(?s)\{.*\}', 0) END AS slice, coalesce(trim(raw->>'$.description', ' ' || chr(10)), '') AS description FROM good")),
     "filter_placeholder_enum": (filter_placeholder_enum, sql.query(COMPLETIONS, "SELECT request_id, 'Status' AS name, 'Open|Closed' AS enum_values FROM good WHERE shape < 3")),

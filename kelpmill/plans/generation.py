@@ -10,7 +10,7 @@ from ..sources import folders, tables
 from . import sql
 
 GLOBAL = """global_items AS (
-  SELECT lpad(p_partkey::VARCHAR, 12, '0') AS _id, lower(p_brand) AS domain, trim(p_name) AS attribute_key, CASE WHEN p_partkey % 2 = 0 THEN trim(p_type) ELSE trim(p_name) END AS label,
+  SELECT lpad(p_partkey::VARCHAR, 12, '0') AS _id, CASE p_partkey % 30 WHEN 0 THEN 'grocery' WHEN 15 THEN 'bank' ELSE lower(p_brand) END AS domain, trim(p_name) AS attribute_key, CASE WHEN p_partkey % 2 = 0 THEN trim(p_type) ELSE trim(p_name) END AS label,
     CASE WHEN p_partkey % 5 = 0 THEN 'enum' ELSE 'string' END AS type, CASE WHEN p_partkey % 5 = 0 THEN string_split(p_type, ' ') ELSE [] END AS enum_values, p_partkey % 4 = 0 AS required_default, p_size AS priority
   FROM part WHERE p_partkey % 3 = 0
 )"""
@@ -18,9 +18,9 @@ REQUESTS = """brands AS (
   SELECT s_suppkey AS k, s_suppkey::VARCHAR AS request_id, CASE WHEN s_suppkey % 17 = 0 THEN '  ' WHEN s_suppkey % 5 = 1 THEN chr(9) || s_name || ' ' ELSE s_name END AS given_name, trim(given_name, chr(9) || ' ') AS template_name, CASE WHEN s_suppkey % 2 = 0 THEN 'First line' || chr(10) || chr(10) || ' second line ' END AS description,
     'brand#' || (1 + s_suppkey % 5) || (1 + (s_suppkey // 5) % 5) AS brand, CASE WHEN s_suppkey % 6 = 0 THEN 'description_only' ELSE '' END AS mode FROM supplier
 ), requests AS (
-  SELECT *, CASE WHEN k % 4 > 0 THEN brand ELSE '' END AS domain_type, CASE WHEN k % 3 = 0 THEN 'id-' || brand END AS domain_id FROM brands
+  SELECT *, CASE WHEN k % 20 = 7 THEN 'groceries' WHEN k % 20 = 13 THEN 'banking' WHEN k % 4 > 0 THEN brand ELSE '' END AS domain_type, CASE domain_type WHEN 'groceries' THEN 'grocery' WHEN 'banking' THEN 'bank' ELSE domain_type END AS catalog_name, CASE WHEN k % 3 = 0 THEN 'id-' || brand END AS domain_id FROM brands
 ), pairs AS (
-  SELECT DISTINCT domain_type, domain_id FROM requests
+  SELECT DISTINCT domain_type, catalog_name, domain_id FROM requests
 )"""
 ITEMS = (
     GLOBAL
@@ -44,7 +44,7 @@ OVERLAY = (
     + ", "
     + REQUESTS
     + """, layered AS (
-  SELECT domain_type, domain_id, 0 AS layer, 0 AS kind, row_number() OVER (PARTITION BY domain_type, domain_id ORDER BY priority DESC, _id) AS pos, attribute_key, type, required_default, enum_values, priority, 'global' AS source FROM pairs JOIN global_items ON domain = domain_type
+  SELECT domain_type, domain_id, 0 AS layer, 0 AS kind, row_number() OVER (PARTITION BY domain_type, domain_id ORDER BY priority DESC, _id) AS pos, attribute_key, type, required_default, enum_values, priority, 'global' AS source FROM pairs JOIN global_items ON domain = catalog_name
   UNION ALL SELECT domain_type, domain_id, 1, kind, pos, attribute_key, type, required_default, enum_values, priority, source FROM pairs JOIN own ON brand = domain_type AND scope = 'domain_type_default'
   UNION ALL SELECT domain_type, domain_id, 2, kind, pos, attribute_key, type, required_default, enum_values, priority, source FROM pairs JOIN own ON 'id-' || brand = domain_id AND scope = 'domain'
 ), ordered AS (
@@ -59,7 +59,7 @@ OVERLAY = (
 COMPLETIONS = r"""contents AS (
   SELECT s_suppkey AS k, s_suppkey::VARCHAR AS request_id,
     CASE WHEN s_suppkey % 37 = 0 THEN 5 WHEN s_suppkey % 18 = 0 THEN 6 WHEN s_suppkey % 30 = 6 THEN 7 ELSE s_suppkey % 5 END AS shape,
-    CASE shape WHEN 5 THEN NULL WHEN 6 THEN '{"description": "", "x": 1' WHEN 7 THEN '{"description": "Cut \"off\"\n here", "attr' WHEN 4 THEN '{"description":"Text.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: [''High'', \"Low\"]\nrequired: no\n- name: Shelf-life"}'
+    CASE shape WHEN 5 THEN NULL WHEN 6 THEN '{"description": "", "x": 1' WHEN 7 THEN '{"description": "Cut \"off\"\n here", "attr' WHEN 4 THEN '{"description":"Text.\n- name: Shelf Life\ntype: Number, days\nrequired\n- name: Grade\nenum_values: [''High'', \"Low\"]\nrequired: ' || CASE s_suppkey % 3 WHEN 0 THEN 'no' WHEN 1 THEN ' TRUE' ELSE 'Yes ' END || '\n- name: Shelf-life"}'
       WHEN 3 THEN 'no json at all'
       ELSE 'Here: {"templateId":' || CASE WHEN s_suppkey % 2 = 0 THEN '"lower_snake_v1"' ELSE '"own_' || s_suppkey || '"' END || ',"entity_type":' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"THING"' END
         || ',"description":"One\n Two \n\nThree","attributes":[{"name":"Net Weight","type":"number","required":true},{"name":"net-weight"},{"name":"field_x"},{"name":"Status","type":"enum","enumValues":["A","Open ","Closed"]},{"name":"Empty","type":"enum","enum_values":["a"]},7,{"name":"Color ' || s_suppkey || '","type":"shade","required":"TRUE"}]} done' END AS content FROM supplier
@@ -127,7 +127,10 @@ def src_catalog_global(spark, sf_dir):
 
 
 def src_catalog_domain(spark, sf_dir):
-    return tables.catalog_domain(spark, sf_dir).select("_id", "scope", "domainType", "domainId", F.size("attributeRefs").cast("long").alias("n_refs"), F.size("customAttributes").cast("long").alias("n_customs"))
+    text = lambda x, *names: F.concat_ws("/", *[F.coalesce(x[n].cast("string"), F.lit("")) for n in names])
+    refs = F.array_join(F.transform("attributeRefs", lambda r: text(r, "attributeId", "attributeKey", "label", "type", "required")), ",").alias("refs")
+    customs = F.array_join(F.transform("customAttributes", lambda c: text(c, "name", "label", "type", "required", "priority")), ",").alias("customs")
+    return tables.catalog_domain(spark, sf_dir).select("_id", "scope", "domainType", "domainId", "description", refs, customs)
 
 
 def resolve_catalog_ref(spark, sf_dir):
@@ -282,7 +285,9 @@ _RESULT = f"""SELECT request_id, CASE WHEN k % 2 = 0 OR shape >= 3 THEN trim(reg
 FROM (SELECT *, {_LINES.format(text="coalesce(nullif(trim(raw->>'$.description'), ''), description, '')")} FROM wanted) w"""
 QUERIES = {
     "src_catalog_global": (src_catalog_global, sql.query(GLOBAL, f"SELECT _id, domain, attribute_key, label, type, {_SQL_LISTED}, required_default, priority FROM global_items")),
-    "src_catalog_domain": (src_catalog_domain, """SELECT lower(p_brand) || '/' || scope AS _id, scope, lower(p_brand) AS domainType, CASE WHEN scope = 'domain' THEN 'id-' || lower(p_brand) END AS domainId, count(*) FILTER (p_partkey % 3 = 1) AS n_refs, count(*) FILTER (p_partkey % 3 = 2) AS n_customs
+    "src_catalog_domain": (src_catalog_domain, """SELECT lower(p_brand) || '/' || scope AS _id, scope, lower(p_brand) AS domainType, CASE WHEN scope = 'domain' THEN 'id-' || lower(p_brand) END AS domainId, NULL::VARCHAR AS description,
+  coalesce(string_agg(CASE WHEN p_partkey % 2 = 0 THEN lpad((p_partkey - 1)::VARCHAR, 12, '0') ELSE '' END || '/' || p_name || '/' || CASE WHEN p_partkey % 5 = 0 THEN 'Label' ELSE '' END || '//' || CASE WHEN p_partkey % 7 = 0 THEN 'true' ELSE '' END, ',' ORDER BY p_partkey) FILTER (p_partkey % 3 = 1), '') AS refs,
+  coalesce(string_agg(CASE WHEN p_partkey % 10 = 0 THEN '  ' ELSE 'own ' || p_name END || '//Number/' || (p_partkey % 4 = 0) || '/' || p_size, ',' ORDER BY p_partkey) FILTER (p_partkey % 3 = 2), '') AS customs
 FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'domain_type_default' ELSE 'domain' END AS scope FROM part WHERE p_partkey % 3 > 0) GROUP BY ALL"""),
     "resolve_catalog_ref": (resolve_catalog_ref, sql.query(ITEMS, "SELECT _id, pos, attribute_key, label, type, required_default, priority FROM own WHERE kind = 0")),
     "filter_nonempty_key": (filter_nonempty_key, sql.query(ITEMS, "SELECT _id, attribute_key, type, required_default, priority FROM own WHERE kind = 1")),

@@ -51,7 +51,7 @@ def src_questions(spark, sf_dir):
 
 
 def src_documents(spark, sf_dir):
-    return tables.documents_in(spark, sf_dir).select("document_id", "entity_id", "metadata", index.document_name(F.col("metadata"), F.col("file_url")).alias("document_name"))
+    return tables.documents_in(spark, sf_dir).select("document_id", "entity_id", "file_url", F.sha2("text", 256).alias("text_sha256"), "metadata", index.document_name(F.col("metadata"), F.col("file_url")).alias("document_name"))
 
 
 def _hits(spark, sf_dir):
@@ -148,8 +148,7 @@ def _matched(spark, sf_dir):
 
 def edge_endpoint_match(spark, sf_dir):
     good, bad, _ = _matched(spark, sf_dir)
-    rows = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
-    return rows.groupBy("from_type", "relationship_type", "reason").agg(F.count("*").alias("n"), F.countDistinct("from_id", "to_id").alias("n_distinct"))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
 
 
 def _edges(spark, sf_dir):
@@ -221,7 +220,7 @@ _USER = r"'Question:' || chr(10) || regexp_replace(question, '^\s+|\s+$', '', 'g
 _CONTEXT = """FROM questions q LEFT JOIN (SELECT question_id, string_agg('[Chunk ' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS c, string_agg(id, ',' ORDER BY rank) AS ids, string_agg(concat_ws('|', id, document_id, entity_id, '', chunk_index, text, metadata), ',' ORDER BY rank) AS payload FROM hits JOIN points USING (id) GROUP BY ALL) USING (question_id)
 LEFT JOIN (SELECT entity_id, string_agg('Entity(' || entity_id || ') -[HAS_DOCUMENT]-> Document(' || document_id || ')', chr(10) ORDER BY document_id) AS g, count(*) AS n_relationships FROM documents_in WHERE trim(text) <> '' GROUP BY ALL) USING (entity_id)"""
 QUERIES = {
-    "src_documents": (src_documents, sql.query(sql.DOCUMENTS, "SELECT document_id, entity_id, metadata, json_extract_string(metadata, '$.name') AS document_name FROM documents_in")),
+    "src_documents": (src_documents, sql.query(sql.DOCUMENTS, "SELECT document_id, entity_id, file_url, sha256(text) AS text_sha256, metadata, json_extract_string(metadata, '$.name') AS document_name FROM documents_in")),
     "src_questions": (src_questions, sql.query(sql.QUESTIONS, "SELECT * FROM questions")),
     "reject_empty_text": (reject_empty_text, "SELECT doc_id::VARCHAR AS document_id, " + _REASON.format("doc_id % 9 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = ''", "No indexable text was provided.") + " FROM documents"),
     "reject_blank_question": (reject_blank_question, r"""SELECT item_id::VARCHAR AS question_id, CASE WHEN item_id % 7 = 0 THEN ' ' || chr(9) || ' ' WHEN item_id % 5 = 0 AND item_id % 4 = 1 THEN '  ' || text || ' ' || chr(10) WHEN item_id % 5 = 0 THEN text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS question,
@@ -245,8 +244,8 @@ QUERIES = {
     "index_edges": (index_edges, "SELECT DISTINCT 'Entity' AS from_type, source AS from_id, 'HAS_DOCUMENT' AS relationship, 'Document' AS to_type, doc_id::VARCHAR AS to_id FROM documents WHERE trim(text) <> ''"),
     "upsert_document": (upsert_document, sql.query(sql.DOCUMENTS, """SELECT DISTINCT 'Entity' AS label, entity_id AS id, NULL AS name FROM documents_in WHERE trim(text) <> ''
 UNION ALL SELECT 'Document', document_id, CASE WHEN document_id::BIGINT % 4 = 0 THEN 'new ' || document_id ELSE json_extract_string(metadata, '$.name') END FROM documents_in WHERE trim(text) <> ''""")),
-    "edge_endpoint_match": (edge_endpoint_match, sql.query(sql.NODES, sql.RELATIONSHIPS, """SELECT from_type, relationship_type, CASE WHEN from_type NOT IN ('Entity', 'Document') THEN 'Unsupported node label.' WHEN relationship_type NOT IN ('HAS_DOCUMENT', 'BELONGS_TO', 'OWNS', 'USED_IN_EVENT') THEN 'Unsupported relationship type.'
-  WHEN NOT EXISTS (FROM nodes n WHERE n.label = 'Entity' AND n.id = from_id) OR NOT EXISTS (FROM nodes n WHERE n.label = 'Document' AND n.id = to_id) THEN 'Source or target node was not found.' END AS reason, count(*) AS n, count(DISTINCT (from_id, to_id)) AS n_distinct FROM requests GROUP BY ALL""")),
+    "edge_endpoint_match": (edge_endpoint_match, sql.query(sql.NODES, sql.RELATIONSHIPS, """SELECT from_type, from_id, to_type, to_id, relationship_type, CASE WHEN from_type NOT IN ('Entity', 'Document') THEN 'Unsupported node label.' WHEN relationship_type NOT IN ('HAS_DOCUMENT', 'BELONGS_TO', 'OWNS', 'USED_IN_EVENT') THEN 'Unsupported relationship type.'
+  WHEN NOT EXISTS (FROM nodes n WHERE n.label = 'Entity' AND n.id = from_id) OR NOT EXISTS (FROM nodes n WHERE n.label = 'Document' AND n.id = to_id) THEN 'Source or target node was not found.' END AS reason FROM requests""")),
     "upsert_edge": (upsert_edge, sql.query(sql.NODES, sql.RELATIONSHIPS, "SELECT * FROM edges")),
     "expand_one_hop": (expand_one_hop, sql.query(sql.NODES, sql.RELATIONSHIPS, """SELECT entity_id, any_value(c_name) AS name, page, coalesce(string_agg(relationship || '>' || to_id, ',' ORDER BY relationship, to_type, to_id) FILTER (to_id IS NOT NULL), '') AS relationships
 FROM (SELECT entity_id, c_name, relationship, to_type, to_id, ((row_number() OVER (PARTITION BY entity_id ORDER BY relationship, to_type, to_id) - 1) // 4)::INT AS page

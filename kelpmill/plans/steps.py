@@ -80,8 +80,11 @@ def normalize_enum_values(spark, sf_dir):
 
 
 def parse_required_json(spark, sf_dir):
-    v = _variant('{"required":true}', '{"required":"TRUE"}', '{"required":" true"}', '{"required":null}', '{"required":1}', "{}", '{"required":false}')
-    return _part(spark, sf_dir).select("p_partkey", templates.required_flag(v).alias("required"))
+    """What the attributes of JSON responses have as `required`."""
+    good = completions.parse_completion(tables.completions(spark, sf_dir)).where("error_code is null")
+    raw = good.select("request_id", completions.lenient_json(F.col("content")).alias("raw"))
+    items = raw.select("request_id", F.posexplode(F.try_variant_get("raw", "$.attributes", "array<variant>")).alias("pos", "v"))
+    return items.select("request_id", F.col("pos").cast("long").alias("pos"), templates.required_flag(F.col("v")).alias("required"))
 
 
 def coerce_attr_type(spark, sf_dir):
@@ -117,7 +120,7 @@ FROM (SELECT *, CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE p_type END AS name
     "to_template_id": (to_template_id, f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'template' ELSE {_LOWER.format('p_name')} END || '_v1' AS template_id FROM part"),
     "sanitize_attr_name": (sanitize_attr_name, f"SELECT p_partkey, {_LOWER.format('p_type')} || '_' || {_LOWER.format('p_name')} AS name FROM part"),
     "normalize_enum_values": (normalize_enum_values, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || '|3' WHEN 3 THEN 'A|b' ELSE '' END AS enum_values FROM part"),
-    "parse_required_json": (parse_required_json, "SELECT p_partkey, p_partkey % 7 < 2 AS required FROM part"),
+    "parse_required_json": (parse_required_json, sql.query(generation.ATTRIBUTES, "SELECT request_id, pos, lower(coalesce(v->>'$.required', '')) = 'true' AS required FROM items")),
     "coerce_attr_type": (coerce_attr_type, "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'date' ELSE 'string' END AS type FROM part"),
     "promote_enum": (promote_enum, "SELECT p_partkey, (['enum', 'string', 'number', 'array'])[(p_partkey % 4 + 1)::INT] AS type FROM part"),
     "collect_attributes": (collect_attributes, sql.query(generation.MERGED, "SELECT request_id, string_agg(name, ',' ORDER BY part, pos) AS names FROM merged GROUP BY ALL")),

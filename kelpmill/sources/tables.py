@@ -64,7 +64,7 @@ def relationships_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = star(spark, sf_dir, "part"), F.col("p_partkey")
     none = F.array().cast("array<string>")
-    return p.where(k % 3 == 0).select(F.lpad(k.cast("string"), 12, "0").alias("_id"), F.lower("p_brand").alias("domain"), F.lit(None).cast("string").alias("subdomain"), F.col("p_name").alias("attribute_key"), F.when(k % 2 == 0, F.col("p_type")).alias("label"), F.when(k % 5 == 0, "Enum").when(k % 5 < 4, "string").alias("type"), F.when(k % 5 == 0, F.split("p_type", " ")).otherwise(none).alias("enum_values"), (k % 4 == 0).alias("required_default"), none.alias("tags"), F.col("p_size").cast("int").alias("priority"))
+    return p.where(k % 3 == 0).select(F.lpad(k.cast("string"), 12, "0").alias("_id"), F.when(k % 30 == 0, "grocery").when(k % 30 == 15, "bank").otherwise(F.lower("p_brand")).alias("domain"), F.lit(None).cast("string").alias("subdomain"), F.col("p_name").alias("attribute_key"), F.when(k % 2 == 0, F.col("p_type")).alias("label"), F.when(k % 5 == 0, "Enum").when(k % 5 < 4, "string").alias("type"), F.when(k % 5 == 0, F.split("p_type", " ")).otherwise(none).alias("enum_values"), (k % 4 == 0).alias("required_default"), none.alias("tags"), F.col("p_size").cast("int").alias("priority"))
 
 
 def catalog_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,8 @@ def catalog_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = star(spark, sf_dir, "supplier"), F.col("s_suppkey")
     brand = F.concat(F.lit("brand#"), (1 + k % 5).cast("string"), (1 + F.floor(k / 5) % 5).cast("string"))
-    return s.select(k.cast("string").alias("request_id"), F.when(k % 17 == 0, "  ").when(k % 5 == 1, F.concat(F.lit("\t"), "s_name", F.lit(" "))).otherwise(F.col("s_name")).alias("template_name"), F.when(k % 2 == 0, F.lit("First line\n\n second line ")).alias("description"), F.when(k % 3 == 0, F.concat(F.lit("id-"), brand)).alias("domain_id"), F.when(k % 4 > 0, F.concat(F.lit(" "), F.upper(brand))).alias("domain_type"), F.when(k % 6 == 0, F.lit(" Description_Only ")).alias("response_mode"))
+    name = F.when(k % 20 == 7, "groceries").when(k % 20 == 13, "banking").otherwise(brand)  # the first two have other names in the global catalog
+    return s.select(k.cast("string").alias("request_id"), F.when(k % 17 == 0, "  ").when(k % 5 == 1, F.concat(F.lit("\t"), "s_name", F.lit(" "))).otherwise(F.col("s_name")).alias("template_name"), F.when(k % 2 == 0, F.lit("First line\n\n second line ")).alias("description"), F.when(k % 3 == 0, F.concat(F.lit("id-"), brand)).alias("domain_id"), F.when(k % 4 > 0, F.concat(F.lit(" "), F.upper(name))).alias("domain_type"), F.when(k % 6 == 0, F.lit(" Description_Only ")).alias("response_mode"))
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,8 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = star(spark, sf_dir, "supplier"), F.col("s_suppkey")
     attrs = F.concat(F.lit('[{"name":"Net Weight","type":"number","required":true},{"name":"net-weight"},{"name":"field_x"},{"name":"Status","type":"enum","enumValues":["A","Open ","Closed"]},{"name":"Empty","type":"enum","enum_values":["a"]},7,{"name":"Color '), k.cast("string"), F.lit('","type":"shade","required":"TRUE"}]'))
     good = F.concat(F.lit('Here: {"templateId":'), F.when(k % 2 == 0, F.lit('"lower_snake_v1"')).otherwise(F.concat(F.lit('"own_'), k.cast("string"), F.lit('"'))), F.lit(',"entity_type":'), F.when(k % 3 == 0, F.lit("null")).otherwise(F.lit('"THING"')), F.lit(',"description":"One\\n Two \\n\\nThree","attributes":'), attrs, F.lit("} done"))
-    prose = F.lit('{"description":"Text.\\n- name: Shelf Life\\ntype: Number, days\\nrequired\\n- name: Grade\\nenum_values: [\'High\', \\"Low\\"]\\nrequired: no\\n- name: Shelf-life"}')
+    required = F.when(k % 3 == 0, "no").when(k % 3 == 1, " TRUE").otherwise("Yes ")
+    prose = F.concat(F.lit('{"description":"Text.\\n- name: Shelf Life\\ntype: Number, days\\nrequired\\n- name: Grade\\nenum_values: [\'High\', \\"Low\\"]\\nrequired: '), required, F.lit('\\n- name: Shelf-life"}'))
     cut = F.when(k % 18 == 0, F.lit('{"description": "", "x": 1')).when(k % 30 == 6, F.lit('{"description": "Cut \\"off\\"\\n here", "attr'))
     content = F.when(k % 37 == 0, F.lit(None).cast("string")).when(cut.isNotNull(), cut).when(k % 5 == 4, prose).when(k % 5 == 3, F.lit("no json at all")).otherwise(good)
     envelope = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")), {"ignoreNullFields": "false"})
