@@ -5,6 +5,10 @@ count of leading zeros and some bits behind the first one. Empty registers borro
 are cut from fixed permutations of all registers, so each register is in one band of every permutation; documents that
 agree on a band share a bucket.
 
+A set of at most SMALL shingles fills few registers, and borrowing would put unlike sets that share a shingle or two into one
+bucket. Such sets have buckets of their own, exactly: sorted from rare to common shingles, two sets that are alike enough share one of their
+first n - ceil(percent * n) + 1, so these are its buckets. Sets a little larger, which may be like a small one, are in both kinds.
+
 Equal texts are one class from the start, so copies never meet each other. In a bucket every class is held against one
 pivot, the member that shares most buckets: first by the registers (their agreement, less what chance makes agree), then
 by their full sets. What these links join needs no further look. Buckets that still hold several components are compared
@@ -39,6 +43,8 @@ ZERO_BITS, MANTISSA = 6, 10
 PERMUTATIONS, BAND = 4, 6
 BANDS = PERMUTATIONS * REGISTERS // BAND
 BAND_MASK = (1 << (BANDS - 1).bit_length()) - 1
+#: Shingles up to which a set is found by its rarest ones and not by registers.
+SMALL = 40
 #: Members of a bucket's block, of which a task compares two by their registers.
 BLOCK = 128
 #: Shingles that a slice of a pivot's members, or a block that is compared by full sets, holds on average: eight bytes each.
@@ -136,8 +142,9 @@ def _bytes_of(texts: pa.Array) -> list[bytes]:
     return pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, raw, n, words, key, regs) per row: raw is the text's hash, key one of its lower-cased words, n the size of its set."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, raw, n, words, key, regs, few) per row: raw is the text's hash, key one of its lower-cased words, n the size of its set, few the set if a small one may be like it."""
+    most = 100 * SMALL // percent
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("raw"), docs[text_col].alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -147,14 +154,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             hashes, ends, counts = shingles(run)
             regs = registers(hashes, ends)
             keys = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in run]
-            columns = [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "n", "words", "key", "regs"])
+            sizes = np.diff(ends)
+            few = hashes[np.repeat(sizes <= most, sizes)].view(np.int64)
+            few = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes <= most, sizes, 0))]).astype(np.int32)), pa.array(few))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), few]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "n", "words", "key", "regs", "few"])
+
+    return rows.mapInArrow(signed, f"id {id_type}, raw long, n long, words long, key binary, regs binary, few array<bigint>")
+
 
-    return rows.mapInArrow(signed, f"id {id_type}, raw long, n long, words long, key binary, regs binary")
+def rarest(classes: DataFrame, percent: int) -> DataFrame:
+    """(cid, bucket): of each set that few has, as many of its rarest shingles as two sets that are alike can't both miss. The bucket's last bits are no band's."""
+    rows = classes.where(f"words >= {SHINGLE}").select("cid", "n", F.explode("few").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    sets = rows.join(counts, "shingle").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    chosen = sets.select("cid", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("s"))
+    return chosen.select("cid", F.xxhash64("s.shingle").bitwiseAND(F.lit(~BAND_MASK)).alias("bucket"))
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, cid, size): the buckets of at least two classes; the last bits of a bucket are its band."""
+def buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """(bucket, cid, size): the buckets of at least two classes; the last bits of a bucket are its band, 0 for one of a rare shingle."""
 
     @F.pandas_udf("array<bigint>")
     def bands(regs):
@@ -168,7 +188,8 @@ def buckets(classes: DataFrame) -> DataFrame:
             out[:, b] = mixed(mixed(join(low) + np.uint64((b + 1) << 48)) ^ join(high)) & ~np.uint64(BAND_MASK) | np.uint64(b)
         return pd.Series(list(out.view(np.int64)))
 
-    rows = classes.where(f"words >= {SHINGLE}").select("cid", F.explode(bands("regs")).alias("bucket"))
+    rows = classes.where(f"words >= {SHINGLE} and n > {SMALL}").select("cid", F.explode(bands("regs")).alias("bucket"))
+    rows = rows.unionByName(settle(rarest(classes, percent)))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     return settle(rows.join(sizes, "bucket").select("bucket", "cid", "size"))
 
@@ -381,11 +402,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles and their own id. A null id is nobody's component_id unless all ids of the component are null. Rows repeated with
     one id have the same result; kept is id = component_id. Other columns are ignored; no rows give no rows.
     """
-    rows = settle(signatures(docs, id_col, text_col))
+    rows = settle(signatures(docs, id_col, text_col, percent))
     own = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw")).alias("row")
-    some = rows.where("n > 0").groupBy("key").agg(own, F.first("n").alias("n"), F.first("words").alias("words"), F.first("regs").alias("regs"))
-    classes = ranked(some, [F.col("key")], "cid")
-    members = buckets(classes)
+    some = rows.where("n > 0").groupBy("key").agg(own, F.first("n").alias("n"), F.first("words").alias("words"), F.first("regs").alias("regs"), F.first("few").alias("few"))
+    ranks = ranked(some, [F.col("key")], "cid")
+    members = buckets(ranks, percent)
+    classes = ranks.drop("few")
     pairs = settle(estimated(pivot_pairs(members), classes, percent))
     sets = sets_of(docs, pairs.select(F.explode(F.array("pivot", "cid")).alias("cid")), classes, id_col, text_col)
     links = settle(confirmed(pairs, sets, percent))

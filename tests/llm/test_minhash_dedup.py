@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kelpmill.llm import minhash_dedup as md
 from kelpmill.llm.components import components
@@ -143,6 +144,30 @@ def test_megabyte_texts_share_buckets(spark, monkeypatch):
     assert got(md.near_duplicates(cases.documents(spark, rows))) == brute(rows, 80)
 
 
+def test_short_texts_that_share_some_words(spark):
+    """Unlike texts with common shingles meet in no bucket; like ones do, whatever their sizes."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    texts = [f"thank you for your message {word()}" for _ in range(20_000)]
+    few = [f"we have got your order and will send it to {word()} within a day or two as you have asked us to do" for _ in range(300)]
+    base = [word() for _ in range(60)]
+    few += [" ".join(base[k : k + n]) for n in (9, 10, 14, 28, 44, 45, 50, 54) for k in (0, 1, 2)]
+    few += [t + " " + word() for t in few[:150:10]] + texts[:40] + [t.upper() + "!" for t in texts[:5]]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts + few)]
+    signed = md.signatures(cases.documents(spark, rows), "doc_id", "text", 80)
+    classes = signed.groupBy("key").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("regs").alias("regs"), F.first("few").alias("few"), F.min("id").alias("cid"))
+    assert classes.count() > 20_000 and md.buckets(classes, 80).count() < 20_000
+    of_texts = md.buckets(classes.where("words = 6"), 80)
+    assert of_texts.count() == 0
+    # Two of the 20,000 share one shingle of two, and so do none with the others, but for the copies.
+    same = brute(rows[20_000:], 80)
+    found = {(str(r.doc_id), r.n_shingles): r.component_id for r in md.near_duplicates(cases.documents(spark, rows)).collect()}
+    copies = {i: (texts + few).index(t) for i, t in enumerate(texts + few) if i >= 20_000 and t in texts[:40]}
+    for i, n, c in same:
+        assert found[i, n] == copies.get(int(i), int(c)), (i, n, c)
+    assert all(found[str(k), 2] == k for k in range(20_000))
+
+
 def test_long_words_that_sums_confuse(spark):
     rows = []
     for k in (10, 11, 12, 13):
