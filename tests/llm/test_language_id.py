@@ -1,3 +1,4 @@
+import pathlib
 import random
 import zlib
 
@@ -8,6 +9,7 @@ from kelpmill.llm import language_id as li
 
 from . import cases
 
+FOLDER = pathlib.Path("/root/testdata/sf0.01")
 SYLLABLES = {"x": ["ba", "bo", "bu", "ra"], "y": ["ke", "ki", "né", "mi"], "z": ["ß", "st", "au", "ba"]}
 
 
@@ -108,3 +110,10 @@ def test_cases(spark):
     assert li.identify(cases.empty(spark), net).count() == 0
     nothing = li.train(li.excerpts_of(cases.empty(spark), "doc_id", "text", "lang"))
     assert {(r.lang_pred, r.score) for r in li.identify(cases.documents(spark), nothing).collect()} == {("und", 0.0)}
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
+def test_held_out_accuracy_on_the_given_tables(spark):
+    rows = li.op4_language_id(spark, str(FOLDER)).where("held_out")
+    rows = rows.join(spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
