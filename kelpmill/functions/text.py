@@ -34,10 +34,6 @@ def tokens(x: Column, normal: bool = False) -> Column:
     return F.filter(F.split(F.lower(or_empty(x) if normal else normalize_whitespace(x)), " "), lambda t: t != "")
 
 
-def hash_bucket(token: Column, dimension: int) -> Column:
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dimension).cast("int")
-
-
 def point_id(text: Column) -> Column:
     """The version 5 UUID of a text in the URL namespace."""
     h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(text, "UTF-8")))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors
 from ..functions.text import or_empty, strip
 from ..sources import folders
-from .index import DIMENSION, PLACES, dot, hash_places, reject
+from .index import DIMENSION, PLACES, hash_places, reject
 
 #: Questions and rows of one entity that meet in a cell.
 QUESTIONS, ROWS = 256, 4096
@@ -25,12 +25,6 @@ def reject_blank_question(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.withColumn("question", strip(F.col("question"))), blank.unionByName(none)
 
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Of two arrays of numbers; 0 if either has no length. Norms may be given where they are stored."""
-    norms = (F.sqrt(dot(a, a)) if norm_a is None else norm_a) * (F.sqrt(dot(b, b)) if norm_b is None else norm_b)
-    return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
-
-
 def most_hits(questions: DataFrame) -> int:
     """The largest top_k: one number on the driver, by which each task keeps a part of the ranking only."""
     return questions.agg(F.max("top_k")).first()[0] or 0
