@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, settle, shuffle_partitions
+from .common import settle, shuffle_partitions
 from .components import components
 from .words import slices
 
@@ -38,6 +38,8 @@ SEGMENTS = BITS // 2 + 1
 AT_ONCE = 65_536
 #: Places in a sorted order within which fingerprints are compared first.
 NEAR = 8
+#: Open buckets, three numbers each, up to which their keys are broadcast, 24 MB; beyond that all variants are shuffled to them.
+KEYS_HELD = 1_000_000
 #: Members on each side of a cell, and members from which a bucket is dealt by the bits outside its segment too.
 CELL, SPLIT = 256, 4096
 
@@ -132,7 +134,8 @@ def open_buckets(classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
     # Two members that are too far apart, as chance puts most of them together, need no second look.
     buckets = settle(buckets.where("low <> high and (size > 2 or bit_count(a ^ b) <= %d)" % BITS))
     large = settle(buckets.where("size > 2").select(F.col("key").alias("of_key"), "size", "pivot.fp").withColumnRenamed("fp", "pivot"))
-    members = join_counted(rows.select("place", "key", "fp"), large, F.col("key") == F.col("of_key")).drop("of_key")
+    side = F.broadcast(large) if large.count() <= KEYS_HELD else large
+    members = rows.select("place", "key", "fp").join(side, F.col("key") == F.col("of_key")).drop("of_key")
     return buckets.where("size = 2").select("a", "b").distinct(), settle(members)
 
 
