@@ -34,7 +34,8 @@ def hash_bucket(spark, sf_dir):
 
 def vector_norm(spark, sf_dir):
     e = index.with_norm(tables.star(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
-    return e.select("vec_id", F.round("norm", 6).alias("norm"))
+    v = F.col("vector")
+    return e.select("vec_id", F.round("norm", 6).alias("norm"), F.round(index.cosine(v, v, F.col("norm"), F.col("norm")), 6).alias("own_cosine"))
 
 
 def embedding_dimension(spark, sf_dir):
@@ -172,7 +173,7 @@ QUERIES = {
     "py_strip": (py_strip, r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n_chars FROM documents"),
     "tokenize_lower": (tokenize_lower, r"SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS tokens_sha256 FROM documents"),
     "hash_bucket": (hash_bucket, "SELECT DISTINCT token, (('0x' || substr(md5(token), 1, 8))::BIGINT % 384)::INT AS bucket FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS token FROM part) WHERE token <> ''"),
-    "vector_norm": (vector_norm, "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings"),
+    "vector_norm": (vector_norm, "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS own_cosine FROM embeddings"),
     "embedding_dimension": (embedding_dimension, "SELECT label, max(len(embedding)) AS dimension FROM embeddings GROUP BY label"),
     "chunks_indexed": (chunks_indexed, sql.query(sql.CHUNKS, "SELECT document_id, count(*) AS chunks_indexed FROM chunked GROUP BY ALL")),
     "upsert_entity": (upsert_entity, "SELECT 'Entity' AS label, c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer"),

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from kelpmill.operators import catalog
-from kelpmill.plans import steps
+from kelpmill.plans import expressions, steps
 from kelpmill.sources import tables
 
 FOLDER = pathlib.Path("/root/testdata/sf0.001")
@@ -34,3 +34,11 @@ def test_labels_and_types_of_white_space(spark):
     ref = lambda key, label, kind: (None, key, label, kind, None, None, None)
     docs = spark.createDataFrame([("d", "domain", "bank", "x", None, [ref("k", " L ", " Date "), ref("m", "", None), None], None)], tables.SCHEMAS["catalog_domain"])
     assert {(r.attribute_key, r.label, r.type) for r in catalog.resolve_refs(docs, items).collect()} == {("k", "L", "date"), ("m", "m", "string")}
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
+def test_norms_and_own_cosines(spark):
+    query, sql = expressions.QUERIES["vector_norm"]
+    want = duckdb.connect().sql(sql.replace("FROM embeddings", f"FROM '{FOLDER}/embeddings.parquet'")).fetchall()
+    got = query(spark, str(FOLDER))
+    assert got.columns == ["vec_id", "norm", "own_cosine"] and sorted(map(tuple, got.collect())) == sorted(want)
