@@ -41,6 +41,11 @@ def global_items(catalog: DataFrame) -> DataFrame:
     return catalog.select("_id", "domain", key.alias("attribute_key"), _label(F.col("label"), key).alias("label"), _kind(F.col("type")).alias("type"), _list(F.col("enum_values")).alias("enum_values"), F.coalesce("required_default", F.lit(False)).alias("required_default"), _list(F.col("tags")).alias("tags"), F.coalesce("priority", F.lit(0)).alias("priority"), F.lit("global").alias("source"), F.lit(None).cast("string").alias("validation_rules"))
 
 
+def domain_totals(items: DataFrame) -> DataFrame:
+    """(domain, n, most): how many items each domain has, and their highest priority. No rows are made for a domain's requests times its items."""
+    return items.groupBy("domain").agg(F.count("*").alias("n"), F.max("priority").alias("most"))
+
+
 def custom_items(domain_docs: DataFrame) -> DataFrame:
     """(_id, kind, pos, item...) of the custom attributes that have a name."""
     rows = domain_docs.select("_id", F.posexplode("customAttributes").alias("pos", "c")).where(F.col("c").isNotNull())

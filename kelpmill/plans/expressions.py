@@ -125,7 +125,7 @@ def node_coalesce(spark, sf_dir):
 def filter_catalog_domain(spark, sf_dir):
     items = catalog.global_items(tables.catalog_global(spark, sf_dir))
     asked = tables.template_requests(spark, sf_dir).select("request_id", catalog.mapped_domain(catalog.domain_type(F.col("domain_type"))).alias("domain"))
-    return asked.join(items, "domain").groupBy("request_id").agg(F.count("*").alias("n"), F.max("priority").alias("most"))
+    return asked.join(catalog.domain_totals(items), "domain").groupBy("request_id").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
 
 
 def filter_domain_default(spark, sf_dir):

@@ -42,3 +42,14 @@ def test_norms_and_own_cosines(spark):
     want = duckdb.connect().sql(sql.replace("FROM embeddings", f"FROM '{FOLDER}/embeddings.parquet'")).fetchall()
     got = query(spark, str(FOLDER))
     assert got.columns == ["vec_id", "norm", "own_cosine"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
+def test_a_domain_is_counted_before_it_meets_requests(spark):
+    query, sql = expressions.QUERIES["filter_catalog_domain"]
+    got = query(spark, str(FOLDER))
+    con = duckdb.connect()
+    for name in ("part", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(sql).fetchall())
+    assert "Aggregate [domain" in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
