@@ -157,6 +157,28 @@ def test_hashed_places():
     assert list(vectors.runs(pa.array(["xx", "", None, "x" * 9, "y"]), 3)) == [(0, 3), (3, 1), (4, 1)]
 
 
+@pytest.mark.parametrize("run_bytes,questions", [(4_000_000, 256), (40, 2)])
+def test_few_questions_go_to_the_chunks(spark, monkeypatch, run_bytes, questions):
+    """Ties, no text, unasked entities and none: as in cells, without moving a vector or hashing a chunk twice."""
+    monkeypatch.setattr(search, "QUESTIONS", questions)
+    monkeypatch.setattr(vectors.runs, "__defaults__", (run_bytes,))
+    draw = random.Random(6)
+    text = lambda n: " ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(n)))
+    chunks = spark.createDataFrame([(f"c{k:03}", draw.choice(["e0", "e1", "e2", None]), draw.choice([text(6), text(6), None])) for k in range(300)], "id string, entity_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(k, text(5), draw.choice(["e0", "e1", "e9", None]), draw.choice([1, 4, 200])) for k in range(12)], "question_id long, question string, entity_id string, top_k int")
+    here = search.knn_sparse(asked, chunks)
+    got = sorted(map(tuple, here.collect()))
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") and "CoGroups" not in plan
+    monkeypatch.setattr(search, "SENT", 0)
+    cells = search.knn_sparse(asked, chunks)
+    assert got == sorted(map(tuple, cells.collect())) and len(got) > 100
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4  # chunks once, questions, and these for the sizes, which both sides get
+    payload = chunks.selectExpr("*", "'d' as document_id", "'u' as file_url", "0 as chunk_index", "'{}' as metadata")
+    of = {r.question_id: [c.id for c in r.chunks] for r in search.collect_chunks(here, payload).collect()}
+    assert of == {q: [i for _, i, _, k in sorted((r for r in got if r[0] == q), key=lambda r: r[3])] for q in of} and sum(map(len, of.values())) == len(got)
+
+
 def test_search_gives_all_hits_that_are_asked(spark):
     chunks = spark.createDataFrame([(f"c{k:03}", "e", f"red word{k}") for k in range(160)], "id string, entity_id string, text string")
     asked = spark.createDataFrame([("q0", "red", "e", 150), ("q1", "red", "e", 3)], "question_id string, question string, entity_id string, top_k int")
