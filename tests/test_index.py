@@ -229,3 +229,20 @@ def test_store(spark, tmp_path):
     assert of.count() == 51 and files <= 3 and read < 700
     row = of.where("id = 'p3'").first()
     assert (row.norm, row.embedder, list(row.vector)) == (5.0, "m", [3.0, 4.0])
+
+
+def test_buckets_go_with_the_rows(spark, tmp_path, monkeypatch):
+    """No bucket, which is one task's work, has more than twice the rows that it is laid out for, however often the store is filled; and it is found again."""
+    monkeypatch.setattr(store, "ROWS", 50)
+    path = str(tmp_path / "s")
+    box, other = (store.IndexStore(spark, path, parts=2, buckets=2) for _ in range(2))
+    most = lambda: max(r["count"] for r in box.spark.table(box.table).groupBy(F.regexp_extract(F.input_file_name(), r"_(\d+)\.c", 1)).count().collect())
+    for seq, n in enumerate((60, 900, 901, 2000)):
+        assert box.upsert(stored(spark, [(f"p{k}", f"e{k % 4}", f"{seq}") for k in range(n)], seq)).count() == 0
+        assert most() <= 2 * 50 * 1.5 and box.read().count() == n and {r.text for r in box.read().select("text").distinct().collect()} == {str(seq)}
+    assert box.buckets == 32
+    assert other.read().count() == 2000
+    other.upsert(stored(spark, [("p7", "e3", "again"), ("px", "e1", "new")], 9))
+    opened = store.IndexStore(spark, path, parts=2, buckets=2)
+    assert opened.buckets == 32 and opened.dimension() == 2 and opened.read().count() == 2001
+    assert {r.text for r in opened.of_entity("e3").where("id in ('p7', 'p3')").collect()} == {"again", "3"}
