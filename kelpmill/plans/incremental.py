@@ -25,7 +25,8 @@ def stream_index(spark, sf_dir):
     folder = folders.new_folder(spark, "job")
     out = jobs.IndexTables(f"{folder}/index")
     _arrivals(spark, folder, d.schema, parts, lambda rows: jobs.stream_index(rows, out, f"{folder}/checkpoint"))
-    chunks = out.read(spark, "chunks").select("document_id", "entity_id", F.size("vector").alias("dimension"), F.col("norm"), _moment(), "embedder")
+    kept = {c: F.col(c) for c in ("document_id", "entity_id", "norm", "embedder")}
+    chunks = out.read(spark, "chunks", kept | {"dimension": F.size("vector"), "moment": _moment()})
     of_chunks = chunks.groupBy("document_id", "entity_id").agg(F.count("*").alias("n_points"), F.max("dimension").cast("long").alias("dimension"), F.round(F.max("norm"), 6).alias("norm"), F.round(F.sum("moment"), 4).alias("moment"), F.max("embedder").alias("embedder"))
     summaries = out.read(spark, "summaries").select("document_id", "entity_id", "status", "chunks_indexed", F.col("graph.document.name").alias("name"))
     edges = out.read(spark, "edges").select(F.col("from_id").alias("entity_id"), F.col("to_id").alias("document_id"), "relationship")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -94,14 +94,20 @@ class IndexTables:
     def finish(self, spark: SparkSession, number: int, dimension: int | None) -> None:
         spark.createDataFrame([(dimension,)], "dimension int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/finished/batch={number}")
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
-        """The rows of finished batches. A node keeps the last name that it was given; chunks of another dimension than the index's don't count."""
+    def read(self, spark: SparkSession, name: str, values: dict[str, Column] | None = None) -> DataFrame:
+        """The rows of finished batches. A node keeps the last name that it was given; chunks of another dimension than the index's don't count.
+
+        values: columns by name that are worked out of each row and stand for its columns beside the key, so that chunks needn't be moved with their texts and vectors.
+        """
         schema, key = self.TABLES[name]
         rows = _found(spark, f"{self.path}/{name}", f"{schema}, batch long").join(self.finished(spark).select("batch"), "batch", "left_semi")
         if name == "chunks":
             rows = rows.where(F.size("vector") == F.lit(self.dimension(spark)))
         names = [c.name for c in StructType.fromDDL(schema)]
         rest = [c for c in names if c not in (key or names)]
+        if values is not None and rest and name != "nodes":
+            rows, rest = rows.select(*key, *[c.alias(n) for n, c in values.items()], "batch"), list(values)
+            names = [*key, *rest]
         if not key:
             return rows.select(names)
         if not rest:
@@ -131,8 +137,7 @@ def stream_index(documents: DataFrame, tables: IndexTables, checkpoint: str, mod
         one = F.max(F.struct("file_url", "metadata", "text")).alias("r")
         accepted = accepted.groupBy(key).agg(one).select(*key, "r.*").persist()
         points = index.points(accepted)
-        vectors = index.embed_texts(points.select("id", "text"), "id", "text", model)
-        stored = index.with_norm(points.join(vectors, "id")).withColumns({"embedder": F.lit(index.EMBEDDER if model is None else getattr(model, "name", type(model).__name__)), "seq": F.lit(number).cast("long")})
+        stored = index.with_norm(index.with_vectors(points, model)).withColumns({"embedder": F.lit(index.EMBEDDER if model is None else getattr(model, "name", type(model).__name__)), "seq": F.lit(number).cast("long")})
         seen = Observation()
         tables.write("chunks", stored.observe(seen, F.min(F.struct("id", F.size("vector").alias("n"))).alias("first")), number)
         own = seen.get["first"]

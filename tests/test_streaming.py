@@ -1,7 +1,8 @@
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
-from kelpmill.operators import graph
+from kelpmill.operators import graph, index
 from kelpmill.sources import requests, tables
 from kelpmill.streaming import jobs
 
@@ -125,3 +126,19 @@ def test_readers(spark, tmp_path):
     assert (row["_id"], row.priority, row.tags, row.label) == ("1", 3, ["a"], None)
     (tmp_path / "q.json").write_text('{"question_id": "1", "question": "Why?", "entity_id": "e"}\n')
     assert tables.with_top_k(tables.read(spark, "questions", str(tmp_path / "q.json"), "json")).first().top_k == 5
+
+
+def test_values_of_the_latest_chunks(spark, tmp_path):
+    """Values are those of each id's latest row, and neither vectors nor texts are moved for them; vectors are added without a shuffle."""
+    tables = jobs.IndexTables(str(tmp_path / "index"))
+    run(spark, tmp_path, 0, [("d1", "e", None, "alpha beta", "{}"), ("d2", "e", None, "gamma", "{}")], tables)
+    run(spark, tmp_path, 1, [("d1", "e", "u", "alpha beta", "{}")], tables)
+    got = tables.read(spark, "chunks", {"file_url": F.col("file_url"), "size": F.size("vector"), "n": F.length("text")})
+    whole = tables.read(spark, "chunks").select("id", "file_url", F.size("vector").alias("size"), F.length("text").alias("n"))
+    assert got.columns == whole.columns and sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(struct(file_url, file_url" in plan and "vector, vector#" not in plan
+    points = index.points(spark.createDataFrame([("d", "e", None, "a b a", "{}")], DOCS))
+    own = index.with_vectors(points)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert own.join(index.embed_texts(points, "id", "text").withColumnRenamed("vector", "want"), "id").where("vector = want").count() == 1
